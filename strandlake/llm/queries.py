@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules, url_templates
 
-MODULES = (quality_rules,)
+MODULES = (url_templates, mixing, quality_rules)
 
 
 def queries() -> dict:

@@ -1,8 +1,8 @@
-"""Token ids of whole texts, word by word.
+"""Token ids of whole texts, piece by piece.
 
-Neither tokenizer ever joins what stands on two sides of a word's start, so a text's ids are those of its words in a
-row. Each distinct word of some thousands of texts is encoded once and then looked up. A text with white space that
-libraries tell apart differently is encoded as a whole.
+Both tokenizers cut a text into pieces (words, digits, signs) and encode each piece by itself. A piece is encoded by the
+tokenizer's model once and then looked up, as most pieces of a text are common. The pieces are cut here for texts of
+letters, digits and signs whose classes are beyond doubt; any other text is encoded as a whole by the tokenizer.
 """
 
 from __future__ import annotations
@@ -13,23 +13,31 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Characters that Python and the tokenizers may not both count as white space, or that join what is beside them.
-ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
-#: White space and the word after it; a byte-level tokenizer keeps the space with the word.
-SPACED = re.compile(r"\s*\S+|\s+")
+#: Letters beyond ASCII that are one code point in every normal form and have a lower case of one code point.
+LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+SIGNS = "\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201d\u2026\u20ac"
+#: A text with anything else, or with what may be a special token, is encoded as a whole.
+ODD = re.compile(rf"[^\t\n\r -~{LETTERS}{SIGNS}]|<\|")
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The pieces of word_bpe_49k, after lower-casing, and of byte_bpe_50k.
+WORDS = re.compile(rf"{SHORT}|[a-z{LETTERS}]+|[0-9]|[^\sa-z{LETTERS}0-9]+")
+BYTES = re.compile(rf"{SHORT}| ?[A-Za-z{LETTERS}]+| ?[0-9]+| ?[^\sA-Za-z{LETTERS}0-9]+|\s+(?!\S)|\s+")
+#: Byte-level models name a byte by its character if that is printable, else by the next one from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
 _READY: dict = {}
 
 
 class Encoder:
-    """ids of texts. keeps_space: whether white space makes tokens. cached: words kept before all are let go."""
+    """ids of texts. keeps_space: whether white space makes tokens. cached: pieces kept before all are let go."""
 
-    def __init__(self, path: str, keeps_space: bool, cached: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, cached: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.split = SPACED.findall if keeps_space else str.split
+        self.model = self.tokenizer.model
+        self.split = BYTES.findall if keeps_space else lambda t: WORDS.findall(t.lower())
         self.cached = cached
         self._clear()
 
@@ -39,7 +47,8 @@ class Encoder:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        new = [np.asarray(x.ids, np.uint32) for x in self.batch(words, add_special_tokens=False)]
+        tokenize = self.model.tokenize
+        new = [[t.id for t in tokenize(w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(BYTE_NAMES))] for w in words]
         lengths = np.fromiter(map(len, new), np.int64, len(new))
         n, m = len(self.at), self.used
         while n + len(new) > len(self.begin):
@@ -47,7 +56,7 @@ class Encoder:
         total = int(lengths.sum())
         while m + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[m : m + total] = np.concatenate(new) if new else []
+        self.ids[m : m + total] = [i for x in new for i in x]
         self.begin[n : n + len(new)] = m + np.cumsum(lengths) - lengths
         self.length[n : n + len(new)] = lengths
         self.at.update(zip(words, range(n, n + len(new)), strict=True))

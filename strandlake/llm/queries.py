@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, mixing, packing, quality_rules, simhash, token_files, toxicity, url_templates
+from . import chat_format, embeddings, language_id, mixing, packing, quality_rules, simhash, token_files, toxicity, url_templates
 
-MODULES = (toxicity, url_templates, language_id, mixing, token_files, quality_rules, simhash, packing, chat_format)
+MODULES = (toxicity, url_templates, language_id, mixing, token_files, quality_rules, simhash, packing, chat_format, embeddings)
 
 
 def queries() -> dict:

@@ -71,7 +71,6 @@ def _joined(items: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return items
 
 
-@F.pandas_udf(INDELS)
 def _merged_insertions(ins: pd.Series) -> pd.Series:
     return ins.map(lambda x: [{"pos": p, "len": n} for p, n in _joined([(i["pos"], i["len"]) for i in x])])
 
@@ -82,7 +81,7 @@ def with_cigar(alignments: DataFrame, min_size: int = 50, largest: int = 4_000_0
     long = lambda a: F.filter(a, lambda x: x["len"] >= min_size)
     # Only rows with several insertions need the fold in Python; all others keep theirs.
     several = F.when(F.size("_w.ins") > 1, F.col("_w.ins")).otherwise(F.array().cast(INDELS))
-    out = out.withColumn("_merged", _merged_insertions(several))
+    out = out.withColumn("_merged", F.pandas_udf(_merged_insertions, INDELS)(several))
     return out.select(
         *alignments.columns,
         F.col("_w.ref").alias("ref_len"), F.col("_w.query").alias("query_len"), F.col("_w.left").alias("left_clip"), F.col("_w.right").alias("right_clip"),

@@ -1,13 +1,327 @@
-"""The named queries over the driver's tables, and the SQL that each is compared with."""
+"""The named queries over the driver's tables, and the SQL that each is compared with.
+
+SQL describes the same results by closed forms of the derived relations where it can, so it isn't the query said twice.
+Queries without SQL are sequential folds; the tests compare them with plain versions.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import Config
+from .functions import text
+from .operators import base_errors, clusters, contig_stats, corrections, intervals, reconcile, segments
+from .operators.cigar import operations, with_cigar
+from .operators.settle import settled
+from .plans import evaluate, testdata
+
 FLAGSHIP = "sv_events"
+MIN_LENGTH, LARGE_LENGTH = 1000, 5000
+SUPPORT, MAX_DEPTH = 3, 40
+
+ALN = """SELECT 'r' || CAST(l_orderkey AS VARCHAR) AS qname,
+ CAST((CASE WHEN l_returnflag='R' THEN 16 ELSE 0 END)+(CASE WHEN l_linenumber>1 THEN 2048 ELSE 0 END)+(CASE WHEN l_suppkey%10=9 THEN 256 ELSE 0 END) AS INT) AS flag,
+ 'ctg' || CAST(l_orderkey%8 AS VARCHAR) AS rname, l_partkey*100+1+CAST(l_quantity AS BIGINT)%7 AS pos, CAST(20+(l_linenumber%5)*10 AS INT) AS mapq,
+ (l_linenumber%4)*450+CAST(l_quantity AS BIGINT)*4+1 AS lc, ((l_linenumber+2)%4)*450+200-CAST(l_quantity AS BIGINT)*3 AS rc, 300+(l_partkey%5)*40 AS m,
+ 50+(l_partkey%13)*5 AS x, l_partkey%4 AS k4, l_partkey%8 AS k8 FROM lineitem"""
+#: Alignments with lengths: what is inserted (ins), deleted (del) and matched.
+LEN = f"""SELECT *, m+250+CASE k8 WHEN 5 THEN 40 WHEN 6 THEN 60 ELSE 0 END AS matched,
+ CASE WHEN k4=1 THEN x ELSE 0 END + CASE WHEN k8=5 THEN 30 ELSE 0 END AS ins, CASE WHEN k4=2 THEN x ELSE 0 END + CASE WHEN k8=6 THEN 40 ELSE 0 END AS del FROM ({ALN})"""
+SEG = f"""SELECT qname, rname, flag, pos, mapq, lc, rc, matched+ins AS al, pos+matched+del AS refend FROM ({LEN}) WHERE flag & 256 = 0"""
+PAIRS = f"""SELECT l.qname AS qname, l.rname AS rname, l.flag AS lf, r.flag AS rf, l.pos AS lp, r.pos AS rp, l.refend AS le, r.refend AS re, l.lc AS ll, r.lc AS rl, l.al AS la, r.al AS ra,
+ l.rc AS lr, r.rc AS rr, l.mapq AS lm, r.mapq AS rm FROM (
+  SELECT *, row_number() OVER (PARTITION BY qname, rname ORDER BY pos, flag, refend, lc, al, rc, mapq) AS o, count(*) OVER (PARTITION BY qname, rname) AS n2 FROM (
+   SELECT *, count(*) OVER (PARTITION BY qname, rname) AS n, bool_or(flag & 16 = 0) OVER (PARTITION BY qname, rname) AS fwd FROM ({SEG})) WHERE n BETWEEN 2 AND 20 AND fwd AND al >= 300) l
+ JOIN (SELECT *, row_number() OVER (PARTITION BY qname, rname ORDER BY pos, flag, refend, lc, al, rc, mapq) AS o, count(*) OVER (PARTITION BY qname, rname) AS n2 FROM (
+   SELECT *, count(*) OVER (PARTITION BY qname, rname) AS n, bool_or(flag & 16 = 0) OVER (PARTITION BY qname, rname) AS fwd FROM ({SEG})) WHERE n BETWEEN 2 AND 20 AND fwd AND al >= 300) r
+ ON l.qname = r.qname AND l.rname = r.rname AND l.o < r.o WHERE l.n2 >= 2"""
+SEG_SIGNALS = f"""SELECT rname AS contig, CAST(s.pos AS BIGINT) AS pos, CAST(s.size AS BIGINT) AS size, s.kind AS sig_type, qname AS read, CAST(lf+rf AS INT) AS flag, CAST((lm+rm)//2 AS INT) AS mapq FROM (
+ SELECT *, CASE WHEN lf & 16 = rf & 16 THEN
+   CASE WHEN re-le > -200 AND abs(rp-le) <= 300 AND (rl-ll-la)-(rp-le) BETWEEN 50 AND 4000000 THEN {{'kind': 'I-segment', 'pos': least(rp, le), 'size': (rl-ll-la)-(rp-le)}}
+   WHEN re-le > -200 AND -(rl-ll-la) > -200 AND -(rl-ll-la) < 2000 AND (rp-le)-(rl-ll-la) BETWEEN 50 AND 4000000 THEN {{'kind': 'D-segment', 'pos': greatest(0, le-greatest(0, -(rl-ll-la))), 'size': (rp-le)-(rl-ll-la)}} END
+  ELSE CASE WHEN rl+ra-lr > -200 AND rl+ra-lr < 500 AND re-le >= greatest(100, rl+ra-lr) AND (re-le)-(rl+ra-lr) > 0 AND (re-le)-(rl+ra-lr) BETWEEN 50 AND 4000000 THEN {{'kind': 'INV-segment', 'pos': le, 'size': (re-le)-(rl+ra-lr)}}
+   WHEN ra+rr-ll > -200 AND ra+rr-ll < 500 AND rp-lp >= greatest(100, ra+rr-ll) AND (rp-lp)-(ra+rr-ll) > 0 AND (rp-lp)-(ra+rr-ll) BETWEEN 50 AND 4000000 THEN {{'kind': 'INV-segment', 'pos': lp, 'size': (rp-lp)-(ra+rr-ll)}} END END AS s
+ FROM ({PAIRS})) WHERE s IS NOT NULL"""
+CIGAR_SIGNALS = f"""SELECT rname AS contig, CAST(pos+m AS BIGINT) AS pos, CAST(CASE WHEN ins > 0 THEN ins ELSE del END AS BIGINT) AS size, CASE WHEN ins > 0 THEN 'I-cigar' ELSE 'D-cigar' END AS sig_type, qname AS read, flag, mapq
+ FROM ({LEN}) WHERE flag & 256 = 0 AND ins+del >= 50"""
+SIGNALS = """SELECT event_id, 'ctg'||CAST(user_id%4 AS VARCHAR) AS contig, (epoch_us(ts)//1000000-1704067200)//20+1 AS pos, CAST(floor(value) AS BIGINT)*40+50 AS size,
+ CASE event_type WHEN 'error' THEN 'D-cigar' WHEN 'purchase' THEN 'D-segment' WHEN 'click' THEN 'I-cigar' WHEN 'view' THEN 'I-segment' ELSE 'INV-segment' END AS sig_type,
+ 'r'||CAST(event_id%997 AS VARCHAR) AS read, CAST((event_id%2)*16 AS INT) AS flag, CAST(20+event_id%41 AS INT) AS mapq FROM events"""
+READS = """SELECT 'ctg'||CAST(event_id%4 AS VARCHAR) AS rname, (event_id*7919)%148000+1 AS pos, CASE WHEN event_id%11=0 THEN 1024 ELSE 0 END AS flag FROM events"""
+CONTIGS = "SELECT 'doc'||CAST(doc_id AS VARCHAR) AS name, n_chars AS length, source FROM documents"
+EDITS = """SELECT 'p'||CAST(p_partkey AS VARCHAR) AS chrom, repeat('ACGTTGCA', CAST(4+p_size%5 AS INT)) AS sequence, p_partkey%16 AS s, p_partkey%16+1+p_partkey%4 AS e,
+ CASE p_partkey%4 WHEN 0 THEN 'SNP' WHEN 1 THEN 'INS' WHEN 2 THEN 'DEL' ELSE 'INV' END AS sv_type, 1+p_partkey%4 AS size, 1+p_partkey%3 AS support FROM part"""
+#: Columns of the pileup by what lies in them: dots and commas, T, insertions, deletions in reads, deleted bases, A.
+PILE = """SELECT 'ctg'||CAST(l_partkey%8 AS VARCHAR) AS contig, l_partkey+1 AS pos, l_partkey%6 AS k, CASE l_partkey%5 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' WHEN 3 THEN 'T' ELSE 'N' END AS ref, count(*) AS depth,
+ count(*) FILTER (l_suppkey%10 < 8 AND l_partkey%6=1) AS n_t, count(*) FILTER (l_suppkey%10 < 8 AND l_partkey%6=2) AS n_ins, count(*) FILTER (l_suppkey%10 < 8 AND l_partkey%6=3) AS n_del,
+ count(*) FILTER (l_suppkey%10 < 8 AND l_partkey%6=4) AS n_star, count(*) FILTER (l_suppkey%10 < 8 AND l_partkey%6=5 AND l_suppkey%2=0) AS n_a FROM lineitem GROUP BY l_partkey"""
+CAND = f"""SELECT contig, p - 1 AS s, CASE kind WHEN 'deletion' THEN p ELSE p END AS e, kind AS etype, CAST(CASE WHEN kind = 'insertion' THEN 2 ELSE 1 END AS BIGINT) AS size, n AS support, depth-n_star AS depth FROM (
+  SELECT *, pos AS p, CASE k WHEN 1 THEN 'SNP' WHEN 2 THEN 'insertion' WHEN 3 THEN 'deletion' WHEN 5 THEN 'SNP' END AS kind, CASE k WHEN 1 THEN n_t WHEN 2 THEN n_ins WHEN 3 THEN n_del WHEN 5 THEN n_a ELSE 0 END AS n FROM ({PILE}))
+ WHERE ref <> 'N' AND depth BETWEEN 6 AND 60 AND depth >= 12 AND depth-n_star > 0 AND kind IS NOT NULL AND n > 0 AND n >= greatest(0.2*(depth-n_star), 12)
+  AND (kind <> 'SNP' OR 10*(depth-n_t-n_a) <= 8*depth)"""
+TAIL = """(SELECT sum(exp(lgamma(depth+1)-lgamma(i+1)-lgamma(depth-i+1)+i*ln({p})+(depth-i)*ln(1-{p}))) FROM generate_series(greatest(support,1), depth) g(i))"""
+
+
+def with_limits(pileup: DataFrame) -> DataFrame:
+    return pileup.withColumns({"mincount": F.lit(12).cast("long"), "maxcov": F.lit(60).cast("long")})
+
+
+def small(rows: DataFrame, kind: str) -> DataFrame:
+    return clusters.signals_of(rows, kind).where(F.col("size") <= clusters.LARGE)
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each signal as an event with a made-up support."""
+    rows = testdata.signals(spark, sf_dir)
+    etype = F.when(F.col("sig_type").startswith("D-"), "Expansion").when(F.col("sig_type").startswith("I-"), "Collapse").otherwise("Inversion")
+    return rows.select(
+        "contig", F.col("pos").alias("start"), (F.col("pos") + F.when(etype == "Collapse", 1).otherwise(F.col("size"))).alias("end"), (F.col("mapq") - 15).cast("long").alias("cnt"),
+        etype.alias("etype"), "size", F.array("read").alias("reads"), F.lit("Unique").alias("tag"),
+    )
+
+
+EVENTS = f"""SELECT contig, pos AS "start", pos+CASE WHEN sig_type LIKE 'I-%' THEN 1 ELSE size END AS "end", mapq-15 AS cnt,
+ CASE WHEN sig_type LIKE 'D-%' THEN 'Expansion' WHEN sig_type LIKE 'I-%' THEN 'Collapse' ELSE 'Inversion' END AS etype, size, read FROM ({SIGNALS})"""
+FLANK = f"""WITH ev AS ({EVENTS}), rd AS (SELECT * FROM ({READS}) WHERE flag & 3844 = 0), sp AS (SELECT DISTINCT contig, "start" AS s, "end" AS e FROM ev),
+ dl AS (SELECT contig, s, e, count(*) AS n FROM sp JOIN rd ON contig = rname AND pos <= s AND pos+2000 > greatest(s-99, 1) GROUP BY ALL),
+ dr AS (SELECT contig, s, e, count(*) AS n FROM sp JOIN rd ON contig = rname AND pos <= e+100 AND pos+2000 > e+1 GROUP BY ALL),
+ fl AS (SELECT ev.*, CAST(coalesce(dl.n, 0) AS BIGINT) AS depth_left, CAST(coalesce(dr.n, 0) AS BIGINT) AS depth_right, CAST(least(coalesce(dl.n, 0), coalesce(dr.n, 0)) AS BIGINT) AS depth_min
+  FROM ev LEFT JOIN dl ON dl.contig = ev.contig AND dl.s = ev."start" AND dl.e = ev."end" LEFT JOIN dr ON dr.contig = ev.contig AND dr.s = ev."start" AND dr.e = ev."end")"""
+
+
+def final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconcile.genotyped(event_rows(spark, sf_dir), testdata.signal_reads(spark, sf_dir))
+    rows = rows.select("*", F.array("start").alias("starts"), F.array("end").alias("ends"), F.col("cnt").alias("support"), F.array("size").alias("sizes"))
+    return reconcile.final_events(rows, 20)
+
+
+FINAL = FLANK + ", fi AS (SELECT * FROM fl WHERE size >= 50 AND cnt >= 10 AND cnt >= 0.7*depth_min AND depth_min >= 10 AND depth_min < 40)"
+
+
+def sv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clusters.events(testdata.signals(spark, sf_dir), testdata.signal_contigs(spark), SUPPORT, MAX_DEPTH)
+    return rows.withColumn("reads", F.array_join("reads", ";"))
+
+
+def reconciled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = settled(clusters.events(testdata.signals(spark, sf_dir), testdata.signal_contigs(spark), SUPPORT, MAX_DEPTH))
+    return reconcile.reconciled(reconcile.genotyped(events, testdata.signal_reads(spark, sf_dir)))
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.concat_ws(";", F.col(c).cast("array<string>")).alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes])
+
+
+def significant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base_errors.significant(base_errors.candidates(with_limits(testdata.pileup(spark, sf_dir)), 6), Config())
+
+
+def base_edits(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return testdata.edit_targets(spark, sf_dir).where(F.col("sv_type").isin(*kinds))
+
+
+def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = testdata.edit_targets(spark, sf_dir)
+    contigs = rows.select(F.col("chrom").alias("name"), "sequence").distinct()
+    return evaluate.correct(contigs, base_edits(spark, sf_dir, "SNP"), base_edits(spark, sf_dir, "INS", "DEL", "INV"), Config(min_correction_support=2))
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = contig_stats.contig_stats(testdata.contigs(spark, sf_dir), MIN_LENGTH, LARGE_LENGTH)
+    errors = base_errors.error_counts(significant(spark, sf_dir)).withColumnsRenamed({"n_collapse": "n_small_collapse", "n_expansion": "n_small_expansion"})
+    valid = base_errors.valid_bases(with_limits(testdata.pileup(spark, sf_dir)), 6)
+    return evaluate.summary(stats, reconcile.structural_summary(final_rows(spark, sf_dir)), errors, valid)
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_cigar(testdata.alignments(spark, sf_dir))
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    contigs, depth = testdata.alignment_contigs(spark, sf_dir), contig_stats.contig_depth(testdata.with_seq_len(testdata.alignments(spark, sf_dir)))
+    return contigs, depth, contig_stats.global_coverage(depth, contigs, MIN_LENGTH)
+
+
+def _indels(column: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _aligned(spark, sf_dir).select("qname", "rname", "flag", F.explode(column).alias("x"))
+        return rows.select("qname", "rname", "flag", "x.pos", F.col("x.len").alias("len"))
+
+    return run
+
+
+DEPTH = f"""SELECT rname AS contig, count(*) AS n_reads, CAST(sum(lc+rc+matched+ins) AS BIGINT) AS mapped_bp FROM ({LEN}) WHERE flag & 2304 = 0 GROUP BY rname"""
+ACTGS = "(SELECT 'ctg'||CAST(i AS VARCHAR) AS name, (SELECT (max(l_partkey)+1)*100+5000 FROM lineitem) AS length FROM range(8) t(i))"
+COVER = f"SELECT CAST(greatest(1, (SELECT sum(mapped_bp) FROM ({DEPTH}))//(SELECT sum(length) FROM {ACTGS} WHERE length >= 1000)) AS BIGINT) AS coverage"
+N50 = "(SELECT coalesce(max(length), 0) FROM (SELECT length, sum(length) OVER (ORDER BY length DESC ROWS UNBOUNDED PRECEDING) AS c, sum(length) OVER () AS t FROM k {where}) WHERE c >= t//2)"
+STATS = f"""WITH k AS ({CONTIGS}) SELECT count(*) AS n_contigs, count(*) FILTER (length >= 1000) AS n_valid, count(*) FILTER (length > 5000) AS n_large, CAST(sum(length) AS BIGINT) AS total_length,
+ CAST(coalesce(sum(length) FILTER (length >= 1000), 0) AS BIGINT) AS valid_length, CAST(coalesce(sum(length) FILTER (length >= 5000), 0) AS BIGINT) AS large_length, max(length) AS longest,
+ (SELECT length FROM k ORDER BY length DESC LIMIT 1 OFFSET 1) AS second_longest, CAST({N50.format(where='')} AS BIGINT) AS n50, CAST({N50.format(where='WHERE length > 5000')} AS BIGINT) AS n50_large FROM k"""
+SWEEP = f"""WITH mk AS (SELECT contig, least(greatest(pos-1, 0), 149999) AS a, least(pos+size, 150000) AS b FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%' AND size <= 3000),
+ ch AS (SELECT contig, p, sum(d) AS d FROM (SELECT contig, a AS p, 1 AS d FROM mk WHERE b > a UNION ALL SELECT contig, b, -1 FROM mk WHERE b > a) GROUP BY ALL HAVING sum(d) <> 0),
+ sg AS (SELECT contig, p AS seg_from, lead(p) OVER (PARTITION BY contig ORDER BY p) AS seg_to, sum(d) OVER (PARTITION BY contig ORDER BY p) AS depth FROM ch),
+ s3 AS (SELECT *, CASE WHEN seg_from > lag(seg_to) OVER w THEN 1 ELSE 0 END AS nw FROM (SELECT * FROM sg WHERE depth >= 3) WINDOW w AS (PARTITION BY contig ORDER BY seg_from)),
+ rg AS (SELECT contig, CAST(min(seg_from) FILTER (depth > 3) AS BIGINT) AS r_from, CAST(max(seg_to) AS BIGINT) AS r_to, CAST(max(depth) AS BIGINT) AS most FROM (SELECT *, sum(nw) OVER (PARTITION BY contig ORDER BY seg_from) AS isl FROM s3) GROUP BY contig, isl HAVING max(depth) > 3)"""
+
+
+def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = small(testdata.signals(spark, sf_dir), "D")
+    return intervals.depth_segments(clusters.marks(rows, testdata.signal_contigs(spark), False))
+
+
+def _candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and positions of expansions and collapses that may match."""
+    rows = reconcile.numbered(event_rows(spark, sf_dir).where("size <= 450"))
+    side = lambda kind, p: rows.where(F.col("etype") == kind).select("contig", F.col("ord").alias(f"{p}_ord"), F.col("start").alias(f"{p}_start"), F.col("size").alias(f"{p}_size"))
+    found = reconcile.candidates(rows).join(side("Expansion", "e"), ["contig", "e_ord"]).join(side("Collapse", "c"), ["contig", "c_ord"])
+    return found.select("contig", "e_start", "e_size", "c_start", "c_size")
+
+
+def _qv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = testdata.contigs(spark, sf_dir).groupBy("source").agg(F.sum("length").cast("long").alias("bases"), F.count("*").alias("errors"))
+    return rows.select("source", F.round(contig_stats.quality_value(F.col("errors"), F.col("bases")), 6).alias("qv"), F.round(contig_stats.per_mbp(F.col("errors"), F.col("bases")), 6).alias("per_mbp"))
+
+
+QUERIES = {
+    "contig_stats": (lambda s, d: contig_stats.contig_stats(testdata.contigs(s, d), MIN_LENGTH, LARGE_LENGTH), STATS),
+    "n50_by_source": (
+        lambda s, d: contig_stats.n50(testdata.contigs(s, d), ["source"]),
+        f"""SELECT source, CAST(max(length) FILTER (c >= t//2) AS BIGINT) AS n50 FROM (SELECT *, sum(length) OVER (PARTITION BY source ORDER BY length DESC ROWS UNBOUNDED PRECEDING) AS c, sum(length) OVER (PARTITION BY source) AS t FROM ({CONTIGS})) GROUP BY source""",
+    ),
+    "top_contigs": (lambda s, d: testdata.contigs(s, d).orderBy(F.desc("length"), "name").limit(10).select("name", "length"), f"SELECT name, length FROM ({CONTIGS}) ORDER BY length DESC, name LIMIT 10"),
+    "fastq_stats": (lambda s, d: contig_stats.fastq_stats(testdata._table(s, d, "documents"), "text"), "SELECT count(*) AS reads, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS bases FROM documents"),
+    "keep_fraction": (
+        lambda s, d: contig_stats.keep_fraction(contig_stats.fastq_stats(testdata._table(s, d, "documents"), "text"), 10_000, 30.0).select("reads", "bases", F.round("fraction", 8).alias("fraction")),
+        "SELECT reads, bases, round(CASE WHEN bases/10000.0 > 30 THEN 30/(bases/10000.0) ELSE 1.0 END, 8) AS fraction FROM (SELECT count(*) AS reads, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS bases FROM documents)",
+    ),
+    "hash_sample": (lambda s, d: contig_stats.hash_sample(testdata._table(s, d, "orders"), "o_orderkey", 10, 3).select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE CAST('0x'||substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 3"),
+    "mapped_flag_stats": (
+        lambda s, d: contig_stats.mapped_stats(testdata.alignments(s, d)),
+        f"SELECT count(*) AS n_total, count(*) FILTER (flag & 4 = 0) AS n_mapped, count(*) FILTER (flag & 256 <> 0) AS n_secondary, count(*) FILTER (flag & 2048 <> 0) AS n_supplementary, count(*) FILTER (flag & 3844 = 0) AS n_countable FROM ({ALN})",
+    ),
+    "contig_depth": (lambda s, d: _coverage(s, d)[1], DEPTH),
+    "global_coverage": (lambda s, d: _coverage(s, d)[2], COVER),
+    "contig_coverage": (
+        lambda s, d: contig_stats.contig_coverage(*_coverage(s, d)),
+        f"SELECT name, length, cc AS contig_cov, greatest(2, 2*cc//5) AS mincount, greatest(2, 2*cc) AS maxcov FROM (SELECT name, length, CAST(greatest(1, coalesce(mapped_bp//length, (SELECT coverage FROM ({COVER})))) AS BIGINT) AS cc FROM {ACTGS} c LEFT JOIN ({DEPTH}) d ON c.name = d.contig)",
+    ),
+    "cigar_ops": (
+        lambda s, d: testdata.alignments(s, d).select(F.explode(operations(F.col("cigar"))).alias("x")).groupBy("x.op").agg(F.count("*").alias("n_ops"), F.sum("x.n").cast("long").alias("n_bases")),
+        f"""SELECT op, count(*) AS n_ops, CAST(sum(n) AS BIGINT) AS n_bases FROM (SELECT unnest([{{'op': 'S', 'n': lc}}, {{'op': 'M', 'n': m}}, {{'op': 'M', 'n': 250}}, {{'op': 'S', 'n': rc}}, CASE WHEN k4=1 THEN {{'op': 'I', 'n': x}} END, CASE WHEN k4=2 THEN {{'op': 'D', 'n': x}} END,
+ CASE WHEN k8=5 THEN {{'op': 'I', 'n': 30}} END, CASE WHEN k8=5 THEN {{'op': 'M', 'n': 40}} END, CASE WHEN k8=6 THEN {{'op': 'D', 'n': 40}} END, CASE WHEN k8=6 THEN {{'op': 'M', 'n': 60}} END], recursive := true) FROM ({ALN})) WHERE op IS NOT NULL GROUP BY op""",
+    ),
+    "cigar_lengths": (
+        lambda s, d: _aligned(s, d).select("qname", "rname", "pos", "ref_len", "query_len", "left_clip", "right_clip"),
+        f"SELECT qname, rname, pos, matched+del AS ref_len, matched+ins AS query_len, lc AS left_clip, rc AS right_clip FROM ({LEN})",
+    ),
+    "insertion_merge": (_indels("insertions"), f"SELECT qname, rname, flag, pos+m AS pos, ins AS len FROM ({LEN}) WHERE ins >= 50"),
+    "deletion_merge": (_indels("deletions"), f"SELECT qname, rname, flag, pos+m AS pos, del AS len FROM ({LEN}) WHERE del >= 50"),
+    "segment_pairs": (
+        lambda s, d: segments.pairs(segments.segments(_aligned(s, d).where(F.col("flag").bitwiseAND(256) == 0))).select("qname", "rname", "l_pos", "r_pos", "l_flag", "r_flag"),
+        f"SELECT qname, rname, lp AS l_pos, rp AS r_pos, lf AS l_flag, rf AS r_flag FROM ({PAIRS})",
+    ),
+    "segment_signals": (lambda s, d: segments.segment_signals(_aligned(s, d).where(F.col("flag").bitwiseAND(256) == 0)), SEG_SIGNALS),
+    "cigar_signals": (lambda s, d: segments.cigar_signals(_aligned(s, d).where(F.col("flag").bitwiseAND(256) == 0)), CIGAR_SIGNALS),
+    "signal_union": (
+        lambda s, d: segments.signals(_aligned(s, d)).groupBy("contig", "sig_type").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bases"), F.max("pos").alias("last")),
+        f"SELECT contig, sig_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bases, max(pos) AS last FROM ({CIGAR_SIGNALS} UNION ALL {SEG_SIGNALS}) GROUP BY ALL",
+    ),
+    "depth_sweep": (_deep, SWEEP + " SELECT contig, CAST(seg_from AS BIGINT) AS seg_from, CAST(seg_to AS BIGINT) AS seg_to, CAST(depth AS BIGINT) AS depth FROM sg WHERE depth > 0 AND seg_to IS NOT NULL"),
+    "depth_regions": (lambda s, d: intervals.depth_regions(_deep(s, d)), SWEEP + " SELECT * FROM rg"),
+    "signals_in_regions": (
+        lambda s, d: clusters.in_regions(small(testdata.signals(s, d), "D"), intervals.depth_regions(_deep(s, d)), False).select("contig", "pos", "size", "read", "r_from", "r_to"),
+        SWEEP + f" SELECT s.contig, s.pos, s.size, s.read, r_from, r_to FROM ({SIGNALS}) s JOIN rg ON s.contig = rg.contig AND pos+size > r_from AND pos < r_to WHERE sig_type LIKE 'D-%' AND size <= 3000",
+    ),
+    "greedy_clusters": (
+        lambda s, d: clusters.with_cluster(clusters.signals_of(testdata.signals(s, d), "D").where("size > 3000"), ["contig"]).groupBy("contig", "cluster").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum("size").cast("long").alias("bases")),
+        f"""WITH RECURSIVE sg AS (SELECT contig, pos, size FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%' AND size > 3000),
+ nx AS (SELECT a.contig, a.pos, min(b.pos) AS nxt FROM (SELECT DISTINCT contig, pos FROM sg) a LEFT JOIN (SELECT DISTINCT contig, pos FROM sg) b ON a.contig = b.contig AND b.pos > a.pos+1600 GROUP BY ALL),
+ st AS (SELECT contig, min(pos) AS cluster FROM sg GROUP BY contig UNION ALL SELECT nx.contig, nx.nxt FROM st JOIN nx ON st.contig = nx.contig AND st.cluster = nx.pos WHERE nx.nxt IS NOT NULL)
+ SELECT st.contig, cluster, count(*) AS n, max(pos) AS last, CAST(sum(size) AS BIGINT) AS bases FROM st JOIN sg ON st.contig = sg.contig AND pos BETWEEN cluster AND cluster+1600 GROUP BY ALL""",
+    ),
+    "merged_events": (lambda s, d: flat(clusters.large_events(clusters.signals_of(testdata.signals(s, d), "D"), SUPPORT)), None),
+    "large_small_antijoin": (
+        lambda s, d: intervals.without_small_twin(clusters.signals_of(testdata.signals(s, d), "D").where("size > 3000").select("contig", "pos", "size", "read"), small(testdata.signals(s, d), "D"), False),
+        f"""WITH s AS (SELECT * FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%') SELECT contig, pos, size, read FROM s l WHERE size > 3000 AND NOT EXISTS (SELECT 1 FROM s t WHERE t.size <= 3000 AND t.contig = l.contig
+ AND least(l.pos+l.size, t.pos+t.size) > greatest(l.pos, t.pos) AND l.size BETWEEN 0.8*t.size AND t.size/0.8)""",
+    ),
+    "sv_events": (sv_events, None),
+    "flank_depth": (
+        lambda s, d: intervals.flank_depth(event_rows(s, d), testdata.signal_reads(s, d)).select("contig", "start", "end", "etype", "depth_left", "depth_right", "depth_min"),
+        FLANK + ' SELECT contig, "start", "end", etype, depth_left, depth_right, depth_min FROM fl',
+    ),
+    "genotype": (
+        lambda s, d: reconcile.genotyped(event_rows(s, d), testdata.signal_reads(s, d)).select("contig", "start", "end", "cnt", "etype", "gt", "depth_min"),
+        FLANK + """ SELECT contig, "start", "end", CAST(cnt AS BIGINT) AS cnt, etype, CASE WHEN cnt >= 0.6*depth_min THEN '1/1' ELSE '1/0' END AS gt, depth_min FROM fl""",
+    ),
+    "reconcile_pairs": (
+        _candidate_pairs,
+        f"""WITH ev AS (SELECT * FROM ({EVENTS}) WHERE size <= 450) SELECT e.contig, e."start" AS e_start, e.size AS e_size, c."start" AS c_start, c.size AS c_size FROM ev e JOIN ev c ON e.contig = c.contig AND e.etype = 'Expansion' AND c.etype = 'Collapse'
+ AND c."start" BETWEEN e."start"-250 AND e."end"+250 AND e.size < 20*c.size""",
+    ),
+    "reconciled": (lambda s, d: flat(reconciled_rows(s, d)), None),
+    "structural_filter": (
+        lambda s, d: final_rows(s, d).select("contig", "start", "end", "support", "etype", "size", "gt", "depth_min"),
+        FINAL + """ SELECT contig, "start", "end", CAST(cnt AS BIGINT) AS support, etype, size, CASE WHEN cnt >= 0.6*depth_min THEN '1/1' ELSE '1/0' END AS gt, depth_min FROM fi""",
+    ),
+    "structural_summary": (
+        lambda s, d: reconcile.structural_summary(final_rows(s, d)),
+        FINAL + """ SELECT count(*) AS n_events, count(*) FILTER (etype='Expansion') AS n_expansion, count(*) FILTER (etype='Collapse') AS n_collapse, count(*) FILTER (etype='HaplotypeSwitch') AS n_switch, count(*) FILTER (etype='Inversion') AS n_inversion,
+ CAST(coalesce(sum(CASE WHEN etype='Inversion' THEN 200 ELSE least(size, 10000) END), 0) AS BIGINT) AS error_bases FROM fi""",
+    ),
+    "structural_errors": (lambda s, d: flat(evaluate.structural_errors(testdata.signals(s, d), testdata.signal_contigs(s), testdata.signal_reads(s, d), 20, Config(min_final_support=3), SUPPORT)), None),
+    "pileup_normalize": (
+        lambda s, d: base_errors.with_symbols(testdata.pileup(s, d)).select("contig", "pos", "depth", F.col("deleted"), "eff", "n_a", "n_t"),
+        f"SELECT contig, pos, depth, n_star AS deleted, depth-n_star AS eff, n_a, n_t FROM ({PILE})",
+    ),
+    "pileup_indels": (
+        lambda s, d: testdata.pileup(s, d).select("contig", "pos", *[f(text.indel_sequences(text.normalized_pileup(F.col("bases")), m)).alias(c) for m, k in (("+", "ins"), ("-", "del")) for f, c in ((lambda x: F.size(x).cast("long"), f"n_{k}"), (text.most_frequent, f"top_{k}"))]),
+        f"SELECT contig, pos, n_ins, CASE WHEN n_ins > 0 THEN 'AC' END AS top_ins, n_del, CASE WHEN n_del > 0 THEN 'G' END AS top_del FROM ({PILE})",
+    ),
+    "valid_bases": (lambda s, d: base_errors.valid_bases(with_limits(testdata.pileup(s, d)), 6), f"SELECT contig, count(*) FILTER (ref <> 'N' AND depth BETWEEN 6 AND 60) AS valid_bases FROM ({PILE}) GROUP BY contig"),
+    "base_candidates": (lambda s, d: base_errors.candidates(with_limits(testdata.pileup(s, d)), 6), f'SELECT contig, s AS "start", e AS "end", etype, size, support, depth FROM ({CAND})'),
+    "binomial_tail": (
+        lambda s, d: base_errors.with_p_value(base_errors.candidates(with_limits(testdata.pileup(s, d)), 6), 0.4).groupBy("support", "depth").agg(F.round(F.max("pvalue"), 8).alias("pvalue")),
+        f"SELECT DISTINCT support, depth, round(CASE WHEN support-1 >= depth THEN 0.0 ELSE {TAIL.format(p=0.4)} END, 8) AS pvalue FROM ({CAND})",
+    ),
+    "base_error_filter": (
+        lambda s, d: significant(s, d).withColumn("pvalue", F.round("pvalue", 8)),
+        f"""SELECT contig, s AS "start", e AS "end", etype, size, support, depth, round(p, 8) AS pvalue FROM (SELECT *, CASE WHEN support-1 >= depth THEN 0.0 ELSE {TAIL.format(p=0.4)} END AS p FROM ({CAND}))
+ WHERE support >= 0.5*depth AND p < CASE WHEN depth < 25 THEN 0.1 ELSE 0.05 END""",
+    ),
+    "base_error_counts": (
+        lambda s, d: base_errors.error_counts(significant(s, d)),
+        f"""SELECT count(*) AS n_errors, count(*) FILTER (etype='insertion') AS n_collapse, count(*) FILTER (etype='deletion') AS n_expansion, count(*) FILTER (etype='SNP') AS n_substitution FROM (SELECT *, CASE WHEN support-1 >= depth THEN 0.0 ELSE {TAIL.format(p=0.4)} END AS p FROM ({CAND}))
+ WHERE support >= 0.5*depth AND p < CASE WHEN depth < 25 THEN 0.1 ELSE 0.05 END""",
+    ),
+    "qv": (_qv, f"SELECT source, round(-10*log10(count(*)/CAST(sum(length) AS DOUBLE)), 6) AS qv, round(count(*)*1000000/CAST(sum(length) AS DOUBLE), 6) AS per_mbp FROM ({CONTIGS}) GROUP BY source"),
+    "bed_support_filter": (lambda s, d: corrections.supported(testdata.edit_targets(s, d), 2).select("chrom", "start", "end", "sv_type", "support"), f'SELECT chrom, s AS "start", e AS "end", sv_type, support FROM ({EDITS}) WHERE support >= 2'),
+    "patched_sequences": (
+        patched,
+        f"""SELECT chrom AS name, CASE WHEN support < 2 THEN sequence WHEN sv_type='SNP' THEN substr(sequence, 1, s)||'N'||substr(sequence, s+2) WHEN sv_type='INS' THEN substr(sequence, 1, s)||substr(sequence, e+1)
+ WHEN sv_type='DEL' THEN substr(sequence, 1, s)||repeat('N', CAST(least(size, e-s) AS INT))||substr(sequence, e+1) ELSE substr(sequence, 1, s)||reverse(translate(substr(sequence, s+1, e-s), 'ACGT', 'TGCA'))||substr(sequence, e+1) END AS sequence FROM ({EDITS})""",
+    ),
+    "reverse_complement": (lambda s, d: testdata.edit_targets(s, d).select("chrom", text.reverse_complement(F.col("sequence")).alias("sequence")), f"SELECT chrom, reverse(translate(sequence, 'ACGT', 'TGCA')) AS sequence FROM ({EDITS})"),
+    "correction_stats": (
+        lambda s, d: corrections.corrected_bases(base_edits(s, d, "SNP"), base_edits(s, d, "INS", "DEL", "INV")),
+        f"SELECT count(*) FILTER (sv_type='SNP') AS n_base, count(*) FILTER (sv_type<>'SNP') AS n_structural, CAST(sum(CASE WHEN sv_type='SNP' THEN greatest(e-s, 1) ELSE size END) AS BIGINT) AS corrected_bases FROM ({EDITS})",
+    ),
+    "read_sets": (
+        lambda s, d: testdata.signals(s, d).groupBy("contig").agg(F.array_sort(F.collect_set(F.when(F.col("sig_type").startswith("D-"), F.col("read")))).alias("a"), F.collect_set(F.when(F.col("sig_type").startswith("I-"), F.col("read"))).alias("b")).select("contig", F.size(text.sorted_reads(F.col("a"))).cast("long").alias("n_reads"), text.union_size(F.col("a"), F.col("b")).alias("n_union")),
+        f"SELECT contig, count(DISTINCT read) FILTER (sig_type LIKE 'D-%') AS n_reads, count(DISTINCT read) FILTER (sig_type NOT LIKE 'INV-%') AS n_union FROM ({SIGNALS}) GROUP BY contig",
+    ),
+    "human_size": (
+        lambda s, d: testdata.contigs(s, d).groupBy("source").agg(F.sum("length").alias("n")).select("source", text.human_size(F.col("n")).alias("size")),
+        f"SELECT source, CASE WHEN n < 1024 THEN printf('%.2f B', n) WHEN n < 1048576 THEN printf('%.2f KB', n/1024) ELSE printf('%.2f MB', n/1048576) END AS size FROM (SELECT source, CAST(sum(length) AS DOUBLE) AS n FROM ({CONTIGS}) GROUP BY source)",
+    ),
+    "summary_statistics": (summary, None),
+}
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for k, (_, q) in QUERIES.items() if q}

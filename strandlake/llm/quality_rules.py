@@ -212,13 +212,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs that the base rules and the learned rules keep."""
-    labels = table(spark, sf_dir, "labels")
-    labelled = docs.select("doc_id", "text").join(labels_of(labels, "quality").select("doc_id"), "doc_id", "left_semi")
-    rules = fit(stored(with_counts(labelled).drop("text"), "quality-counts"), labels)
-    # A column that isn't deterministic keeps the filter above the counting: below it, counts would be made many times.
-    judged = judge(with_counts(docs).withColumn("_part", F.spark_partition_id()), rules)
-    return judged.where(F.col("kept") & (F.col("_part") >= 0)).select(*docs.columns)
+    """docs that the base rules and the learned rules keep. The counts are made once and stored beside the rows, so
+    learning reads a few slim columns and no text is shuffled."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    counted = stored(with_counts(rows).drop("text"), "quality-counted")
+    rules = fit(counted.drop("row"), table(spark, sf_dir, "labels"))
+    return judge(counted, rules).where("kept").select("row.*")
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}

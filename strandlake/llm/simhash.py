@@ -166,7 +166,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int
     """docs with one row of each component: the one of its least doc_id (of repeated rows of that id, one)."""
     found = grouped(docs, words).where("doc_id IS NOT DISTINCT FROM component_id")
     ids = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
-    kept = docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))).select("d.*", "i.n")
+    # The ids grow with the input: merge-join at every size, never broadcast.
+    kept = docs.alias("d").join(ids.alias("i").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))).select("d.*", "i.n")
     many = kept.where("n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_k = 1")
     return kept.where("n = 1").select(*docs.columns).unionByName(many.select(*docs.columns))
 

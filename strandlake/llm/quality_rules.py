@@ -191,7 +191,9 @@ def rule_number(rules: list[Rule]) -> Column:
 
 
 def fit(counts: DataFrame, labels: DataFrame, **options) -> list[Rule]:
-    """Rules learned from counts (with doc_id) and labels.quality. A third of the rows, by hash, is for pruning."""
+    """Rules learned from counts (with doc_id) and labels.quality. A third of the rows, by hash, is for pruning.
+
+    counts are stored rows: a filter on counts that are still expressions would make them many times over."""
     some = counts.select("doc_id", *COUNTS, "n_lines", "n_short_words").where(~base_failed())
     labelled = with_ratios(some.join(labels_of(labels, "quality"), "doc_id"))
     labelled = labelled.select(*RATIOS, "label", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("grow"))

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandlake.llm import chat_format, embeddings, language_id, mixing, packing, quality_rules, queries, simhash, token_files, toxicity, url_templates
+from strandlake.llm.common import stored
 from strandlake.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -165,7 +166,7 @@ def test_quality_rules(spark):
         bad = k % 3 == 0
         rows.append((k, " ".join(("#" if bad and rng.random() < 0.4 else "w") + str(rng.randrange(9999)) for _ in range(80)), "en", "s", 0))
         marks.append((k, int(not bad), 0))
-    counts = quality_rules.with_counts(spark.createDataFrame(rows, DOCS)).drop("text")
+    counts = stored(quality_rules.with_counts(spark.createDataFrame(rows, DOCS)).drop("text"), "counts")
     rules = quality_rules.fit(counts, labels(spark, marks))
     assert rules and rules[0][0].feature == "f_symbols"
     out = quality_rules.judge(counts, rules).collect()

@@ -10,6 +10,8 @@ of its own group: order statistics of sizes, outliers trimmed, and two events wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,22 +23,27 @@ from .settle import settled
 EVENT = "contig string, pos long, size long, cnt long, quality double, reads array<string>, tag string"
 #: Sizes above are large; of large ones, how far a cluster reaches.
 LARGE, WINDOW = 3000, 1600
+#: Adaptive clusters: the first window; the window by mean size up to a limit; the window above all limits.
+FIRST, ADAPTED, WIDEST = 100, ((100, 200), (500, 400)), 800
 
 
-def with_cluster(signals: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
-    """signals (keys, pos, ...) with cluster: the position at which the row's greedy cluster starts."""
-    spots = signals.select(*keys, "pos").distinct()
-    bins = spots.select(*keys, F.expr(f"pos div {window + 1}").alias("bin")).distinct()
+def _with_starts(signals: DataFrame, spots: DataFrame, keys: list[str], widest: int, reach: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """signals with cluster: the position at which the row's greedy cluster starts.
+
+    spots has a row for each keys and pos of signals. reach tells, for the sorted spots of an island, how far a cluster
+    that starts at each would go; never more than `widest`."""
+    bins = spots.select(*keys, F.expr(f"pos div {widest + 1}").alias("bin")).distinct()
     order = Window.partitionBy(*keys).orderBy("bin")
-    # An empty bin is wider than the window: no cluster spans it.
+    # An empty bin is wider than any cluster: none spans it.
     bins = bins.withColumn("island", F.sum(F.coalesce((F.col("bin") - F.lag("bin").over(order) > 1).cast("int"), F.lit(1))).over(order))
-    spots = spots.withColumn("bin", F.expr(f"pos div {window + 1}")).join(bins, [*keys, "bin"])
+    spots = spots.withColumn("bin", F.expr(f"pos div {widest + 1}")).join(bins, [*keys, "bin"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = np.sort(pdf["pos"].to_numpy(np.int64))
+        pdf = pdf.sort_values("pos")
+        pos, far = pdf["pos"].to_numpy(np.int64), reach(pdf)
         starts, k = np.empty_like(pos), 0
         while k < len(pos):
-            end = int(np.searchsorted(pos, pos[k] + window, "right"))
+            end = int(np.searchsorted(pos, pos[k] + far[k], "right"))
             starts[k:end] = pos[k]
             k = end
         return pd.DataFrame({c: pdf[c].iloc[0] for c in keys} | {"pos": pos, "cluster": starts})
@@ -46,25 +53,24 @@ def with_cluster(signals: DataFrame, keys: list[str], window: int = WINDOW) -> D
     return signals.join(starts, [*keys, "pos"])
 
 
-def adaptive_clusters(rows: list[tuple[int, int]], first: int = 100) -> list[list[int]]:
-    """Places of (pos, size) rows, sorted, by cluster. A cluster that its first window can't extend gets a wider one, by
-    the mean size so far, and keeps it."""
-    out: list[list[int]] = []
-    window, total = first, 0
-    for k, (pos, size) in enumerate(rows):
-        own = out[-1] if out else None
-        if own is not None:
-            start = rows[own[0]][0]
-            if pos > start + window and window == first:
-                mean = total // len(own)
-                window = 200 if mean <= 100 else 400 if mean <= 500 else 800
-            if pos <= start + window:
-                own.append(k)
-                total += size
-                continue
-        out.append([k])
-        window, total = first, size
-    return out
+def with_cluster(signals: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
+    """signals (keys, pos, ...) with cluster, each reaching `window` after its start."""
+    return _with_starts(signals, signals.select(*keys, "pos").distinct(), keys, window, lambda spots: np.full(len(spots), window))
+
+
+def with_adaptive_cluster(signals: DataFrame, keys: list[str], first: int = FIRST) -> DataFrame:
+    """signals (keys, pos, size, ...) with cluster. How far a cluster reaches follows from the mean size of its rows at
+    most `first` after its start: see ADAPTED."""
+
+    def reach(spots: pd.DataFrame) -> np.ndarray:
+        pos = spots["pos"].to_numpy(np.int64)
+        near = np.searchsorted(pos, pos + first, "right")
+        sizes, rows = (np.concatenate([[0], np.cumsum(spots[c].to_numpy(np.int64))]) for c in ("_sizes", "_rows"))
+        mean = (sizes[near] - sizes[:-1]) // (rows[near] - rows[:-1])
+        return np.select([mean <= most for most, _ in ADAPTED], [window for _, window in ADAPTED], WIDEST)
+
+    spots = signals.groupBy(*keys, "pos").agg(F.sum("size").cast("long").alias("_sizes"), F.count("*").alias("_rows"))
+    return _with_starts(signals, spots, keys, WIDEST, reach)
 
 
 def trimmed(sizes: list[int], least: int) -> tuple[int, int]:

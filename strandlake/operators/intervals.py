@@ -81,17 +81,28 @@ def _hysteresis(rows: list[tuple[int, int, int]], threshold: int) -> list[tuple[
     return out
 
 
-def depth_regions(segments: DataFrame, threshold: int = 3) -> DataFrame:
+def with_island(segments: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """segments (contig, seg_from, seg_to, ...: disjoint) with island: the number, on the contig, of the stretch of
+    touching segments. In two steps, ranges of `width` positions and segments of a range, so no task holds a contig."""
+    own = Window.partitionBy("contig", "_range").orderBy("seg_from")
+    rows = segments.withColumn("_range", F.expr(f"seg_from div {width}"))
+    rows = rows.withColumn("_new", (F.col("seg_from") > F.lag("seg_to").over(own)).cast("int"))  # null for the first of a range
+    ranges = rows.groupBy("contig", "_range").agg(F.min("seg_from").alias("first"), F.max("seg_to").alias("last"), F.coalesce(F.sum("_new"), F.lit(0)).alias("n"))
+    order = Window.partitionBy("contig").orderBy("_range")
+    ranges = ranges.withColumn("opens", F.coalesce((F.col("first") > F.lag("last").over(order)).cast("int"), F.lit(1)))
+    ranges = ranges.select("contig", "_range", (F.sum(F.col("n") + F.col("opens")).over(order) - F.col("n")).alias("_before"))
+    inside = rows.withColumn("_inside", F.sum(F.coalesce("_new", F.lit(0))).over(own))
+    return inside.join(ranges, ["contig", "_range"]).withColumn("island", F.col("_before") + F.col("_inside")).drop("_range", "_new", "_before", "_inside")
+
+
+def depth_regions(segments: DataFrame, threshold: int = 3, width: int = 1 << 20) -> DataFrame:
     """contig, r_from, r_to, most: regions where depth rises above threshold and stays near what it reached.
 
     Segments of depth threshold and above that touch are an island; no region leaves its island. Where an island's depth
     stays below ten times threshold plus ten, its region is closed-form: from its first segment above threshold to its end. Only
     deeper islands are folded, each on its own.
     """
-    contig = Window.partitionBy("contig").orderBy("seg_from")
-    rows = segments.where(F.col("depth") >= threshold)
-    rows = rows.withColumn("new", F.coalesce((F.col("seg_from") > F.lag("seg_to").over(contig)).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("new").over(contig))
+    rows = with_island(segments.where(F.col("depth") >= threshold), width)
     islands = rows.groupBy("contig", "island").agg(
         F.max("depth").alias("most"), F.min(F.when(F.col("depth") > threshold, F.col("seg_from"))).alias("r_from"), F.max("seg_to").alias("r_to"),
     ).where(F.col("most") > threshold)

@@ -239,6 +239,14 @@ QUERIES = {
  nx AS (SELECT a.contig, a.pos, min(b.pos) AS nxt FROM (SELECT DISTINCT contig, pos FROM sg) a LEFT JOIN (SELECT DISTINCT contig, pos FROM sg) b ON a.contig = b.contig AND b.pos > a.pos+1600 GROUP BY ALL),
  st AS (SELECT contig, min(pos) AS cluster FROM sg GROUP BY contig UNION ALL SELECT nx.contig, nx.nxt FROM st JOIN nx ON st.contig = nx.contig AND st.cluster = nx.pos WHERE nx.nxt IS NOT NULL)
  SELECT st.contig, cluster, count(*) AS n, max(pos) AS last, CAST(sum(size) AS BIGINT) AS bases FROM st JOIN sg ON st.contig = sg.contig AND pos BETWEEN cluster AND cluster+1600 GROUP BY ALL""",
+    ),
+    "adaptive_clusters": (
+        lambda s, d: clusters.with_adaptive_cluster(small(testdata.signals(s, d), "D"), ["contig"]).groupBy("contig", "cluster").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum("size").cast("long").alias("bases")),
+        f"""WITH RECURSIVE sg AS (SELECT contig, pos, size FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%' AND size <= 3000), sp AS (SELECT DISTINCT contig, pos FROM sg),
+ wd AS (SELECT sp.contig, sp.pos, CASE WHEN sum(size)//count(*) <= 100 THEN 200 WHEN sum(size)//count(*) <= 500 THEN 400 ELSE 800 END AS w FROM sp JOIN sg ON sp.contig = sg.contig AND sg.pos BETWEEN sp.pos AND sp.pos+100 GROUP BY ALL),
+ nx AS (SELECT wd.contig, wd.pos, w, min(sp.pos) AS nxt FROM wd LEFT JOIN sp ON wd.contig = sp.contig AND sp.pos > wd.pos+w GROUP BY ALL),
+ st AS (SELECT contig, min(pos) AS cluster FROM sg GROUP BY contig UNION ALL SELECT nx.contig, nx.nxt FROM st JOIN nx ON st.contig = nx.contig AND st.cluster = nx.pos WHERE nx.nxt IS NOT NULL)
+ SELECT st.contig, cluster, count(*) AS n, max(sg.pos) AS last, CAST(sum(size) AS BIGINT) AS bases FROM st JOIN nx ON st.contig = nx.contig AND cluster = nx.pos JOIN sg ON st.contig = sg.contig AND sg.pos BETWEEN cluster AND cluster+w GROUP BY ALL""",
     ),
     "merged_events": (lambda s, d: flat(clusters.large_events(clusters.signals_of(testdata.signals(s, d), "D"), SUPPORT)), None),
     "large_small_antijoin": (

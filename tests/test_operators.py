@@ -97,10 +97,30 @@ def test_greedy_members(spark):
     assert clusters.merged(members, ["contig", "cluster"], 5).collect() == []
 
 
-def test_adaptive():
-    assert clusters.adaptive_clusters([(0, 50), (100, 50), (180, 50), (201, 50)]) == [[0, 1, 2], [3]]
-    assert clusters.adaptive_clusters([(0, 600), (700, 600)]) == [[0, 1]]
-    assert clusters.adaptive_clusters([]) == []
+def plain_adaptive(rows):
+    """Rows (pos, size), sorted, one by one: a cluster that its first window can't extend gets a wider one and keeps it."""
+    out, window, total = [], 100, 0
+    for pos, size in rows:
+        if out and pos > out[-1][0][0] + window and window == 100:
+            mean = total // len(out[-1])
+            window = 200 if mean <= 100 else 400 if mean <= 500 else 800
+        if not out or pos > out[-1][0][0] + window:
+            out.append([])
+            window, total = 100, 0
+        out[-1].append((pos, size))
+        total += size
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_adaptive(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(40_000), rng.choice((60, 90, 300, 700, 2000))) for _ in range(300)] + [(5, 50)] * 20
+    if not seed:
+        rows = [(0, 50), (100, 50), (180, 50), (201, 50), (5000, 600), (5700, 600)]
+        assert [len(c) for c in plain_adaptive(rows)] == [3, 1, 2]
+    found = clusters.with_adaptive_cluster(spark.createDataFrame([("c", *r) for r in rows], "contig string, pos long, size long"), ["contig"])
+    assert sorted((r.pos, r.size, r.cluster) for r in found.collect()) == sorted((*r, own[0][0]) for own in plain_adaptive(sorted(rows)) for r in own)
 
 
 def dense_regions(marks, length, threshold=3):
@@ -127,7 +147,7 @@ def test_depth_regions(spark, seed, n, deep):
     rng = random.Random(seed)
     marks = [(a, min(a + rng.randrange(1, 60), 999)) for a in (rng.randrange(998) for _ in range(n))] + [(400, 400 + rng.randrange(10, 40)) for _ in range(deep)]
     frame = spark.createDataFrame([("c", a, b) for a, b in marks], "contig string, m_from long, m_to long")
-    found = intervals.depth_regions(intervals.depth_segments(frame, 100))
+    found = intervals.depth_regions(intervals.depth_segments(frame, 100), width=70)
     assert sorted((r.r_from, r.r_to, r.most) for r in found.collect()) == dense_regions(marks, 1000)
 
 

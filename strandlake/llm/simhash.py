@@ -10,6 +10,10 @@ other segment too, where an equal key alone proves the distance; either way a gr
 to the least member that it is linked to. Edges of all groups are joined to components. Exact copies share a fingerprint
 and enter as one.
 
+The pipeline's stage looks for near copies, not for near fingerprints: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. It takes fingerprints of those sets, eight segments and a radius of 15 bits (two sets of
+similarity 0.8 differ by 10 of 64 bits on average), and verifies each candidate on the exact sets.
+
 Defined results: a null or empty text has fingerprint 0 and is linked like any other; a null doc_id belongs to its
 component but is never its least id; repeated rows are all returned; an empty table gives an empty result.
 """
@@ -162,9 +166,164 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 3) -> DataFrame:
-    """docs with one row of each component: the one of its least doc_id (of repeated rows of that id, one)."""
-    found = grouped(docs, words).where("doc_id IS NOT DISTINCT FROM component_id")
+#: The stage's near copies: shingles of so many words, the least similarity, and the bits that may differ.
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 15
+#: Bits in which a second fingerprint may differ (10 on average at the least similarity, 3 of deviation): spares most exact comparisons.
+SECOND = 22
+#: Segments of the fingerprint: of two that differ by RADIUS bits at most, one segment differs by at most one bit.
+SEGMENTS = (RADIUS + 2) // 2
+WIDTH = 64 // SEGMENTS
+#: Rows of a key's group that are compared with the group at a time.
+BLOCK = 1024
+_PAIR = "a long, b long"
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def with_sets(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
+    """doc_id, the set's id and its two fingerprints, or with whole the set itself in their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                ids = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                if whole:
+                    rest = [pa.array([x.tobytes() for x in sets], pa.binary())]
+                else:
+                    rest = [pa.array(_set_fingerprints(x).view(np.int64)) for x in (sets, [_again(x) for x in sets])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), *rest], ["doc_id", "id", *(["shingles"] if whole else ["fp", "more"])])
+
+    rows = docs.select("doc_id", text_of().cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, id long, " + ("shingles binary" if whole else "fp long, more long"))
+
+
+def _again(x: np.ndarray) -> np.ndarray:
+    """The hashes, hashed once more."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit is set where over half of a set's hashes have it."""
+    out = np.zeros(len(sets), np.uint64)
+    for k, x in enumerate(sets):
+        if len(x):
+            bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[k] = np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(x), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _group_pairs(ids: np.ndarray, fps: np.ndarray, more: np.ndarray, roots: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a key's group that are near. Without roots, the first near one of each only; else all of unequal roots."""
+    for k in range(0, len(ids), BLOCK):
+        own = slice(k, k + BLOCK)
+        free = np.ones(len(ids[own]), bool)
+        for j in range(0, k + 1, BLOCK):
+            other = slice(j, j + BLOCK)
+            near = np.bitwise_count(fps[own, None] ^ fps[None, other]) <= RADIUS
+            if j == k:
+                near = np.tril(near, -1)
+            x, y = np.nonzero(near)
+            good = np.bitwise_count(more[own][x] ^ more[other][y]) <= SECOND
+            if roots is not None:
+                good &= roots[own][x] != roots[other][y]
+            x, y = x[good], y[good]
+            if roots is None:
+                x, at = np.unique(x, return_index=True)
+                x, y = x[free[x]], y[at][free[x]]
+                free[x] = False
+            if len(x):
+                yield ids[own][x], ids[other][y]
+
+
+def near_pairs(nodes: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) of ids whose fingerprints differ by RADIUS bits at most. nodes: id, fp, more, root.
+
+    With every, all pairs of unequal roots; else each node's pair with the first near one in each of its groups, so that
+    every node with a near one is in a pair, and a large group of near copies gives no more than a pair a member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            for a, b in zip(starts, [*starts[1:], rows.shape[1]], strict=True):
+                if b - a > 1:
+                    for x, y in _group_pairs(rows[1, a:b], rows[2, a:b].view(np.uint64), rows[3, a:b].view(np.uint64), rows[4, a:b] if every else None):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            last = np.searchsorted(rows[0], rows[0, -1])  # the last key's rows wait for the next batch
+            if kept and (last or kept[0][0, 0] != rows[0, -1]):
+                yield from made(np.concatenate([*kept, rows[:, :last]], axis=1))
+                kept = [rows[:, last:]]
+            elif last:
+                yield from made(rows[:, :last])
+                kept = [rows[:, last:]]
+            else:
+                kept.append(rows)
+        if kept:
+            yield from made(np.concatenate(kept, axis=1))
+
+    each = WIDTH + 1  # variants of a segment: each bit as a wildcard, and none
+    rows = nodes.select("id", "fp", "more", "root", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * each - 1))).alias("v"))
+    segment = F.expr(f"shiftrightunsigned(fp, {WIDTH} * (v div {each})) & {(1 << WIDTH) - 1}L")
+    key = F.expr(f"(CAST(v AS LONG) * 4294967296L) | (segment & CASE WHEN v % {each} = {WIDTH} THEN -1L ELSE ~shiftleft(1L, v % {each}) END)")
+    rows = rows.withColumn("segment", segment).select(key.alias("key"), "id", "fp", "more", "root")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, _PAIR).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sets' Jaccard similarity is at least `least`, counted exactly. sets: id, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            good = []
+            for p, q in zip(x, y, strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= least * max(1, len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[np.array(good, bool)]) for c in (a, b)], ["a", "b"])
+
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, _PAIR)
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id: components of the docs whose sets of shingles have a similarity of at least `least`.
+
+    Equal sets are one node. The first pairs are a few a node; verified, they join the large groups of near copies. Then
+    all near pairs that are not joined yet are verified too."""
+    rows = stored(with_sets(docs, words), "near-ids")
+    nodes = stored(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.min("doc_id").alias("least")), "near-nodes")
+    first = stored(near_pairs(nodes.select("id", "fp", "more", F.col("id").alias("root")), False), "near-first")
+    met = stored(first.select(F.col("a").alias("id")).union(first.select("b")).distinct().join(nodes, "id"), "near-met")
+    of = docs.alias("d").join(met.select("least").distinct().alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.least")), "left_semi")
+    sets = with_sets(of, words, whole=True).join(met.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+    sets = stored(sets, "near-sets")
+    good = stored(similar(first, sets, least), "near-good")
+    joined = met.join(components(good).withColumnRenamed("node", "id"), "id", "left").select("id", "fp", "more", F.coalesce("root", "id").alias("root"))
+    rest = stored(near_pairs(stored(joined, "near-joined"), True), "near-rest")
+    more = stored(similar(rest, sets, least), "near-more")
+    roots = components(good.union(more)).withColumnRenamed("node", "id")
+    by_root = stored(nodes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "near-roots")
+    ids = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(stored(by_root.join(ids, "root").select("id", "component_id"), "near-components"), "id").select("doc_id", "component_id")
+
+
+def _least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each component of found (doc_id, component_id): its least doc_id's (of repeated rows of that id, one)."""
+    found = found.where("doc_id IS NOT DISTINCT FROM component_id")
     ids = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
     # The ids grow with the input: merge-join at every size, never broadcast.
     kept = docs.alias("d").join(ids.alias("i").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))).select("d.*", "i.n")
@@ -172,4 +331,14 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int
     return kept.where("n = 1").select(*docs.columns).unionByName(many.select(*docs.columns))
 
 
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 3) -> DataFrame:
+    """docs with one row of each component of op7: near fingerprints only."""
+    return _least_of_each(docs, grouped(docs, words))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each component of near copies."""
+    return _least_of_each(docs, similar_groups(docs, words, least))
+
+
 QUERIES = {"op7_simhash": op7_simhash}

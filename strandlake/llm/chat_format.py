@@ -1,11 +1,12 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example of its own, all turns before it are
 its context, and only its reply is trainable.
 
-The context of an example is the whole of the example before it and the turns since. The examples are therefore kept as
-steps: a row holds the text that its example adds (the turns since the last reply, then the reply), where that text
-begins in the conversation, and the span of the reply. Turns after the last reply make a last row without a target, and so do very many turns without one. So
-the output grows with the input, not with the square of a conversation's turns; `expanded` writes any examples out with
-their whole contexts.
+The context of an example is the whole of the example before it and the turns since. `steps` cuts a conversation so: a
+row holds the text that its example adds (the turns since the last reply, then the reply), where that text begins in the
+conversation, and the span of the reply. Turns after the last reply make a last row without a target, and so do very
+many turns without one. `written` expands the steps to the examples: each has its whole context and its reply, in pieces
+of a step each, of which only the last has a span for the loss. So what is written grows with the square of a
+conversation's turns, but no task holds more than a piece at a time.
 
 Template: `<|im_start|>role`, a line break, the text, `<|im_end|>`, a line break. A control string in a text is escaped
 by one more backslash between `<` and `|`, which is undone by taking one away.
@@ -119,7 +120,7 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads steps, sorted by conversation and example, back to turns and losses; one row a conversation."""
+    """Reads pieces, sorted by conversation and place, back to turns (of those that are told) and losses; one row a conversation."""
     conv, begun = None, False
     n_turns = loss_chars = chars = 0
     turns, loss = hashlib.sha256(), hashlib.sha256()
@@ -136,14 +137,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names)
 
     for batch in batches:
-        for key, added, first, last in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "added", "loss_from", "loss_to")), strict=True):
+        for key, added, first, last, told in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "added", "loss_from", "loss_to", "told")), strict=True):
             if not begun or key != conv:
                 if begun:
                     end()
                 conv, begun, n_turns, loss_chars, chars = key, True, 0, 0, 0
                 turns, loss = hashlib.sha256(), hashlib.sha256()
-            chars += len(added)
-            for name, text in TURN.findall(added):
+            chars += len(added) if told else 0
+            for name, text in TURN.findall(added) if told else ():
                 n_turns += 1
                 turns.update(f"{role_of(name)}\n{unescape(text)}\n".encode())
             if first is not None:
@@ -158,7 +159,29 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(examples: DataFrame) -> DataFrame:
     rows = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
-    return rows.select("conv_id", "added", "loss_from", "loss_to").mapInArrow(_digest, DIGEST)
+    return rows.select("conv_id", "added", "loss_from", "loss_to", F.lit(True).alias("told")).mapInArrow(_digest, DIGEST)
+
+
+def written(examples: DataFrame) -> DataFrame:
+    """Stored steps to examples: conv_id, example, part, text, loss_from and loss_to (of the piece that has the reply), told.
+
+    An example with a target has a piece for each step up to its own. Steps after the last target follow as they are.
+    told: whether the piece is of a conversation's last example, or after it."""
+    targets = examples.where("loss_from IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("example").alias("_e"))
+    last = targets.groupBy("_c").agg(F.max("_e").alias("_last"))
+    ends = targets.join(last.withColumnRenamed("_c", "_d"), F.col("_c").eqNullSafe(F.col("_d"))).select("_c", "_e", (F.col("_e") == F.col("_last")).alias("told"))
+    own = F.col("example") == F.col("_e")
+    span = [F.when(own, F.col(c)).alias(c) for c in ("loss_from", "loss_to")]
+    whole = examples.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("example") <= F.col("_e")))
+    whole = whole.select("conv_id", F.col("_e").alias("example"), F.col("example").alias("part"), F.col("added").alias("text"), *span, "told")
+    rest = examples.where("loss_from IS NULL").join(last, F.col("conv_id").eqNullSafe(F.col("_c")), "left").where("_last IS NULL OR example > _last")
+    return whole.unionByName(rest.select("conv_id", "example", F.col("example").alias("part"), F.col("added").alias("text"), "loss_from", "loss_to", F.lit(True).alias("told")))
+
+
+def read_back(pieces: DataFrame) -> DataFrame:
+    """The digest of written examples: turns from each conversation's last example, each reply from its own example."""
+    rows = pieces.where("told OR loss_from IS NOT NULL").repartition("conv_id").sortWithinPartitions("conv_id", "part", "example")
+    return rows.select("conv_id", F.col("text").alias("added"), "loss_from", "loss_to", "told").mapInArrow(_digest, DIGEST)
 
 
 def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +189,7 @@ def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     more = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(said).alias("text"))
     both = turns.unionByName(more.withColumn("turn", F.col("turn").cast("long")))
-    return digest(stored(steps(both), "chat-steps"))
+    return read_back(stored(written(stored(steps(both), "chat-steps")), "chat-examples"))
 
 
 ORACLE_SQL = {

@@ -4,6 +4,8 @@ import random
 
 import corpus_pipeline
 
+from strandlake.llm import chat_format
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +48,27 @@ def test_near_copies_of_the_stage(spark):
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash near-duplicates"](spark, docs, SF).select("doc_id").collect()}
     assert true <= kept  # nothing goes without proof
     assert len(kept - true) <= 0.01 * (len(texts) - len(true))
+
+
+def test_written_examples(spark, monkeypatch):
+    """What op9 stores holds each reply's whole context, and the digest is read from that."""
+    rows = [(c, t, "assistant" if (c + t) % 3 == 0 else "user", f"c{c} t{t} <|x|>") for c in range(6) for t in range(8)] + [(9, 0, "user", "alone")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat_format, "table", lambda *_: turns)
+    kept = {}
+    monkeypatch.setattr(chat_format, "stored", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    out = {r.conv_id: r for r in chat_format.op9_prefix_targets(spark, SF).collect()}
+    pieces = sorted(kept["chat-examples"].where("conv_id >= 0").collect(), key=lambda r: (r.conv_id, r.example, r.part))
+    found = set()
+    for conv, example in {(r.conv_id, r.example) for r in pieces}:
+        own = [r for r in pieces if (r.conv_id, r.example) == (conv, example)]
+        if own[-1].loss_from is not None:
+            assert all(r.loss_from is None for r in own[:-1])
+            text = "".join(r.text for r in own)
+            end = len(text) - len(own[-1].text)
+            found.add((conv, text[: end + own[-1].loss_from], text[end + own[-1].loss_from : end + own[-1].loss_to]))
+    shown = lambda r: f"<|im_start|>{r[2]}\n{r[3]}<|im_end|>\n".replace("<|x|>", "<\\|x|>")
+    said = lambda r: r[3].replace("<|x|>", "<\\|x|>")
+    true = {(r[0], "".join(shown(x) for x in rows if x[0] == r[0] and x[1] < r[1]) + "<|im_start|>assistant\n", said(r)) for r in rows if r[2] == "assistant"}
+    assert found == true
+    assert out == {r.conv_id: r for r in chat_format.digest(kept["chat-steps"]).collect()}

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import held_out, table, text_of
 
 UND = "und"
+#: Words from which a text's evidence is judged by the plain limit.
+FULL = 50
 _LETTER: list[np.ndarray] = []
 
 
@@ -94,11 +96,11 @@ def proportions(log_lik: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, floa
     return pi, float(np.log(lik @ pi).sum() + top.sum())
 
 
-def infer(model: Model, text: str) -> tuple[str, float, list[tuple[str, float]]]:
-    """Predicted language, score, and the selected languages with their proportions."""
+def _inferred(model: Model, text: str) -> tuple[str, float, list[tuple[str, float]], float, int]:
+    """What infer gives, then the evidence (see there) and the number of words."""
     at, starts = trigrams(text, len(model.log_p))
     if not len(at) or not model.languages:
-        return UND, 0.0, []
+        return UND, 0.0, [], 0.0, 0
     log_lik = np.add.reduceat(model.log_p[at], starts, axis=0, dtype=np.float64)
     single = log_lik.sum(axis=0)
     best = int(single.argmax())
@@ -117,25 +119,36 @@ def infer(model: Model, text: str) -> tuple[str, float, list[tuple[str, float]]]
     first = int(pi.argmax())
     if len(chosen) > 1:
         score = float(pi[first])
-    return model.languages[chosen[first]], score, [(model.languages[k], float(p)) for k, p in zip(chosen, pi, strict=True)]
+    mixture = [(model.languages[k], float(p)) for k, p in zip(chosen, pi, strict=True)]
+    return model.languages[chosen[first]], score, mixture, fit / len(at) + float(np.log(len(model.log_p))), len(starts)
+
+
+def infer(model: Model, text: str) -> tuple[str, float, list[tuple[str, float]]]:
+    """Predicted language, score, and the selected languages with their proportions."""
+    return _inferred(model, text)[:3]
 
 
 INFERRED = "lang_pred string, score double, languages array<struct<lang:string,share:double>>"
+#: evidence: a text's log-likelihood by its mixture over that of evenly likely trigrams, for each of its trigrams.
+PROVED = f"{INFERRED}, evidence double, n_found int"
 _KIND = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and languages (of these names, only the new columns)."""
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
+def identified(docs: DataFrame, model: Model, proved: bool = False) -> DataFrame:
+    """docs with lang_pred, score and languages, with proved also evidence and n_found, the number of words (of these names, only the new columns)."""
+    columns = [t.split(" ", 1) for t in (PROVED if proved else INFERRED).split(", ")]
+    rest = [c for c in docs.columns if c not in [name for name, _ in columns]]
     names = [*rest, "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [infer(model, t) for t in batch.column(len(rest)).to_pylist()]
+            found = [_inferred(model, t) for t in batch.column(len(rest)).to_pylist()]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([[{"lang": a, "share": p} for a, p in x[2]] for x in found], _KIND)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *more], [*rest, "lang_pred", "score", "languages"])
+            if proved:
+                more += [pa.array([x[3] for x in found], pa.float64()), pa.array([x[4] for x in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *more], [*rest, *[name for name, _ in columns]])
 
-    schema = docs.select(*rest).limit(0).select("*", *[F.lit(None).cast(t.split(" ", 1)[1]).alias(t.split(" ", 1)[0]) for t in INFERRED.split(", ")]).schema
+    schema = docs.select(*rest).limit(0).select("*", *[F.lit(None).cast(t).alias(name) for name, t in columns]).schema
     return docs.select(*rest, text_of().alias(names[-1])).mapInArrow(run, schema)
 
 
@@ -147,11 +160,28 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.array_join(own, " ").alias("mixture"))
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """docs of a known language that has at least `least` of the text. The models are fitted on the whole table."""
-    model = fit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    out = identified(docs, model)
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
+def evidence_limits(docs: DataFrame, model: Model, sample: int = 10_000, quantile: float = 0.001) -> tuple[float, float]:
+    """Of the evidence of learned texts of FULL words or more: the median, and twice as far below it as the quantile is."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull())
+    share = min(1.0, sample / max(1, docs.where("lang IS NOT NULL").count()))
+    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < round(share * 1_000_000))
+    rows = identified(some.select("doc_id", "text"), model, proved=True).where(F.col("n_found") >= FULL)
+    median, low = rows.agg(F.percentile_approx("evidence", F.array(F.lit(0.5), F.lit(quantile)))).first()[0] or (0.0, -np.inf)
+    return median, 2 * low - median
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3, main: float = 0.5) -> DataFrame:
+    """docs of a known language that has at least `least` of the score and `main` of the text, and whose evidence is no less
+    than that of learned texts; shorter texts than FULL words vary more and have a wider limit. The models are fitted on
+    the whole table."""
+    whole = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(whole)
+    median, low = evidence_limits(whole, model)
+    out = identified(docs, model, proved=True)
+    limit = F.lit(median) - F.lit(median - low) * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL) / F.col("n_found")))
+    share = F.array_max(F.transform("languages", lambda x: x["share"]))
+    out = out.where((F.col("lang_pred") != UND) & (F.col("score") >= least) & (share >= main) & (F.col("evidence") >= limit))
+    return out.select(*docs.columns)
 
 
 QUERIES = {"op3_language_id": op3_language_id}

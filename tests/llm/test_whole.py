@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from strandlake.llm import chat_format
+from strandlake.llm import chat_format, language_id
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,18 @@ def test_written_examples(spark, monkeypatch):
     true = {(r[0], "".join(shown(x) for x in rows if x[0] == r[0] and x[1] < r[1]) + "<|im_start|>assistant\n", said(r)) for r in rows if r[2] == "assistant"}
     assert found == true
     assert out == {r.conv_id: r for r in chat_format.digest(kept["chat-steps"]).collect()}
+
+
+def test_language_stage_rejects(spark):
+    """Gibberish, a language never learned, half garbled and evenly mixed texts go; clean ones stay."""
+    rng = random.Random(8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = docs.where("lang IS NOT NULL AND n_chars > 400").collect()
+    own = {k: next(r.text for r in clean if r.lang == k and r.n_chars > 1500).split() for k in ("de", "en", "es")}
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(120)]
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    planted = [" ".join(noise), finnish * 3, " ".join(own["de"][:60] + noise[:60]), " ".join(own["de"][:80] + own["en"][:60] + own["es"][:60])]
+    more = spark.createDataFrame([(-1 - k, t, "en", "s", len(t)) for k, t in enumerate(planted)], docs.schema)
+    kept = {r.doc_id for r in language_id.language_stage(spark, docs.unionByName(more), SF).select("doc_id").collect()}
+    assert not {-1, -2, -3, -4} & kept
+    assert len({r.doc_id for r in clean} - kept) <= 0.01 * len(clean)

@@ -1,9 +1,9 @@
 """URL filters: a tree of path templates for each host, built from counts, with smoothed labelled purity.
 
 Paths are counted by host and segments; a segment that holds a digit is a wildcard at once, so a path table is far
-smaller than the pages. Then, from the top of each host's tree down, the branches below a node are compared: where a
-node has more than `fanout` branches, rare ones become the wildcard; and a branch whose labelled purity does not differ
-from that of all its siblings together by more than `z` standard errors is merged into the wildcard. What is left are
+smaller than the pages. Then, from the top of each host's tree down to its last segments, the branches below a node are
+compared: a branch whose labelled purity does not differ from that of all its siblings together by more than `z` standard
+errors is merged into the wildcard, one that differs is kept however rare it is. What is left are
 templates such as `/en/*`. A template's purity is its share of good labelled pages, smoothed towards its host's, which
 is smoothed towards the share of all; a page is blocked where it is under `least`.
 
@@ -17,6 +17,7 @@ and repeated rows are judged alike; an empty table gives an empty result; withou
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,27 +61,34 @@ def parsed(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
     return out.withColumns({"ruled": ruled, "key": key})
 
 
-def grow_tree(paths: DataFrame, depth: int = 4, fanout: int = 16, rare: float = 0.01, z: float = 1.96) -> DataFrame:
-    """paths (host, key, n, labelled, good) with template. Segments beyond depth are one wildcard tail."""
-    tree = paths.withColumn("template", F.lit(""))
-    for level in range(depth):
-        segment = F.get(F.split("key", "/"), F.lit(level))
-        tree = tree.withColumn("segment", F.when(F.col("key") == "", END).otherwise(F.coalesce(segment, F.lit(END))))
-        branches = tree.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")])
-        branches = stored(branches, f"url-level{level}")
-        nodes = branches.groupBy("host", "template").agg(F.count("*").alias("fan"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good")])
-        both = branches.join(nodes, ["host", "template"])
+def grow_tree(paths: DataFrame, z: float = 1.96) -> DataFrame:
+    """paths (host, key, n, labelled, good) with template. Levels go on until no node that could have branches is left."""
+    counts, active, done = ("n", "labelled", "good"), paths.withColumn("template", F.lit("")), []
+    size = F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", "/")))
+    for level in count():
+        nodes = active.groupBy("host", "template").agg(F.count("*").alias("keys"), *[F.sum(c).alias(f"all_{c}") for c in counts])
+        # Where labels are all alike, or there is one key, no branch below can differ: all that is left are wildcards.
+        mixed = (F.col("keys") > 1) & (F.col("all_good") > 0) & (F.col("all_good") < F.col("all_labelled"))
+        nodes = nodes.select("host", "template", mixed.alias("mixed"), *[f"all_{c}" for c in counts])
+        active = stored(active.join(nodes, ["host", "template"]), f"url-level{level}")
+        tail = F.repeat(F.lit("/" + ANY), F.greatest(size - level, F.lit(0)))
+        done.append(active.where("NOT mixed").select(*paths.columns, F.concat("template", tail).alias("template")))
+        active = active.where("mixed").drop("mixed")
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        segment = F.when(F.col("key") == "", END).otherwise(F.coalesce(F.get(F.split("key", "/"), F.lit(level)), F.lit(END)))
+        active = active.withColumn("segment", segment)
+        every = [f"all_{c}" for c in counts]
+        both = active.groupBy("host", "template", "segment", *every).agg(*[F.sum(c).alias(c) for c in counts])
         others, pooled = F.col("all_labelled") - F.col("labelled"), (F.col("all_good") + 1) / (F.col("all_labelled") + 2)
         gap = F.try_divide(F.col("good"), F.col("labelled")) - F.try_divide(F.col("all_good") - F.col("good"), others)
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), others)))
         differs = F.coalesce(F.abs(gap) > z * error, F.lit(False))
-        few = (F.col("fan") > fanout) & (F.col("n") < rare * F.col("all_n"))
-        branch = F.when(F.col("segment") == END, END).when(few | ~differs, ANY).otherwise(F.col("segment"))
+        branch = F.when(F.col("segment") == END, END).when(~differs, ANY).otherwise(F.col("segment"))
         names = both.select("host", "template", "segment", branch.alias("branch"))
-        tree = tree.join(names, ["host", "template", "segment"])
-        tree = tree.withColumn("template", F.when(F.col("branch") == END, F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch"))).drop("branch", "segment")
-    more = F.size(F.split("key", "/")) > depth
-    return tree.withColumn("template", F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        active = stored(active.drop(*every).join(names, ["host", "template", "segment"]), f"url-branches{level}")
+        done.append(active.where(F.col("branch") == END).select(*paths.columns, "template"))
+        active = active.where(F.col("branch") != END).select(*paths.columns, F.concat("template", F.lit("/"), "branch").alias("template"))
 
 
 def purity(tree: DataFrame, strength: float = 10.0) -> DataFrame:

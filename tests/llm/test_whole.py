@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from strandlake.llm import chat_format, language_id
+from strandlake.llm import chat_format, language_id, url_templates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -87,3 +87,16 @@ def test_language_stage_rejects(spark):
     kept = {r.doc_id for r in language_id.language_stage(spark, docs.unionByName(more), SF).select("doc_id").collect()}
     assert not {-1, -2, -3, -4} & kept
     assert len({r.doc_id for r in clean} - kept) <= 0.01 * len(clean)
+
+
+def test_rare_and_deep_sections(spark):
+    """A bad section under 1% of a host with many sections, and one that differs in the sixth segment only, are blocked."""
+    urls = [(f"http://hot.org/s{chr(97 + k % 20)}/item{k}", 1) for k in range(6000)]
+    urls += [(f"http://hot.org/casino/item{k}", 0) for k in range(50)]
+    urls += [(f"http://deep.org/a/b/c/d/e/{('fine', 'fine', 'fine', 'spam')[k % 4]}/item{k}", int(k % 4 < 3)) for k in range(200)]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id long, url string")
+    good = spark.createDataFrame([(k, g) for k, (_, g) in enumerate(urls)], "page_id long, good int")
+    out = url_templates.judge(pages, good).collect()
+    assert len(out) == len(urls)
+    assert all(r.verdict == ("allow" if urls[r.page_id][1] else "block") for r in out)
+    assert {r.template for r in out if r.verdict == "block"} == {"/casino/*", "/*/*/*/*/*/spam/*"}

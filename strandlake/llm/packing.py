@@ -6,12 +6,13 @@ window of its tier; the gap is filled with the largest remainders of shorter tie
 smallest one, whose rest goes back to its tier. So windows are full. The one that is open when a partition ends is cut
 into full windows of shorter tiers, and at most `tail` - 1 tokens of a partition stand in a window that is not full.
 
-Windows of a tier are dealt to step groups in slots of `longest` tokens, `slots` to a group, so that every group holds
-as many tokens, and a slot has windows of one size. All happens within the partitions that the input has, in one pass
-without a shuffle: a task keeps the remainders of some batches of texts.
+Windows of a tier are dealt to step groups in slots of `longest` tokens, `slots` to a group, and a slot has windows of
+one size: all groups of a partition hold as many tokens but its last one. All happens within the partitions that the
+input has, in one pass without a shuffle: a task keeps the remainders of some batches of texts.
 
-Defined results: a null text counts as empty, and an empty text is its end id; repeated rows are packed each; an empty
-table gives no pieces.
+Defined results: a null text counts as empty, and an empty text is its end id; repeated rows, tied ids and null ids are
+packed row by row; a text of any length is cut into as many windows as it fills (one text and its ids are in memory at a
+time); further columns are not read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -153,6 +154,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all docs, as op8 gives them."""
     return pieces(docs)
 
 

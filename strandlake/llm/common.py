@@ -40,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or at
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, if it is there."""
     try:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
@@ -51,16 +52,24 @@ def _remove(spark: SparkSession, path: str) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder, removed when the program ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    return stored_at(df, fresh_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_key(text: str = "text") -> tuple[Column, Column]:
+    """What tells rows apart that may share a doc_id or have none: the id, and a hash of the text (null as empty). Rows
+    that are equal in both are copies of each other."""
+    return F.col("doc_id").alias("k_id"), F.xxhash64(text_of(text)).alias("k_text")
 
 
 def labels_of(labels: DataFrame, column: str) -> DataFrame:

@@ -7,32 +7,42 @@ bits. A pair with a segment equal meets under the plain key, one with a single d
 
 A group of a key is not expanded to pairs: small ones are compared at once, large ones by one or two wildcards in the
 other segment too, where an equal key alone proves the distance; either way a group gives at most one edge a member,
-to the least member that it is linked to. Edges of all groups are joined to components. Exact copies share a fingerprint
-and enter as one.
+to the least member that it is linked to. A group of over `MOST` fingerprints streams through its task and is not
+gathered there: its members meet again under two wildcards anywhere in the 64 bits, at most four to a key. Edges of all
+groups are joined to components. Exact copies share a fingerprint and enter as one.
 
 The pipeline's stage looks for near copies, not for near fingerprints: texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more. It takes fingerprints of those sets, eight segments and a radius of 15 bits (two sets of
-similarity 0.8 differ by 10 of 64 bits on average), and verifies each candidate on the exact sets.
+similarity of 0.8 or more. By the same method, fingerprints of those sets (of several times 64 bits) are cut into segments
+so that of two such sets one segment differs by at most one bit with a chance of `RECALL` at least (see `layout`), and
+each candidate is verified on the exact sets. First each set is paired with the first near one in each of its groups,
+which joins the large groups of near copies; then all near pairs that are not joined yet are verified, and groups that are
+all joined are left out.
 
 Defined results: a null or empty text has fingerprint 0 and is linked like any other; a null doc_id belongs to its
-component but is never its least id; repeated rows are all returned; an empty table gives an empty result.
+component but is never its least id; repeated rows are all returned, and tied ids are told apart by their texts; a text
+of any length is read whole (one text and its shingles' hashes are in memory at a time); further columns, of any name,
+aren't read, and the stages return them as they are; an empty table gives an empty result. Stages keep rows, not ids: of
+each component the row with the least doc_id (nulls last, ties by the text's hash), and of equal rows one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import row_key, stored, table, text_of
 from .components import components
 
-#: Members of a key's group up to which all of them are compared at once.
-SMALL = 512
+#: Members of a key's group up to which all of them are compared at once, and up to which they are in a task together.
+SMALL, MOST = 512, 1 << 16
+_PAIR = "a long, b long"
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> list[int]:
@@ -59,11 +69,11 @@ def fingerprints(texts: list[bytes], words: int) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp: the fingerprint as a signed number."""
+    """k_id, k_text (see row_key) and fp: the fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, some, size, out = batch.column(1).to_pylist(), [], 0, []
+            texts, some, size, out = batch.column(2).to_pylist(), [], 0, []
             for t in texts:
                 some.append(t)
                 size += len(t)
@@ -71,9 +81,37 @@ def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
                     out.append(fingerprints(some, words))
                     some, size = [], 0
             out.append(fingerprints(some, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(out).view(np.int64))], ["k_id", "k_text", "fp"])
+
+    return docs.select(*row_key(), text_of().cast("binary").alias("text")).mapInArrow(run, "k_id long, k_text long, fp long")
+
 
-    return docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+def by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Batches of numbers, sorted by the first, as arrays (column by row): runs of whole keys, or (with True) the next part
+    of a key that has over `most` rows. A key's rows may span batches."""
+    kept: list[np.ndarray] = []
+    large = None
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if large is not None:
+            end = np.searchsorted(rows[0], large, "right")
+            if end:
+                yield rows[:, :end], True
+            rows = rows[:, end:]
+        if not rows.shape[1]:
+            continue
+        large = None
+        last = np.searchsorted(rows[0], rows[0, -1])  # the last key's rows wait for the next batch
+        if last or (kept and kept[0][0, 0] != rows[0, -1]):
+            yield np.concatenate([*kept, rows[:, :last]], axis=1), False
+            kept = []
+        kept.append(rows[:, last:])
+        if sum(x.shape[1] for x in kept) > most:
+            large = kept[0][0, 0]
+            yield np.concatenate(kept, axis=1), True
+            kept = []
+    if kept:
+        yield np.concatenate(kept, axis=1), False
 
 
 def _joined_labels(keys: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -110,12 +148,14 @@ def linked(fps: np.ndarray, variant: int) -> np.ndarray:
         labels = new
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by both to edges; a key's rows may span batches."""
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def made(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+def _edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by both to edges; a member of a key with over `most` rows as (fp, null)."""
+    for rows, large in by_key(batches, most):
+        keys, fps = rows[0], rows[1].view(np.uint64)
+        if large:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(keys), pa.int64())], ["a", "b"])
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         two = starts[sizes == 2]
         two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= 2]
@@ -126,56 +166,76 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             moved = to != np.arange(size)
             a.append(own[moved])
             b.append(own[to[moved]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    for batch in batches:
-        keys, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(keys):
-            continue
-        kept.append((keys, fps.view(np.uint64)))
-        last = np.searchsorted(keys, keys[-1])  # the last key's rows wait for the next batch
-        if last or kept[0][0][0] != keys[-1]:
-            head = [*kept[:-1], (keys[:last], fps.view(np.uint64)[:last])]
-            yield made(*(np.concatenate(x) for x in zip(*head, strict=True)))
-            kept = [(keys[last:], fps.view(np.uint64)[last:])]
-    if kept:
-        yield made(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
+def _two_wildcards(fps: DataFrame) -> DataFrame:
+    """Edges of fingerprints at most two bits apart: they are equal but for two bits. A key has at most four."""
+    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i"))
+    rows = rows.select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
+    rest = F.expr("fp & ~(shiftleft(1L, i) | shiftleft(1L, j))").alias("rest")
+    four = rows.groupBy("i", "j", rest).agg(F.sort_array(F.collect_set("fp")).alias("x")).where(F.size("x") > 1)
+    return four.select(F.explode(F.slice("x", 2, 3)).alias("a"), F.col("x")[0].alias("b"))
 
-def links(fps: DataFrame) -> DataFrame:
+
+def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """Edges (a, b) that join all distinct fingerprints (fp) at most two bits apart."""
     rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("v"))
     segment = F.expr("shiftrightunsigned(fp, 32 * (v div 33)) & 4294967295L")
     key = F.expr("(CAST(v AS LONG) * 4294967296L) | (segment & CASE WHEN v % 33 = 32 THEN 4294967295L ELSE ~shiftleft(1L, v % 33) END)")
     rows = rows.withColumn("segment", segment).select(key.alias("key"), "fp")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_edges, "a long, b long")
+    found = stored(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda b: _edges(b, most), _PAIR), "simhash-edges")
+    return found.where("b IS NOT NULL").unionByName(_two_wildcards(found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()))
 
 
 def grouped(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp, component_id of all docs."""
+    """k_id (the doc_id), k_text, fp, root and component_id of all docs. root is any number of the component."""
     fps = stored(with_fingerprint(docs, words), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = fps.groupBy("fp").agg(F.min("k_id").alias("least"))
     roots = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
     by_root = stored(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
     ids = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(stored(by_root.join(ids, "root").select("fp", "component_id"), "simhash-ids"), "fp")
+    return fps.join(stored(by_root.join(ids, "root").select("fp", "root", "component_id"), "simhash-ids"), "fp")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = grouped(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: The stage's near copies: shingles of so many words, the least similarity, and the bits that may differ.
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 15
-#: Bits in which a second fingerprint may differ (10 on average at the least similarity, 3 of deviation): spares most exact comparisons.
-SECOND = 22
-#: Segments of the fingerprint: of two that differ by RADIUS bits at most, one segment differs by at most one bit.
-SEGMENTS = (RADIUS + 2) // 2
-WIDTH = 64 // SEGMENTS
-#: Rows of a key's group that are compared with the group at a time.
-BLOCK = 1024
-_PAIR = "a long, b long"
+    return out.select(F.col("k_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The stage's near copies: shingles of so many words, the least similarity, and the least chance that a pair of it meets.
+WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
+#: Standard deviations above the mean of differing bits up to which a pair is verified on its sets.
+DEVIATIONS = 3.5
+#: Rows of a key's group that are compared with the group at a time, and rows of a group in a task.
+BLOCK, TILE = 1024, 1 << 16
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Of the fingerprints of n sets: the width and number of segments, 64-bit words, and the bits that may differ."""
+
+    width: int
+    segments: int
+    words: int
+    bits: int
+
+    @property
+    def variants(self) -> int:
+        """Keys of a segment: with each bit as a wildcard, and with none."""
+        return self.width + 1
+
+
+def layout(n: int, least: float = SIMILARITY, recall: float = RECALL) -> Layout:
+    """A bit of two sets differs with a chance that follows from their similarity (the angle of their vectors). Segments
+    are as wide as keeps the groups of a key from growing with n; their number follows from the width and the recall, so
+    a set's keys grow like a power of n (0.24 without wildcards), and not the comparisons of a key."""
+    differ = math.acos(2 * least / (1 + least)) / math.pi
+    width = max(12, math.ceil(math.log2(max(n, 1))) - 8)
+    one = (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
+    segments = math.ceil(math.log(1 - recall) / math.log(1 - one))
+    words = math.ceil(segments / (64 // width))
+    return Layout(width, segments, words, math.floor(64 * words * differ + DEVIATIONS * math.sqrt(64 * words * differ * (1 - differ))))
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -183,22 +243,24 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
-def with_sets(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
-    """doc_id, the set's id and its two fingerprints, or with whole the set itself in their place."""
+def with_sets(docs: DataFrame, words: int, n_fps: int) -> DataFrame:
+    """k_id, k_text, the set's id and n_fps fingerprints (fp0, ...), or with none the set itself."""
+    names = ["k_id", "k_text", "id", *([f"fp{k}" for k in range(n_fps)] or ["shingles"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, words) for t in part.column(2).to_pylist()]
                 ids = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                if whole:
-                    rest = [pa.array([x.tobytes() for x in sets], pa.binary())]
-                else:
-                    rest = [pa.array(_set_fingerprints(x).view(np.int64)) for x in (sets, [_again(x) for x in sets])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), *rest], ["doc_id", "id", *(["shingles"] if whole else ["fp", "more"])])
+                rest = [] if n_fps else [pa.array([x.tobytes() for x in sets], pa.binary())]
+                again = sets
+                for _ in range(n_fps):
+                    rest.append(pa.array(_set_fingerprints(again).view(np.int64)))
+                    again = [_again(x) for x in again]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids), *rest], names)
 
-    rows = docs.select("doc_id", text_of().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, id long, " + ("shingles binary" if whole else "fp long, more long"))
+    schema = ", ".join(f"{c} {'binary' if c == 'shingles' else 'long'}" for c in names)
+    return docs.select(*row_key(), text_of().cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def _again(x: np.ndarray) -> np.ndarray:
@@ -218,67 +280,112 @@ def _set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _group_pairs(ids: np.ndarray, fps: np.ndarray, more: np.ndarray, roots: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of a key's group that are near. Without roots, the first near one of each only; else all of unequal roots."""
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and b (fingerprint by row) that differ by at most `most` bits."""
+    x, y = np.nonzero(np.bitwise_count(a[0][:, None] ^ b[0][None, :]) <= min(most, 22))  # of 64 bits, 10 differ at SIMILARITY on average, with a deviation of 3
+    bits = sum(np.bitwise_count(p[x] ^ q[y]).astype(np.int32) for p, q in zip(a, b, strict=True))
+    good = bits <= most
+    return x[good], y[good]
+
+
+def _first_pairs(ids: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each row of a group, the pair with the first row above it that is near."""
     for k in range(0, len(ids), BLOCK):
-        own = slice(k, k + BLOCK)
-        free = np.ones(len(ids[own]), bool)
+        free = np.arange(k, min(k + BLOCK, len(ids)))
         for j in range(0, k + 1, BLOCK):
-            other = slice(j, j + BLOCK)
-            near = np.bitwise_count(fps[own, None] ^ fps[None, other]) <= RADIUS
-            if j == k:
-                near = np.tril(near, -1)
-            x, y = np.nonzero(near)
-            good = np.bitwise_count(more[own][x] ^ more[other][y]) <= SECOND
-            if roots is not None:
-                good &= roots[own][x] != roots[other][y]
-            x, y = x[good], y[good]
-            if roots is None:
-                x, at = np.unique(x, return_index=True)
-                x, y = x[free[x]], y[at][free[x]]
-                free[x] = False
+            x, y = _near(fps[:, free], fps[:, j : j + BLOCK], most)
+            x, y = free[x], y + j
+            x, y = x[y < x], y[y < x]
+            x, at = np.unique(x, return_index=True)
             if len(x):
-                yield ids[own][x], ids[other][y]
+                yield ids[x], ids[y[at]]
+                free = np.setdiff1d(free, x, assume_unique=True)
+            if not len(free):
+                break
+
+
+def _open_pairs(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, most: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of a group with unequal roots; with side, between rows of unequal sides only."""
+    order = np.argsort(roots, kind="stable")
+    ids, fps, roots, side = ids[order], fps[:, order], roots[order], None if side is None else side[order]
+    for k in range(0, len(ids), BLOCK):
+        for j in range(0, k + 1, BLOCK):
+            if roots[j] == roots[min(k + BLOCK, len(ids)) - 1]:
+                continue  # sorted: all of both blocks have one root
+            x, y = _near(fps[:, k : k + BLOCK], fps[:, j : j + BLOCK], most)
+            x, y = x + k, y + j
+            good = (y < x) & (roots[x] != roots[y])
+            if side is not None:
+                good &= side[x] != side[y]
+            if good.any():
+                yield ids[x[good]], ids[y[good]]
+
+
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for x, y in found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+
+def _groups(keys: np.ndarray) -> Iterator[slice]:
+    """The places of each key that has several rows."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(starts[1:], len(keys))
+    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        yield slice(a, b)
 
 
-def near_pairs(nodes: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b) of ids whose fingerprints differ by RADIUS bits at most. nodes: id, fp, more, root.
+def keyed(nodes: DataFrame, form: Layout) -> DataFrame:
+    """nodes (id, fp0, ..., further columns) with key: a row for each segment's variant."""
+    each, per = form.variants, 64 // form.width
+    fps = F.array(*[f"fp{k}" for k in range(form.words)])
+    rows = nodes.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(form.segments * each - 1)))).withColumn("fp", F.get(fps, F.expr(f"v div {each} div {per}")))
+    segment = F.expr(f"shiftrightunsigned(fp, {form.width} * (v div {each} % {per})) & {(1 << form.width) - 1}L")
+    key = F.expr(f"(CAST(v AS LONG) * 4294967296L) | (segment & CASE WHEN v % {each} = {form.width} THEN -1L ELSE ~shiftleft(1L, v % {each}) END)")
+    return rows.withColumn("segment", segment).select(key.alias("key"), *nodes.columns)
 
-    With every, all pairs of unequal roots; else each node's pair with the first near one in each of its groups, so that
-    every node with a near one is in a pair, and a large group of near copies gives no more than a pair a member."""
+
+def first_pairs(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
+    """Each node's pair (a, b) with the first near one in each of its groups: every node with a near one is in a pair, and
+    a group of near copies gives no more than a pair a member. A group of over `most` rows streams through its task in parts,
+    each compared with itself and the group's first BLOCK rows. nodes: id, fp0, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+        head = None
+        for rows, large in by_key(batches, most):
+            if large and head is not None and head[0, 0] == rows[0, 0]:
+                rows = np.concatenate([head, rows], axis=1)
+            elif large:
+                head = rows[:, :BLOCK]
+            for s in _groups(rows[0]):
+                yield from _pairs(_first_pairs(rows[1, s], rows[2:, s].view(np.uint64), form.bits))
 
-        def made(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-            for a, b in zip(starts, [*starts[1:], rows.shape[1]], strict=True):
-                if b - a > 1:
-                    for x, y in _group_pairs(rows[1, a:b], rows[2, a:b].view(np.uint64), rows[3, a:b].view(np.uint64), rows[4, a:b] if every else None):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+    rows = keyed(nodes, form)
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, _PAIR).where("a <> b").distinct()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            last = np.searchsorted(rows[0], rows[0, -1])  # the last key's rows wait for the next batch
-            if kept and (last or kept[0][0, 0] != rows[0, -1]):
-                yield from made(np.concatenate([*kept, rows[:, :last]], axis=1))
-                kept = [rows[:, last:]]
-            elif last:
-                yield from made(rows[:, :last])
-                kept = [rows[:, last:]]
-            else:
-                kept.append(rows)
-        if kept:
-            yield from made(np.concatenate(kept, axis=1))
-
-    each = WIDTH + 1  # variants of a segment: each bit as a wildcard, and none
-    rows = nodes.select("id", "fp", "more", "root", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * each - 1))).alias("v"))
-    segment = F.expr(f"shiftrightunsigned(fp, {WIDTH} * (v div {each})) & {(1 << WIDTH) - 1}L")
-    key = F.expr(f"(CAST(v AS LONG) * 4294967296L) | (segment & CASE WHEN v % {each} = {WIDTH} THEN -1L ELSE ~shiftleft(1L, v % {each}) END)")
-    rows = rows.withColumn("segment", segment).select(key.alias("key"), "id", "fp", "more", "root")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, _PAIR).distinct()
+
+def open_pairs(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
+    """All near pairs (a, b) of nodes (id, root, fp0, ...) with unequal roots. A group of one root is left out; one of over
+    `most` rows is dealt to sides, of which any two meet in a task of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in by_key(batches, 1 << 62):  # no group of over `most` rows comes here
+            for s in _groups(rows[0]):
+                yield from _pairs(_open_pairs(rows[1, s], rows[3:, s].view(np.uint64), rows[2, s], form.bits))
+
+    def tile(key: tuple, found: pa.Table) -> pa.Table:
+        low, high = (x.as_py() for x in key[1:])
+        ids, roots, side, *fps = (np.asarray(found.column(c)) for c in ("id", "root", "side", *names))
+        out = list(_open_pairs(ids, np.stack(fps).view(np.uint64), roots, form.bits, None if low == high else side))
+        return pa.Table.from_batches(_pairs(iter(out)), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    names = [f"fp{k}" for k in range(form.words)]
+    rows = keyed(nodes.select("id", "root", *names), form)
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rows = rows.join(groups.select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")), "key")
+    small = rows.where("parts = 1").select("key", "id", "root", *names).repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, _PAIR)
+    dealt = rows.where("parts > 1").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", "id", "root", "side", *names, F.least("side", "other").alias("t_low"), F.greatest("side", "other").alias("t_high"))
+    return small.unionByName(dealt.groupBy("key", "t_low", "t_high").applyInArrow(tile, _PAIR)).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -299,46 +406,54 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, _PAIR)
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id: components of the docs whose sets of shingles have a similarity of at least `least`.
+def _same_row() -> Column:
+    return F.expr("l.k_id <=> r.k_id AND l.k_text = r.k_text")
+
 
-    Equal sets are one node. The first pairs are a few a node; verified, they join the large groups of near copies. Then
-    all near pairs that are not joined yet are verified too."""
-    rows = stored(with_sets(docs, words), "near-ids")
-    nodes = stored(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.min("doc_id").alias("least")), "near-nodes")
-    first = stored(near_pairs(nodes.select("id", "fp", "more", F.col("id").alias("root")), False), "near-first")
+def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """k_id, k_text, root: components of the docs whose sets of shingles have a similarity of at least `least`. Equal sets
+    are one node."""
+    form = layout(docs.count(), least)
+    names = [f"fp{k}" for k in range(form.words)]
+    rows = stored(with_sets(docs, words, form.words), "near-ids")
+    row = F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")).alias("row")
+    nodes = stored(rows.groupBy("id").agg(row, *[F.first(c).alias(c) for c in names]), "near-nodes")
+    first = stored(first_pairs(nodes.select("id", *names), form), "near-first")
     met = stored(first.select(F.col("a").alias("id")).union(first.select("b")).distinct().join(nodes, "id"), "near-met")
-    of = docs.alias("d").join(met.select("least").distinct().alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.least")), "left_semi")
-    sets = with_sets(of, words, whole=True).join(met.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "shingles")
-    sets = stored(sets, "near-sets")
+    # The sets are made again from the one row of each node that is in a pair.
+    of = docs.select("doc_id", "text", *row_key()).alias("l").join(met.select("row.*").alias("r"), _same_row(), "left_semi")
+    sets = stored(with_sets(of, words, 0).dropDuplicates(["id"]).select("id", "shingles"), "near-sets")
     good = stored(similar(first, sets, least), "near-good")
-    joined = met.join(components(good).withColumnRenamed("node", "id"), "id", "left").select("id", "fp", "more", F.coalesce("root", "id").alias("root"))
-    rest = stored(near_pairs(stored(joined, "near-joined"), True), "near-rest")
+    joined = met.join(components(good).withColumnRenamed("node", "id"), "id", "left").select("id", *names, F.coalesce("root", "id").alias("root"))
+    rest = stored(open_pairs(stored(joined, "near-joined"), form), "near-rest")
     more = stored(similar(rest, sets, least), "near-more")
     roots = components(good.union(more)).withColumnRenamed("node", "id")
-    by_root = stored(nodes.join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "near-roots")
-    ids = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(stored(by_root.join(ids, "root").select("id", "component_id"), "near-components"), "id").select("doc_id", "component_id")
+    return rows.select("k_id", "k_text", "id").join(roots, "id", "left").select("k_id", "k_text", F.coalesce("root", "id").alias("root"))
+
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each component of found (k_id, k_text, root): see the module's defined results.
 
-def _least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with one row of each component of found (doc_id, component_id): its least doc_id's (of repeated rows of that id, one)."""
-    found = found.where("doc_id IS NOT DISTINCT FROM component_id")
-    ids = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
-    # The ids grow with the input: merge-join at every size, never broadcast.
-    kept = docs.alias("d").join(ids.alias("i").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))).select("d.*", "i.n")
-    many = kept.where("n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_k = 1")
-    return kept.where("n = 1").select(*docs.columns).unionByName(many.select(*docs.columns))
+    The rows that go, and those with equals, are joined to docs; all others pass."""
+    keys = stored(found.groupBy("root", "k_id", "k_text").agg(F.count("*").alias("n")), "near-keys")
+    row = F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")).alias("row")
+    kept = keys.groupBy("root").agg(row).select("row.k_id", "row.k_text", F.lit(True).alias("stays"))
+    marked = keys.alias("l").join(kept.alias("r"), _same_row(), "left").select("l.k_id", "l.k_text", "n", F.coalesce("r.stays", F.lit(False)).alias("stays"))
+    marked = stored(marked.where("n > 1 OR NOT stays").select("k_id", "k_text", "stays"), "near-marked")
+    rows = docs.select(F.struct("*").alias("row"), *row_key()).alias("l").join(marked.alias("r"), _same_row(), "left").select("row", "l.k_id", "l.k_text", "r.stays")
+    several = rows.where("stays").dropDuplicates(["k_id", "k_text"])
+    return rows.where("stays IS NULL").select("row.*").unionByName(several.select("row.*"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 3) -> DataFrame:
     """docs with one row of each component of op7: near fingerprints only."""
-    return _least_of_each(docs, grouped(docs, words))
+    return one_of_each(docs, grouped(docs, words).select("k_id", "k_text", "root"))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each component of near copies."""
-    return _least_of_each(docs, similar_groups(docs, words, least))
+    """docs with one row of each component of near copies. Null texts and ids, ties, repeated rows and further columns are
+    handled as the module defines; an empty table stays empty."""
+    return one_of_each(docs, similar_groups(docs, words, least))
 
 
 QUERIES = {"op7_simhash": op7_simhash}

@@ -99,23 +99,45 @@ def test_language(spark):
 
 def test_mixing(spark):
     rng = random.Random(3)
-    rows = [(k, "w " * rng.randrange(60), "en", rng.choice(["a", "b", "c", None]), 0) for k in range(400)] + [(900 + k, "x " * 40, "en", "hot", 0) for k in range(200)]
+    rows = [(k, "w " * rng.randrange(60), "en", rng.choice(["a", "b", "c", None]), 0) for k in range(400)] + [(900 + k, "x " * 400, "en", "hot", 0) for k in range(200)]
     docs = odd_docs(spark, rows).drop("lang")
-    sized = docs.select("doc_id", "source", mixing.n_words().alias("size"))
-    shared = mixing.shares(sized, mixing.source_targets(sized)).collect()
+    shared = mixing.mixed(docs.withColumns({"place": F.lit(1), "target": F.lit("x"), "start": F.lit(0)})).collect()
     assert len(shared) == len(rows) + 8
     taken, target, full = Counter(), {}, Counter()
     for r in shared:
-        assert sum(r.served) <= 3 * r["size"]
+        assert len(r.served) == 3 and all(0 <= x <= r["size"] for x in r.served)
         taken[r.source] += sum(r.served)
         full[r.source] += r["size"]
         target[r.source] = r.target
-    assert all(abs(taken[s] - target[s]) < 1 and target[s] <= 3 * full[s] for s in target)
-    assert abs(sum(target.values()) - sum(full.values())) < 1
+    assert sum(taken.values()) == sum(full.values())  # the budget, to the word
+    assert all(abs(taken[s] - target[s]) <= 2 * mixing.PACKET and target[s] <= 3 * full[s] for s in target)
+    again = mixing.mixed(docs.repartition(7)).collect()
+    assert Counter(map(str, again)) == Counter(map(str, shared))
     mix = mixing.mixing_stage(spark, odd_docs(spark, rows), SF)
     assert mix.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sum(len(words(r.text)) for r in mix.collect()) == sum(taken.values())
-    assert mixing.source_targets(sized.limit(0)).count() == 0
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_mixing_is_the_queue(spark):
+    """Packets one by one: the served words are those of the first packets by finish time, and no others."""
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(rng.choice([None, 1, k]), "w " * rng.choice([1, 50, 200]) + str(k), "en", rng.choice("ab"), 0) for k in range(300)], DOCS)
+    shared = mixing.mixed(docs).collect()
+    queue = []
+    for k, r in enumerate(shared):
+        for copy in range(3):
+            for first in range(0, r["size"], mixing.PACKET):
+                n = min(mixing.PACKET, r["size"] - first)
+                queue.append(((copy * r.source_size + r.start + first + n) / r.target, r.source, copy, r.start, n, k))
+    left, plain = sum(r["size"] for r in shared), Counter()
+    for *_, n, k in sorted(queue):
+        plain[k] += min(n, left)
+        left -= min(n, left)
+    assert [sum(r.served) for r in shared] == [plain[k] for k in range(len(shared))]
+    for source in "ab":  # the line has no gap
+        own = sorted((r.start, r["size"]) for r in shared if r.source == source)
+        assert all(x[0] + x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
 
 
 def tokenizer(name):
@@ -191,7 +213,7 @@ def test_simhash(spark):
     rows = docs.collect()
     out = simhash.grouped(docs).collect()
     fps = {(r.doc_id, plain_fingerprint(r.text)) for r in rows}
-    assert {(r.doc_id, r.fp % 2**64) for r in out} == fps and len(out) == len(rows)
+    assert {(r.k_id, r.fp % 2**64) for r in out} == fps and len(out) == len(rows)
     for seed, size in ((1, 300), (2, 900)):  # both ways of comparing a group
         g = np.random.default_rng(seed)
         own = np.unique(np.array([x ^ (1 << int(g.integers(64))) for x in g.integers(0, 2**62, size // 3).tolist() for _ in range(3)] + [1 << k for k in range(40)] + [0], np.uint64))
@@ -208,7 +230,66 @@ def test_simhash(spark):
         mine = Counter(tuple(sorted(x)) for x in _groups({int(s): roots.get(int(s), int(s)) for s in signed}))
         assert mine == Counter(tuple(sorted(x)) for x in _groups({int(s): int(c) for s, c in zip(signed, label, strict=True)}))
     kept = simhash.simhash_stage(spark, docs, SF)
-    assert kept.columns == docs.columns and kept.count() == len({r.component_id for r in out})
+    assert kept.columns == docs.columns and kept.count() == len({r.root for r in out})
+
+
+def test_op7_components(spark):
+    """component_id of whole documents by all pairs of plain fingerprints."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    fps = [plain_fingerprint(r.text) for r in rows]
+    least = {k: r.doc_id for k, r in enumerate(rows)}
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    while True:
+        before = dict(least)
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    out = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op7_simhash(spark, SF).collect()}
+    assert out == {r.doc_id: (f"{fps[k]:016x}", least[k]) for k, r in enumerate(rows)}
+
+
+def test_key_of_too_many_members(spark):
+    """Members of a key over the limit leave the task and are linked by two wildcards."""
+    g = np.random.default_rng(5)
+    low = g.integers(0, 2**32, 120, np.uint64)
+    own = np.unique(np.concatenate([low, low ^ np.uint64(1), low ^ np.uint64(6), low ^ np.uint64(3 << 40)]))
+    fps = spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "fp long")
+    one, two = ({r.node: r.root for r in components(simhash.links(fps, most)).collect()} for most in (10_000, 50))
+    assert one == two and len(one) >= 240
+
+
+@pytest.mark.parametrize("stage", [simhash.near_copies_stage, simhash.simhash_stage])
+def test_stage_keeps_rows(spark, stage):
+    """Repeated and null ids: a row goes only if one that resembles it stays."""
+    rng = random.Random(11)
+    text = {c: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)) for c in "abcxypk"}
+    rows = [(3, "b"), (7, "a"), (7, "b"), (9, "a"), (9, "c"), (None, "x"), (None, "y"), (30, "p"), (30, "k"), (30, "k"), (30, "k")]
+    docs = spark.createDataFrame([(i, text[c], "en", "s", 0) for i, c in rows], DOCS).withColumns({c: F.lit(c) for c in ("n", "k_id", "root", "row", "stays", "id")})
+    kept = stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    back = {v: k for k, v in text.items()}
+    assert Counter((r.doc_id, back[r.text]) for r in kept.collect()) == Counter([(3, "b"), (7, "a"), (9, "c"), (None, "x"), (None, "y"), (30, "p"), (30, "k")])
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 40])
+def test_near_pairs_of_large_groups(spark, tile):
+    """Dealing a key's rows to tiles gives the pairs of the whole group."""
+    g = np.random.default_rng(9)
+    form = simhash.layout(1000)
+    fps = g.integers(-(2**62), 2**62, (3, form.words))
+    rows = []
+    for k in range(300):
+        flip = [int(np.bitwise_xor.reduce([0, *(1 << int(b) for b in g.integers(0, 62, 4))])) for _ in range(form.words)]
+        rows.append((k, k % 7, *[int(x) ^ f for x, f in zip(fps[k % 3], flip, strict=True)]))
+    nodes = spark.createDataFrame(rows, "id long, root long, " + ", ".join(f"fp{k} long" for k in range(form.words)))
+    found = {tuple(r) for r in simhash.open_pairs(nodes, form, tile).collect()}
+    near = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x[2:], y[2:], strict=True)) <= form.bits
+    true = {(x[0], y[0]) for x in rows for y in rows if x[0] > y[0] and x[1] != y[1] and near(x, y)}
+    assert found <= true and len(found) >= 0.99 * len(true) > 0
+    in_pair = {x for r in simhash.first_pairs(nodes.drop("root"), form, tile).collect() for x in r}
+    assert len(in_pair) >= 0.99 * len({x for p in true for x in p})
 
 
 def _groups(root):

@@ -56,7 +56,7 @@ def test_written_examples(spark, monkeypatch):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     monkeypatch.setattr(chat_format, "table", lambda *_: turns)
     kept = {}
-    monkeypatch.setattr(chat_format, "stored", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    monkeypatch.setattr(chat_format, "stored", lambda df, name: kept.setdefault(name, df.checkpoint()))
     out = {r.conv_id: r for r in chat_format.op9_prefix_targets(spark, SF).collect()}
     pieces = sorted(kept["chat-examples"].where("conv_id >= 0").collect(), key=lambda r: (r.conv_id, r.example, r.part))
     found = set()

@@ -5,9 +5,15 @@ repeated 3-word windows), and the counts become ratios. Learning reads labelled
 counted by cell once, and every step of growing or pruning a rule is one aggregation of that table of counts. What
 reaches the driver is a table of (feature, cut) counts, whose size doesn't depend on the data.
 
-Defined results: a null text counts as empty; an empty text has no words and fails the base rules; repeated rows are
-judged alike; an empty table gives an empty result, and without labels no rule is learned. Other columns of the input
-pass through (a column with the name of a computed one is replaced).
+Rules and their conditions are as many as the labels support: growing ends without gain, learning ends with the first
+rule that isn't precise enough. A rule is pruned by its share of bad rows less that of good ones on the pruning rows, and
+judged by its smoothed precision on all labelled rows and by none of the pruning rows speaking against it more than
+that, so a faultless rule passes on few labels.
+
+Defined results: a null text counts as empty; an empty text has no words and fails the base rules; repeated and tied rows
+are judged alike; a text of any length is counted whole (its words and their hashes are in memory at a time); an empty
+table gives an empty result, and without labels no rule is learned. Other columns of the input pass through (a column
+with the name of a computed one is replaced; the stage returns all columns of its input, whatever their names).
 """
 
 from __future__ import annotations
@@ -93,20 +99,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def learn(
-    labelled: DataFrame,
-    *,
-    n_cuts: int = 32,
-    max_rules: int = 12,
-    max_conditions: int = 3,
-    min_covered: int = 5,
-    min_precision: float = 0.9,
-) -> list[Rule]:
+def learn(labelled: DataFrame, *, n_cuts: int = 32, min_covered: int = 2, min_precision: float = 0.9) -> list[Rule]:
     """Rules for label 0, in order, from rows of RATIOS, label and grow (whether a row is for growing or pruning).
 
     A rule is grown one threshold at a time by information gain, cut back to the prefix that does best on the pruning
-    rows, and accepted if its smoothed precision there is at least min_precision; then what it covers is taken out.
-    """
+    rows, and accepted if it is precise enough; then what it covers is taken out."""
     names = list(RATIOS)
     at = [(k + 0.5) / n_cuts for k in range(n_cuts)]
     found = labelled.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in names]).first()
@@ -130,38 +127,45 @@ def learn(
             out = out & (F.col(name) > k if above else F.col(name) <= k)
         return out
 
-    while len(rules) < max_rules:
+    while True:
         left = cells
         for r in rules:
             left = left.where(~holds(r))
         rule: list[tuple[str, bool, int]] = []
-        while len(rule) < max_conditions:
+        while True:
             pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("cell")) for c in names])).alias("x")
             rows = left.where("grow").where(holds(rule)).select(pairs, "bad", "good").groupBy("x.name", "x.cell").agg(F.sum("bad"), F.sum("good")).collect()
-            best = _best(rows, cuts, min_covered)
+            best = best_threshold(rows, cuts, min_covered)
             if best is None:
                 break
-            rule.append(best[1])
-            if best[2] >= 0.98:
-                break
+            rule.append(best)
         if not rule:
             break
-        sums = [F.sum(F.when(holds(rule[:k]), F.col(c)).otherwise(0)) for k in range(1, len(rule) + 1) for c in ("bad", "good")]
-        row = left.where(~F.col("grow")).agg(*sums).first()
-        kept = [(((row[2 * k] or 0) + 1) / ((row[2 * k] or 0) + (row[2 * k + 1] or 0) + 2), row[2 * k] or 0, k + 1) for k in range(len(rule))]
-        precision, covered, length = max(kept, key=lambda x: (round(x[0], 3), x[1]))
-        if precision < min_precision or covered < min_covered:
+        sums = [F.sum(F.when(holds(rule[:k]) & side, F.col(c)).otherwise(0)) for k in range(1, len(rule) + 1) for side in (F.col("grow"), ~F.col("grow")) for c in ("bad", "good")]
+        row = [x or 0 for x in left.agg(*sums).first()]
+        length = accepted([tuple(row[4 * k : 4 * k + 4]) for k in range(len(rule))], min_precision)
+        if not length:
             break
         rules.append(rule[:length])
     return [tuple(Condition(c, above, cuts[c][k]) for c, above, k in rule) for rule in rules]
 
 
-def _best(rows, cuts, min_covered):
-    """The threshold with the most information gain: (gain, (feature, above, cell), precision), or None."""
+def accepted(counts: list[tuple[int, int, int, int]], min_precision: float) -> int:
+    """How many conditions of a rule to keep, 0 to refuse it. counts: for each prefix, bad and good growing rows, then bad
+    and good pruning rows."""
+    value = lambda x: round((x[2] - x[3]) / max(1, x[2] + x[3]), 3)
+    k = max(range(len(counts)), key=lambda k: (value(counts[k]), counts[k][2], -k))
+    bad, good, p, n = counts[k]
+    precise = (bad + p + 1) / (bad + p + good + n + 2) >= min_precision
+    return k + 1 if precise and p > 0 and p >= min_precision * (p + n) else 0
+
+
+def best_threshold(rows, cuts, min_covered) -> tuple[str, bool, int] | None:
+    """The threshold (feature, above, cell) with the most information gain for rows (feature, cell, bad, good), or None."""
     by: dict[str, dict[int, tuple[int, int]]] = {}
     for name, cell, bad, good in rows:
         by.setdefault(name, {})[cell] = (bad, good)
-    best = None
+    best, most = None, 1e-9
     for name, cells in sorted(by.items()):
         all_bad, all_good = (sum(x[i] for x in cells.values()) for i in (0, 1))
         if not all_bad or not all_good:
@@ -174,8 +178,8 @@ def _best(rows, cuts, min_covered):
             for above, p, n in ((False, low_bad, low_good), (True, all_bad - low_bad, all_good - low_good)):
                 if p >= min_covered:
                     gain = p * (math.log2(p / (p + n)) - prior)
-                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
-                        best = (gain, (name, above, k), p / (p + n))
+                    if gain > most + 1e-9:
+                        best, most = (name, above, k), gain
     return best
 
 
@@ -214,7 +218,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs that the base rules and the learned rules keep. The counts are made once and stored beside the rows, so
+    """docs that the base rules and the learned rules keep; odd rows as the module defines. The counts are made once and stored beside the rows, so
     learning reads a few slim columns and no text is shuffled."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     counted = stored(with_counts(rows).drop("text"), "quality-counted")

@@ -1,6 +1,7 @@
 """Each operator on odd rows (null, empty, long, repeated, extra columns, empty tables), and against a plain version."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -197,6 +198,61 @@ def test_quality_rules(spark):
     assert quality_rules.quality_stage(spark, odd_docs(spark).limit(0), SF).count() == 0
 
 
+def plain_rules(rows, cuts, min_covered=2, min_precision=0.9):
+    """The decision list of rows (values by feature, bad, grow) by plain loops over rows."""
+    holds = lambda rule, v: all(v[f] > c if above else v[f] <= c for f, above, c in rule)
+    rules = []
+    while True:
+        left = [r for r in rows if not any(holds(rule, r[0]) for rule in rules)]
+        rule = []
+        while True:
+            own = [r for r in left if r[2] and holds(rule, r[0])]
+            best, most = None, 1e-9
+            total = sum(r[1] for r in own)
+            if not total or total == len(own):
+                break
+            for f in sorted(cuts):
+                for c in cuts[f]:
+                    for above in (False, True):
+                        hit = [r[1] for r in own if (r[0][f] > c) == above]
+                        if sum(hit) >= min_covered:
+                            gain = sum(hit) * (math.log2(sum(hit) / len(hit)) - math.log2(total / len(own)))
+                            if gain > most + 1e-9:
+                                best, most = (f, above, c), gain
+            if best is None:
+                break
+            rule.append(best)
+        counts = []
+        for k in range(1, len(rule) + 1):
+            own = [(r[2], r[1]) for r in left if holds(rule[:k], r[0])]
+            counts.append((own.count((True, True)), own.count((True, False)), own.count((False, True)), own.count((False, False))))
+        if not rule:
+            return rules
+        score = [round((p - n) / max(1, p + n), 3) for _, _, p, n in counts]
+        k = max(range(len(rule)), key=lambda k: (score[k], counts[k][2], -k))
+        bad, good, p, n = counts[k]
+        if not (p and p >= min_precision * (p + n) and (bad + p + 1) / (bad + p + good + n + 2) >= min_precision):
+            return rules
+        rules.append(rule[: k + 1])
+
+
+@pytest.mark.parametrize("seed,size", [(1, 60), (2, 400), (3, 1500)])
+def test_rules_are_the_plain_ones(spark, seed, size):
+    """Several rules of several conditions, and few labels."""
+    rng = random.Random(seed)
+    names = list(quality_rules.RATIOS)
+    rows = []
+    for _ in range(size):
+        v = {c: float(rng.randrange(12)) for c in names}
+        bad = (v[names[0]] > 8 and v[names[1]] <= 3) or v[names[2]] > 9 or (v[names[3]] <= 1 and v[names[4]] > 6 and v[names[5]] > 4)
+        rows.append((v, bad, rng.randrange(3) > 0))
+    frame = spark.createDataFrame([(*[v[c] for c in names], int(not bad), grow) for v, bad, grow in rows], ", ".join(f"{c} double" for c in names) + ", label int, grow boolean")
+    found = quality_rules.learn(frame)
+    cuts = {c: sorted({sorted(v[c] for v, *_ in rows)[max(0, math.ceil((k + 0.5) / 32 * size) - 1)] for k in range(32)}) for c in names}
+    assert [[(c.feature, c.above, c.cut) for c in rule] for rule in found] == plain_rules(rows, cuts)
+    assert len(found) >= (size > 100) + 2 * (size > 1000)
+
+
 def plain_fingerprint(text):
     w = "".join(c.lower() if c.isascii() else c for c in text or "")
     w = words(w)

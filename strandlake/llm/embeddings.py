@@ -4,16 +4,18 @@ Random projections map a unit vector to blocks of eight numbers, and each block
 the points of a table's blocks are a vector's cell there. Besides its own cell, a vector also probes the `probes` nearest
 neighbouring cells of each table, in which one block moves to an adjacent lattice point. Two vectors are compared where
 one's own cell is the other's own or probed cell. Only cells that more than one vector reaches are kept, and a vector's
-numbers are read only for those.
+numbers are read only for those. Cells are smaller the more vectors there are (`settings`), with more tables, so that
+the vectors that meet without being near don't grow like the square of the input and the recall stays.
 
-A cell's vectors are compared in tiles of at most `tile` by `tile`, so no task holds a large cell; a tile counts each
-linked pair only if it is the first cell, in order of tables and cells, in which the two meet, and gives counts and at
-most one edge a vector. Exact copies are one vector with a weight. Links are verified by cosine in double precision, so
-none is below the threshold; some may be missed: the recall is that of the hashing.
+A cell's vectors are compared in tiles of at most `tile` by `tile`, so no task holds a large cell; small cells are compared
+many at a time. A linked pair is counted only in the first cell, in order of tables and cells, in which the two meet, and
+edges are at most one a vector and tile. Exact copies are one vector with a weight. Links are verified by cosine in double
+precision, so none is below the threshold; some may be missed: the recall is that of the hashing.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite numbers, and rows with a null label
-have no links and are components of their own; a null vec_id takes part but is never a component's least id; an empty
-table gives an empty result.
+have no links and are components of their own; a null vec_id takes part but is never a component's least id; repeated rows
+and tied ids are linked like any other copies; vectors of unequal lengths are never linked, and a vector of any length is
+read whole; further columns, of any name, aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -59,6 +61,15 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where(closer[:, None], b, a)
 
 
+#: tables, blocks, probes and scale up to a number of vectors. Random pairs of a cosine of 0.93 meet with a chance of 0.96 or
+#: more under each; pairs of 0.5 meet in a table with chances of about 4e-3, 1e-4, 5e-5 and 2e-5.
+SETTINGS = ((1 << 16, 8, 3, 6, 0.4), (1 << 20, 16, 3, 6, 0.5), (1 << 24, 20, 4, 12, 0.45), (1 << 63, 24, 5, 16, 0.4))
+
+
+def settings(n: int) -> dict:
+    return next(dict(zip(("tables", "blocks", "probes", "scale"), rest, strict=True)) for most, *rest in SETTINGS if n <= most)
+
+
 class Lattice:
     """Cells of unit vectors of one length. scale: lattice units of a projected unit."""
 
@@ -103,6 +114,8 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def _cells(options: dict):
+    """Batches (id, space, length, embedding) to cell (of a space, by its number), id and own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Lattice] = {}
         for batch in batches:
@@ -110,93 +123,146 @@ def _cells(options: dict):
             for n in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == n))
                 lattice = made.setdefault(int(n), Lattice(int(n), **options))
-                for k in range(0, len(part), 2048):
-                    some = part.slice(k, 2048)
-                    cells = lattice.cells(_unit(some.column(3)))
+                for k in range(0, len(part), 1024):
+                    some = part.slice(k, 1024)
+                    cells = lattice.cells(_unit(some.column(3))) ^ np.asarray(some.column(1))[:, None, None]
                     size = cells.shape[1] * cells.shape[2]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(np.asarray(some.column(1)), size)),
-                            pa.array(np.tile(np.repeat(np.arange(cells.shape[1], dtype=np.int32), cells.shape[2]), len(some))),
-                            pa.array(cells.ravel()),
-                            pa.array(np.repeat(np.asarray(some.column(0)), size)),
-                            pa.array(np.tile(np.arange(cells.shape[2]) == 0, len(some) * cells.shape[1])),
-                        ],
-                        ["space", "t", "cell", "id", "own"],
-                    )
+                    own = np.tile(np.arange(cells.shape[2]) == 0, len(some) * cells.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(np.asarray(some.column(0)), size)), pa.array(own)], ["cell", "id", "own"])
 
     return run
 
 
-def _met_before(sig_a: np.ndarray, sig_b: np.ndarray, t: int, cell: int) -> np.ndarray:
-    """Whether each pair (signatures: pair by table by cells) meets in an earlier table or in a smaller cell of this."""
-    out = np.zeros(len(sig_a), bool)
-    for k in range(t + 1):
-        for x, y in ((sig_a, sig_b), (sig_b, sig_a)):
-            same = y[:, k] == x[:, k, :1]
-            out |= same.any(axis=1) if k < t else (same & (y[:, k] < cell)).any(axis=1)
+def _first_cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of signatures (pair by table by cells) that meet, the least cell of the first table in which they do."""
+    out, done = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+    for k in range(a.shape[1]):
+        least = np.full(len(a), np.iinfo(np.int64).max)
+        for x, y in ((a, b), (b, a)):
+            least = np.minimum(least, np.where(y[:, k] == x[:, k, :1], y[:, k], least[:, None]).min(axis=1))
+        met = least < np.iinfo(np.int64).max
+        out = np.where(met & ~done, least, out)
+        done |= met
     return out
 
 
+#: Rows of a group up to which its pairs are listed with those of other groups.
+FEW = 64
+
+
+def _listed(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places of groups that begin at starts."""
+    rows = np.repeat(starts, sizes) + _upto(sizes)
+    later = np.repeat(sizes, sizes) - _upto(sizes) - 1
+    a = np.repeat(rows, later)
+    return a, a + 1 + _upto(later)
+
+
+def _upto(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each of n, in a row."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _compared(options: dict, least: float):
-    """Groups (space, t, cell, tile) of vectors to counts of links and edges."""
-
-    def group(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        _, t, cell, low, high = (x.as_py() for x in key)
-        ids, own, side, weight = (np.asarray(table.column(c)) for c in ("id", "own", "side", "n"))
-        unit = _unit(table.column("embedding").chunk(0))
-        rows, cols = (np.flatnonzero(side == low), np.flatnonzero(side == high))
+    """Batches sorted by group (a tile of a cell) to counts of links and edges."""
+    made: dict[int, Lattice] = {}
+
+    def near_pairs(unit: np.ndarray, own: np.ndarray, ids: np.ndarray, side: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        few = (sizes > 1) & (sizes <= FEW)
+        pairs = np.cumsum(sizes[few] * (sizes[few] - 1) // 2)
+        for part in np.split(np.flatnonzero(few), np.searchsorted(pairs, np.arange(100_000, pairs[-1] if len(pairs) else 0, 100_000))):
+            a, b = _listed(starts[part], sizes[part])
+            yield a, b, np.einsum("ij,ij->i", unit[a], unit[b])
+        for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+            for k in range(start, start + size, 1024):
+                to = np.arange(start, min(k + 1024, start + size))
+                cosine = unit[k : k + 1024][: start + size - k] @ unit[to].T
+                x, y = np.nonzero(cosine >= least)
+                good = k + x > to[y]
+                yield k + x[good], to[y[good]], cosine[x[good], y[good]]
+
+    def process(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, ids, own, side, weight, cell, space = (np.asarray(found.column(c)) for c in ("g", "id", "own", "side", "n", "cell", "space"))
+        low, high = np.asarray(found.column("low")), np.asarray(found.column("high"))
+        unit = _unit(found.column("embedding").combine_chunks())
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(starts, len(group)))
         counts, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        signs = None
-        pairs_a, pairs_b = [], []
-        for k in range(0, len(rows), 1024):
-            r = rows[k : k + 1024]
-            near = (unit[r] @ unit[cols].T >= least) & (own[r][:, None] | own[cols][None, :])
-            near &= ids[r][:, None] < ids[cols][None, :] if low == high else ids[r][:, None] != ids[cols][None, :]
-            i, j = np.nonzero(near)
-            for s in range(0, len(i), 200_000):
-                a, b = r[i[s : s + 200_000]], cols[j[s : s + 200_000]]
-                if signs is None:
-                    signs = Lattice(unit.shape[1], **options).cells(unit)
-                first = ~_met_before(signs[a], signs[b], t, cell)
-                np.add.at(counts, a[first], weight[b[first]])
-                np.add.at(counts, b[first], weight[a[first]])
-                pairs_a.append(a)
-                pairs_b.append(b)
-        if pairs_a:
-            a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-            while True:  # each vector gets the least place that it is linked to by any path
-                new = label.copy()
-                np.minimum.at(new, a, label[b])
-                np.minimum.at(new, b, label[a])
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
+        signs: dict[int, int] = {}
+        known = np.zeros((0, 0, 0), np.int64)
+        linked_a, linked_b = [label[:0]], [label[:0]]
+        for a, b, cosine in near_pairs(unit, own, ids, side, starts, sizes):
+            good = (cosine >= least) & (own[a] | own[b]) & (ids[a] != ids[b]) & ((low[a] == high[a]) | (side[a] != side[b]))
+            a, b = a[good], b[good]
+            if not len(a):
+                continue
+            linked_a.append(a)
+            linked_b.append(b)
+            rows = np.unique(np.concatenate([a, b]))
+            fresh, at = np.unique(ids[rows], return_index=True)
+            new = np.array([x not in signs for x in fresh.tolist()])
+            if new.any():  # a vector's cells once, however many of its groups are here
+                lattice = made.setdefault(unit.shape[1], Lattice(unit.shape[1], **options))
+                more = lattice.cells(unit[rows[at[new]]])
+                known = np.concatenate([known, more]) if len(known) else more
+                signs.update(zip(fresh[new].tolist(), range(len(signs), len(signs) + int(new.sum())), strict=True))
+            place = np.array([signs[x] for x in ids[rows].tolist()])
+            for k in range(0, len(a), 50_000):
+                p, q = a[k : k + 50_000], b[k : k + 50_000]
+                x, y = (known[place[np.searchsorted(rows, z)]] for z in (p, q))
+                first = _first_cell(x, y) == cell[p] ^ space[p]
+                np.add.at(counts, p[first], weight[q[first]])
+                np.add.at(counts, q[first], weight[p[first]])
+        a, b = np.concatenate(linked_a), np.concatenate(linked_b)
+        while len(a):  # each vector gets the least place of its group that it is linked to by any path
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
         some = (counts > 0) | (label != np.arange(len(ids)))
-        return pa.table({"id": ids[some], "links": counts[some], "to": ids[label[some]]})
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts[some]), pa.array(ids[label[some]])], ["id", "links", "to"])
+
+    def by_length(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        lengths = np.asarray(found.column("length"))
+        for n in np.unique(lengths):
+            yield from process(found.filter(pa.array(lengths == n)))
 
-    return group
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = np.asarray(batch.column("g"))
+            last = int(np.searchsorted(groups, groups[-1]))  # the last group's rows wait for the next batch
+            if last or (kept and kept[0].column("g")[0].as_py() != groups[-1]):
+                yield from by_length(pa.Table.from_batches([*kept, batch.slice(0, last)]))
+                kept = []
+            kept.append(batch.slice(last))
+        if kept:
+            yield from by_length(pa.Table.from_batches(kept))
+
+    return run
 
 
 def linked(vectors: DataFrame, least: float = 0.93, tile: int = 2048, **options) -> DataFrame:
-    """vectors (vec_id, label, embedding) with n_links, component_id and kept."""
+    """vectors (vec_id, label, embedding) with n_links, component_id and kept. options: of Lattice, else by `settings`."""
     rows = vectors.select("vec_id", "label", "embedding", usable().alias("ok"))
     good = rows.where("ok").select("vec_id", "label", "embedding")
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = stored(classes.select("*", F.monotonically_increasing_id().alias("id"), F.xxhash64("label", F.size("embedding")).alias("space")), "embedding-classes")
-    kinds = "space long, t int, cell long, id long, own boolean"
-    cells = classes.select("id", "space", F.size("embedding").alias("length"), "embedding").mapInArrow(_cells(options), kinds)
-    cell = Window.partitionBy("space", "t", "cell")
-    met = cells.groupBy("space", "t", "cell", "id").agg(F.max("own").alias("own"))
-    met = met.withColumns({"size": F.count("*").over(cell), "owners": F.sum(F.col("own").cast("int")).over(cell)}).where("size > 1 AND owners > 0")
-    met = met.withColumn("parts", F.ceil(F.col("size") / tile).cast("int"))
+    options = options or settings(classes.count())
+    cells = classes.select("id", "space", F.size("embedding").alias("length"), "embedding").mapInArrow(_cells(options), "cell long, id long, own boolean")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("own").alias("owned")).where("size > 1 AND owned")
+    met = cells.join(sizes.select("cell", F.ceil(F.col("size") / tile).cast("int").alias("parts")), "cell")
     met = met.withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.select("space", "t", "cell", "id", "own", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    met = met.join(classes.select("id", "n", "embedding"), "id")
-    found = met.groupBy("space", "t", "cell", "low", "high").applyInArrow(_compared(options, least), "id long, links long, to long")
+    met = met.select("cell", "id", "own", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    met = met.withColumn("g", F.when((F.col("low") == 0) & (F.col("high") == 0), F.col("cell")).otherwise(F.xxhash64("cell", "low", "high")))
+    met = met.join(classes.select("id", "n", "space", F.size("embedding").alias("length"), "embedding"), "id")
+    found = met.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(options, least), "id long, links long, to long")
     found = stored(found, "embedding-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("id"), "root")

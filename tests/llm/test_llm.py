@@ -435,6 +435,28 @@ def test_embeddings(spark):
     assert all((((points - near - n) ** 2).sum(axis=1) >= far - 1e-9).all() for n in embeddings.NEIGHBOURS)
 
 
+@pytest.mark.parametrize("n,tile,setting", [(300, 2048, 0), (1500, 100, 0), (1500, 2048, 1), (1500, 2048, 2), (1500, 2048, 3)])
+def test_recall(spark, n, tile, setting):
+    """Pairs at and above the threshold, for several sizes, tiles and all settings: recall of 0.9 at least, and no false link."""
+    g = np.random.default_rng(n + setting)
+    base = g.standard_normal((n // 3, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = g.standard_normal((2, n // 3, 64))
+    other -= (other * base).sum(axis=2, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=2, keepdims=True)
+    cosine = g.uniform(0.931, 0.96, (2, n // 3, 1))
+    hot = base[0] + g.standard_normal((200, 64)) * 0.02  # a cell of many
+    vectors = np.concatenate([base, *(cosine * base + np.sqrt(1 - cosine**2) * other), hot])
+    frame = spark.createDataFrame([(k, "l", v.tolist()) for k, v in enumerate(vectors)], "vec_id long, label string, embedding array<double>")
+    options = dict(zip(("tables", "blocks", "probes", "scale"), embeddings.SETTINGS[setting][1:], strict=True))
+    found = {r.vec_id: r.n_links for r in embeddings.linked(frame, tile=tile, **options).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    own = np.array([found[k] for k in range(len(vectors))])
+    assert (own <= true).all() and own.sum() >= 0.9 * true.sum()
+    assert own[: n // 3 * 3].sum() >= 0.9 * true[: n // 3 * 3].sum() > 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

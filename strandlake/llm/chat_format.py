@@ -2,9 +2,9 @@
 its context, and only its reply is trainable.
 
 The context of an example is the whole of the example before it and the turns since. `steps` cuts a conversation so: a
-row holds the text that its example adds (the turns since the last reply, then the reply), where that text begins in the
-conversation, and the span of the reply. Turns after the last reply make a last row without a target, and so do very
-many turns without one. `written` expands the steps to the examples: each has its whole context and its reply, in pieces
+row (`part` numbers them) holds the text that its example adds (the turns since the last reply, then the reply), where
+that text begins in the conversation, and the span of the reply. Examples are numbered by replies. Turns after the last
+reply make a last row without a target; very many turns before a reply are several rows of its example. `written` expands the steps to the examples: each has its whole context and its reply, in pieces
 of a step each, of which only the last has a span for the loss. So what is written grows with the square of a
 conversation's turns, but no task holds more than a piece at a time.
 
@@ -12,7 +12,9 @@ Template: `<|im_start|>role`, a line break, the text, `<|im_end|>`, a line break
 by one more backslash between `<` and `|`, which is undone by taking one away.
 
 Defined results: a null text or role counts as empty; turns are ordered by (turn, role, text), nulls first, so tied and
-repeated rows have a fixed order; a null conv_id is a conversation of its own; an empty table gives no examples.
+repeated rows have a fixed order; a null conv_id is a conversation of its own; a turn of any length is one piece; further
+columns, of any name, aren't read; an empty table gives no examples. A conversation's turns depend on their order: they
+stream through one task, which holds a row's text at a time.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-STEPS = "conv_id long, example int, n_turns int, starts_at long, added string, loss_from int, loss_to int"
+STEPS = "conv_id long, part int, example int, n_turns int, starts_at long, added string, loss_from int, loss_to int"
 START, END = "<|im_start|>", "<|im_end|>"
-#: Characters without a reply after which a step ends, so that a task holds few of an endless conversation.
+#: Characters without a reply after which a row ends (and its example goes on in the next one).
 LONGEST = 4_000_000
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 
@@ -52,21 +54,23 @@ def role_of(name: str) -> str:
     return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], name))
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _steps(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by conversation and turn to the steps of their examples; one conversation may span batches."""
     conv, begun = None, False
-    example = turns = at = size = 0
+    part = example = turns = at = size = 0
     parts: list[str] = []
     names = [x.split()[0] for x in STEPS.split(", ")]
     out: list[tuple] = []
 
     def step(loss: tuple[int, int] | None) -> None:
-        nonlocal example, turns, at, parts, size
+        nonlocal part, example, turns, at, parts, size
         added = "".join(parts)
-        out.append((conv, example, turns, at, added, *(loss or (None, None))))
-        example, turns, at, parts, size = example + 1, 0, at + len(added), [], 0
+        out.append((conv, part, example, turns, at, added, *(loss or (None, None))))
+        part, at, parts, size = part + 1, at + len(added), [], 0
+        if loss:
+            example, turns = example + 1, 0
 
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
 
     def flushed() -> pa.RecordBatch:
         rows = list(zip(*out, strict=True)) or [[] for _ in names]
@@ -78,12 +82,12 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not begun or key != conv:
                 if parts:
                     step(None)
-                conv, begun, example, turns, at = key, True, 0, 0, 0
+                conv, begun, part, example, turns, at = key, True, 0, 0, 0, 0
             parts += (before, text, after)
             turns, size = turns + 1, size + len(before) + len(text) + len(after)
             if role == "assistant":
                 step((size - len(after) - len(text), size - len(after)))
-            elif size > LONGEST:
+            elif size > longest:
                 step(None)
         yield flushed()
     if parts:
@@ -91,13 +95,13 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flushed()
 
 
-def steps(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) to STEPS."""
+def steps(turns: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """turns (conv_id, turn, role, text) to STEPS. n_turns: the turns that the example has added with this row."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     before, shown, after = rendered(role, text)
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), before.alias("before"), shown.alias("shown"), after.alias("after"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "before", "shown", "after").mapInArrow(_steps, STEPS)
+    return rows.select("conv_id", "role", "before", "shown", "after").mapInArrow(lambda b: _steps(b, longest), STEPS)
 
 
 def expanded(examples: DataFrame) -> DataFrame:
@@ -105,9 +109,9 @@ def expanded(examples: DataFrame) -> DataFrame:
 
     A context is the join of all earlier steps of its conversation, so this grows with the square of its turns: meant
     for the examples of a training step, or for conversations of bounded length."""
-    earlier = examples.select(F.col("conv_id").alias("_c"), F.col("example").alias("_e"), F.col("added").alias("_a"))
+    earlier = examples.select(F.col("conv_id").alias("_c"), F.col("part").alias("_e"), F.col("added").alias("_a"))
     targets = examples.where("loss_from IS NOT NULL")
-    both = targets.join(earlier, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_e") < F.col("example")), "left")
+    both = targets.join(earlier, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_e") < F.col("part")), "left")
     one = both.groupBy("conv_id", "example").agg(
         F.first("added").alias("added"), F.first("loss_from").alias("loss_from"), F.first("loss_to").alias("loss_to"),
         F.array_sort(F.collect_list(F.when(F.col("_e").isNotNull(), F.struct("_e", "_a")))).alias("prefix"),
@@ -158,7 +162,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(examples: DataFrame) -> DataFrame:
-    rows = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    rows = examples.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return rows.select("conv_id", "added", "loss_from", "loss_to", F.lit(True).alias("told")).mapInArrow(_digest, DIGEST)
 
 
@@ -167,15 +171,14 @@ def written(examples: DataFrame) -> DataFrame:
 
     An example with a target has a piece for each step up to its own. Steps after the last target follow as they are.
     told: whether the piece is of a conversation's last example, or after it."""
-    targets = examples.where("loss_from IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("example").alias("_e"))
-    last = targets.groupBy("_c").agg(F.max("_e").alias("_last"))
-    ends = targets.join(last.withColumnRenamed("_c", "_d"), F.col("_c").eqNullSafe(F.col("_d"))).select("_c", "_e", (F.col("_e") == F.col("_last")).alias("told"))
-    own = F.col("example") == F.col("_e")
-    span = [F.when(own, F.col(c)).alias(c) for c in ("loss_from", "loss_to")]
-    whole = examples.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("example") <= F.col("_e")))
-    whole = whole.select("conv_id", F.col("_e").alias("example"), F.col("example").alias("part"), F.col("added").alias("text"), *span, "told")
-    rest = examples.where("loss_from IS NULL").join(last, F.col("conv_id").eqNullSafe(F.col("_c")), "left").where("_last IS NULL OR example > _last")
-    return whole.unionByName(rest.select("conv_id", "example", F.col("example").alias("part"), F.col("added").alias("text"), "loss_from", "loss_to", F.lit(True).alias("told")))
+    targets = examples.where("loss_from IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("example").alias("_e"), F.col("part").alias("_p"))
+    last = targets.groupBy("_c").agg(F.max("_p").alias("_last"))
+    ends = targets.join(last.withColumnRenamed("_c", "_d"), F.col("_c").eqNullSafe(F.col("_d"))).select("_c", "_e", "_p", (F.col("_p") == F.col("_last")).alias("told"))
+    span = [F.when(F.col("part") == F.col("_p"), F.col(c)).alias(c) for c in ("loss_from", "loss_to")]
+    whole = examples.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") <= F.col("_p")))
+    whole = whole.select("conv_id", F.col("_e").alias("example"), "part", F.col("added").alias("text"), *span, "told")
+    rest = examples.where("loss_from IS NULL").join(last, F.col("conv_id").eqNullSafe(F.col("_c")), "left").where("_last IS NULL OR part > _last")
+    return whole.unionByName(rest.select("conv_id", "example", "part", F.col("added").alias("text"), "loss_from", "loss_to", F.lit(True).alias("told")))
 
 
 def read_back(pieces: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ the logarithm of the number of words, as in the Bayesian information criterion).
 largest proportion of the selected set.
 
 The sample is of about `sample` labelled rows, by hash; counts are summed by Spark, and `buckets` of them for each
-language reach the driver. Prediction reads every whole text.
+language reach the driver and every task: the languages are a closed set (a hundred take 26 MB). Prediction reads every
+whole text, a piece of some 1,000,000 characters at a time, of which one number a word and language is kept.
 
-Defined results: `und` for a null text or one without a letter; repeated rows are judged alike; an empty table gives an
-empty result; without labelled texts everything is `und`.
+Defined results: `und` for a null text or one without a letter; tied and repeated rows, and null ids, are judged like any
+other; a word of over a million letters is cut in pieces; further columns pass through, whatever their names; an empty
+table gives an empty result; without labelled texts everything is `und`.
 """
 
 from __future__ import annotations
@@ -81,46 +83,66 @@ def fit(docs: DataFrame, sample: int = 20_000, buckets: int = 1 << 16, smooth: f
     return Model(languages, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32))
 
 
-def proportions(log_lik: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Mixture proportions of words by expectation-maximisation, and the log-likelihood. log_lik: word by language."""
-    top = log_lik.max(axis=1, keepdims=True)
-    lik = np.exp(log_lik - top)
-    pi = np.full(log_lik.shape[1], 1 / log_lik.shape[1])
+#: Characters of a text whose trigrams are looked up at a time.
+PIECE = 1_000_000
+
+
+def pieces_of(text: str, size: int = PIECE) -> Iterator[str]:
+    """A text in pieces of about size characters, cut before white space where there is any."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and not text[end].isspace() and end < at + 2 * size:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def proportions(log_lik: list[np.ndarray], rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Mixture proportions of words by expectation-maximisation, and the log-likelihood. log_lik: pieces, word by language."""
+    tops = [x.max(axis=1, keepdims=True) for x in log_lik]
+    lik = [np.exp(x - t) for x, t in zip(log_lik, tops, strict=True)]
+    n = sum(map(len, lik))
+    pi = np.full(log_lik[0].shape[1], 1 / log_lik[0].shape[1])
     for _ in range(rounds):
-        mixed = lik * pi
-        new = (mixed / mixed.sum(axis=1, keepdims=True)).mean(axis=0)
+        new = sum((x * pi / (x @ pi)[:, None]).sum(axis=0) for x in lik) / n
         done = np.abs(new - pi).max() < 1e-4
         pi = new
         if done:
             break
-    return pi, float(np.log(lik @ pi).sum() + top.sum())
+    return pi, float(sum(np.log(x @ pi).sum() + t.sum() for x, t in zip(lik, tops, strict=True)))
 
 
-def _inferred(model: Model, text: str) -> tuple[str, float, list[tuple[str, float]], float, int]:
+def _inferred(model: Model, text: str, size: int = PIECE) -> tuple[str, float, list[tuple[str, float]], float, int]:
     """What infer gives, then the evidence (see there) and the number of words."""
-    at, starts = trigrams(text, len(model.log_p))
-    if not len(at) or not model.languages:
+    log_lik, n_trigrams = [], 0
+    for piece in pieces_of(text, size) if model.languages else ():
+        at, starts = trigrams(piece, len(model.log_p))
+        if len(at):
+            log_lik.append(np.add.reduceat(model.log_p[at], starts, axis=0, dtype=np.float64))
+            n_trigrams += len(at)
+    if not n_trigrams:
         return UND, 0.0, [], 0.0, 0
-    log_lik = np.add.reduceat(model.log_p[at], starts, axis=0, dtype=np.float64)
-    single = log_lik.sum(axis=0)
+    n_words = sum(map(len, log_lik))
+    single = sum(x.sum(axis=0) for x in log_lik)
     best = int(single.argmax())
     chosen, pi, fit = [best], np.ones(1), float(single[best])
     score = float(1 / np.exp(np.clip(single - single[best], -700, 0)).sum())
-    penalty = 0.5 * np.log(len(starts) + 1)
-    if len(model.languages) > 1 and len(starts) > 1:
+    penalty = 0.5 * np.log(n_words + 1)
+    if len(model.languages) > 1 and n_words > 1:
         every, full = proportions(log_lik)
         order = np.argsort(-every, kind="stable")
         for n in range(2, len(order) + 1):
             if full - (n - 1) * penalty <= fit - (len(chosen) - 1) * penalty:
                 break  # no set of so many can be better
-            own, loglik = proportions(log_lik[:, order[:n]])
+            own, loglik = proportions([x[:, order[:n]] for x in log_lik])
             if loglik - (n - 1) * penalty > fit - (len(chosen) - 1) * penalty:
                 chosen, pi, fit = list(order[:n]), own, loglik
     first = int(pi.argmax())
     if len(chosen) > 1:
         score = float(pi[first])
     mixture = [(model.languages[k], float(p)) for k, p in zip(chosen, pi, strict=True)]
-    return model.languages[chosen[first]], score, mixture, fit / len(at) + float(np.log(len(model.log_p))), len(starts)
+    return model.languages[chosen[first]], score, mixture, fit / n_trigrams + float(np.log(len(model.log_p))), n_words
 
 
 def infer(model: Model, text: str) -> tuple[str, float, list[tuple[str, float]]]:
@@ -134,11 +156,14 @@ PROVED = f"{INFERRED}, evidence double, n_found int"
 _KIND = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
 
-def identified(docs: DataFrame, model: Model, proved: bool = False) -> DataFrame:
-    """docs with lang_pred, score and languages, with proved also evidence and n_found, the number of words (of these names, only the new columns)."""
+def identified(docs: DataFrame, model: Model, proved: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """docs with lang_pred, score and languages, with proved also evidence and n_found, the number of words (of these names, only the new columns). keep: columns of docs to pass through (None: all)."""
     columns = [t.split(" ", 1) for t in (PROVED if proved else INFERRED).split(", ")]
-    rest = [c for c in docs.columns if c not in [name for name, _ in columns]]
-    names = [*rest, "_text"]
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in [name for name, _ in columns]]
+    text = "_text"
+    while text.lower() in {c.lower() for c in docs.columns}:
+        text += "_"
+    names = [*rest, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,15 +198,15 @@ def evidence_limits(docs: DataFrame, model: Model, sample: int = 10_000, quantil
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3, main: float = 0.5) -> DataFrame:
     """docs of a known language that has at least `least` of the score and `main` of the text, and whose evidence is no less
     than that of learned texts; shorter texts than FULL words vary more and have a wider limit. The models are fitted on
-    the whole table."""
+    the whole table. A text that is null, empty or without a letter goes; else odd rows as the module defines."""
     whole = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(whole)
     median, low = evidence_limits(whole, model)
-    out = identified(docs, model, proved=True)
+    out = identified(docs.select(F.struct("*").alias("row"), "text"), model, proved=True, keep=["row"])
     limit = F.lit(median) - F.lit(median - low) * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL) / F.col("n_found")))
     share = F.array_max(F.transform("languages", lambda x: x["share"]))
     out = out.where((F.col("lang_pred") != UND) & (F.col("score") >= least) & (share >= main) & (F.col("evidence") >= limit))
-    return out.select(*docs.columns)
+    return out.select("row.*")
 
 
 QUERIES = {"op3_language_id": op3_language_id}

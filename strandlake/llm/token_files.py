@@ -1,15 +1,18 @@
 """Token ids in binary shards, with a minimal perfect hash index from document key to place.
 
-Writing: documents are range-partitioned and sorted by doc_id; each partition appends its documents' ids to a shard file
-(raw little-endian integers, of 2 bytes where all ids fit, else 4) and notes each document's place. The keys are dealt to
+Writing: documents are range-partitioned by doc_id (and a hash of the text, so that rows of one id spread too) and sorted;
+each partition appends its documents' ids to a shard file (raw little-endian integers, of 2 bytes where all ids of the
+tokenizer fit, else 4: see `id_width`) and notes each document's place. The keys are dealt to
 buckets by hash, and each bucket's index file holds a minimal perfect hash of its keys: levels of bit arrays in which a
 key owns the bit that no other key of the level hits, the bit's rank being the key's slot. Each slot stores a
 fingerprint, by which other keys are told apart, and the place: shard, offset, length.
 
 Reading: a key's bucket, slot and place come from its index file in constant time, its ids from one range of a shard.
 
-A key is doc_id and, for repeated rows of an id, their number in the order of their texts. Defined results: a null text
-counts as empty, a null doc_id is an ordinary key that sorts first, an empty table makes no files.
+A key is doc_id and, for repeated rows of an id, their number. Defined results: a null text counts as empty; a null doc_id is
+an ordinary key that sorts first; tied ids and repeated rows are keys of their own; a text of any length is encoded whole
+(one text and its ids are in memory at a time); further columns, of any name, aren't read; an empty table makes no files.
+The window over shards has a row a file.
 """
 
 from __future__ import annotations
@@ -136,6 +139,13 @@ def put(path: str, data: bytes) -> None:
     mine = f"{at}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
     with store.open_output_stream(mine) as out:
         out.write(data)
+    moved(store, mine, at)
+
+
+def moved(store: fs.FileSystem, mine: str, at: str) -> None:
+    """Give this attempt's file its name; an earlier attempt's file of that name is replaced (it has the same bytes)."""
+    if store.get_file_info(at).type != fs.FileType.NotFound:
+        store.delete_file(at)
     store.move(mine, at)
 
 
@@ -151,8 +161,30 @@ def made(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, keeps_space: bool = False, width: int = 2) -> DataFrame:
+def id_width(tokenizer: str) -> int:
+    """Bytes of an id in a shard: 2 where all ids of the tokenizer fit."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else 4
+
+
+def _renumbered(places: DataFrame) -> DataFrame:
+    """places with the numbers of an id that spans shards going on from shard to shard. Such ids are fewer than shards."""
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    ends = places.groupBy("shard").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    ends = ends.select("last", F.lead("first").over(Window.orderBy("shard")).alias("next"))
+    spans = ends.where(F.col("next").isNotNull() & F.col("last").eqNullSafe(F.col("next"))).select(F.col("last.doc_id").alias("_id")).distinct()
+    if spans.isEmpty():
+        return places
+    counts = places.join(F.broadcast(spans), F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("_id", F.col("shard").alias("_shard")).agg(F.count("*").alias("n"))
+    before = counts.select("_id", "_shard", (F.sum("n").over(Window.partitionBy("_id").orderBy("_shard")) - F.col("n")).alias("_before"))
+    both = places.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("shard") == F.col("_shard")), "left")
+    return both.withColumn("again", F.col("again") + F.coalesce("_before", F.lit(0))).select(*places.columns)
+
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, keeps_space: bool = False) -> DataFrame:
     """Write the shards of docs (doc_id, text), once; PLACES of all rows, stored."""
+    width = id_width(tokenizer)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode, offset = TaskContext.get().partitionId(), encoder(tokenizer, keeps_space), 0
@@ -163,6 +195,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
                 doc_ids = batch.column(0).to_pylist()
                 for first, texts in in_turn(batch.column(1).to_pylist()):
                     ids, sizes = encode(texts, end_id)
+                    if len(ids) and int(ids.max()) >> (8 * width):
+                        raise ValueError(f"the end id does not fit in {width} bytes")
                     out.write(ids.astype(f"<u{width}").tobytes())
                     own, numbers = doc_ids[first : first + len(texts)], []
                     for x in own:
@@ -175,11 +209,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
                         [pa.array(own, pa.int64()), pa.array(numbers, pa.int64()), pa.array([shard] * len(own), pa.int32()), pa.array(offsets), pa.array(sizes)],
                         [x.split()[0] for x in PLACES.split(", ")],
                     )
-        store.move(mine, at)
+        moved(store, mine, at)
 
     made(docs.sparkSession, folder)
-    rows = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(write, PLACES), "token-places")
+    rows = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    return _renumbered(stored(rows.mapInArrow(write, PLACES), "token-places"))
 
 
 def _hashes(pdf: pd.DataFrame) -> np.ndarray:
@@ -212,8 +246,8 @@ def find(keys: DataFrame, folder: str, n_buckets: int) -> DataFrame:
     return bucketed(keys, n_buckets).groupBy("bucket").applyInPandas(look_up, PLACES)
 
 
-def ids_at(places: DataFrame, folder: str, width: int = 2) -> DataFrame:
-    """places with ids: the ids read from the shards, as little-endian unsigned 32-bit integers."""
+def ids_at(places: DataFrame, folder: str, width: int) -> DataFrame:
+    """places with ids: the ids read from the shards (of `width` bytes each), as little-endian unsigned 32-bit integers."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, file = None, None
@@ -246,11 +280,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str, per_bucket: int = 20_000)
     import public_tokenizers
 
     folder = fresh_path(spark, "token-files")
-    places = write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    places = write_shards(table(spark, sf_dir, "documents"), folder, tokenizer)
     n_buckets = places.count() // per_bucket + 1
     write_index(places, folder, n_buckets)
     found = find(places.select("doc_id", "again"), folder, n_buckets)
-    out = ids_at(found, folder).select("doc_id", "again", "shard", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = ids_at(found, folder, id_width(tokenizer)).select("doc_id", "again", "shard", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     out = out.join(stored(starts(places), "token-starts"), "shard")
     return out.select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "again")
 

@@ -6,11 +6,12 @@ sentences are clean and no leak (a label without a reason in the text) happens:
 sentences that explain a label are found on the way; `located` returns them.
 
 The fit reads a sample of labelled documents of about `sample` rows, by hash. Its features are counted over the sample
-by Spark; the at most `features` ones that stand out in toxic documents are kept, and the driver fits one weight each
-from rows that hold only those. Scoring reads every whole text.
+by Spark; all that stand out in toxic documents are kept (no more than the sample has words), and the driver fits one
+weight each from rows that hold only those. Scoring reads every whole text, a sentence at a time.
 
-Defined results: a null text counts as empty; a text without a known feature has the leak as its score; repeated rows
-are scored alike; an empty table gives an empty result; without labels all scores are 0.
+Defined results: a null text counts as empty; a text without a known feature has the leak as its score; tied and repeated
+rows, and null ids, are scored like any other; a text of any length is read whole; further columns, of any name, aren't
+read; an empty table gives an empty result; without labels all scores are 0.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _evidence(kept: dict[str, int]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, steps: int = 400) -> Model:
     """The model of docs (doc_id, text) and labels (doc_id, toxic); held-out documents are left out."""
     known = labels_of(labels, "toxic")
     share = min(1.0, sample / max(1, known.count()))
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     counted = rows.mapInArrow(_feature_counts, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("other") + 0.5) / (n_other + 1))
     best = counted.where("toxic >= 3").withColumn("lift", lift).where("lift >= 3").withColumn("weight", F.col("toxic") * F.log("lift"))
-    kept = {r.feature: k for k, r in enumerate(best.orderBy(F.desc("weight"), "feature").limit(features).collect())}
+    kept = {r.feature: k for k, r in enumerate(best.orderBy(F.desc("weight"), "feature").collect())}
     if not kept:
         return Model({}, 0.0, n_toxic / (n_toxic + n_other))
     found = rows.mapInArrow(_evidence(kept), "label int, sentences array<array<int>>")

@@ -11,7 +11,9 @@ Everything is DataFrame expressions. Each level is an aggregation by (host, temp
 (host, template so far), joined: no node, however large, has to be in one task.
 
 Defined results: a url that is null or has no `://` has host and path "" and falls under the template of host ""; tied
-and repeated rows are judged alike; an empty table gives an empty result; without labels, nothing is blocked but by rule.
+and repeated rows, and null ids, are judged like any other; a star in a url is written `\\*` in a template, so it isn't a
+wildcard; a url of any length is read whole, and a path has as many levels as segments; further columns, of any name,
+aren't read; an empty table gives an empty result; without labels, nothing is blocked but by rule.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def parsed(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
     out = out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     ruled = reduce(lambda a, x: F.when(F.col("rule") == x[0], x[1]).otherwise(a), rules, F.lit(None).cast("string"))
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    key = F.array_join(F.transform(segments, lambda x: F.when(x.rlike("[0-9]"), F.lit(ANY)).otherwise(x)), "/")
+    key = F.array_join(F.transform(segments, lambda x: F.when(x.rlike("[0-9]"), F.lit(ANY)).otherwise(F.replace(x, F.lit(ANY), F.lit("\\" + ANY)))), "/")
     return out.withColumns({"ruled": ruled, "key": key})
 
 

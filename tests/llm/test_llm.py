@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandlake.llm import chat_format, embeddings, language_id, mixing, packing, quality_rules, queries, simhash, token_files, toxicity, url_templates
-from strandlake.llm.common import stored
+from strandlake.llm.common import held_out, stored
 from strandlake.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,6 +72,138 @@ def test_toxicity(spark):
     assert toxicity.located(odd_docs(spark).limit(0), model).count() == 0
 
 
+def test_toxicity_scores_are_the_noisy_or(spark):
+    """Scores of the query's own model against a plain noisy-or over sentences, labels held out by the crc32 of the id."""
+    docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, marks)
+    assert model == toxicity.fit(docs.where(~held_out()), marks.where(~held_out()))
+    out = {r.doc_id: r for r in toxicity.op1_toxicity(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(out) == len(rows)
+    for r in rows:
+        clean = 1 - model.leak
+        for sentence in re.split(r"[.!?\n]", r.text or ""):
+            own = {w[:n] for w in re.findall(r"\w+", sentence.lower()) for n in (3, 4, 5, 6) if len(w) > n} | {w + "$" for w in re.findall(r"\w+", sentence.lower())}
+            if own & model.weights.keys():
+                clean /= 1 + math.exp(max(-60.0, min(60.0, model.bias + sum(model.weights[f] for f in own & model.weights.keys()))))
+        assert abs(out[r.doc_id].score - (1 - clean)) < 1e-9
+        assert out[r.doc_id].predicted == int(out[r.doc_id].score >= 0.5)
+        assert out[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def plain_templates(urls, good):
+    """The template of each (host, key) by recursion over a host's keys."""
+    keys = {}
+    for k, url in enumerate(urls):
+        host, *path = url.split("://")[1].split("/")
+        key = tuple("*" if re.search("[0-9]", x) else x.replace("*", "\\*") for x in path if x)
+        keys.setdefault(host, {}).setdefault(key, []).append(good.get(k))
+    out = {}
+
+    def grow(host, own, template, level):
+        every = [g for marks in own.values() for g in marks if g is not None]
+        if len(own) < 2 or not 0 < sum(every) < len(every):
+            for key in own:
+                out[host, key] = template + "/*" * (len(key) - level)
+            return
+        branches = {}
+        for key in own:
+            segment = key[level] if level < len(key) else ""
+            mine = [g for k, marks in own.items() for g in marks if g is not None and (k[level] if level < len(k) else "") == segment]
+            rest, pooled = len(every) - len(mine), (sum(every) + 1) / (len(every) + 2)
+            differs = bool(mine and rest) and abs(sum(mine) / len(mine) - (sum(every) - sum(mine)) / rest) > 1.96 * math.sqrt(pooled * (1 - pooled) * (1 / len(mine) + 1 / rest))
+            if not segment:
+                out[host, key] = template
+            else:
+                branches.setdefault(segment if differs else "*", {})[key] = own[key]
+        for name, part in branches.items():
+            grow(host, part, f"{template}/{name}", level + 1)
+
+    for host, own in keys.items():
+        grow(host, own, "", 0)
+    return out
+
+
+def test_templates_are_the_plain_ones(spark):
+    """Hosts with mixed, deep and starred branches."""
+    rng = random.Random(21)
+    urls, good = [], {}
+    for k in range(1500):
+        host = rng.choice(["a.org", "b.org", "c.org"])
+        path = [rng.choice("xyz*") for _ in range(rng.randrange(1, 5))] + [f"item{rng.randrange(60)}"] * (rng.random() < 0.8)
+        urls.append(f"http://{host}/" + "/".join(path))
+        bad = path[0] == "x" and host == "a.org" or path[:2] == ["y", "z"] and host != "c.org" or path[0] == "*" and "y" in path[2:]
+        if rng.random() < 0.7:
+            good[k] = int(not bad) if rng.random() < 0.95 else int(bad)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"template": F.lit(1), "key": F.lit(2)})
+    found = url_templates.judge(pages, spark.createDataFrame(list(good.items()), "page_id long, good int")).collect()
+    plain = plain_templates(urls, good)
+    of = lambda url: plain[url.split("://")[1].split("/")[0], tuple("*" if re.search("[0-9]", x) else x.replace("*", "\\*") for x in url.split("://")[1].split("/")[1:])]
+    assert {r.page_id: r.template for r in found} == {k: of(u) for k, u in enumerate(urls)}
+    assert {r.template for r in found if r.verdict == "block"} and any("\\*" in r.template for r in found)
+    sums = {}
+    for k, u in enumerate(urls):
+        if k in good:
+            own = sums.setdefault((u.split("/")[2], of(u)), [0, 0])
+            own[0] += good[k]
+            own[1] += 1
+    share = (sum(good.values()) + 1) / (len(good) + 1)
+    for r in found:
+        host = [sum(v[i] for (h, _), v in sums.items() if h == r.host) for i in (0, 1)]
+        base = (host[0] + 10 * share) / (host[1] + 10)
+        n = sums.get((r.host, r.template), [0, 0])
+        assert abs(r.purity - (n[0] + 10 * base) / (n[1] + 10)) < 1e-9 and r.verdict == ("block" if r.purity < 0.5 else "allow")
+
+
+def test_mixtures_are_the_plain_ones(spark):
+    """op3's prediction against expectation-maximisation by plain loops, text in pieces as whole, and labels held out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs)
+    other = language_id.fit(docs.withColumn("lang", F.when(held_out(), F.lit("xx")).otherwise(F.col("lang"))))
+    assert other.languages == model.languages
+    rows = docs.collect()
+    out = {r.doc_id: r for r in language_id.op3_language_id(spark, SF).collect()}
+    assert len(out) == len(rows)
+    log_p = model.log_p.astype(np.float64)
+
+    def fitted(words, languages):
+        pi = [1 / len(languages)] * len(languages)
+        for _ in range(30):
+            new = [0.0] * len(languages)
+            for w in words:
+                top = max(w[k] for k in languages)
+                own = [p * math.exp(w[k] - top) for p, k in zip(pi, languages, strict=True)]
+                for k, x in enumerate(own):
+                    new[k] += x / sum(own) / len(words)
+            moved, pi = max(abs(a - b) for a, b in zip(pi, new, strict=True)), new
+            if moved < 1e-4:
+                break
+        logs = [(max(w[k] for k in languages), w) for w in words]
+        return pi, sum(top + math.log(sum(p * math.exp(w[k] - top) for p, k in zip(pi, languages, strict=True))) for top, w in logs)
+
+    for r in rows[:40]:
+        found = out[r.doc_id]
+        at, starts = language_id.trigrams(r.text or "", len(log_p))
+        if not len(at):
+            assert (found.lang_pred, found.score) == ("und", 0.0)
+            continue
+        words = [[float(log_p[at[a:b], k].sum()) for k in range(len(model.languages))] for a, b in zip(starts, [*starts[1:], len(at)], strict=True)]
+        every = range(len(model.languages))
+        sets = [(max(sum(w[k] for w in words) for k in every), [max(every, key=lambda k: sum(w[k] for w in words))], [1.0])]
+        order = sorted(every, key=lambda k: (-fitted(words, list(every))[0][k], k))
+        for n in range(2, len(model.languages) + 1):
+            pi, fit = fitted(words, order[:n])
+            sets.append((fit - (n - 1) * 0.5 * math.log(len(words) + 1), order[:n], pi))
+        _, chosen, pi = max(sets, key=lambda x: x[0])
+        assert found.lang_pred == model.languages[chosen[max(range(len(pi)), key=lambda k: pi[k])]]
+        if len(pi) > 1:
+            assert abs(found.score - max(pi)) < 1e-6
+    long = max((r.text for r in rows if r.text), key=len)
+    assert language_id._inferred(model, long, 500)[0] == language_id._inferred(model, long)[0]
+    clash = language_id.identified(docs.withColumns({"_text": F.lit("x"), "languages": F.lit(1)}), model)
+    assert clash.where("_text = 'x'").count() == len(rows)
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://EXAMPLE.com/en/x", "https://www.example.com/en/", "http://a.example.com/en/1?q", "http://x.net/es/2#a", "http://com/", "http://sub.org?/p", "ftp://h/p/q"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -151,11 +284,19 @@ ODD_TEXTS = ["It's  a\ttest, isn't it?", "naïve ÉCOLE œuvre — “x”", "
 
 
 def test_token_files(spark, tmp_path):
-    docs = odd_docs(spark, [(100 + k, t, "en", "s", 0) for k, t in enumerate(ODD_TEXTS)])
+    more = [(100 + k, t, "en", "s", 0) for k, t in enumerate(ODD_TEXTS)] + [(None, f"hot {k}", "en", "s", 0) for k in range(400)]
+    docs = odd_docs(spark, more).withColumns({"again": F.lit("x"), "shard": F.lit("y")})
     folder = str(tmp_path / "ids")
-    places = token_files.write_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as it is, in several shards
+    try:
+        places = token_files.write_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys = places.select("doc_id", "again")
+    assert keys.distinct().count() == len(more) + 8
+    assert places.where("doc_id IS NULL").select("shard").distinct().count() > 1  # rows of one id spread
     token_files.write_index(places, folder, 3)
-    found = token_files.ids_at(token_files.find(places.select("doc_id", "again"), folder, 3), folder).collect()
+    found = token_files.ids_at(token_files.find(keys, folder, 3), folder, 2).collect()
     plain = tokenizer("word_bpe_49k.json")
     expected = Counter((r.doc_id, np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in docs.collect())
     assert Counter((r.doc_id, bytes(r.ids)) for r in found) == expected
@@ -166,6 +307,58 @@ def test_token_files(spark, tmp_path):
     assert (index.find(token_files.mixed(np.arange(10_000, 20_000, dtype=np.uint64), 1))[0] == -1).all()
 
 
+@pytest.mark.parametrize("name,keeps_space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder(name, keeps_space):
+    """Random texts over ASCII, the listed letters and signs, and some others, as the tokenizers library encodes them whole,
+    with a cache that overflows."""
+    from strandlake.llm import tokens
+
+    rng = random.Random(12)
+    own = [chr(k) for k in range(128)] + [chr(k) for k in range(0xA1, 0x180)] + list(tokens.SIGNS) + ["日", "́", " ", "K", "<|", "'s", "'LL", "  ", "\n\n", "<|endoftext|>"]
+    plain, encode = tokenizer(name), tokens.Encoder(public_tokenizers.path(name), keeps_space, cached=300, chars=3000)
+    for k in range(300):
+        letters = own if k % 2 else [c for c in own if not tokens.ODD.search(c)]
+        texts = ["".join(rng.choice(rng.choice((letters, "abc 'st\n"))) for _ in range(rng.randrange(60))) for _ in range(5)]
+        ids, sizes = encode(texts, 1)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+@pytest.mark.parametrize("query", ["op5", "op8"])
+def test_token_queries(spark, query):
+    """start, length and check sum of op5 and op8 by the tokenizers library on whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    plain = tokenizer("word_bpe_49k.json" if query == "op5" else "byte_bpe_50k.json")
+    ids = {r.doc_id: np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in docs}
+    if query == "op5":
+        before, expected = 0, []
+        for r in docs:
+            expected.append((r.doc_id, before, len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id].tobytes())))
+            before += len(ids[r.doc_id])
+        assert sorted(tuple(r)[:4] for r in token_files.op5_token_files(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == expected
+        return
+    rows = sorted(packing.op8_packing(spark, SF).collect(), key=lambda r: (r.doc_id, r.start))
+    upto, at = Counter(), Counter()
+    for r in rows:
+        own = ids[r.doc_id]
+        assert r.start == upto[r.doc_id] and r.doc_tokens == len(own)
+        assert r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+        upto[r.doc_id] += r.length
+    assert upto == {k: len(x) for k, x in ids.items()}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 2048
+    groups = {}
+    for r in rows:
+        groups[r.step_group] = groups.get(r.step_group, 0) + r.length
+    by_part = {}
+    for g, n in groups.items():
+        by_part.setdefault(g >> 40, []).append((g, n))
+    for own in by_part.values():  # all groups but a partition's last ones hold about as many tokens
+        full = [n for _, n in sorted(own)[:-1]]
+        assert not full or max(full) <= 8 * 2048 and min(full) >= 4 * 2048
+
+
 def test_quality_counts(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 2, 3, 4, 50, 200)] + ["x # y\nx # y\n\n  \nz <|>", *ODD_TEXTS]
@@ -457,6 +650,34 @@ def test_recall(spark, n, tile, setting):
     assert own[: n // 3 * 3].sum() >= 0.9 * true[: n // 3 * 3].sum() > 0
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows(spark, k):
+    """Nulls, an empty and a long text, repeated rows, an empty table, and columns with the names that stages use inside."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    clash = {c: F.lit(c) for c in ("n", "_text", "target", "source_size", "row", "line", "key", "size", "words", "finish", "k_id", "stays", "rule", "kept", "n_words", "score", "evidence", "languages")}
+    docs = odd_docs(spark).withColumns(clash)
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    if k < 4:
+        assert out.columns == docs.columns and all(r.n == "n" and r._text == "_text" and r.key == "key" and r.score == "score" for r in rows)
+    if name == "simhash near-duplicates":
+        assert Counter(r.doc_id for r in rows) == Counter([1, 4, None, 6])
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_chat_rows_of_a_long_context(spark):
+    """Turns beyond the length of a row go on in the next row of the same example."""
+    rows = [(1, 0, "user", "x" * 50), (1, 1, "user", "y" * 50), (1, 2, "assistant", "first"), (1, 3, "user", "z"), (1, 4, "assistant", "second")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    cut, whole = (chat_format.steps(turns, n) for n in (60, 10_000))
+    ends = [[(r.example, r.n_turns) for r in x.orderBy("part").collect() if r.loss_from is not None] for x in (cut, whole)]
+    assert ends[0] == ends[1] == [(0, 3), (1, 2)] and cut.count() > whole.count()
+    assert [x.collect() for x in map(chat_format.read_back, map(chat_format.written, (cut, whole)))][0] == chat_format.digest(whole).collect()
+    assert chat_format.expanded(cut).orderBy("example").collect() == chat_format.expanded(whole).orderBy("example").collect()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

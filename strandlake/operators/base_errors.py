@@ -78,8 +78,9 @@ def native_pileup(alignments: DataFrame, sequences: DataFrame, min_mapq: int = 2
     """contig, pos, depth, bases from alignments (rname, pos, flag, mapq, cigar, seq) and contigs (name, sequence).
 
     Each aligned base is a row until counted, so a column's bases are gathered by (contig, pos) with a partial count of
-    equal symbols first: a deep column is a few counts. Symbols are of match `.`, mismatch, and `*` for deleted bases;
-    unmapped, secondary, failed and duplicate reads are left out, supplementary ones stay.
+    equal symbols first: a deep column is a few counts. Symbols are of match `.`, mismatch, and `*` for deleted bases; after
+    them come the marks of insertions (`+2AC`) and deletions (`-1N`) that begin behind the column, which don't add to
+    depth. Unmapped, secondary, failed and duplicate reads are left out, supplementary ones stay.
     """
     from .cigar import operations
 
@@ -90,18 +91,26 @@ def native_pileup(alignments: DataFrame, sequences: DataFrame, min_mapq: int = 2
         lambda s, x: F.struct(
             (s["ref"] + F.when(x["op"].isin("M", "=", "X", "D", "N"), x["n"]).otherwise(0)).alias("ref"),
             (s["query"] + F.when(x["op"].isin("M", "=", "X", "I", "S"), x["n"]).otherwise(0)).alias("query"),
-            F.when(x["op"].isin("M", "=", "X", "D"), F.concat(s["runs"], F.array(F.struct(s["ref"].alias("ref"), s["query"].alias("query"), x["n"].alias("n"), x["op"].alias("op"))))).otherwise(s["runs"]).alias("runs"),
+            F.when(x["op"].isin("M", "=", "X", "D", "I"), F.concat(s["runs"], F.array(F.struct(s["ref"].alias("ref"), s["query"].alias("query"), x["n"].alias("n"), x["op"].alias("op"))))).otherwise(s["runs"]).alias("runs"),
         ),
         lambda s: s["runs"],
     )
-    runs = reads.select(F.col("rname").alias("contig"), "seq", F.explode(step).alias("r"))
-    bases = runs.select("contig", "seq", "r", F.explode(F.expr("sequence(0L, r.n - 1)")).alias("k"))
-    bases = bases.select("contig", (F.col("r.ref") + F.col("k")).alias("pos"), F.when(F.col("r.op") == "D", "*").otherwise(F.upper(F.substring(F.col("seq"), (F.col("r.query") + F.col("k")).cast("int"), F.lit(1)))).alias("base"))
+    runs = reads.select(F.col("rname").alias("contig"), "pos", "seq", F.explode(step).alias("r"))
+    # A run's columns from the first on; a mark stands before them, at the column that the indel follows.
+    first = F.when(F.col("r.op").isin("I", "D") & (F.col("r.ref") > F.col("pos")), -1).otherwise(0).cast("long")
+    last = F.when(F.col("r.op") == "I", -1).otherwise(F.col("r.n") - 1)
+    bases = runs.where(first <= last).select("contig", "seq", "r", F.explode(F.sequence(first, last)).alias("k"))
+    part = lambda at, n: F.upper(F.substring(F.col("seq"), at.cast("int"), n.cast("int")))
+    mark = F.when(F.col("r.op") == "D", F.concat(F.lit("-"), F.col("r.n").cast("string"), F.repeat(F.lit("N"), F.col("r.n").cast("int")))).otherwise(F.concat(F.lit("+"), F.col("r.n").cast("string"), part(F.col("r.query"), F.col("r.n"))))
+    symbol = F.when(F.col("k") < 0, mark).when(F.col("r.op") == "D", "*").otherwise(part(F.col("r.query") + F.col("k"), F.lit(1)))
+    bases = bases.select("contig", (F.col("r.ref") + F.col("k")).alias("pos"), symbol.alias("base"))
     counted = bases.groupBy("contig", "pos", "base").agg(F.count("*").alias("n"))
     # The reference in pieces of `width` positions, so that no row of the join holds a contig.
     pieces = sequences.select(F.col("name").alias("contig"), F.explode(F.expr(f"transform(sequence(0, (length(sequence) - 1) div {width}), k -> struct(k AS piece, substring(sequence, k * {width} + 1, {width}) AS part))")).alias("p")).select("contig", "p.*")
     counted = counted.withColumn("piece", F.expr(f"CAST((pos - 1) div {width} AS INT)"))
-    spots = counted.groupBy("contig", "piece", "pos").agg(F.collect_list(F.struct("base", "n")).alias("found"), F.sum("n").alias("depth"))
+    spots = counted.groupBy("contig", "piece", "pos").agg(
+        F.collect_list(F.struct(F.length("base").alias("long"), "base", "n")).alias("found"), F.sum(F.when(F.length("base") == 1, F.col("n")).otherwise(0)).alias("depth")
+    )
     out = spots.join(pieces, ["contig", "piece"]).withColumn("ref", F.expr(f"upper(substring(part, CAST((pos - 1) % {width} AS INT) + 1, 1))"))
     symbols = F.transform(F.array_sort("found"), lambda x: F.repeat(F.when(x["base"] == F.col("ref"), ".").otherwise(x["base"]), x["n"].cast("int")))
     return out.select("contig", "pos", "ref", "depth", F.array_join(symbols, "").alias("bases"))

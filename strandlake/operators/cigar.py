@@ -5,7 +5,6 @@ All are column expressions over one row's array, so a scan of alignments stays a
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,33 +57,31 @@ def merged_deletions(dels: Column, gap: int = 500) -> Column:
     return F.aggregate(dels, start, step, lambda s: s["out"])
 
 
-def _joined(items: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Insertions joined from the right; each join looks again at all of them, as a sum may open a wider window."""
-    items = list(items)
-    k = len(items) - 1
-    while k > 0:
-        most = max(items[k][1], items[k - 1][1])
-        if items[k][0] - items[k - 1][0] <= (400 if 100 <= most < 500 else 600):
-            items[k - 1 : k + 1] = [(items[k - 1][0], items[k - 1][1] + items[k][1])]
-            k = len(items)
-        k -= 1
-    return items
+def merged_insertions(ins: Column) -> Column:
+    """Insertions joined from the right: each takes the ones after it while they are near, and a sum may open a wider
+    window. The state is what is joined so far, from the left."""
+    none = F.array().cast(INDELS)
 
+    def add(done: Column, x: Column) -> Column:
+        def join(s: Column, y: Column) -> Column:
+            most = F.greatest(s["own"]["len"], y["len"])
+            near = s["open"] & (y["pos"] - s["own"]["pos"] <= F.when(most.between(100, 499), 400).otherwise(600))
+            sum_of = F.struct(s["own"]["pos"].alias("pos"), (s["own"]["len"] + y["len"]).alias("len"))
+            rest = F.when(near, s["rest"]).otherwise(F.concat(s["rest"], F.array(y)))
+            return F.struct(F.when(near, sum_of).otherwise(s["own"]).alias("own"), rest.alias("rest"), near.alias("open"))
 
-def _merged_insertions(ins: pd.Series) -> pd.Series:
-    return ins.map(lambda x: [{"pos": p, "len": n} for p, n in _joined([(i["pos"], i["len"]) for i in x])])
+        return F.aggregate(done, F.struct(x.alias("own"), none.alias("rest"), F.lit(True).alias("open")), join, lambda s: F.concat(F.array(s["own"]), s["rest"]))
+
+    return F.when(F.size(ins) > 1, F.aggregate(F.reverse(ins), none, add)).otherwise(ins)
 
 
 def with_cigar(alignments: DataFrame, min_size: int = 50, largest: int = 4_000_000) -> DataFrame:
     """alignments with ref_len, query_len, left_clip, right_clip, insertions and deletions (merged, at least min_size)."""
     out = alignments.withColumn("_ops", operations(F.col("cigar"))).withColumn("_w", walked(F.col("_ops"), F.col("pos"), largest=largest))
     long = lambda a: F.filter(a, lambda x: x["len"] >= min_size)
-    # Only rows with several insertions need the fold in Python; all others keep theirs.
-    several = F.when(F.size("_w.ins") > 1, F.col("_w.ins")).otherwise(F.array().cast(INDELS))
-    out = out.withColumn("_merged", F.pandas_udf(_merged_insertions, INDELS)(several))
     return out.select(
         *alignments.columns,
         F.col("_w.ref").alias("ref_len"), F.col("_w.query").alias("query_len"), F.col("_w.left").alias("left_clip"), F.col("_w.right").alias("right_clip"),
-        long(F.when(F.size("_w.ins") > 1, F.col("_merged")).otherwise(F.col("_w.ins"))).alias("insertions"),
+        long(merged_insertions(F.col("_w.ins"))).alias("insertions"),
         long(merged_deletions(F.col("_w.dels"))).alias("deletions"),
     )

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import depth_regions, depth_segments, overlaps, without_small_twin
@@ -135,23 +135,24 @@ def merged(members: DataFrame, keys: list[str], support: int) -> DataFrame:
     return rows.select(*dict.fromkeys([*keys, "contig", "pos", "size", "mapq", "read"])).groupBy(*keys).applyInPandas(fold, EVENT)
 
 
-def marks(signals: DataFrame, lengths: DataFrame, point: bool, half: int = 101) -> DataFrame:
+def marks(signals: DataFrame, lengths: DataFrame, point: bool | Column, half: int = 101) -> DataFrame:
     """Where a small signal adds to depth: its span, or `half` positions around a point; cut to the contig."""
-    start = F.greatest(F.col("pos") - (half if point else 1), F.lit(0))
-    end = F.col("pos") + (F.lit(half) if point else F.col("size"))
+    point = F.lit(point) if isinstance(point, bool) else point
+    start = F.greatest(F.col("pos") - F.when(point, half).otherwise(1), F.lit(0))
+    end = F.col("pos") + F.when(point, F.lit(half)).otherwise(F.col("size"))
     rows = signals.join(lengths.select(F.col("name").alias("contig"), F.col("length").alias("_len")), "contig")
     return rows.select("contig", F.least(start, F.col("_len") - 1).alias("m_from"), F.least(end, F.col("_len")).alias("m_to"))
 
 
-def in_regions(signals: DataFrame, regions: DataFrame, point: bool, half: int = 50) -> DataFrame:
+def in_regions(signals: DataFrame, regions: DataFrame, point: bool | Column, half: int = 50) -> DataFrame:
     """signals with each depth region (r_from, r_to) that they belong to; a signal may have none or several."""
+    point = F.lit(point) if isinstance(point, bool) else point
     pos, size = F.col("pos"), F.col("size")
-    left = F.greatest(pos - half, F.lit(0)) if point else pos
-    rows = signals.withColumns({"l_from": left, "l_to": pos + (F.lit(half) if point else size)})
+    rows = signals.withColumns({"l_from": F.when(point, F.greatest(pos - half, F.lit(0))).otherwise(pos), "l_to": pos + F.when(point, F.lit(half)).otherwise(size)})
     return overlaps(rows, regions).drop("l_from", "l_to")
 
 
-def small_regions(signals: DataFrame, lengths: DataFrame, point: bool, max_depth: int) -> DataFrame:
+def small_regions(signals: DataFrame, lengths: DataFrame, point: bool | Column, max_depth: int) -> DataFrame:
     return depth_regions(settled(depth_segments(marks(signals, lengths, point)))).where(F.col("most") <= max_depth).drop("most")
 
 
@@ -164,23 +165,33 @@ def large_events(signals: DataFrame, support: int) -> DataFrame:
     return merged(with_cluster(signals.where(F.col("size") > LARGE), ["contig"]), ["contig", "cluster"], support)
 
 
-def small_events(signals: DataFrame, lengths: DataFrame, support: int, max_depth: int, point: bool) -> DataFrame:
+def small_events(signals: DataFrame, lengths: DataFrame, support: int, max_depth: int, point: bool | Column) -> DataFrame:
     small = signals.where(F.col("size") <= LARGE)
     return merged(in_regions(small, small_regions(small, lengths, point, max_depth), point), ["contig", "r_from", "r_to"], support)
 
 
-def clustered(signals: DataFrame, lengths: DataFrame, support: int, max_depth: int, kind: str) -> DataFrame:
-    """All events of a kind: small ones, and large ones that no small one of a similar size overlaps."""
-    own, point = signals_of(signals, kind), kind != "D"
-    small = settled(small_events(own, lengths, support, max_depth, point))
-    return without_small_twin(large_events(own, support), small, point).unionByName(small)
+def clustered(signals: DataFrame, lengths: DataFrame, support: int, max_depth: int, point: bool | Column) -> DataFrame:
+    """All events: small ones, and large ones that no small one of a similar size overlaps."""
+    small = settled(small_events(signals, lengths, support, max_depth, point))
+    return without_small_twin(large_events(signals, support), small, point).unionByName(small)
+
+
+#: Kinds of signals and what they are events of: deletions expand the assembly, insertions collapse it.
+EVENT_TYPES = {"D": "Expansion", "I": "Collapse", "INV": "Inversion"}
 
 
 def events(signals: DataFrame, lengths: DataFrame, support: int, max_depth: int, min_size: int = 50, max_size: int = 4_000_000) -> DataFrame:
-    """contig, start, end, cnt, etype, size, reads, tag: deletions expand the assembly, insertions collapse it."""
-    out = None
-    for kind, etype, end in (("D", "Expansion", F.col("pos") + F.col("size")), ("I", "Collapse", F.col("pos") + 1), ("INV", "Inversion", F.col("pos") + F.col("size"))):
-        rows = clustered(signals, lengths, support, max_depth, kind).where(F.col("size").between(min_size, max_size))
-        rows = rows.select("contig", F.col("pos").alias("start"), end.alias("end"), "cnt", F.lit(etype).alias("etype"), "size", "reads", "tag")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """contig, start, end, cnt, etype, size, reads, tag.
+
+    Kinds don't meet. They go through one chain of steps, in which a kind's contig has a name of its own: the contig's,
+    after the kind and a tab."""
+    kind = F.substring_index("sig_type", "-", 1)
+    own = signals.where(kind.isin(*EVENT_TYPES)).withColumn("contig", F.concat(kind, F.lit("\t"), "contig"))
+    names = lengths.select(F.explode(F.array(*map(F.lit, EVENT_TYPES))).alias("kind"), "name", "length")
+    names = names.select(F.concat("kind", F.lit("\t"), "name").alias("name"), "length")
+    point = ~F.col("contig").startswith("D\t")
+    rows = clustered(own, names, support, max_depth, point).where(F.col("size").between(min_size, max_size))
+    etype = F.create_map(*[F.lit(x) for pair in EVENT_TYPES.items() for x in pair])[F.substring_index("contig", "\t", 1)]
+    rows = rows.withColumns({"etype": etype, "contig": F.expr("substring(contig, instr(contig, '\t') + 1)")})
+    end = F.col("pos") + F.when(F.col("etype") == "Collapse", 1).otherwise(F.col("size"))
+    return rows.select("contig", F.col("pos").alias("start"), end.alias("end"), "cnt", "etype", "size", "reads", "tag")

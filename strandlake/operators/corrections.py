@@ -1,17 +1,18 @@
 """Sequences patched by their errors.
 
-A sequence's edits are applied from the last start to the first, so that earlier coordinates stay true: one expression
-folds a sorted array of edits over the string. Edits of a contig are few beside its bases.
+A sequence's edits are applied from the last start to the first, so that earlier coordinates stay true. What lies behind
+the current edit is a stack of pieces, of which an edit takes as much as it covers: no edit copies the sequence, and the
+pieces are joined once. Contigs without edits don't leave the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import reverse_complement
+from .contig_stats import n50
 
-EDIT = "array<struct<start:bigint,end:bigint,sv_type:string,size:bigint>>"
 #: Types of evaluated events by the edit that mends them.
 EVENT_EDITS = {"Expansion": "INS", "Collapse": "DEL", "Inversion": "INV"}
 
@@ -20,45 +21,58 @@ def supported(edits: DataFrame, least: int = 1) -> DataFrame:
     return edits.where(F.col("support") >= least)
 
 
-def _parts(s: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
-    head = F.substr(s, F.lit(1), start.cast("int"))
-    middle = F.substr(s, start.cast("int") + 1, (end - start).cast("int"))
-    return head, middle, F.substr(s, end.cast("int") + 1, F.greatest(F.length(s) - end, F.lit(0)).cast("int"))
-
-
-def _filled(n: Column) -> Column:
-    return F.repeat(F.lit("N"), n.cast("int"))
-
-
-def base_edit(s: Column, e: Column) -> Column:
-    """A SNP becomes N, inserted bases go, deleted ones come back as N; an edit out of range changes nothing."""
-    start, end, n = e["start"], e["end"], F.length(s)
-    head, _, tail = _parts(s, start, end)
-    kind = e["sv_type"]
-    return (
-        F.when((kind == "SNP") & (start < n), F.concat(head, F.lit("N"), F.substr(s, start.cast("int") + 2, n)))
-        .when(kind.isin("insertion", "INS") & (end < n) & (start <= end), F.concat(head, tail))
-        .when(kind.isin("deletion", "DEL") & (start <= n), F.concat(head, _filled(F.abs(e["size"])), F.substr(s, start.cast("int") + 1, n)))
-        .otherwise(s)
-    )
-
-
-def structural_edit(s: Column, e: Column) -> Column:
-    """A deletion becomes at most its span of N, an insertion goes, an inversion is turned back."""
-    start, end, n = e["start"], e["end"], F.length(s)
-    head, middle, tail = _parts(s, start, end)
-    kind, inside = e["sv_type"], (start < n) & (start <= end)
-    return (
-        F.when((kind == "DEL") & inside, F.concat(head, _filled(F.least(F.abs(e["size"]), end - start)), tail))
-        .when((kind == "INS") & inside & (end <= n), F.concat(head, tail))
-        .when((kind == "INV") & inside & (end <= n), F.concat(head, reverse_complement(middle), tail))
-        .otherwise(s)
-    )
-
-
-def edited(sequence: Column, edits: Column, one=base_edit) -> Column:
-    """A sequence after its edits (EDIT), from the right to the left."""
-    return F.aggregate(F.reverse(F.array_sort(edits)), sequence, one)
+COMPLEMENT = str.maketrans("ACGTacgt", "TGCATGCA")
+
+
+def patched(sequence: str, edits: list, structural: bool) -> str:
+    """A sequence after its edits (rows of start, end, sv_type, size), from the right to the left.
+
+    Base edits: a SNP becomes N, inserted bases go, deleted ones come back as N. Structural ones: a deletion becomes at most
+    its span of N, an insertion goes, an inversion is turned back. An edit out of range changes nothing."""
+    behind: list[str] = []  # the last one is the leftmost
+    at = n = len(sequence)
+
+    def take(size: int) -> str:
+        """The next characters, no more than there are."""
+        out = []
+        while size > 0 and behind:
+            piece = behind.pop()
+            out.append(piece[:size])
+            if len(piece) > size:
+                behind.append(piece[size:])
+            size -= len(out[-1])
+        return "".join(out)
+
+    for e in sorted(edits, key=lambda e: (e["start"], e["end"], e["sv_type"], e["size"]), reverse=True):
+        start, end, kind, size = e["start"], e["end"], e["sv_type"], abs(e["size"])
+        if not 0 <= start < n:
+            continue
+        ordered = start <= end
+        if kind in ("deletion", "DEL"):
+            if structural and not ordered:
+                continue
+            gone, make = (end - start, lambda _, k=min(size, end - start): "N" * k) if structural else (0, lambda _, k=size: "N" * k)
+        elif kind in ("insertion", "INS") and ordered and end < n:
+            gone, make = end - start, lambda _: ""
+        elif kind == "SNP" and not structural:
+            gone, make = 1, lambda _: "N"
+        elif kind in ("inversion", "INV") and structural and ordered and end <= n:
+            gone, make = end - start, lambda x: x[::-1].translate(COMPLEMENT)
+        else:
+            continue
+        if start < at:
+            behind.append(sequence[start:at])
+            at = start
+        old = take(gone)
+        new = make(old)
+        behind.append(new)
+        n += len(new) - len(old)
+    return sequence[:at] + "".join(reversed(behind))
+
+
+def _patched(sequence: pd.Series, base: pd.Series, structural: pd.Series) -> pd.Series:
+    none = lambda x: [] if x is None else x
+    return pd.Series([None if s is None else patched(patched(s, none(b), False), none(e), True) for s, b, e in zip(sequence, base, structural, strict=True)], dtype=object)
 
 
 def corrected(contigs: DataFrame, base: DataFrame, structural: DataFrame) -> DataFrame:
@@ -66,9 +80,9 @@ def corrected(contigs: DataFrame, base: DataFrame, structural: DataFrame) -> Dat
     gathered = lambda df, name: df.groupBy("chrom").agg(F.collect_list(F.struct(*[(F.col(c) if c == "sv_type" else F.col(c).cast("long")).alias(c) for c in ("start", "end", "sv_type", "size")])).alias(name))
     out = contigs.join(gathered(base, "_b"), F.col("name") == F.col("chrom"), "left").drop("chrom")
     out = out.join(gathered(structural, "_s"), F.col("name") == F.col("chrom"), "left").drop("chrom")
-    none = F.array().cast(EDIT)
-    patched = edited(edited(F.col("sequence"), F.coalesce("_b", none)), F.coalesce("_s", none), structural_edit)
-    return out.withColumn("sequence", patched).drop("_b", "_s")
+    own = F.when(F.col("_b").isNotNull() | F.col("_s").isNotNull(), F.col("sequence"))
+    new = F.pandas_udf(_patched, "string")(own, F.col("_b"), F.col("_s"))
+    return out.withColumn("sequence", F.coalesce(new, "sequence")).drop("_b", "_s")
 
 
 def edits_of_events(final: DataFrame) -> DataFrame:
@@ -84,3 +98,12 @@ def corrected_bases(base: DataFrame, structural: DataFrame) -> DataFrame:
     n = base.agg(F.count("*").alias("n_base"), F.coalesce(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(1))), F.lit(0)).alias("_b"))
     m = structural.agg(F.count("*").alias("n_structural"), F.coalesce(F.sum(F.abs("size")), F.lit(0)).alias("_s"))
     return n.join(F.broadcast(m), F.lit(True)).select("n_base", "n_structural", (F.col("_b") + F.col("_s")).cast("long").alias("corrected_bases"))
+
+
+def correction_summary(base: DataFrame, structural: DataFrame, contigs: DataFrame) -> DataFrame:
+    """One row: edits by kind and in all, and the length, number and N50 of the corrected contigs (name, sequence)."""
+    lengths = contigs.select(F.length("sequence").cast("long").alias("length"))
+    n = base.agg(F.count("*").alias("n_base")).join(structural.agg(F.count("*").alias("n_structural")), F.lit(True))
+    sums = lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_length"), F.count("*").alias("n_contigs"))
+    out = n.join(sums, F.lit(True)).join(n50(lengths), F.lit(True), "left").fillna(0, ["n50"])
+    return out.select("n_base", "n_structural", (F.col("n_base") + F.col("n_structural")).alias("n_edits"), "total_length", "n_contigs", "n50")

@@ -120,7 +120,7 @@ def depth_regions(segments: DataFrame, threshold: int = 3, width: int = 1 << 20)
     return plain.unionByName(folded)
 
 
-def without_small_twin(large: DataFrame, small: DataFrame, point: bool, ratio: float = 0.8) -> DataFrame:
+def without_small_twin(large: DataFrame, small: DataFrame, point: bool | Column, ratio: float = 0.8) -> DataFrame:
     """large (contig, pos, size, ...) without rows that a small one of a similar size overlaps; a small one ends at
     pos + 1 where point, else at pos + size."""
     # Sizes within the ratio are in classes next to each other; in a class, an interval touches two or three bins.
@@ -130,7 +130,7 @@ def without_small_twin(large: DataFrame, small: DataFrame, point: bool, ratio: f
     width = F.greatest(F.pow(F.lit(step), F.col("_k")), F.lit(1.0)).cast("long")
     big = spots(large, "_lp", "_ls").withColumn("_w", width).withColumn("_bin", bins("_lp", "(_lp + _ls)"))
     other = spots(small, "_sp", "_ss").withColumn("_k", F.explode(F.expr("sequence(_k - 2, _k + 2)"))).withColumn("_w", width)
-    end: Column = F.col("_sp") + (F.lit(1) if point else F.col("_ss"))
+    end = F.col("_sp") + F.when(F.lit(point) if isinstance(point, bool) else point, 1).otherwise(F.col("_ss"))
     other = other.withColumn("_se", end.cast("long")).withColumn("_bin", bins("_sp", "_se")).drop("_w")
     met = (F.least(F.col("_lp") + F.col("_ls"), F.col("_se")) > F.greatest("_lp", "_sp")) & F.col("_ls").between(ratio * F.col("_ss"), F.col("_ss") / ratio)
     twins = big.join(other, ["contig", "_k", "_bin"]).where(met).select("contig", F.col("_lp").alias("pos"), F.col("_ls").alias("size")).distinct()

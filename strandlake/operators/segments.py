@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 SIGNAL = ("contig", "pos", "size", "sig_type", "read", "flag", "mapq")
 
 
@@ -63,13 +65,16 @@ def segment_signals(aligned: DataFrame, min_size: int = 50, max_size: int = 4_00
 
 
 def cigar_signals(aligned: DataFrame) -> DataFrame:
-    one = lambda column, kind: aligned.select("*", F.explode(column).alias("x")).select(
-        F.col("rname").alias("contig"), "x.pos", F.col("x.len").alias("size"), F.lit(kind).alias("sig_type"), F.col("qname").alias("read"), "flag", "mapq"
-    )
-    return one("insertions", "I-cigar").unionByName(one("deletions", "D-cigar"))
+    named = lambda column, kind: F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x["pos"].alias("pos"), x["len"].alias("len")))
+    both = F.concat(named("insertions", "I-cigar"), named("deletions", "D-cigar"))
+    # explode would add a filter on the array's size below, and so make the array twice.
+    rows = aligned.select("rname", "qname", "flag", "mapq", F.explode_outer(both).alias("x")).where("x IS NOT NULL")
+    return rows.select(F.col("rname").alias("contig"), "x.pos", F.col("x.len").alias("size"), F.col("x.kind").alias("sig_type"), F.col("qname").alias("read"), "flag", "mapq")
 
 
 def signals(aligned: DataFrame, min_size: int = 50, max_size: int = 4_000_000) -> DataFrame:
-    """All signals of alignments (rows of `with_cigar`); secondary ones are left out."""
+    """All signals of alignments (rows of `with_cigar`); secondary ones are left out. The CIGAR is walked once: the rows
+    are settled without their strings."""
     rows = aligned.where(F.col("flag").bitwiseAND(256) == 0)
+    rows = settled(rows.select("qname", "rname", "flag", "pos", "mapq", "ref_len", "query_len", "left_clip", "right_clip", "insertions", "deletions"))
     return cigar_signals(rows).unionByName(segment_signals(rows, min_size, max_size))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, checkpointed: later steps read files, and a lost executor doesn't bring the steps before back. The folder is
-    spark.checkpoint.dir; in local mode without it, a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode without it, a temporary folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         at = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,4 +18,15 @@ def settled(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             at = tempfile.mkdtemp(prefix="strandlake-")
         context.setCheckpointDir(at)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed: later steps read files, and a lost executor doesn't bring the steps before back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

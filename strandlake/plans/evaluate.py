@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ from ..operators.settle import settled
 from ..sources.sinks import tall
 
 
+#: Lines of a summary by column.
+LABELS = {
+    "n_contigs": "Number of contigs", "n_valid": "Number of valid contigs", "n_large": "Number of large contigs", "total_length": "Total length", "valid_length": "Length of valid contigs",
+    "large_length": "Length of large contigs", "longest": "Longest contig", "second_longest": "Second longest contig", "n50": "N50", "n50_large": "N50 of large contigs", "n_total": "Alignments", "n_mapped": "Mapped alignments",
+    "n_events": "Structural errors", "n_expansion": "Expansions", "n_collapse": "Collapses", "n_switch": "Haplotype switches", "n_inversion": "Inversions", "n_errors": "Base errors",
+    "n_substitution": "Substitutions", "n_small_collapse": "Small collapses", "n_small_expansion": "Small expansions", "errors_per_mbp": "Base errors per Mbp", "depth": "Depth",
+    "qv_total_length": "QV by total length", "qv_valid_bases": "QV by valid bases",
+}
+
+
 def detect(alignments: DataFrame, large_contigs: DataFrame, config: Config) -> DataFrame:
     """Signals of the alignments on large contigs (name)."""
     rows = alignments.join(large_contigs.select(F.col("name").alias("rname")), "rname", "left_semi")
@@ -33,28 +45,63 @@ def small_scale_errors(pileup: DataFrame, limits: DataFrame, config: Config) ->
     return base_errors.significant(base_errors.candidates(rows, config.min_depth), config)
 
 
-def summary(stats: DataFrame, structural: DataFrame, small: DataFrame, valid: DataFrame) -> DataFrame:
-    """ord, metric, value: contig statistics, structural errors, base errors and both quality values.
+def summary(stats: DataFrame, mapped: DataFrame, structural: DataFrame, small: DataFrame, valid: DataFrame, coverage: int) -> DataFrame:
+    """ord, metric, value: contig statistics, mapping, structural errors, base errors, depth and both quality values.
 
-    All four are small: one row each of stats, structural and small, one row a contig of valid."""
+    All are small: one row each of stats, mapped (n_total, n_mapped), structural and small, one row a contig of valid."""
     bases = valid.agg(F.coalesce(F.sum("valid_bases"), F.lit(0)).cast("long").alias("valid_bases"))
-    both = stats.join(structural, F.lit(True)).join(small, F.lit(True)).join(bases, F.lit(True))
+    both = stats.join(mapped, F.lit(True)).join(structural, F.lit(True)).join(small, F.lit(True)).join(bases, F.lit(True)).withColumn("depth", F.lit(coverage).cast("long"))
     errors = F.col("error_bases") + F.col("n_errors")
     both = both.withColumns({
-        "errors_per_mbp": F.round(contig_stats.per_mbp(F.col("n_errors"), F.col("valid_bases")), 4),
+        "errors_per_mbp": F.round(contig_stats.per_mbp(F.col("n_errors"), F.col("valid_length")), 4),
         "qv_total_length": F.round(contig_stats.quality_value(errors, F.col("valid_length")), 4),
         "qv_valid_bases": F.round(contig_stats.quality_value(errors, F.when(F.col("valid_bases") > 0, F.col("valid_bases")).otherwise(F.col("valid_length"))), 4),
     })
-    labels = {
-        "n_contigs": "Number of contigs", "n_valid": "Number of valid contigs", "n_large": "Number of large contigs", "total_length": "Total length", "valid_length": "Length of valid contigs",
-        "large_length": "Length of large contigs", "longest": "Longest contig", "second_longest": "Second longest contig", "n50": "N50", "n50_large": "N50 of large contigs",
-        "n_events": "Structural errors", "n_expansion": "Expansions", "n_collapse": "Collapses", "n_switch": "Haplotype switches", "n_inversion": "Inversions", "n_errors": "Base errors",
-        "n_substitution": "Substitutions", "n_small_collapse": "Small collapses", "n_small_expansion": "Small expansions", "errors_per_mbp": "Base errors per Mbp",
-        "qv_total_length": "QV by total length", "qv_valid_bases": "QV by valid bases",
-    }
-    return tall(both, labels)
+    return tall(both, LABELS)
 
 
 def correct(contigs: DataFrame, base: DataFrame, structural: DataFrame, config: Config) -> DataFrame:
     """contigs (name, sequence) patched by edits (chrom, start, end, sv_type, size, support) that have enough support."""
     return corrections.corrected(contigs, *(corrections.supported(x, config.min_correction_support) for x in (base, structural)))
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """What an evaluation finds: final structural events, significant base errors, both as edits, and the summary."""
+
+    structural: DataFrame
+    small: DataFrame
+    summary: DataFrame
+
+    def edits(self) -> tuple[DataFrame, DataFrame]:
+        """Base and structural edits (chrom, start, end, sv_type, size, support) that mend the errors."""
+        base = self.small.select(F.col("contig").alias("chrom"), "start", "end", F.col("etype").alias("sv_type"), "size", "support")
+        return base, corrections.edits_of_events(self.structural)
+
+
+def evaluate(contigs: DataFrame, alignments: DataFrame, config: Config, pileup: DataFrame | None = None, support: int | None = None) -> Evaluation:
+    """The whole evaluation of contigs (name, sequence) by alignments of reads (as read_sam gives them). pileup: columns of
+    bases, if they are known; else they are made from the alignments. The depth is a number that all steps use."""
+    lengths = contigs.select("name", F.length("sequence").cast("long").alias("length"))
+    depth = settled(contig_stats.contig_depth(alignments))
+    cover = contig_stats.global_coverage(depth, lengths, config.min_contig_length, config.default_coverage)
+    coverage = cover.first()["coverage"]
+    large = lengths.where(F.col("length") >= config.min_large_contig_length)
+    rows = settled(with_cigar(alignments.where("cigar <> '*'"), config.min_size, config.max_size).select("rname", "pos", "flag", "ref_len"))
+    structural = settled(structural_errors(settled(detect(alignments, large, config)), large, rows, coverage, config, support))
+    valid_contigs = lengths.where(F.col("length") >= config.min_contig_length)
+    limits = settled(contig_stats.contig_coverage(valid_contigs, depth, cover))
+    columns = pileup if pileup is not None else base_errors.native_pileup(alignments, contigs, config.min_mapping_quality)
+    columns = settled(columns.join(limits.select(F.col("name").alias("contig"), "mincount", "maxcov"), "contig"))
+    small = settled(base_errors.significant(base_errors.candidates(columns, config.min_depth), config))
+    counts = base_errors.error_counts(small).withColumnsRenamed({"n_collapse": "n_small_collapse", "n_expansion": "n_small_expansion"})
+    stats = contig_stats.contig_stats(lengths, config.min_contig_length, config.min_large_contig_length)
+    mapped = contig_stats.mapped_stats(alignments).select("n_total", "n_mapped")
+    lines = summary(stats, mapped, reconcile.structural_summary(structural), counts, base_errors.valid_bases(columns, config.min_depth), coverage)
+    return Evaluation(structural, small, lines)
+
+
+def evaluate_and_correct(contigs: DataFrame, alignments: DataFrame, config: Config, pileup: DataFrame | None = None, support: int | None = None) -> tuple[Evaluation, DataFrame]:
+    """The evaluation, and the contigs mended by what it found."""
+    found = evaluate(contigs, alignments, config, pileup, support)
+    return found, correct(contigs, *found.edits(), config)

@@ -91,3 +91,29 @@ def edit_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE p_partkey % 4 WHEN 0 THEN 'SNP' WHEN 1 THEN 'INS' WHEN 2 THEN 'DEL' ELSE 'INV' END AS sv_type",
         "1 + p_partkey % 4 AS size", "1 + p_partkey % 3 AS support",
     )
+
+
+def edit_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four edits for each part, in stretches of 16 of a sequence of 66."""
+    return _table(spark, sf_dir, "part").selectExpr("p_partkey AS p", "explode(sequence(0, 3)) AS k").selectExpr(
+        "concat('p', p) AS chrom", "concat(repeat('ACGTTGCA', 8), 'AC') AS sequence", "16 * k + p % 8 AS start", "16 * k + p % 8 + 1 + p % 4 AS end",
+        "CASE (p + k) % 4 WHEN 0 THEN 'SNP' WHEN 1 THEN 'INS' WHEN 2 THEN 'DEL' ELSE 'INV' END AS sv_type", "1 + p % 4 AS size", "1 + (p + k) % 3 AS support",
+    )
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contig for each customer."""
+    return _table(spark, sf_dir, "customer").selectExpr("concat('k', c_custkey) AS name", "repeat('ACGTTGCAN', CAST(1 + c_custkey % 37 AS INT)) AS sequence")
+
+
+def reads_with_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of 12 bases and their contigs: of every four, one with a mismatch, one with an insertion, one with a deletion."""
+    return _table(spark, sf_dir, "orders").selectExpr(
+        "concat('s', o_orderkey) AS qname", "CAST(if(o_orderkey % 7 = 0, 1024, 0) AS INT) AS flag", "concat('t', o_custkey % 5) AS rname", "1 + (o_custkey % 30) * 20 AS pos", "60 AS mapq",
+        "CASE o_custkey % 4 WHEN 2 THEN '6M2I4M' WHEN 3 THEN '6M1D6M' ELSE '12M' END AS cigar",
+        "CASE o_custkey % 4 WHEN 0 THEN 'ACGTACGTACGT' WHEN 1 THEN 'ACGGACGTACGT' WHEN 2 THEN 'ACGTACTTGTAC' ELSE 'ACGTACTACGTA' END AS seq",
+    )
+
+
+def read_contigs(spark: SparkSession) -> DataFrame:
+    return spark.range(5).selectExpr("concat('t', id) AS name", "repeat('ACGT', 200) AS sequence")

@@ -13,8 +13,9 @@ from .config import Config
 from .functions import text
 from .operators import base_errors, clusters, contig_stats, corrections, intervals, reconcile, segments
 from .operators.cigar import operations, with_cigar
-from .operators.settle import settled
+from .operators.settle import fresh_folder, settled
 from .plans import evaluate, testdata
+from .sources import sinks, text_formats
 
 FLAGSHIP = "sv_events"
 MIN_LENGTH, LARGE_LENGTH = 1000, 5000
@@ -121,17 +122,110 @@ def base_edits(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return testdata.edit_targets(spark, sf_dir).where(F.col("sv_type").isin(*kinds))
 
 
-def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = testdata.edit_targets(spark, sf_dir)
-    contigs = rows.select(F.col("chrom").alias("name"), "sequence").distinct()
-    return evaluate.correct(contigs, base_edits(spark, sf_dir, "SNP"), base_edits(spark, sf_dir, "INS", "DEL", "INV"), Config(min_correction_support=2))
+def patched(spark: SparkSession, sf_dir: str, base: tuple[str, ...] = ("SNP",), structural: tuple[str, ...] = ("INS", "DEL", "INV")) -> DataFrame:
+    """Four edits a sequence, those of the given types."""
+    rows = testdata.edit_series(spark, sf_dir)
+    of = lambda kinds: rows.where(F.col("sv_type").isin(*kinds))
+    return evaluate.correct(rows.select(F.col("chrom").alias("name"), "sequence").distinct(), of(base), of(structural), Config(min_correction_support=2))
+
+
+def correction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corrections.supported(testdata.edit_series(spark, sf_dir), 2)
+    return corrections.correction_summary(rows.where("sv_type = 'SNP'"), rows.where("sv_type <> 'SNP'"), patched(spark, sf_dir))
+
+
+def text_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value"))
+
+
+def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "fasta")
+    sinks.write_fasta(testdata.sequences(spark, sf_dir), path)
+    return text_formats.read_fasta(spark, path).select("name", "sequence", "length")
+
+
+def valid_contig_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length table of all contigs, and which of them are in the file of valid ones."""
+    path = fresh_folder(spark, "valid")
+    sinks.write_valid_contigs(testdata.sequences(spark, sf_dir), path, 100)
+    valid = text_formats.read_fasta(spark, f"{path}/valid_contig.fa").select("name", F.col("length").alias("valid_length"))
+    both = spark.read.csv(f"{path}/contig_length_info", sep="\t", schema="name string, length long").join(valid, "name", "left")
+    return both.fillna(0, ["valid_length"])
+
+
+def fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "fastq")
+    rows = testdata.reads_with_bases(spark, sf_dir)
+    rows.select(F.concat(F.lit("@"), "qname", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq"))).alias("value")).write.text(path)
+    return text_formats.read_reads(spark, path)
+
+
+def sam_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "sam")
+    rows = testdata.reads_with_bases(spark, sf_dir).withColumns({"star": F.lit("*"), "zero": F.lit(0), "nm": F.lit("NM:i:3")})
+    text_rows(rows, "qname", "flag", "rname", "pos", "mapq", "cigar", "star", "zero", "zero", "seq", "star", "nm").write.text(path)
+    return text_formats.read_sam(spark, path)
+
+
+def pileup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "pileup")
+    text_rows(testdata.pileup(spark, sf_dir), "contig", "pos", "ref", "depth", "bases").write.text(path)
+    return base_errors.with_symbols(text_formats.read_pileup(spark, path)).select("contig", "pos", "depth", "deleted", "eff", "n_a", "n_t")
+
+
+def base_error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits from the workspace's tables of all contigs, as there is no filtered table."""
+    path = fresh_folder(spark, "errors")
+    rows = testdata.edit_targets(spark, sf_dir).select("chrom", "start", "end", "sv_type", "size", "support")
+    for k in (0, 1):
+        sinks.write_table(rows.where(F.col("support") % 2 == k), f"{path}/base_error_workspace/baseerror_{k}.bed", header=False)
+    return text_formats.read_base_errors(spark, path)
+
+
+def structural_error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "structural")
+    rows = final_rows(spark, sf_dir).withColumns({"switch": F.lit(None).cast("string"), "reads": F.array_join("reads", ";")})
+    sinks.write_structural_errors(rows.select(*reconcile.FINAL), f"{path}/structural_error.bed")
+    return text_formats.read_structural_edits(spark, path)
+
+
+def merged_signal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits from the merged signals of all contigs, as there is no table of structural errors."""
+    path = fresh_folder(spark, "merged")
+    for prefix, kind in (("del", "D"), ("ins", "I")):
+        rows = clusters.signals_of(testdata.signals(spark, sf_dir), kind)
+        text_rows(rows, "contig", "pos", "size", "read").write.text(f"{path}/ae_merge_workspace/{prefix}_merged_all")
+    return text_formats.read_structural_edits(spark, path)
+
+
+def counted_signals(signals: DataFrame) -> DataFrame:
+    return signals.groupBy("contig", "sig_type").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bases"), F.max("pos").alias("last"))
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of the whole plan over reads with bases."""
+    rows = contig_stats_reads(spark, sf_dir)
+    return evaluate.evaluate(testdata.read_contigs(spark), rows, SMALL_CONFIG).summary
+
+
+def evaluated_and_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contig_stats_reads(spark, sf_dir)
+    return evaluate.evaluate_and_correct(testdata.read_contigs(spark), rows, SMALL_CONFIG)[1]
+
+
+SMALL_CONFIG = Config(min_contig_length=100, min_large_contig_length=200)
+
+
+def contig_stats_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.reads_with_bases(spark, sf_dir).withColumn("seq_len", F.length("seq").cast("long"))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = contig_stats.contig_stats(testdata.contigs(spark, sf_dir), MIN_LENGTH, LARGE_LENGTH)
     errors = base_errors.error_counts(significant(spark, sf_dir)).withColumnsRenamed({"n_collapse": "n_small_collapse", "n_expansion": "n_small_expansion"})
     valid = base_errors.valid_bases(with_limits(testdata.pileup(spark, sf_dir)), 6)
-    return evaluate.summary(stats, reconcile.structural_summary(final_rows(spark, sf_dir)), errors, valid)
+    mapped = contig_stats.mapped_stats(testdata.alignments(spark, sf_dir)).select("n_total", "n_mapped")
+    return evaluate.summary(stats, mapped, reconcile.structural_summary(final_rows(spark, sf_dir)), errors, valid, 20)
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +239,7 @@ def _coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 def _indels(column: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _aligned(spark, sf_dir).select("qname", "rname", "flag", F.explode(column).alias("x"))
+        rows = _aligned(spark, sf_dir).select("qname", "rname", "flag", F.explode_outer(column).alias("x")).where("x IS NOT NULL")
         return rows.select("qname", "rname", "flag", "x.pos", F.col("x.len").alias("len"))
 
     return run
@@ -188,6 +282,27 @@ def _qv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", F.round(contig_stats.quality_value(F.col("errors"), F.col("bases")), 6).alias("qv"), F.round(contig_stats.per_mbp(F.col("errors"), F.col("bases")), 6).alias("per_mbp"))
 
 
+SERIES = """SELECT 'p'||p AS chrom, p, k, repeat('ACGTTGCA', 8)||'AC' AS sequence, CAST(p%8 AS INT) AS o, CAST(1+p%4 AS INT) AS l,
+ CASE (p+k)%4 WHEN 0 THEN 'SNP' WHEN 1 THEN 'INS' WHEN 2 THEN 'DEL' ELSE 'INV' END AS sv_type, 1+(p+k)%3 AS support FROM (SELECT p_partkey AS p, unnest(range(0, 4)) AS k FROM part)"""
+#: Stretches of 16 are patched each on its own. base: what a deletion makes of its stretch; of: edits that are applied.
+PATCHED = (
+    """SELECT chrom AS name, string_agg(CASE WHEN support < 2 OR NOT ({of}) THEN piece WHEN sv_type='SNP' THEN substr(piece, 1, o)||'N'||substr(piece, o+2) WHEN sv_type='INS' THEN substr(piece, 1, o)||substr(piece, o+l+1)
+ WHEN sv_type='DEL' THEN {base} ELSE substr(piece, 1, o)||reverse(translate(substr(piece, o+1, l), 'ACGT', 'TGCA'))||substr(piece, o+l+1) END, '' ORDER BY k)||'AC' AS sequence
+ FROM (SELECT *, substr(sequence, CAST(16*k+1 AS INT), 16) AS piece FROM ("""
+    + SERIES.replace("{", "{{").replace("}", "}}")
+    + ")) GROUP BY chrom"
+)
+SEQUENCES = "SELECT 'k'||c_custkey AS name, repeat('ACGTTGCAN', 1+c_custkey%37) AS sequence FROM customer"
+BASED = """SELECT 's'||o_orderkey AS qname, CAST(CASE WHEN o_orderkey%7=0 THEN 1024 ELSE 0 END AS INT) AS flag, 't'||(o_custkey%5) AS rname, 1+(o_custkey%30)*20 AS pos, CAST(60 AS INT) AS mapq,
+ CASE o_custkey%4 WHEN 2 THEN '6M2I4M' WHEN 3 THEN '6M1D6M' ELSE '12M' END AS cigar,
+ CASE o_custkey%4 WHEN 0 THEN 'ACGTACGTACGT' WHEN 1 THEN 'ACGGACGTACGT' WHEN 2 THEN 'ACGTACTTGTAC' ELSE 'ACGTACTACGTA' END AS seq FROM orders"""
+NATIVE = """WITH r AS (SELECT o_custkey%5 AS t, 1+(o_custkey%30)*20 AS s, count(*) FILTER (o_custkey%4=0) AS n0, count(*) FILTER (o_custkey%4=1) AS n1, count(*) FILTER (o_custkey%4=2) AS n2, count(*) FILTER (o_custkey%4=3) AS n3
+  FROM orders WHERE o_orderkey%7 <> 0 GROUP BY ALL), j AS (SELECT unnest(range(0, 13)) AS j),
+ c AS (SELECT *, s+j AS pos, CASE WHEN j < 12 THEN n0+n1 ELSE 0 END + CASE WHEN j < 10 THEN n2 ELSE 0 END + n3 AS depth FROM r, j)
+SELECT 't'||t AS contig, pos, substr('ACGT', CAST(1+j%4 AS INT), 1) AS ref, depth, CASE j WHEN 3 THEN repeat('G', n1)||repeat('.', depth-n1) WHEN 6 THEN repeat('*', n3)||repeat('.', depth-n3)
+  WHEN 5 THEN repeat('.', depth)||repeat('-1N', n3)||repeat('+2TT', n2) ELSE repeat('.', depth) END AS bases FROM c WHERE depth > 0"""
+
+
 QUERIES = {
     "contig_stats": (lambda s, d: contig_stats.contig_stats(testdata.contigs(s, d), MIN_LENGTH, LARGE_LENGTH), STATS),
     "n50_by_source": (
@@ -229,7 +344,7 @@ QUERIES = {
     "segment_signals": (lambda s, d: segments.segment_signals(_aligned(s, d).where(F.col("flag").bitwiseAND(256) == 0)), SEG_SIGNALS),
     "cigar_signals": (lambda s, d: segments.cigar_signals(_aligned(s, d).where(F.col("flag").bitwiseAND(256) == 0)), CIGAR_SIGNALS),
     "signal_union": (
-        lambda s, d: segments.signals(_aligned(s, d)).groupBy("contig", "sig_type").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bases"), F.max("pos").alias("last")),
+        lambda s, d: counted_signals(segments.signals(_aligned(s, d))),
         f"SELECT contig, sig_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bases, max(pos) AS last FROM ({CIGAR_SIGNALS} UNION ALL {SEG_SIGNALS}) GROUP BY ALL",
     ),
     "depth_sweep": (_deep, SWEEP + " SELECT contig, CAST(seg_from AS BIGINT) AS seg_from, CAST(seg_to AS BIGINT) AS seg_to, CAST(depth AS BIGINT) AS depth FROM sg WHERE depth > 0 AND seg_to IS NOT NULL"),
@@ -311,11 +426,38 @@ QUERIES = {
     ),
     "qv": (_qv, f"SELECT source, round(-10*log10(count(*)/CAST(sum(length) AS DOUBLE)), 6) AS qv, round(count(*)*1000000/CAST(sum(length) AS DOUBLE), 6) AS per_mbp FROM ({CONTIGS}) GROUP BY source"),
     "bed_support_filter": (lambda s, d: corrections.supported(testdata.edit_targets(s, d), 2).select("chrom", "start", "end", "sv_type", "support"), f'SELECT chrom, s AS "start", e AS "end", sv_type, support FROM ({EDITS}) WHERE support >= 2'),
-    "patched_sequences": (
-        patched,
-        f"""SELECT chrom AS name, CASE WHEN support < 2 THEN sequence WHEN sv_type='SNP' THEN substr(sequence, 1, s)||'N'||substr(sequence, s+2) WHEN sv_type='INS' THEN substr(sequence, 1, s)||substr(sequence, e+1)
- WHEN sv_type='DEL' THEN substr(sequence, 1, s)||repeat('N', CAST(least(size, e-s) AS INT))||substr(sequence, e+1) ELSE substr(sequence, 1, s)||reverse(translate(substr(sequence, s+1, e-s), 'ACGT', 'TGCA'))||substr(sequence, e+1) END AS sequence FROM ({EDITS})""",
+    "patched_sequences": (patched, PATCHED.format(base="substr(piece, 1, o)||repeat('N', least(l, l))||substr(piece, o+l+1)", of="sv_type <> 'none'")),
+    "patched_bases": (
+        lambda s, d: patched(s, d, ("SNP", "INS", "DEL"), ()),
+        PATCHED.format(base="substr(piece, 1, o)||repeat('N', l)||substr(piece, o+1)", of="sv_type <> 'INV'"),
+    ),
+    "correction_summary": (
+        correction_summary,
+        f"""WITH q AS ({PATCHED.format(base="substr(piece, 1, o)||repeat('N', l)||substr(piece, o+l+1)", of="sv_type <> 'none'")}), k AS (SELECT length(sequence) AS length FROM q),
+ e AS (SELECT count(*) FILTER (sv_type = 'SNP') AS a, count(*) AS n FROM ({SERIES}) WHERE support >= 2)
+SELECT e.a AS n_base, e.n - e.a AS n_structural, e.n AS n_edits, CAST((SELECT sum(length) FROM k) AS BIGINT) AS total_length, (SELECT count(*) FROM k) AS n_contigs, CAST({N50.format(where="")} AS BIGINT) AS n50 FROM e""",
+    ),
+    "native_pileup": (lambda s, d: base_errors.native_pileup(testdata.reads_with_bases(s, d), testdata.read_contigs(s)), NATIVE),
+    "fasta_files": (fasta_files, f"SELECT name, sequence, length(sequence) AS length FROM ({SEQUENCES})"),
+    "valid_contig_files": (valid_contig_files, f"SELECT name, length(sequence) AS length, CASE WHEN length(sequence) >= 100 THEN length(sequence) ELSE 0 END AS valid_length FROM ({SEQUENCES})"),
+    "fastq_files": (fastq_files, f"SELECT qname AS name, seq AS sequence, repeat('@', length(seq)) AS qual FROM ({BASED})"),
+    "sam_files": (sam_files, f"SELECT qname, flag, rname, pos, mapq, cigar, seq, length(seq) AS seq_len, CAST(3 AS INT) AS nm FROM ({BASED})"),
+    "pileup_files": (pileup_files, f"SELECT contig, pos, depth, n_star AS deleted, depth-n_star AS eff, n_a, n_t FROM ({PILE})"),
+    "base_error_files": (base_error_files, f'SELECT chrom, s AS "start", e AS "end", sv_type, size, support FROM ({EDITS})'),
+    "structural_error_files": (
+        structural_error_files,
+        FINAL + """ SELECT contig AS chrom, "start", "end", CASE etype WHEN 'Expansion' THEN 'INS' WHEN 'Collapse' THEN 'DEL' ELSE 'INV' END AS sv_type, size, cnt AS support FROM fi""",
+    ),
+    "merged_signal_files": (
+        merged_signal_files,
+        f"""SELECT contig AS chrom, pos-1 AS "start", pos AS "end", CASE WHEN sig_type LIKE 'D-%' THEN 'DEL' ELSE 'INS' END AS sv_type, CAST(1 AS BIGINT) AS size, size AS support FROM ({SIGNALS}) WHERE sig_type NOT LIKE 'INV-%'""",
     ),
+    "detected_signals": (
+        lambda s, d: counted_signals(evaluate.detect(testdata.alignments(s, d), testdata.alignment_contigs(s, d).where("name < 'ctg4'"), Config())),
+        f"SELECT contig, sig_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bases, max(pos) AS last FROM ({CIGAR_SIGNALS} UNION ALL {SEG_SIGNALS}) WHERE contig < 'ctg4' GROUP BY ALL",
+    ),
+    "evaluated": (evaluated, None),
+    "evaluated_and_corrected": (evaluated_and_corrected, None),
     "reverse_complement": (lambda s, d: testdata.edit_targets(s, d).select("chrom", text.reverse_complement(F.col("sequence")).alias("sequence")), f"SELECT chrom, reverse(translate(sequence, 'ACGT', 'TGCA')) AS sequence FROM ({EDITS})"),
     "correction_stats": (
         lambda s, d: corrections.corrected_bases(base_edits(s, d, "SNP"), base_edits(s, d, "INS", "DEL", "INV")),
@@ -329,10 +471,23 @@ QUERIES = {
         lambda s, d: testdata.contigs(s, d).groupBy("source").agg(F.sum("length").alias("n")).select("source", text.human_size(F.col("n")).alias("size")),
         f"SELECT source, CASE WHEN n < 1024 THEN printf('%.2f B', n) WHEN n < 1048576 THEN printf('%.2f KB', n/1024) ELSE printf('%.2f MB', n/1048576) END AS size FROM (SELECT source, CAST(sum(length) AS DOUBLE) AS n FROM ({CONTIGS}) GROUP BY source)",
     ),
-    "summary_statistics": (summary, None),
 }
 
 
+def _summary_sql() -> str:
+    """The summary's lines from the SQL of its parts."""
+    of = lambda name: QUERIES[name][1]
+    small = f"SELECT n_errors, n_substitution, n_collapse AS n_small_collapse, n_expansion AS n_small_expansion FROM ({of('base_error_counts')})"
+    rest = f"""SELECT *, CAST(20 AS BIGINT) AS depth, round(n_errors*1000000.0/valid_length, 4) AS errors_per_mbp, round(-10*log10((error_bases+n_errors)/CAST(valid_length AS DOUBLE)), 4) AS qv_total_length,
+ round(-10*log10((error_bases+n_errors)/CAST(valid_bases AS DOUBLE)), 4) AS qv_valid_bases FROM ({of("contig_stats")}), (SELECT n_total, n_mapped FROM ({of("mapped_flag_stats")})), ({of("structural_summary")}), ({small}),
+ (SELECT CAST(sum(valid_bases) AS BIGINT) AS valid_bases FROM ({of("valid_bases")}))"""
+    lines = ", ".join(f"{{'ord': CAST({k} AS INT), 'metric': '{label}', 'value': CAST({c} AS VARCHAR)}}" for k, (c, label) in enumerate(evaluate.LABELS.items()))
+    return f"SELECT x.ord AS ord, x.metric AS metric, x.value AS value FROM (SELECT unnest([{lines}]) AS x FROM ({rest}))"
+
+
+QUERIES["summary_statistics"] = (summary, _summary_sql())
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in QUERIES.items()}
 

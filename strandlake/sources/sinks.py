@@ -30,3 +30,21 @@ def tall(one_row: DataFrame, names: dict[str, str], first: int = 0) -> DataFrame
 
 def write_summary(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     lines.orderBy("ord").select(F.concat_ws("\t", "metric", "value").alias("value")).coalesce(1).write.mode(mode).text(path)
+
+
+def write_valid_contigs(contigs: DataFrame, folder: str, min_length: int, mode: str = "errorifexists") -> None:
+    """valid_contig.fa: contigs of at least min_length, a sequence in one line; contig_length_info: the lengths of all."""
+    contigs.where(F.length("sequence") >= min_length).select(fasta_record(None).alias("value")).write.mode(mode).text(f"{folder}/valid_contig.fa")
+    contigs.select("name", F.length("sequence").cast("long").alias("length")).write.mode(mode).csv(f"{folder}/contig_length_info", sep="\t", quote="", escape="")
+
+
+#: The columns of a table of structural errors.
+STRUCTURAL_HEADER = (
+    "#Contig_Name", "Start_Position", "End_Position", "Supporting_Read", "Type", "Size", "Haplotype_Info", "Depth_Left", "Depth_Right", "Depth_Min", "Supporting_Read_name", "Haplotype_Switch_Info",
+)
+
+
+def write_structural_errors(final: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Final events as a table, range-sorted by contig and first start."""
+    rows = final.orderBy("contig", F.col("starts")[0], F.col("ends")[0], "etype")
+    write_table(rows.toDF(*STRUCTURAL_HEADER), path, mode=mode)

@@ -102,3 +102,31 @@ def first_of(spark: SparkSession, *paths: str) -> str:
 def read_base_errors(spark: SparkSession, folder: str) -> DataFrame:
     """The filtered table of base errors, else the candidates of all contigs."""
     return read_bed(spark, first_of(spark, f"{folder}/small_scale_error.bed", f"{folder}/base_error_workspace/baseerror_*.bed"))
+
+
+def read_structural_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of structural errors, else the merged signals of all contigs: del_merged_* as deletions and ins_merged_* as
+    insertions, of one position each, whose third field stands for the support."""
+    if exists(spark, f"{folder}/structural_error.bed"):
+        return read_structural_errors(spark, f"{folder}/structural_error.bed")
+    out = spark.createDataFrame([], "chrom string, start long, end long, sv_type string, size long, support long")
+    for prefix, kind in (("del", "DEL"), ("ins", "INS")):
+        path = f"{folder}/ae_merge_workspace/{prefix}_merged_*"
+        if exists(spark, path):
+            pos = F.coalesce(_f(1).try_cast("long"), F.lit(0).cast("long"))
+            rows = _fields(spark, path).where((F.trim("value") != "") & (F.size("f") >= 3))
+            rows = rows.select(_f(0).alias("chrom"), F.greatest(pos - 1, F.lit(0)).alias("start"), pos.alias("end"), F.lit(kind).alias("sv_type"), F.lit(1).cast("long").alias("size"), F.coalesce(_f(2).try_cast("long"), F.lit(1)).cast("long").alias("support"))
+            out = out.unionByName(rows)
+    return out
+
+
+def read_reads(spark: SparkSession, *paths: str) -> DataFrame:
+    """All reads of several files, folders or globs; each must match something."""
+    for path in paths:
+        if not exists(spark, path):
+            raise FileNotFoundError(path)
+    out = None
+    for path in paths:
+        rows = read_fastq(spark, path)
+        out = rows if out is None else out.unionByName(rows)
+    return out

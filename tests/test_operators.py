@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.config import Config
 from strandlake.functions import text
 from strandlake.operators import base_errors, clusters, contig_stats, corrections, intervals, reconcile, segments
-from strandlake.operators.cigar import with_cigar
+from strandlake.operators.cigar import merged_insertions, with_cigar
 
 
 def value(spark, column):
@@ -255,7 +255,77 @@ def test_native_pileup(spark):
     reads = [("c", 1, 0, 60, "4M", "ACGT"), ("c", 2, 0, 60, "1M1D2M", "CTA"), ("c", 1, 256, 60, "4M", "TTTT"), ("c", 1, 0, 5, "4M", "TTTT"), ("c", 1, 2048, 60, "1S2M1I1M", "GACTG")]
     frame = spark.createDataFrame(reads, "rname string, pos long, flag int, mapq int, cigar string, seq string")
     out = base_errors.native_pileup(frame, spark.createDataFrame([("c", "ACGTA")], "name string, sequence string"), width=2)
-    assert [(r.pos, r.ref, r.depth, r.bases) for r in out.orderBy("pos").collect()] == [(1, "A", 2, ".."), (2, "C", 3, "..."), (3, "G", 3, "*.."), (4, "T", 2, ".."), (5, "A", 1, ".")]
+    assert [(r.pos, r.ref, r.depth, r.bases) for r in out.orderBy("pos").collect()] == [(1, "A", 2, ".."), (2, "C", 3, "...+1T-1N"), (3, "G", 3, "*.."), (4, "T", 2, ".."), (5, "A", 1, ".")]
+
+
+def test_indels_of_native_pileup(spark):
+    """Insertions and deletions are called from a pileup made here; one at a read's start has no column."""
+    reads = [("c", 1, 0, 60, "3M2I3M", "ACGTTTAC")] * 5 + [("c", 1, 0, 60, "2M1D3M", "ACTAC")] * 4 + [("c", 2, 0, 60, "2I3M", "GGCGT")]
+    frame = spark.createDataFrame(reads, "rname string, pos long, flag int, mapq int, cigar string, seq string")
+    pileup = base_errors.native_pileup(frame, spark.createDataFrame([("c", "ACGTAC")], "name string, sequence string"))
+    rows = pileup.withColumns({"mincount": F.lit(4).cast("long"), "maxcov": F.lit(20).cast("long")})
+    found = base_errors.candidates(rows, 2).orderBy("start", "etype").collect()
+    assert [(r.start, r.end, r.etype, r.size, r.support) for r in found] == [(1, 2, "deletion", 1, 4), (2, 3, "insertion", 2, 5)]
+
+
+def test_insertions_are_the_plain_ones(spark):
+    """Joined from the right, with a new look at all of them after each join."""
+    rng = random.Random(14)
+    rows = []
+    for _ in range(300):
+        at, own = 0, []
+        for _ in range(rng.randrange(9)):
+            at += rng.choice((100, 390, 410, 590, 610, 900))
+            own.append((at, rng.choice((10, 60, 120, 450, 600))))
+        rows.append(own)
+
+    def plain(items):
+        items, k = list(items), len(items) - 1
+        while k > 0:
+            most = max(items[k][1], items[k - 1][1])
+            if items[k][0] - items[k - 1][0] <= (400 if 100 <= most < 500 else 600):
+                items[k - 1 : k + 1] = [(items[k - 1][0], items[k - 1][1] + items[k][1])]
+                k = len(items)
+            k -= 1
+        return items
+
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, ins array<struct<pos:bigint,len:bigint>>")
+    found = frame.select("k", merged_insertions(F.col("ins")).alias("x")).orderBy("k").collect()
+    assert [[tuple(i) for i in r.x] for r in found] == [plain(x) for x in rows]
+
+
+def plain_patch(s, edits, structural):
+    """Edits one by one, each on a whole new string."""
+    turn = str.maketrans("ACGT", "TGCA")
+    for start, end, kind, size in sorted(edits, reverse=True):
+        n, inside = len(s), start <= end
+        if start >= n:
+            continue
+        if kind == "DEL":
+            if not structural:
+                s = s[:start] + "N" * size + s[start:]
+            elif inside:
+                s = s[:start] + "N" * min(size, end - start) + s[end:]
+        elif kind == "INS" and inside and end < n:
+            s = s[:start] + s[end:]
+        elif kind == "SNP" and not structural:
+            s = s[:start] + "N" + s[start + 1 :]
+        elif kind == "INV" and structural and inside and end <= n:
+            s = s[:start] + s[start:end][::-1].translate(turn) + s[end:]
+    return s
+
+
+def test_many_edits(spark):
+    """Touching, overlapping, tied and out-of-range edits of long sequences, base edits before structural ones."""
+    rng = random.Random(15)
+    schema = "chrom string, start long, end long, sv_type string, size long"
+    contigs = [(f"c{k}", "".join(rng.choice("ACGT") for _ in range(rng.choice((0, 5, 300))))) for k in range(40)]
+    edits = {}
+    for side in (False, True):
+        edits[side] = [(c, at, at + rng.randrange(-1, 30), rng.choice(("SNP", "INS", "DEL", "INV", "x")), rng.randrange(20)) for c, s in contigs[:-3] for at in (rng.randrange(len(s) + 5) for _ in range(12))]
+    out = corrections.corrected(spark.createDataFrame(contigs, "name string, sequence string"), *(spark.createDataFrame(edits[x], schema) for x in (False, True)))
+    own = lambda c, side: [e[1:] for e in edits[side] if e[0] == c]
+    assert {r.name: r.sequence for r in out.collect()} == {c: plain_patch(plain_patch(s, own(c, False), False), own(c, True), True) for c, s in contigs}
 
 
 @pytest.mark.parametrize(
@@ -268,6 +338,11 @@ def test_native_pileup(spark):
         ("ACGATACGT", "structural", [(2, 7, "INV", 5)], "ACGTATCGT"),
         ("ACGTACGTACGTACGT", "base", [(12, 14, "INS", 2), (4, 5, "SNP", 1)], "ACGTNCGTACGTGT"),
         ("ACGT", "base", [(9, 10, "SNP", 1), (0, 1, "other", 1)], "ACGT"),
+        ("ACGT", "base", [(4, 4, "DEL", 3)], "ACGT"),
+        ("ACGT", "base", [(3, 3, "DEL", 3)], "ACGNNNT"),
+        ("ACGT", "structural", [(2, 4, "INS", 2)], "ACGT"),
+        ("ACGT", "structural", [(2, 4, "INV", 2)], "ACAC"),
+        ("ACGT", "structural", [(2, 9, "DEL", 9)], "ACNNNNNNN"),
         ("ACGT", "base", [], "ACGT"),
     ],
 )

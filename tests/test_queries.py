@@ -1,4 +1,4 @@
-"""Every named query with SQL, against DuckDB over the smallest tables; the others must have rows of a stable schema."""
+"""Every named query with SQL, against DuckDB over the smallest tables; the others must have rows and the same ones again."""
 
 import glob
 import os
@@ -31,6 +31,12 @@ def test_same_as_sql(spark, duck, name):
     assert rows(found) == rows(expected)
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql()) - {"reconcile_pairs_all"}))
+def test_rows_again(spark, name):
+    one, two = (queries.queries()[name](spark, SF).toPandas() for _ in range(2))
+    assert (len(one) or name in ("merged_events", "structural_errors")) and rows(one) == rows(two)  # too few signals here for these
+
+
 def test_entry(spark):
     import __spark_entry__
 

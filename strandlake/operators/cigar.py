@@ -14,7 +14,7 @@ INDELS = "array<struct<pos:bigint,len:bigint>>"
 def operations(cigar: Column) -> Column:
     """array<struct<n, op>>: counts and letters in order; `*` has none."""
     found = F.regexp_extract_all(F.coalesce(cigar, F.lit("*")), F.lit(r"(\d+)(\D)"), F.lit(0))
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^\d+", 0).try_cast("long").alias("n"), F.right(x, F.lit(1)).alias("op")))
+    return F.transform(found, lambda x: F.struct(F.substr(x, F.lit(1), F.length(x) - 1).try_cast("long").alias("n"), F.right(x, F.lit(1)).alias("op")))
 
 
 def walked(ops: Column, pos: Column, capture: int = 5, largest: int = 4_000_000) -> Column:

@@ -13,10 +13,10 @@ groups are joined to components. Exact copies share a fingerprint and enter as o
 
 The pipeline's stage looks for near copies, not for near fingerprints: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. By the same method, fingerprints of those sets (of several times 64 bits) are cut into segments
-so that of two such sets one segment differs by at most one bit with a chance of `RECALL` at least (see `layout`), and
-each candidate is verified on the exact sets. First each set is paired with the first near one in each of its groups,
-which joins the large groups of near copies; then all near pairs that are not joined yet are verified, and groups that are
-all joined are left out.
+so that of two such sets one segment differs by at most one bit with a chance of `RECALL` at least (see `layout`). A
+group of a key gives at most one edge a member, to the first one that it is linked to by near fingerprints; the components
+of these edges are clusters, in which all candidates are. Within a cluster, all sets are compared exactly, in tiles, so a
+set travels once a tile and not once a pair, and a tile gives at most one edge a member too.
 
 Defined results: a null or empty text has fingerprint 0 and is linked like any other; a null doc_id belongs to its
 component but is never its least id; repeated rows are all returned, and tied ids are told apart by their texts; a text
@@ -288,42 +288,38 @@ def _near(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     return x[good], y[good]
 
 
-def _first_pairs(ids: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each row of a group, the pair with the first row above it that is near."""
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places, the least one that it is linked to by any path of links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _near_links(ids: np.ndarray, fps: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) that join the rows of a group that near fingerprints join, one a member at most; with side, by pairs of
+    unequal sides only."""
+    label = np.arange(len(ids))
     for k in range(0, len(ids), BLOCK):
-        free = np.arange(k, min(k + BLOCK, len(ids)))
         for j in range(0, k + 1, BLOCK):
-            x, y = _near(fps[:, free], fps[:, j : j + BLOCK], most)
-            x, y = free[x], y + j
-            x, y = x[y < x], y[y < x]
-            x, at = np.unique(x, return_index=True)
-            if len(x):
-                yield ids[x], ids[y[at]]
-                free = np.setdiff1d(free, x, assume_unique=True)
-            if not len(free):
-                break
-
-
-def _open_pairs(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, most: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of a group with unequal roots; with side, between rows of unequal sides only."""
-    order = np.argsort(roots, kind="stable")
-    ids, fps, roots, side = ids[order], fps[:, order], roots[order], None if side is None else side[order]
-    for k in range(0, len(ids), BLOCK):
-        for j in range(0, k + 1, BLOCK):
-            if roots[j] == roots[min(k + BLOCK, len(ids)) - 1]:
-                continue  # sorted: all of both blocks have one root
+            own, other = label[k : k + BLOCK], label[j : j + BLOCK]
+            if own.min() == own.max() == other.min() == other.max():
+                continue
             x, y = _near(fps[:, k : k + BLOCK], fps[:, j : j + BLOCK], most)
             x, y = x + k, y + j
-            good = (y < x) & (roots[x] != roots[y])
+            good = (y < x) & (label[x] != label[y])
             if side is not None:
                 good &= side[x] != side[y]
-            if good.any():
-                yield ids[x[good]], ids[y[good]]
-
-
-def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for x, y in found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            if good.any():  # join the labels met so far with those of these pairs
+                label = _joined(len(ids), np.concatenate([np.arange(len(ids)), x[good]]), np.concatenate([label, y[good]]))
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]
 
 
 def _groups(keys: np.ndarray) -> Iterator[slice]:
@@ -344,66 +340,77 @@ def keyed(nodes: DataFrame, form: Layout) -> DataFrame:
     return rows.withColumn("segment", segment).select(key.alias("key"), *nodes.columns)
 
 
-def first_pairs(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
-    """Each node's pair (a, b) with the first near one in each of its groups: every node with a near one is in a pair, and
-    a group of near copies gives no more than a pair a member. A group of over `most` rows streams through its task in parts,
-    each compared with itself and the group's first BLOCK rows. nodes: id, fp0, ..."""
+def near_links(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
+    """Edges (a, b) that join all nodes (id, fp0, ...) that are near and share a key. The rows of a key of over `most` leave
+    its task and are dealt to sides, of which any two meet in a task of their own."""
+    names = [f"fp{k}" for k in range(form.words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None
         for rows, large in by_key(batches, most):
-            if large and head is not None and head[0, 0] == rows[0, 0]:
-                rows = np.concatenate([head, rows], axis=1)
-            elif large:
-                head = rows[:, :BLOCK]
-            for s in _groups(rows[0]):
-                yield from _pairs(_first_pairs(rows[1, s], rows[2:, s].view(np.uint64), form.bits))
-
-    rows = keyed(nodes, form)
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, _PAIR).where("a <> b").distinct()
-
-
-def open_pairs(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
-    """All near pairs (a, b) of nodes (id, root, fp0, ...) with unequal roots. A group of one root is left out; one of over
-    `most` rows is dealt to sides, of which any two meet in a task of their own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in by_key(batches, 1 << 62):  # no group of over `most` rows comes here
-            for s in _groups(rows[0]):
-                yield from _pairs(_open_pairs(rows[1, s], rows[3:, s].view(np.uint64), rows[2, s], form.bits))
+            if large:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0])], ["a", "b", "key"])
+                continue
+            found = [_near_links(rows[1, s], rows[2:, s].view(np.uint64), form.bits) for s in _groups(rows[0])]
+            a, b = (np.concatenate([rows[1, :0], *(x[i] for x in found)]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
 
     def tile(key: tuple, found: pa.Table) -> pa.Table:
         low, high = (x.as_py() for x in key[1:])
-        ids, roots, side, *fps = (np.asarray(found.column(c)) for c in ("id", "root", "side", *names))
-        out = list(_open_pairs(ids, np.stack(fps).view(np.uint64), roots, form.bits, None if low == high else side))
-        return pa.Table.from_batches(_pairs(iter(out)), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    names = [f"fp{k}" for k in range(form.words)]
-    rows = keyed(nodes.select("id", "root", *names), form)
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rows = rows.join(groups.select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")), "key")
-    small = rows.where("parts = 1").select("key", "id", "root", *names).repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, _PAIR)
-    dealt = rows.where("parts > 1").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", "id", "root", "side", *names, F.least("side", "other").alias("t_low"), F.greatest("side", "other").alias("t_high"))
-    return small.unionByName(dealt.groupBy("key", "t_low", "t_high").applyInArrow(tile, _PAIR)).distinct()
+        ids, side, *fps = (np.asarray(found.column(c)) for c in ("id", "side", *names))
+        a, b = _near_links(ids, np.stack(fps).view(np.uint64), form.bits, None if low == high else side)
+        return pa.table({"a": a, "b": b})
+
+    rows = keyed(nodes.select("id", *names), form).repartition("key").sortWithinPartitions("key", "id")
+    found = stored(rows.mapInArrow(run, f"{_PAIR}, key long"), "near-links")
+    hot = found.where("b IS NULL").select("key", F.col("a").alias("id"))
+    dealt = _dealt(hot, "key", F.count("*") / most).join(nodes.select("id", *names), "id")
+    return found.where("b IS NOT NULL").select("a", "b").unionByName(dealt.groupBy("key", "low", "high").applyInArrow(tile, _PAIR)).distinct()
+
+
+def _dealt(rows: DataFrame, key: str, parts: Column) -> DataFrame:
+    """rows of a key dealt to sides, so many as `parts` (of all rows of the key) says: a row for each tile, low and high."""
+    n = rows.groupBy(key).agg(F.ceil(parts).cast("int").alias("parts"))
+    out = rows.join(n, key).withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("parts", "other")
+
+
+def _similar(sets: list[np.ndarray], side: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of sets with a Jaccard similarity of at least `least`, counted exactly; with side, of unequal sides."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else sizes
+    full = np.flatnonzero(sizes)
+    has, a, b = np.zeros(len(flat) and flat.max() + 1, bool), [], []
+    for k in full.tolist():
+        own = flat[starts[k] : starts[k] + sizes[k]]
+        has[own] = True
+        rest = full[full < k]
+        if len(rest):
+            both = np.add.reduceat(has[flat[: starts[k]]], starts[rest], dtype=np.int64)
+            good = both >= least * (sizes[k] + sizes[rest] - both)
+            if side is not None:
+                good &= side[rest] != side[k]
+            b.append(rest[good])
+            a.append(np.full(len(b[-1]), k))
+        has[own] = False
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets' Jaccard similarity is at least `least`, counted exactly. sets: id, shingles."""
+def similar(clusters: DataFrame, least: float, rows: int = 1000, size: int = 16_000_000) -> DataFrame:
+    """Edges (a, b) that join the nodes of each cluster (cluster, id, shingles) whose sets are similar. A tile has `rows` sets
+    or `size` bytes of them a side, more or less."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both >= least * max(1, len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[np.array(good, bool)]) for c in (a, b)], ["a", "b"])
+    def tile(key: tuple, found: pa.Table) -> pa.Table:
+        low, high = (x.as_py() for x in key[1:])
+        ids, side = np.asarray(found.column("id")), np.asarray(found.column("side"))
+        sets = [np.frombuffer(x, np.uint64) for x in found.column("shingles").to_pylist()]
+        label = _joined(len(ids), *_similar(sets, None if low == high else side, least))
+        moved = label != np.arange(len(ids))
+        return pa.table({"a": ids[moved], "b": ids[label[moved]]})
 
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, _PAIR)
+    parts = F.greatest(F.count("*") / rows, F.sum(F.length("shingles")) / size, F.lit(1.0))
+    return _dealt(clusters, "cluster", parts).groupBy("cluster", "low", "high").applyInArrow(tile, _PAIR)
 
 
 def _same_row() -> Column:
@@ -418,16 +425,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARIT
     rows = stored(with_sets(docs, words, form.words), "near-ids")
     row = F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")).alias("row")
     nodes = stored(rows.groupBy("id").agg(row, *[F.first(c).alias(c) for c in names]), "near-nodes")
-    first = stored(first_pairs(nodes.select("id", *names), form), "near-first")
-    met = stored(first.select(F.col("a").alias("id")).union(first.select("b")).distinct().join(nodes, "id"), "near-met")
-    # The sets are made again from the one row of each node that is in a pair.
+    edges = stored(near_links(nodes.select("id", *names), form), "near-edges")
+    met = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().join(components(edges).withColumnRenamed("node", "id"), "id", "left")
+    met = stored(met.select("id", F.coalesce("root", "id").alias("cluster")).join(nodes.select("id", "row"), "id"), "near-met")
+    # The sets are made again from the one row of each node that is in a cluster.
     of = docs.select("doc_id", "text", *row_key()).alias("l").join(met.select("row.*").alias("r"), _same_row(), "left_semi")
-    sets = stored(with_sets(of, words, 0).dropDuplicates(["id"]).select("id", "shingles"), "near-sets")
-    good = stored(similar(first, sets, least), "near-good")
-    joined = met.join(components(good).withColumnRenamed("node", "id"), "id", "left").select("id", *names, F.coalesce("root", "id").alias("root"))
-    rest = stored(open_pairs(stored(joined, "near-joined"), form), "near-rest")
-    more = stored(similar(rest, sets, least), "near-more")
-    roots = components(good.union(more)).withColumnRenamed("node", "id")
+    sets = with_sets(of, words, 0).dropDuplicates(["id"]).select("id", "shingles").join(met.select("id", "cluster"), "id")
+    good = stored(similar(sets, least), "near-good")
+    roots = components(good).withColumnRenamed("node", "id")
     return rows.select("k_id", "k_text", "id").join(roots, "id", "left").select("k_id", "k_text", F.coalesce("root", "id").alias("root"))
 
 

@@ -523,22 +523,37 @@ def test_stage_keeps_rows(spark, stage):
 
 
 @pytest.mark.parametrize("tile", [1 << 16, 40])
-def test_near_pairs_of_large_groups(spark, tile):
-    """Dealing a key's rows to tiles gives the pairs of the whole group."""
+def test_near_links_of_large_groups(spark, tile):
+    """Near fingerprints are joined, whether a key's rows are in one task or dealt to tiles."""
     g = np.random.default_rng(9)
     form = simhash.layout(1000)
     fps = g.integers(-(2**62), 2**62, (3, form.words))
     rows = []
     for k in range(300):
         flip = [int(np.bitwise_xor.reduce([0, *(1 << int(b) for b in g.integers(0, 62, 4))])) for _ in range(form.words)]
-        rows.append((k, k % 7, *[int(x) ^ f for x, f in zip(fps[k % 3], flip, strict=True)]))
-    nodes = spark.createDataFrame(rows, "id long, root long, " + ", ".join(f"fp{k} long" for k in range(form.words)))
-    found = {tuple(r) for r in simhash.open_pairs(nodes, form, tile).collect()}
-    near = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x[2:], y[2:], strict=True)) <= form.bits
-    true = {(x[0], y[0]) for x in rows for y in rows if x[0] > y[0] and x[1] != y[1] and near(x, y)}
-    assert found <= true and len(found) >= 0.99 * len(true) > 0
-    in_pair = {x for r in simhash.first_pairs(nodes.drop("root"), form, tile).collect() for x in r}
-    assert len(in_pair) >= 0.99 * len({x for p in true for x in p})
+        rows.append((k, *[int(x) ^ f for x, f in zip(fps[k % 3], flip, strict=True)]))
+    nodes = spark.createDataFrame(rows, "id long, " + ", ".join(f"fp{k} long" for k in range(form.words)))
+    roots = {r.node: r.root for r in components(simhash.near_links(nodes, form, tile)).collect()}
+    assert {k: roots.get(k, k) for k in range(300)} == {k: k % 3 for k in range(300)}
+
+
+@pytest.mark.parametrize("rows", [1000, 7])
+def test_similar_sets(spark, rows):
+    """Links of exact similarity in clusters, in one tile or many, against all pairs."""
+    g = np.random.default_rng(10)
+    sets = {}
+    for k in range(90):
+        base = np.arange(40, dtype=np.uint64) + np.uint64(1000 * (k % 3))
+        sets[k] = np.unique(np.concatenate([base[g.random(40) > 0.1], g.integers(10_000, 20_000, g.integers(0, 4)).astype(np.uint64)]))
+    sets[90] = sets[91] = np.zeros(0, np.uint64)
+    frame = spark.createDataFrame([(k % 3 // 2, k, bytearray(x.tobytes())) for k, x in sets.items()], "cluster long, id long, shingles binary")
+    roots = {r.node: r.root for r in components(simhash.similar(frame, 0.8, rows)).collect()}
+    label = {k: k for k in sets}
+    near = [(a, b) for a in sets for b in range(a) if a % 3 // 2 == b % 3 // 2 and len(sets[a]) and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    for _ in sets:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {k: roots.get(k, k) for k in sets} == label and len(set(label.values())) < 80
 
 
 def _groups(root):

@@ -16,7 +16,8 @@ similarity of 0.8 or more. By the same method, fingerprints of those sets (of se
 so that of two such sets one segment differs by at most one bit with a chance of `RECALL` at least (see `layout`). A
 group of a key gives at most one edge a member, to the first one that it is linked to by near fingerprints; the components
 of these edges are clusters, in which all candidates are. Within a cluster, all sets are compared exactly, in tiles, so a
-set travels once a tile and not once a pair, and a tile gives at most one edge a member too.
+set travels once a tile and not once a pair, and a tile gives at most one edge a member too. Sets of a large cluster that
+some pivots join are not compared with each other again.
 
 Defined results: a null or empty text has fingerprint 0 and is linked like any other; a null doc_id belongs to its
 component but is never its least id; repeated rows are all returned, and tied ids are told apart by their texts; a text
@@ -209,6 +210,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
 DEVIATIONS = 3.5
 #: Rows of a key's group that are compared with the group at a time, and rows of a group in a task.
 BLOCK, TILE = 1024, 1 << 16
+#: Sets of a large cluster that all others are compared with first.
+PIVOTS = 16
 
 
 @dataclass(frozen=True)
@@ -363,26 +366,31 @@ def near_links(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
     rows = keyed(nodes.select("id", *names), form).repartition("key").sortWithinPartitions("key", "id")
     found = stored(rows.mapInArrow(run, f"{_PAIR}, key long"), "near-links")
     hot = found.where("b IS NULL").select("key", F.col("a").alias("id"))
-    dealt = _dealt(hot, "key", F.count("*") / most).join(nodes.select("id", *names), "id")
+    dealt = _dealt(hot.withColumn("one", F.lit(False)), "key", F.count("*") / most).join(nodes.select("id", *names), "id")
     return found.where("b IS NOT NULL").select("a", "b").unionByName(dealt.groupBy("key", "low", "high").applyInArrow(tile, _PAIR)).distinct()
 
 
 def _dealt(rows: DataFrame, key: str, parts: Column) -> DataFrame:
-    """rows of a key dealt to sides, so many as `parts` (of all rows of the key) says: a row for each tile, low and high."""
-    n = rows.groupBy(key).agg(F.ceil(parts).cast("int").alias("parts"))
-    out = rows.join(n, key).withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return out.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("parts", "other")
-
-
-def _similar(sets: list[np.ndarray], side: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of sets with a Jaccard similarity of at least `least`, counted exactly; with side, of unequal sides."""
+    """rows (key, id, one, ...) dealt to sides: a row for each tile, low and high. The rows of a key that are `one` are known
+    to be joined and get sides of their own, the first ones; no tile is between two of those. `parts` gives the number of
+    sides from all rows of a key that are alike in `one`."""
+    n = rows.groupBy(key, "one").agg(F.ceil(parts).cast("int").alias("parts"))
+    n = n.groupBy(key).agg(*[F.coalesce(F.max(F.when(c, F.col("parts"))), F.lit(0)).alias(x) for x, c in (("first", F.col("one")), ("others", ~F.col("one")))])
+    out = rows.join(n.where("others > 0"), key)
+    out = out.withColumn("side", F.expr("CAST(CASE WHEN one THEN pmod(xxhash64(id), first) ELSE first + pmod(xxhash64(id), others) END AS INT)"))
+    out = out.withColumn("other", F.explode(F.expr("sequence(CASE WHEN one THEN first ELSE 0 END, first + others - 1)")))
+    return out.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("first", "others", "other")
+
+
+def _similar(sets: list[np.ndarray], side: np.ndarray | None, least: float, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of sets with a Jaccard similarity of at least `least`, counted exactly; with side, of unequal sides.
+    The sets from place `first` on are compared with all before them."""
     sizes = np.array([len(x) for x in sets])
     starts = np.cumsum(sizes) - sizes
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else sizes
     full = np.flatnonzero(sizes)
     has, a, b = np.zeros(len(flat) and flat.max() + 1, bool), [], []
-    for k in full.tolist():
+    for k in full[full >= first].tolist():
         own = flat[starts[k] : starts[k] + sizes[k]]
         has[own] = True
         rest = full[full < k]
@@ -397,9 +405,32 @@ def _similar(sets: list[np.ndarray], side: np.ndarray | None, least: float) -> t
     return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
 
 
+def _to_pivots(large: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of the nodes of each cluster (cluster, id, shingles, parts) to those of its pivots that they are similar
+    to. The members of a cluster are dealt to its parts, and each pivot is copied to each part."""
+
+    def star(key: tuple, found: pa.Table) -> pa.Table:
+        pivot = np.asarray(found.column("pivot"))
+        order = np.argsort(pivot, kind="stable")
+        ids, shingles = np.asarray(found.column("id"))[order], found.column("shingles").to_pylist()
+        label = _joined(len(ids), *_similar([np.frombuffer(shingles[k], np.uint64) for k in order], None, least, int((~pivot).sum())))
+        moved = label != np.arange(len(ids))
+        return pa.table({"a": ids[moved], "b": ids[label[moved]]})
+
+    pivots = large.groupBy("cluster", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PIVOTS)).alias("slot")).agg(F.min("id").alias("id")).select("id")
+    members = large.select("cluster", "id", "shingles", F.expr("CAST(pmod(xxhash64(id), parts) AS INT)").alias("side"), F.lit(False).alias("pivot"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("side")
+    copies = large.join(pivots, "id", "left_semi").select("cluster", "id", "shingles", each, F.lit(True).alias("pivot"))
+    return members.union(copies).groupBy("cluster", "side").applyInArrow(star, _PAIR)
+
+
 def similar(clusters: DataFrame, least: float, rows: int = 1000, size: int = 16_000_000) -> DataFrame:
     """Edges (a, b) that join the nodes of each cluster (cluster, id, shingles) whose sets are similar. A tile has `rows` sets
-    or `size` bytes of them a side, more or less."""
+    or `size` bytes of them a side, more or less.
+
+    In a cluster of more than `rows` sets, all are compared with some pivots first. The largest component of what they join
+    needs no comparison within; all other sets are compared with each other and with those of this component. So a group
+    of near copies costs its size times the number of sets that are not joined through a pivot, and not its square."""
 
     def tile(key: tuple, found: pa.Table) -> pa.Table:
         low, high = (x.as_py() for x in key[1:])
@@ -410,7 +441,14 @@ def similar(clusters: DataFrame, least: float, rows: int = 1000, size: int = 16_
         return pa.table({"a": ids[moved], "b": ids[label[moved]]})
 
     parts = F.greatest(F.count("*") / rows, F.sum(F.length("shingles")) / size, F.lit(1.0))
-    return _dealt(clusters, "cluster", parts).groupBy("cluster", "low", "high").applyInArrow(tile, _PAIR)
+    many = clusters.groupBy("cluster").agg(F.ceil(parts).cast("int").alias("parts"), F.count("*").alias("n")).where(f"n > {rows}").drop("n")
+    large = clusters.join(many, "cluster")
+    stars = stored(_to_pivots(large, least), "near-stars")
+    roots = stored(large.select("cluster", "id").join(components(stars).withColumnRenamed("node", "id"), "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("root")), "near-roots")
+    top = roots.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("root"))
+    one = roots.join(top, ["cluster", "root"]).select("id", F.lit(True).alias("one"))
+    marked = clusters.join(one, "id", "left").withColumn("one", F.coalesce("one", F.lit(False)))
+    return _dealt(marked, "cluster", parts).groupBy("cluster", "low", "high").applyInArrow(tile, _PAIR).union(stars)
 
 
 def _same_row() -> Column:
@@ -431,7 +469,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARIT
     # The sets are made again from the one row of each node that is in a cluster.
     of = docs.select("doc_id", "text", *row_key()).alias("l").join(met.select("row.*").alias("r"), _same_row(), "left_semi")
     sets = with_sets(of, words, 0).dropDuplicates(["id"]).select("id", "shingles").join(met.select("id", "cluster"), "id")
-    good = stored(similar(sets, least), "near-good")
+    good = stored(similar(stored(sets, "near-sets"), least), "near-good")
     roots = components(good).withColumnRenamed("node", "id")
     return rows.select("k_id", "k_text", "id").join(roots, "id", "left").select("k_id", "k_text", F.coalesce("root", "id").alias("root"))
 

@@ -537,19 +537,24 @@ def test_near_links_of_large_groups(spark, tile):
     assert {k: roots.get(k, k) for k in range(300)} == {k: k % 3 for k in range(300)}
 
 
-@pytest.mark.parametrize("rows", [1000, 7])
-def test_similar_sets(spark, rows):
-    """Links of exact similarity in clusters, in one tile or many, against all pairs."""
+@pytest.mark.parametrize(("rows", "pivots"), [(1000, 16), (7, 16), (7, 1)])
+def test_similar_sets(spark, rows, pivots, monkeypatch):
+    """Links of exact similarity in clusters, in one tile or many, against all pairs. A chain's sets are similar to those
+    near them only, so most are out of reach of its pivots."""
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     g = np.random.default_rng(10)
     sets = {}
     for k in range(90):
         base = np.arange(40, dtype=np.uint64) + np.uint64(1000 * (k % 3))
         sets[k] = np.unique(np.concatenate([base[g.random(40) > 0.1], g.integers(10_000, 20_000, g.integers(0, 4)).astype(np.uint64)]))
     sets[90] = sets[91] = np.zeros(0, np.uint64)
-    frame = spark.createDataFrame([(k % 3 // 2, k, bytearray(x.tobytes())) for k, x in sets.items()], "cluster long, id long, shingles binary")
+    for k in range(92, 132):
+        sets[k] = np.arange(2 * k, 2 * k + 40, dtype=np.uint64) + np.uint64(100_000 + 1000 * (k > 120))
+    cluster = {k: k % 3 // 2 if k < 92 else 2 for k in sets}
+    frame = spark.createDataFrame([(cluster[k], k, bytearray(x.tobytes())) for k, x in sets.items()], "cluster long, id long, shingles binary")
     roots = {r.node: r.root for r in components(simhash.similar(frame, 0.8, rows)).collect()}
     label = {k: k for k in sets}
-    near = [(a, b) for a in sets for b in range(a) if a % 3 // 2 == b % 3 // 2 and len(sets[a]) and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    near = [(a, b) for a in sets for b in range(a) if cluster[a] == cluster[b] and len(sets[a]) and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
     for _ in sets:
         for a, b in near:
             label[a] = label[b] = min(label[a], label[b])

@@ -49,6 +49,17 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Have Spark send at most so many rows to a Python worker at a time, in this session (a lesser setting stays).
+
+    A batch of texts is in memory several times, in the executor and in its workers; Spark's own 10,000 rows are 20 MB of
+    usual documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder, removed when the program ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, stored, table, text_of
+from .common import row_key, small_batches, stored, table, text_of
 from .components import components
 
 #: Members of a key's group up to which all of them are compared at once, and up to which they are in a task together.
@@ -424,7 +424,7 @@ def _to_pivots(large: DataFrame, least: float) -> DataFrame:
     return members.union(copies).groupBy("cluster", "side").applyInArrow(star, _PAIR)
 
 
-def similar(clusters: DataFrame, least: float, rows: int = 1000, size: int = 16_000_000) -> DataFrame:
+def similar(clusters: DataFrame, least: float, rows: int = 500, size: int = 4_000_000) -> DataFrame:
     """Edges (a, b) that join the nodes of each cluster (cluster, id, shingles) whose sets are similar. A tile has `rows` sets
     or `size` bytes of them a side, more or less.
 
@@ -496,6 +496,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component of near copies. Null texts and ids, ties, repeated rows and further columns are
     handled as the module defines; an empty table stays empty."""
+    small_batches(spark)
     return one_of_each(docs, similar_groups(docs, words, least))
 
 

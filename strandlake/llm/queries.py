@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, embeddings, language_id, mixing, packing, quality_rules, simhash, token_files, toxicity, url_templates
+from . import chat_format, embeddings, language_id, mixing, packing, phrases, quality_rules, simhash, token_files, toxicity, url_templates
 
-MODULES = (toxicity, url_templates, language_id, mixing, token_files, quality_rules, simhash, packing, chat_format, embeddings)
+MODULES = (
+    toxicity, url_templates, language_id, mixing, token_files, quality_rules, simhash, packing, chat_format, embeddings, phrases,
+)
 
 
 def queries() -> dict:

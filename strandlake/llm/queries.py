@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, embeddings, language_id, mixing, packing, phrases, quality_rules, simhash, token_files, toxicity, url_templates
+from . import alignment, chat_format, decontamination, embeddings, language_id, mixing, packing, phrases, quality_rules, simhash, token_files, toxicity, url_templates
 
 MODULES = (
-    toxicity, url_templates, language_id, mixing, token_files, quality_rules, simhash, packing, chat_format, embeddings, phrases,
+    toxicity, url_templates, language_id, mixing, token_files, quality_rules, simhash, packing, chat_format, embeddings, decontamination, alignment, phrases,
 )
 
 

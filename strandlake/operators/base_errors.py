@@ -6,11 +6,19 @@ computed once for each distinct pair and joined back.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import binomial_tail, indel_sequences, most_frequent, normalized_pileup, occurrences
+from .pieces import pieces_of
+from .settle import settled
 
 STRIPPED = r"[+-]\d+[ACGTNacgtn]+"
 
@@ -74,43 +82,112 @@ def error_counts(errors: DataFrame) -> DataFrame:
     return errors.agg(F.count("*").alias("n_errors"), n("insertion", "n_collapse"), n("deletion", "n_expansion"), n("SNP", "n_substitution"))
 
 
-def native_pileup(alignments: DataFrame, sequences: DataFrame, min_mapq: int = 20, width: int = 1 << 16) -> DataFrame:
-    """contig, pos, depth, bases from alignments (rname, pos, flag, mapq, cigar, seq) and contigs (name, sequence).
-
-    Each aligned base is a row until counted, so a column's bases are gathered by (contig, pos) with a partial count of
-    equal symbols first: a deep column is a few counts. Symbols are of match `.`, mismatch, and `*` for deleted bases; after
-    them come the marks of insertions (`+2AC`) and deletions (`-1N`) that begin behind the column, which don't add to
-    depth. Unmapped, secondary, failed and duplicate reads are left out, supplementary ones stay.
-    """
-    from .cigar import operations
-
-    reads = alignments.where((F.col("flag").bitwiseAND(4 + 256 + 512 + 1024) == 0) & (F.col("mapq") >= min_mapq))
-    step = F.aggregate(
-        operations(F.col("cigar")),
-        F.struct(F.col("pos").alias("ref"), F.lit(1).cast("long").alias("query"), F.array().cast("array<struct<ref:bigint,query:bigint,n:bigint,op:string>>").alias("runs")),
-        lambda s, x: F.struct(
-            (s["ref"] + F.when(x["op"].isin("M", "=", "X", "D", "N"), x["n"]).otherwise(0)).alias("ref"),
-            (s["query"] + F.when(x["op"].isin("M", "=", "X", "I", "S"), x["n"]).otherwise(0)).alias("query"),
-            F.when(x["op"].isin("M", "=", "X", "D", "I"), F.concat(s["runs"], F.array(F.struct(s["ref"].alias("ref"), s["query"].alias("query"), x["n"].alias("n"), x["op"].alias("op"))))).otherwise(s["runs"]).alias("runs"),
-        ),
-        lambda s: s["runs"],
-    )
-    runs = reads.select(F.col("rname").alias("contig"), "pos", "seq", F.explode(step).alias("r"))
-    # A run's columns from the first on; a mark stands before them, at the column that the indel follows.
-    first = F.when(F.col("r.op").isin("I", "D") & (F.col("r.ref") > F.col("pos")), -1).otherwise(0).cast("long")
-    last = F.when(F.col("r.op") == "I", -1).otherwise(F.col("r.n") - 1)
-    bases = runs.where(first <= last).select("contig", "seq", "r", F.explode(F.sequence(first, last)).alias("k"))
-    part = lambda at, n: F.upper(F.substring(F.col("seq"), at.cast("int"), n.cast("int")))
-    mark = F.when(F.col("r.op") == "D", F.concat(F.lit("-"), F.col("r.n").cast("string"), F.repeat(F.lit("N"), F.col("r.n").cast("int")))).otherwise(F.concat(F.lit("+"), F.col("r.n").cast("string"), part(F.col("r.query"), F.col("r.n"))))
-    symbol = F.when(F.col("k") < 0, mark).when(F.col("r.op") == "D", "*").otherwise(part(F.col("r.query") + F.col("k"), F.lit(1)))
-    bases = bases.select("contig", (F.col("r.ref") + F.col("k")).alias("pos"), symbol.alias("base"))
-    counted = bases.groupBy("contig", "pos", "base").agg(F.count("*").alias("n"))
-    # The reference in pieces of `width` positions, so that no row of the join holds a contig.
-    pieces = sequences.select(F.col("name").alias("contig"), F.explode(F.expr(f"transform(sequence(0, (length(sequence) - 1) div {width}), k -> struct(k AS piece, substring(sequence, k * {width} + 1, {width}) AS part))")).alias("p")).select("contig", "p.*")
-    counted = counted.withColumn("piece", F.expr(f"CAST((pos - 1) div {width} AS INT)"))
-    spots = counted.groupBy("contig", "piece", "pos").agg(
-        F.collect_list(F.struct(F.length("base").alias("long"), "base", "n")).alias("found"), F.sum(F.when(F.length("base") == 1, F.col("n")).otherwise(0)).alias("depth")
-    )
-    out = spots.join(pieces, ["contig", "piece"]).withColumn("ref", F.expr(f"upper(substring(part, CAST((pos - 1) % {width} AS INT) + 1, 1))"))
-    symbols = F.transform(F.array_sort("found"), lambda x: F.repeat(F.when(x["base"] == F.col("ref"), ".").otherwise(x["base"]), x["n"].cast("int")))
-    return out.select("contig", "pos", "ref", "depth", F.array_join(symbols, "").alias("bases"))
+CIGAR_STEP = re.compile(r"(\d+)([MIDNSHP=X])")
+PARTS = "contig string, cell long, kind string, at long, n long, text string"
+
+
+def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """PARTS of reads (contig, pos, cigar, seq), cut at the borders of cells of `width` positions, which count from 0: aligned
+    runs with their bases (M), deleted ones (D), and marks (I) at the position that an indel follows."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k in (1, 3, 4) else pa.string()) for k in range(6)], names)
+    out, held = [], 0
+    for batch in batches:
+        for contig, pos, cigar, seq in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            at, query, seq = pos - 1, 0, "" if seq == "*" else seq.upper()
+            for n, op in CIGAR_STEP.findall(cigar):
+                n = int(n)
+                aligned = op in "M=X"
+                if op in "ID" and at > pos - 1:
+                    out.append((contig, (at - 1) // width, "I", at - 1, 0, f"+{n}{seq[query : query + n]}" if op == "I" else f"-{n}{'N' * n}"))
+                if aligned or op == "D":
+                    # A read whose bases are unknown, or end before its runs do, has none there.
+                    stop = at + min(n, max(len(seq) - query, 0)) if aligned else at + n
+                    a = at
+                    while a < stop:
+                        b = min(stop, (a // width + 1) * width)
+                        out.append((contig, a // width, "M" if aligned else "D", a, b - a, seq[query + a - at : query + b - at] if aligned else ""))
+                        held += b - a
+                        a = b
+                at += n if aligned or op in "DN" else 0
+                query += n if aligned or op in "IS" else 0
+            if held > 1 << 20 or len(out) > 20_000:
+                yield as_batch(out)
+                out, held = [], 0
+    yield as_batch(out)
+
+
+def _mismatches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """contig, cell, at, symbol, n: bases that differ from the reference, of rows (contig, cell, at, text, ref: of the cell)."""
+    for batch in batches:
+        found: Counter = Counter()
+        for contig, cell, at, text, ref in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            first = at - cell * width
+            own = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+            other = np.zeros(len(own), np.uint8)
+            known = np.frombuffer(ref[first : first + len(own)].encode("latin-1", "replace"), np.uint8)
+            other[: len(known)] = known
+            found.update((contig, cell, at + k, text[k]) for k in np.flatnonzero(own != other).tolist())
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in keys], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))), pa.array(list(found.values()), pa.int64())], ["contig", "cell", "at", "symbol", "n"])
+
+
+def _columns(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """contig, pos, ref, depth, bases of the cells (contig, cell, ref, changes: at, d, deleted; symbols: at, symbol, n)."""
+    for batch in batches:
+        for contig, cell, ref, changes, symbols in zip(*batch.columns, strict=True):
+            contig, first, ref = contig.as_py(), cell.as_py() * width, ref.as_py()
+            steps = np.zeros((2, width + 1), np.int64)
+            at = np.array([x["at"] for x in changes.as_py()]) - first
+            for k, name in enumerate(("d", "deleted")):
+                steps[k, at] = [x[name] for x in changes.as_py()]
+            depth, deleted = np.cumsum(steps, axis=1)[:, :width]
+            where = np.flatnonzero(depth[: len(ref)] > 0)
+            own: dict[int, list] = {}
+            for x in symbols.as_py() or ():
+                own.setdefault(x["at"] - first, []).append((len(x["symbol"]) > 1, len(x["symbol"]), x["symbol"], x["n"]))
+            bases, refs = [], []
+            for p, n, gone in zip(where.tolist(), depth[where].tolist(), deleted[where].tolist(), strict=True):
+                base = ref[p : p + 1]
+                refs.append(base)
+                some = own.get(p, [])
+                same = n - gone - sum(x[3] for x in some if not x[0])
+                if not some and not gone:
+                    bases.append("." * n)
+                    continue
+                # In order of bases, matches in the place of the base that they match; then marks, short ones first.
+                some = sorted([*some, (False, 1, "*", gone), (False, 1, base, -same)])
+                bases.append("".join("." * -m if m < 0 else symbol * m for _, _, symbol, m in some))
+            yield pa.RecordBatch.from_arrays([pa.array([contig] * len(where), pa.string()), pa.array(where + first + 1), pa.array(refs, pa.string()), pa.array(depth[where]), pa.array(bases, pa.string())], ["contig", "pos", "ref", "depth", "bases"])
+
+
+def native_pileup(alignments: DataFrame, sequences: DataFrame, min_mapq: int = 20, width: int = 4096) -> DataFrame:
+    """pileup_of_pieces of whole contigs (name, sequence)."""
+    return pileup_of_pieces(alignments, pieces_of(sequences, width), min_mapq, width)
+
+
+def pileup_of_pieces(alignments: DataFrame, pieces: DataFrame, min_mapq: int = 20, width: int = 4096) -> DataFrame:
+    """contig, pos, ref, depth, bases from alignments (rname, pos, flag, mapq, cigar, seq) and contigs in pieces (name, piece,
+    text) of `width` positions.
+
+    Reads are cut at the pieces' borders and compared with them piece by piece. Depth is a running sum over where runs begin
+    and end; a base is a row only where it differs, a mark once for an indel. So the work is linear in bases, and a task
+    holds a piece with its counts, whatever the depth. Symbols are `.` for a match, the base for a mismatch, and `*` for deleted
+    bases; after them come the marks of insertions (`+2AC`) and deletions (`-1N`) that begin behind the column, which don't
+    add to depth. Unmapped, secondary, failed and duplicate reads are left out, supplementary ones stay; rows that lack a
+    column, and what lies beyond a contig's end, are left out."""
+    reads = alignments.where((F.col("flag").bitwiseAND(4 + 256 + 512 + 1024) == 0) & (F.col("mapq") >= min_mapq) & (F.col("pos") > 0))
+    reads = reads.select("rname", F.col("pos").cast("long").alias("pos"), "cigar", "seq").dropna()
+    parts = settled(reads.mapInArrow(lambda x: _parts(x, width), PARTS))
+    own = pieces.select(F.col("name").alias("contig"), F.col("piece").alias("cell"), F.upper("text").alias("ref"))
+    compared = parts.where("kind = 'M'").join(own, ["contig", "cell"]).select("contig", "cell", "at", "text", "ref")
+    symbols = compared.mapInArrow(lambda x: _mismatches(x, width), "contig string, cell long, at long, symbol string, n long")
+    marks = parts.where("kind = 'I'").groupBy("contig", "cell", "at", F.col("text").alias("symbol")).agg(F.count("*").alias("n"))
+    symbols = symbols.unionByName(marks).groupBy("contig", "cell", "at", "symbol").agg(F.sum("n").alias("n"))
+    symbols = symbols.groupBy("contig", "cell").agg(F.collect_list(F.struct("at", "symbol", "n")).alias("symbols"))
+    runs = parts.where("kind <> 'I'").groupBy("contig", "cell", "kind", "at", "n").agg(F.count("*").alias("m"))
+    ends = F.explode(F.array(F.struct("at", F.col("m").alias("d")), F.struct((F.col("at") + F.col("n")).alias("at"), (-F.col("m")).alias("d")))).alias("x")
+    changes = runs.select("contig", "cell", "kind", ends).groupBy("contig", "cell", "x.at").agg(F.sum("x.d").alias("d"), F.sum(F.when(F.col("kind") == "D", F.col("x.d")).otherwise(0)).alias("deleted"))
+    changes = changes.groupBy("contig", "cell").agg(F.collect_list(F.struct("at", "d", "deleted")).alias("changes"))
+    cells = changes.join(own, ["contig", "cell"]).join(symbols, ["contig", "cell"], "left").select("contig", "cell", "ref", "changes", "symbols")
+    return cells.mapInArrow(lambda x: _columns(x, width), "contig string, pos long, ref string, depth long, bases string")

@@ -1,17 +1,17 @@
-"""Sequences patched by their errors.
+"""Sequences patched by their errors: whole ones and tables of pieces (see `pieces`).
 
-A sequence's edits are applied from the last start to the first, so that earlier coordinates stay true. What lies behind
-the current edit is a stack of pieces, of which an edit takes as much as it covers: no edit copies the sequence, and the
-pieces are joined once. Contigs without edits don't leave the JVM.
+A sequence's edits count from the last start to the first, so that earlier coordinates stay true; base edits come first,
+and structural ones count in what those have made.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .contig_stats import n50
+from .pieces import WIDTH, patched, pieces_of, whole
+from .settle import settled
 
 #: Types of evaluated events by the edit that mends them.
 EVENT_EDITS = {"Expansion": "INS", "Collapse": "DEL", "Inversion": "INV"}
@@ -21,68 +21,17 @@ def supported(edits: DataFrame, least: int = 1) -> DataFrame:
     return edits.where(F.col("support") >= least)
 
 
-COMPLEMENT = str.maketrans("ACGTacgt", "TGCATGCA")
-
-
-def patched(sequence: str, edits: list, structural: bool) -> str:
-    """A sequence after its edits (rows of start, end, sv_type, size), from the right to the left.
-
-    Base edits: a SNP becomes N, inserted bases go, deleted ones come back as N. Structural ones: a deletion becomes at most
-    its span of N, an insertion goes, an inversion is turned back. An edit out of range changes nothing."""
-    behind: list[str] = []  # the last one is the leftmost
-    at = n = len(sequence)
-
-    def take(size: int) -> str:
-        """The next characters, no more than there are."""
-        out = []
-        while size > 0 and behind:
-            piece = behind.pop()
-            out.append(piece[:size])
-            if len(piece) > size:
-                behind.append(piece[size:])
-            size -= len(out[-1])
-        return "".join(out)
-
-    for e in sorted(edits, key=lambda e: (e["start"], e["end"], e["sv_type"], e["size"]), reverse=True):
-        start, end, kind, size = e["start"], e["end"], e["sv_type"], abs(e["size"])
-        if not 0 <= start < n:
-            continue
-        ordered = start <= end
-        if kind in ("deletion", "DEL"):
-            if structural and not ordered:
-                continue
-            gone, make = (end - start, lambda _, k=min(size, end - start): "N" * k) if structural else (0, lambda _, k=size: "N" * k)
-        elif kind in ("insertion", "INS") and ordered and end < n:
-            gone, make = end - start, lambda _: ""
-        elif kind == "SNP" and not structural:
-            gone, make = 1, lambda _: "N"
-        elif kind in ("inversion", "INV") and structural and ordered and end <= n:
-            gone, make = end - start, lambda x: x[::-1].translate(COMPLEMENT)
-        else:
-            continue
-        if start < at:
-            behind.append(sequence[start:at])
-            at = start
-        old = take(gone)
-        new = make(old)
-        behind.append(new)
-        n += len(new) - len(old)
-    return sequence[:at] + "".join(reversed(behind))
-
-
-def _patched(sequence: pd.Series, base: pd.Series, structural: pd.Series) -> pd.Series:
-    none = lambda x: [] if x is None else x
-    return pd.Series([None if s is None else patched(patched(s, none(b), False), none(e), True) for s, b, e in zip(sequence, base, structural, strict=True)], dtype=object)
-
-
-def corrected(contigs: DataFrame, base: DataFrame, structural: DataFrame) -> DataFrame:
-    """contigs (name, sequence) after base edits, then structural ones (chrom, start, end, sv_type, size)."""
-    gathered = lambda df, name: df.groupBy("chrom").agg(F.collect_list(F.struct(*[(F.col(c) if c == "sv_type" else F.col(c).cast("long")).alias(c) for c in ("start", "end", "sv_type", "size")])).alias(name))
-    out = contigs.join(gathered(base, "_b"), F.col("name") == F.col("chrom"), "left").drop("chrom")
-    out = out.join(gathered(structural, "_s"), F.col("name") == F.col("chrom"), "left").drop("chrom")
-    own = F.when(F.col("_b").isNotNull() | F.col("_s").isNotNull(), F.col("sequence"))
-    new = F.pandas_udf(_patched, "string")(own, F.col("_b"), F.col("_s"))
-    return out.withColumn("sequence", F.coalesce(new, "sequence")).drop("_b", "_s")
+def corrected_pieces(pieces: DataFrame, base: DataFrame, structural: DataFrame, width: int = WIDTH) -> DataFrame:
+    """pieces (name, piece, offset, text) after base edits, then structural ones (chrom, start, end, sv_type, size)."""
+    return patched(settled(patched(pieces, base, False, width)), structural, True, width)
+
+
+def corrected(contigs: DataFrame, base: DataFrame, structural: DataFrame, width: int = WIDTH) -> DataFrame:
+    """contigs (name, sequence, ...: each name once) after base edits, then structural ones, for contigs that fit into a row."""
+    named = base.select("chrom").union(structural.select("chrom")).distinct()
+    edited = contigs.join(named, F.col("name") == F.col("chrom"), "left_semi").select("name", "sequence")
+    new = whole(corrected_pieces(settled(pieces_of(edited, width)), base, structural, width)).withColumnRenamed("sequence", "_new")
+    return contigs.join(new, "name", "left").withColumn("sequence", F.coalesce("_new", "sequence")).select(*contigs.columns)
 
 
 def edits_of_events(final: DataFrame) -> DataFrame:

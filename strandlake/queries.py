@@ -129,6 +129,15 @@ def patched(spark: SparkSession, sf_dir: str, base: tuple[str, ...] = ("SNP",),
     return evaluate.correct(rows.select(F.col("chrom").alias("name"), "sequence").distinct(), of(base), of(structural), Config(min_correction_support=2))
 
 
+def patched_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edits of the same sequences, read, mended and given in pieces of 16."""
+    path = fresh_folder(spark, "pieces")
+    rows = testdata.edit_series(spark, sf_dir)
+    sinks.write_fasta(rows.select(F.col("chrom").alias("name"), "sequence").distinct(), path)
+    edits = corrections.supported(rows, 2)
+    return corrections.corrected_pieces(text_formats.read_fasta_pieces(spark, path, 16), edits.where("sv_type = 'SNP'"), edits.where("sv_type <> 'SNP'"), 16)
+
+
 def correction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corrections.supported(testdata.edit_series(spark, sf_dir), 2)
     return corrections.correction_summary(rows.where("sv_type = 'SNP'"), rows.where("sv_type <> 'SNP'"), patched(spark, sf_dir))
@@ -431,6 +440,11 @@ QUERIES = {
         lambda s, d: patched(s, d, ("SNP", "INS", "DEL"), ()),
         PATCHED.format(base="substr(piece, 1, o)||repeat('N', l)||substr(piece, o+1)", of="sv_type <> 'INV'"),
     ),
+    "patched_pieces": (
+        patched_pieces,
+        f"""SELECT name, k AS piece, 16*k AS "offset", substr(sequence, 16*k+1, 16) AS text FROM (SELECT *, unnest(range(0, (length(sequence)+15)//16)) AS k
+ FROM ({PATCHED.format(base="substr(piece, 1, o)||repeat('N', least(l, l))||substr(piece, o+l+1)", of="sv_type <> 'none'")}))""",
+    ),
     "correction_summary": (
         correction_summary,
         f"""WITH q AS ({PATCHED.format(base="substr(piece, 1, o)||repeat('N', l)||substr(piece, o+l+1)", of="sv_type <> 'none'")}), k AS (SELECT length(sequence) AS length FROM q),

@@ -16,6 +16,14 @@ def write_fasta(contigs: DataFrame, path: str, width: int | None = 80, mode: str
     contigs.orderBy("name").select(fasta_record(width).alias("value")).write.mode(mode).text(path)
 
 
+def write_fasta_pieces(pieces: DataFrame, path: str, width: int = 80, mode: str = "errorifexists") -> None:
+    """Contigs in pieces (name, piece, offset, text; pieces' width is a multiple of `width`), each in one file, in lines."""
+    body = F.regexp_replace(F.regexp_replace("text", f"(.{{{width}}})", "$1\n"), r"\n$", "")
+    line = F.when(F.col("piece") == 0, F.concat(F.lit(">"), "name", F.lit("\n"), body)).otherwise(body)
+    ordered = pieces.repartitionByRange("name").sortWithinPartitions("name", "piece")
+    ordered.select(line.alias("value")).write.mode(mode).text(path)
+
+
 def write_table(rows: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
     """Tab-separated values; elements of an array are joined by semicolons."""
     flat = [F.concat_ws(";", F.col(c).cast("array<string>")).alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes]
@@ -38,7 +46,7 @@ def write_valid_contigs(contigs: DataFrame, folder: str, min_length: int, mode:
     contigs.select("name", F.length("sequence").cast("long").alias("length")).write.mode(mode).csv(f"{folder}/contig_length_info", sep="\t", quote="", escape="")
 
 
-#: The columns of a table of structural errors.
+#: The columns of a table of structural errors: fixed values of the file format.
 STRUCTURAL_HEADER = (
     "#Contig_Name", "Start_Position", "End_Position", "Supporting_Read", "Type", "Size", "Haplotype_Info", "Depth_Left", "Depth_Right", "Depth_Min", "Supporting_Read_name", "Haplotype_Switch_Info",
 )

@@ -6,9 +6,16 @@ A field that can't be read as its type is null; rows that lack what they need ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.pieces import WIDTH, gridded
+from ..operators.settle import settled
+
 _BREAK = r"[\t\n\x0B\f\r ]+"
 
 
@@ -31,6 +38,52 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("name <> ''").select("name", "description", "sequence", F.length("sequence").cast("long").alias("length"))
 
 
+def read_fasta_pieces(spark: SparkSession, path: str, width: int = WIDTH) -> DataFrame:
+    """The contigs of FASTA files as pieces (name, piece, offset, text); each name once. A file is read in Spark's blocks, and what
+    a block has of a contig begins where the blocks before it stop: one row a block is shuffled for that. A line is the
+    least that a task holds. Contigs without bases have no pieces; what has no name is left out."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    kinds = {"file": pa.string(), "block": pa.int64(), "record": pa.int64(), "name": pa.string(), "offset": pa.int64(), "text": pa.string()}
+    blank = str.maketrans("", "", "\t\n\x0b\f\r ")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        out, held = [], 0
+        for (file, block), own in groupby(rows, key=lambda r: r[:2]):
+            record, offset, parts, n = 0, 0, [], 0
+            for value in (*(r[2] for r in own), None):
+                header = value is not None and value.startswith(">")
+                if value is not None and not header:
+                    parts.append(value.translate(blank))
+                    n += len(parts[-1])
+                if n and (value is None or header or n >= width):
+                    out.append((file, block, record, None, offset, "".join(parts)))
+                    held, offset, parts, n = held + n, offset + n, [], 0
+                if header:
+                    record, offset = record + 1, 0
+                    out.append((file, block, record, (value[1:].split() or [""])[0], 0, ""))
+                if held > 1 << 20 or len(out) > 10_000:
+                    yield as_batch(out)
+                    out, held = [], 0
+        yield as_batch(out)
+
+    def as_batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    rows = settled(lines.mapInArrow(cut, "file string, block long, record long, name string, offset long, text string"))
+    # A block's number of records that begin in it, and the bases of its last one.
+    ends = rows.groupBy("file", "block").agg(F.max("record").alias("n"), F.max_by(F.col("offset") + F.length("text"), F.struct("record", "offset", F.length("text"))).alias("bases"))
+    order = Window.partitionBy("file").orderBy("block")
+    ends = ends.withColumn("records", F.sum("n").over(order) - F.col("n"))
+    of_last = Window.partitionBy("file", F.col("records") + F.col("n")).orderBy("block")
+    ends = ends.withColumn("upto", F.sum("bases").over(of_last)).withColumn("carried", F.coalesce(F.lag("upto").over(order), F.lit(0)))
+    placed = rows.join(ends.select("file", "block", "records", "carried"), ["file", "block"])
+    number = (F.col("records") + F.col("record")).alias("number")
+    names = placed.where("name <> ''").select("file", number, "name")
+    parts = placed.where("name IS NULL").select("file", number, (F.col("offset") + F.when(F.col("record") == 0, F.col("carried")).otherwise(0)).alias("offset"), "text")
+    return gridded(parts.join(names, ["file", "number"]).select("name", "offset", "text"), width)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 0 in its file), value. Lines are numbered within the blocks that Spark reads a file in, and each
     block begins after all lines of the ones before it: one row a block is shuffled for that, no text."""
@@ -52,7 +105,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """qname, flag, rname, pos, mapq, cigar, seq, seq_len, nm. Rows need 11 fields and numbers where due."""
     rows = _fields(spark, path).where(~F.col("value").startswith("@") & (F.size("f") >= 11))
-    tags = F.filter(F.slice("f", 12, 1_000_000), lambda x: x.startswith("NM:i:"))
+    tags = F.filter(F.slice("f", F.lit(12), F.size("f")), lambda x: x.startswith("NM:i:"))
     out = rows.select(
         _f(0).alias("qname"), _f(1).try_cast("int").alias("flag"), _f(2).alias("rname"), _f(3).try_cast("long").alias("pos"), _f(4).try_cast("int").alias("mapq"), _f(5).alias("cigar"),
         _f(9).alias("seq"), F.length(_f(9)).cast("long").alias("seq_len"), F.substring(F.get(tags, F.lit(0)), 6, 20).try_cast("int").alias("nm"),

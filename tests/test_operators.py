@@ -1,13 +1,16 @@
 """Unit vectors, and sequential operators against plain versions over random inputs."""
 
+import math
 import random
+import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.config import Config
 from strandlake.functions import text
-from strandlake.operators import base_errors, clusters, contig_stats, corrections, intervals, reconcile, segments
+from strandlake.operators import base_errors, clusters, contig_stats, corrections, intervals, pieces, reconcile, segments
 from strandlake.operators.cigar import merged_insertions, with_cigar
 
 
@@ -258,6 +261,61 @@ def test_native_pileup(spark):
     assert [(r.pos, r.ref, r.depth, r.bases) for r in out.orderBy("pos").collect()] == [(1, "A", 2, ".."), (2, "C", 3, "...+1T-1N"), (3, "G", 3, "*.."), (4, "T", 2, ".."), (5, "A", 1, ".")]
 
 
+def plain_pileup(reads, contigs):
+    """Each base on its own."""
+    found = {}
+    for name, pos, flag, mapq, cigar, seq in reads:
+        if flag & 1796 or mapq < 20:
+            continue
+        at, q = pos, 0
+        for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
+            if op in "ID" and at > pos:
+                found.setdefault((name, at - 1), []).append(f"+{n}{seq[q:q + n].upper()}" if op == "I" else f"-{n}{'N' * n}")
+            for k in range(n if op in "M=XD" else 0):
+                found.setdefault((name, at + k), []).append("*" if op == "D" else seq[q + k].upper())
+            at += n if op in "M=XDN" else 0
+            q += n if op in "M=XIS" else 0
+    out = []
+    for (name, pos), bases in found.items():
+        ref = contigs[name][pos - 1 : pos].upper()
+        bases.sort(key=lambda b: (len(b), b))
+        depth = sum(len(b) == 1 for b in bases)
+        if depth:
+            out.append((name, pos, ref, depth, "".join("." if b == ref else b for b in bases)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("width", [4096, 100])
+def test_pileup_of_long_reads(spark, width):
+    """Reads of some kilobases with all kinds of steps, over borders of pieces, on small letters and N."""
+    rng = random.Random(8)
+    contigs = {f"c{k}": "".join(rng.choices("ACGTacgN", k=12_000)) for k in range(2)}
+    reads = []
+    for k in range(40):
+        name, pos = rng.choice(list(contigs)), rng.randrange(1, 9000)
+        at, cigar, seq = pos - 1, ["5S"], ["TTTTT"]
+        stop = min(pos + rng.choice((50, 9000)), 11_900)
+        while at < stop:
+            op, n = rng.choice("MMM=XIDN"), rng.choice((1, 3, 40, 300))
+            if op in "M=X":
+                own = list(contigs[name][at : at + n])
+                for j in range(0, len(own), 17):
+                    own[j] = rng.choice("ACGT")
+                n = len(own)
+                seq.append("".join(own))
+            elif op == "I":
+                seq.append("".join(rng.choices("ACGT", k=n)))
+            at += n if op != "I" else 0
+            cigar.append(f"{n}{op}")
+        reads.append((name, pos, rng.choice((0, 16, 2048, 1024)), rng.choice((60, 60, 10)), "".join(cigar), "".join(seq)))
+    reads += reads[:5]
+    frame = spark.createDataFrame([*reads, ("c0", 5, 0, 60, "*", "*"), ("c1", 9, 0, 60, "4M", "*"), ("c0", None, 0, 60, "4M", "ACGT"), ("gone", 1, 0, 60, "4M", "ACGT")], "rname string, pos long, flag int, mapq int, cigar string, seq string")
+    out = base_errors.native_pileup(frame, spark.createDataFrame(list(contigs.items()), "name string, sequence string"), width=width)
+    found = sorted(map(tuple, out.collect()))
+    expected = [x for x in plain_pileup(reads, contigs) if x[2]]
+    assert found == expected and len(found) > 10_000
+
+
 def test_indels_of_native_pileup(spark):
     """Insertions and deletions are called from a pileup made here; one at a read's start has no column."""
     reads = [("c", 1, 0, 60, "3M2I3M", "ACGTTTAC")] * 5 + [("c", 1, 0, 60, "2M1D3M", "ACTAC")] * 4 + [("c", 2, 0, 60, "2I3M", "GGCGT")]
@@ -296,7 +354,7 @@ def test_insertions_are_the_plain_ones(spark):
 
 def plain_patch(s, edits, structural):
     """Edits one by one, each on a whole new string."""
-    turn = str.maketrans("ACGT", "TGCA")
+    turn = str.maketrans("ACGTacgt", "TGCATGCA")
     for start, end, kind, size in sorted(edits, reverse=True):
         n, inside = len(s), start <= end
         if start >= n:
@@ -315,15 +373,17 @@ def plain_patch(s, edits, structural):
     return s
 
 
-def test_many_edits(spark):
-    """Touching, overlapping, tied and out-of-range edits of long sequences, base edits before structural ones."""
+@pytest.mark.parametrize("width", [1 << 20, 7])
+def test_many_edits(spark, width):
+    """Touching, overlapping, tied and out-of-range edits of long sequences, base edits before structural ones; contigs in one
+    piece, and in pieces that are shorter than most edits."""
     rng = random.Random(15)
     schema = "chrom string, start long, end long, sv_type string, size long"
     contigs = [(f"c{k}", "".join(rng.choice("ACGT") for _ in range(rng.choice((0, 5, 300))))) for k in range(40)]
     edits = {}
     for side in (False, True):
         edits[side] = [(c, at, at + rng.randrange(-1, 30), rng.choice(("SNP", "INS", "DEL", "INV", "x")), rng.randrange(20)) for c, s in contigs[:-3] for at in (rng.randrange(len(s) + 5) for _ in range(12))]
-    out = corrections.corrected(spark.createDataFrame(contigs, "name string, sequence string"), *(spark.createDataFrame(edits[x], schema) for x in (False, True)))
+    out = corrections.corrected(spark.createDataFrame(contigs, "name string, sequence string"), *(spark.createDataFrame(edits[x], schema) for x in (False, True)), width)
     own = lambda c, side: [e[1:] for e in edits[side] if e[0] == c]
     assert {r.name: r.sequence for r in out.collect()} == {c: plain_patch(plain_patch(s, own(c, False), False), own(c, True), True) for c, s in contigs}
 
@@ -354,6 +414,47 @@ def test_corrections(spark, sequence, kind, edits, expected):
     assert {r.name: r.sequence for r in out.collect()} == {"c": expected, "other": "AC"}
 
 
+def test_few_edits_of_many_pieces(spark):
+    """Single edits far apart, also over borders of pieces, in contigs of small and capital letters; N runs longer than a piece."""
+    rng = random.Random(4)
+    schema = "chrom string, start long, end long, sv_type string, size long"
+    contigs = [(f"c{k}", "".join(rng.choice("ACGTacgtN") for _ in range(2000))) for k in range(6)]
+    base, structural = ([(c, at, at + n, kind, m) for c, _ in contigs[1:] for at in rng.sample(range(2000), 9) for n, m, kind in [(rng.choice((0, 1, 40)), rng.choice((1, 5, 90)), rng.choice(kinds))]] for kinds in (("SNP", "INS", "DEL"), ("INV", "INS", "DEL", "INV")))
+    cut = pieces.pieces_of(spark.createDataFrame(contigs, "name string, sequence string"), 32)
+    assert cut.count() == 6 * 63
+    out = corrections.corrected_pieces(cut, spark.createDataFrame(base, schema), spark.createDataFrame(structural, schema), 32)
+    rows = out.collect()
+    assert all(r.offset == 32 * r.piece and 0 < len(r.text) <= 32 for r in rows)
+    own = lambda c, edits: [e[1:] for e in edits if e[0] == c]
+    expected = {c: plain_patch(plain_patch(s, own(c, base), False), own(c, structural), True) for c, s in contigs}
+    found = {r.name: r.sequence for r in pieces.whole(out).collect()}
+    assert found == expected
+    assert sum(len(s) // 32 + (len(s) % 32 > 0) for s in expected.values()) == len(rows)
+
+
+def test_deep_binomial_tails(spark):
+    """Against exact fractions, where products of doubles underflow too."""
+    cases = [(k, n, p) for n in (1, 5, 20, 60, 400) for k in {0, 1, 2, n // 2, n - 1, n, n + 1} for p in (0.4, 0.5)]
+    cases += [(900, 1200, 0.5), (1000, 1500, 0.4), (1500, 2000, 0.5), (500, 1200, 0.4), (480, 1200, 0.4), (450, 1200, 0.4), (20_000, 40_000, 0.5), (19_900, 40_000, 0.5), (16_100, 40_000, 0.4), (3, 40_000, 0.4)]
+    for p in (0.4, 0.5):
+        own = [(k, n) for k, n, x in cases if x == p]
+        found = spark.createDataFrame(own, "k long, n long").select("k", "n", text.binomial_tail(F.col("k"), F.col("n"), p).alias("t")).collect()
+        for k, n, t in found:
+            a, b = {0.4: (2, 5), 0.5: (1, 2)}[p]
+            last = max(k - 1, 0)
+            exact = 0.0 if last >= n else float(Fraction(sum(math.comb(n, i) * a**i * (b - a) ** (n - i) for i in range(last + 1, n + 1)), b**n)) if n < 3000 else None
+            if exact is None:  # sums of 40,000 large numbers take too long: by logarithms
+                exact = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(last + 1, n + 1))
+            assert abs(t - exact) < 1e-9, (k, n, p)
+
+
+def test_most_frequent(spark):
+    rng = random.Random(2)
+    rows = [[rng.choice(["A", "AC", "G", "T", ""]) for _ in range(rng.randrange(12))] for _ in range(60)]
+    found = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, v array<string>").select("k", text.most_frequent(F.col("v")).alias("x")).orderBy("k").collect()
+    assert [r.x for r in found] == [max(r, key=lambda x: (r.count(x), -r.index(x))) if r else None for r in rows]
+
+
 def test_corrected_bases(spark):
     schema = "start long, end long, size long"
     base, structural = spark.createDataFrame([(0, 10, 1), (50, 60, 1)], schema), spark.createDataFrame([(0, 1, -100)], schema)

@@ -1,6 +1,9 @@
 """Text formats: reading, writing, and reading back."""
 
 import gzip
+import random
+
+import pytest
 
 from strandlake.sources import sinks, text_formats
 
@@ -17,6 +20,32 @@ def test_fasta(spark, tmp_path):
     assert max(map(len, lines)) == 80 and lines[0] == ">a" and "" not in lines
 
 
+@pytest.mark.parametrize("block", ["60b", "1g"])
+def test_fasta_in_pieces(spark, tmp_path, block):
+    """The same contigs as whole records give, also where a block has no header, only headers, or a part of a line."""
+    rng = random.Random(6)
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        records = []
+        for j in range(12):
+            lines = ["".join(rng.choices("ACGTn", k=rng.choice((0, 1, 20, 75)))) + rng.choice(("", " ", "\r")) for _ in range(rng.choice((0, 1, 2, 9)))]
+            records.append("\n".join([f">f{k}_{j}" + rng.choice(("", " some words", "\tx")), *lines]))
+        (tmp_path / "in" / f"{k}.fa").write_text("\n".join([*records, ">", "ACGT", ""]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        found = text_formats.read_fasta_pieces(spark, str(tmp_path / "in"), 48).collect()
+        expected = {r.name: r.sequence for r in text_formats.read_fasta(spark, str(tmp_path / "in")).collect() if r.sequence}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.name, r.piece, r.offset, r.text) for r in found} == {(n, k // 48, k, s[k : k + 48]) for n, s in expected.items() for k in range(0, len(s), 48)}
+    assert len(found) > len(expected) > 20
+    rows = spark.createDataFrame([(n, k // 160, k, s[k : k + 160]) for n, s in expected.items() for k in range(0, len(s), 160)], "name string, piece long, offset long, text string")
+    sinks.write_fasta_pieces(rows, str(tmp_path / "out"))
+    assert {r.name: r.sequence for r in text_formats.read_fasta(spark, str(tmp_path / "out")).collect()} == expected
+    assert max(len(x) for p in (tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()) <= 80
+
+
 def test_fastq(spark, tmp_path):
     text = "".join(f"@r{k} x\nACGTA\n+\n{'@+@@I' if k % 2 else 'IIIII'}\n" for k in range(50))
     (tmp_path / "a.fastq").write_text(text)

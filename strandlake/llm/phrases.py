@@ -1,10 +1,12 @@
 """Phrases that stand together more often than their parts: suffix-sigma counts and a cut score.
 
-Every word starts a suffix: itself and up to `most - 1` words behind it in its piece. Equal suffixes of a task are summed
-first; then the suffixes are shuffled by language and first word, in ranges of their order, so that one frequent first word
-is dealt to as many tasks as its suffixes fill. A task has its suffixes in reverse order, in which all that share a prefix
-stand together, and counts every prefix with one stack: a prefix leaves it when a suffix without it comes. A prefix at
-an edge of a range may go on in the next one: such parts are summed afterwards, all others are whole.
+Every word starts a suffix: itself and up to `most - 1` words behind it in its piece. Equal suffixes of a chunk of text are
+summed first; then the suffixes are shuffled by language and first word, in ranges of their order, so that one frequent first
+word is dealt to as many tasks as its suffixes fill. Where the ranges are cut follows from a sample of texts; it decides
+nothing but the sizes of tasks. What a chunk sends to a range is one row: a sorted run of suffixes. A task sorts its suffixes in
+reverse, so that all that share a prefix stand together, and counts every prefix with one stack: a prefix leaves it when a
+suffix without it comes. A prefix at an edge of a range may go on in the next one: such parts are summed afterwards, all
+others are whole.
 
 Defined results: a null text has no words, a null language is `und`; an empty table gives no rows; repeated rows and ids
 count each time (ids aren't read); further columns, of any name, aren't read; a text of any length is counted whole, one piece of a
@@ -13,6 +15,7 @@ text (between two separators) being the least that a task holds; phrases that ti
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,6 +32,8 @@ from .tokens import Numbers
 CUT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 #: What stands between the fields of a key, and behind its last; no word has it.
 END = " "
+#: Signs of a language's name that a key can't have, and how they are written in it.
+ESCAPES = (("%", "%25"), (END, "%20"), ("\n", "%0A"))
 
 
 def _chunks(texts: list[bytes], size: int) -> Iterator[bytes]:
@@ -48,13 +53,18 @@ def _chunks(texts: list[bytes], size: int) -> Iterator[bytes]:
         yield b".".join(held)
 
 
-def _suffix_counts(lang: bytes, chunk: bytes, most: int) -> pa.RecordBatch:
-    """The distinct suffixes of a chunk and how often each comes, as keys: the language and the words, each with END."""
+def _suffix_counts(lang: bytes, chunk: bytes, most: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct suffixes of a chunk, in order, and how often each comes: the language and the words, each with END, and a
+    line break (which doesn't count for the order)."""
     words = chunk.replace(b".", b" . ").split()
     numbers = Numbers({b".": 0})
     n = len(words)
+    met = np.fromiter(map(numbers.__getitem__, words), np.int64, n)
+    terms = sorted(w + b" " for w in list(numbers)[1:])
+    for k, w in enumerate(terms, 1):
+        numbers[w[:-1]] = k
     ids = np.zeros(n + most, np.int64)
-    ids[:n] = np.fromiter(map(numbers.__getitem__, words), np.int64, n)
+    ids[:n] = np.fromiter(numbers.values(), np.int64, len(numbers))[met]  # now in the order of the words
     code, span, own, columns = ids[:n], len(numbers), ids[:n], []
     for k in range(1, most):
         own = np.where(own > 0, ids[k : n + k], 0)
@@ -66,25 +76,78 @@ def _suffix_counts(lang: bytes, chunk: bytes, most: int) -> pa.RecordBatch:
     begins = np.flatnonzero(ids[:n])
     _, first, counts = np.unique(code[begins], return_index=True, return_counts=True)
     at = begins[first]
-    terms = pa.array([b"", *(w + b" " for w in list(numbers)[1:])], pa.binary())
-    key = pc.binary_join_element_wise(pa.scalar(lang + b" ", pa.binary()), terms.take(pa.array(ids[at])), *(terms.take(pa.array(c[at])) for c in columns), pa.scalar(b"", pa.binary()))
-    return pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(counts.astype(np.int64))], ["key", "n"])
+    terms = pa.array([b"", *terms], pa.binary())
+    ends = pa.scalar(b"\n", pa.binary())
+    key = pc.binary_join_element_wise(pa.scalar(lang + b" ", pa.binary()), terms.take(pa.array(ids[at])), *(terms.take(pa.array(c[at])) for c in columns), ends, pa.scalar(b"", pa.binary()))
+    return key, counts
 
 
-def suffixes(docs: DataFrame, most: int = 4, size: int = 4_000_000) -> DataFrame:
-    """key, n: the suffixes of all texts of docs (text, lang), equal ones of `size` bytes of text summed."""
+def _of_chunks(batches: Iterator[pa.RecordBatch], most: int, size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The suffixes of batches of (lang, text), a chunk of one language at a time."""
+    for batch in batches:
+        texts = defaultdict(list)
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts[lang].append(text)
+        for lang, own in texts.items():
+            for chunk in _chunks(own, size):
+                yield _suffix_counts(lang, chunk, most)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """lang, with its spaces written otherwise, and text, as bytes."""
+    lang = F.coalesce("lang", F.lit("und"))
+    for sign, code in ESCAPES:
+        lang = F.replace(lang, F.lit(sign), F.lit(code))
+    return docs.select(lang.cast("binary").alias("lang"), text_of().cast("binary").alias("text"))
+
+
+def range_ends(docs: DataFrame, most: int, size: int, rows: int, sample: int = 2000) -> list[bytes]:
+    """Suffixes that cut the order of all suffixes into ranges of about `rows` distinct ones a chunk, by a sample of about
+    `sample` texts, of each chunk of which up to 64 suffixes come to the driver."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _ in _of_chunks(batches, most, size):
+            at = np.linspace(0, len(key) - 1, min(64, len(key))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(at)), pa.array(np.full(len(at), len(key) / max(len(at), 1)))], ["key", "weight"])
+
+    every = max(docs.count() / sample, 1.0)
+    found = _texts(docs).where(F.rand(1) < 1 / every).mapInArrow(some, "key binary, weight double").collect()
+    found = sorted((bytes(r.key[:-1]), r.weight) for r in found)
+    upto = np.cumsum([w for _, w in found])
+    n = int(upto[-1] * every / rows) + 1 if found else 1
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, n) / n) if found else []
+    return sorted({found[k][0] for k in cuts})
+
+
+def suffix_runs(docs: DataFrame, ends: list[bytes], most: int = 4, size: int = 1_000_000) -> DataFrame:
+    """part, keys, n: for each chunk of `size` bytes and each range, a run of its suffixes (lines) and their numbers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, counts in _of_chunks(batches, most, size):
+            at = [bisect_left(range(len(key)), e, key=lambda k, key=key: key[k].as_py()[:-1]) for e in ends]
+            runs = [(p, b, e) for p, (b, e) in enumerate(zip([0, *at], [*at, len(key)], strict=True)) if b < e]
+            offsets = np.frombuffer(key.buffers()[1], np.int32)[key.offset :]
+            data, counts = memoryview(key.buffers()[2] or b""), counts.astype("<i4")
+            keys = [bytes(data[offsets[b] : offsets[e]]) for _, b, e in runs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(keys, pa.binary()), pa.array([counts[b:e].tobytes() for _, b, e in runs], pa.binary())], ["part", "keys", "n"])
+
+    return _texts(docs).mapInArrow(cut, "part int, keys binary, n binary")
+
+
+def suffixes(docs: DataFrame, most: int = 4, size: int = 1_000_000, rows: int = 1_000_000) -> DataFrame:
+    """key, n: the suffixes of all texts of docs (text, lang), equal ones of a chunk summed; a range of them a partition, sorted
+    in reverse."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = defaultdict(list)
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts[lang].append(text)
-            for lang, own in texts.items():
-                for chunk in _chunks(own, size):
-                    yield _suffix_counts(lang, chunk, most)
+            for keys, n in zip(batch.column(1), batch.column(2), strict=True):
+                n = np.frombuffer(n.as_py(), "<i4")
+                lines = pc.split_pattern(pa.array([keys.as_py()], pa.binary()).cast(pa.string()), "\n").values[: len(n)]
+                yield pa.RecordBatch.from_arrays([lines.take(pa.array(np.arange(len(n))[::-1])), pa.array(n[::-1].astype(np.int64))], ["key", "n"])
 
-    lang = F.replace(F.replace(F.coalesce("lang", F.lit("und")), F.lit("%"), F.lit("%25")), F.lit(END), F.lit("%20"))
-    return docs.select(lang.cast("binary").alias("lang"), text_of().cast("binary").alias("text")).mapInArrow(cut, "key string, n long")
+    ends = range_ends(docs, most, size, rows)
+    runs = suffix_runs(docs, ends, most, size).repartitionById(len(ends) + 1, "part")
+    return runs.mapInArrow(opened, "key string, n long").sortWithinPartitions(F.desc("key"))
 
 
 class Stack:
@@ -143,7 +206,7 @@ class Stack:
 
 
 def prefix_counts(suffix_rows: DataFrame, least: int) -> DataFrame:
-    """key, f: every prefix of the suffixes (key, n) with the sum of n of those that begin with it, if at least `least`."""
+    """key, f: every prefix of suffixes() (key, n) with the sum of n of those that begin with it, if at least `least`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = Stack(least)
@@ -153,16 +216,16 @@ def prefix_counts(suffix_rows: DataFrame, least: int) -> DataFrame:
                 yield as_batch(stack.read(batch.column(0), batch.column(1).to_numpy()))
         yield as_batch(stack.end())
 
-    order = F.desc("key")
-    parts = suffix_rows.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(count, "key string, f long")
-    return parts.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return suffix_rows.mapInArrow(count, "key string, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def phrase_counts(docs: DataFrame, most: int = 4, least: int = 30) -> DataFrame:
     """lang, phrase, k (its words), f: phrases of 1 to `most` words with f >= least; phrase '' (k = 0) has all words of lang."""
-    found = prefix_counts(stored(suffixes(docs, most), "phrase-suffixes"), least)
+    found = prefix_counts(suffixes(docs, most), least)
     lang, rest = F.substring_index("key", END, 1), F.expr("substring(key, instr(key, ' ') + 1)")
-    name = F.replace(F.replace(lang, F.lit("%20"), F.lit(END)), F.lit("%25"), F.lit("%"))
+    name = lang
+    for sign, code in reversed(ESCAPES):
+        name = F.replace(name, F.lit(code), F.lit(sign))
     k = F.length("key") - F.length(F.replace("key", F.lit(END), F.lit(""))) - 1
     phrase = F.substring(rest, F.lit(1), F.greatest(F.length(rest) - 1, F.lit(0)))
     return found.select(name.alias("lang"), phrase.alias("phrase"), k.alias("k"), "f")

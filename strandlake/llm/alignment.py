@@ -5,6 +5,9 @@ reads spans up to each both-label off the label string: such a span is a group,
 either side. Between two labels that follow each other lies the overlap of one A token and one B token: a link. How many
 documents hold a pair of ids linked is counted over the corpus, from each document's distinct pairs.
 
+Both tokenizers begin anew where white space follows a word, so a text is cut there, and what a segment (white space
+and a word) becomes is worked out once and then looked up. A text with signs for which this may not hold is aligned as a whole.
+
 Each text is encoded once. Its counts, its groups and its distinct pairs (with how often each is linked) are
 stored; the corpus counts are summed from the stored pairs, by task first. They are looked up in memory where they are
 at most `held` pairs, a fixed size; beyond that documents' pairs are joined with them, a pair that `dealt` documents hold being
@@ -17,9 +20,11 @@ text aren't read; a text of any length is aligned whole (its bytes, ids and labe
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,49 +32,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, text_of
-from .tokens import Encoder, Numbers, _ranges, in_turn
+from .tokens import Numbers, _ranges, in_turn
 
-#: Characters of which tokenizer B makes what it makes of them alone; a text with others is encoded as a whole by it.
+#: Texts of these signs are cut: B doesn't change them, and to A they are letters, digits, signs or white space beyond doubt.
 PLAIN = re.compile(r"[\t\n -~À-ÖØ-öø-ž¡«»¿–—‘-”…€]*")
-#: What B cuts for itself: a word with the spaces before it, one line break, spaces at an end.
-PIECES = re.compile(r" *[^ \n]+|\n| +")
+SEGMENTS = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
 LABELS = bytes.maketrans(b"\x00\x01\x02\x03", b".abx")
 SPAN = re.compile(rb"[^x]*x")
 ROWS = "doc_id long, row long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs binary, times binary"
 _READY: dict = {}
 
 
-class PieceEncoder:
-    """Ids of tokenizer B (sentencepiece) for texts, behind a space that it adds. Words that were met are looked up."""
-
-    def __init__(self, path: str, kept: int = 400_000, chars: int = 8_000_000):
-        from sentencepiece import SentencePieceProcessor
-
-        self.model, self.kept, self.most = SentencePieceProcessor(model_file=path), kept, chars
-        pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
-        # Words can be encoded apart if no piece reaches over the space before a word, or over a line break.
-        self.apart = not any(re.search("[^▁]▁", p) or "\n" in p for p in pieces)
-        self.line = self.model.encode("\n")  # the added space and the line break: what comes behind is as if in a text
-        self.spelled = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else b"" if self.model.is_control(k) or self.model.is_unknown(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.at, self.ids, self.chars = Numbers(), [], 0
-
-    def __call__(self, text: str) -> list[int]:
-        if not (self.apart and PLAIN.fullmatch(text)):
-            return self.model.encode(text)
-        if len(self.ids) > self.kept or self.chars > self.most:
-            self._forget()
-        at = list(map(self.at.__getitem__, PIECES.findall(" " + text)))
-        if len(self.at) > len(self.ids):
-            new = list(self.at)[len(self.ids) :]
-            self.chars += sum(map(len, new))
-            self.ids += [x[len(self.line) :] for x in self.model.encode(["\n" + w for w in new], num_threads=1)]
-        ids = self.ids
-        return [x for k in at for x in ids[k]]
-
-
 def _spelled_by_bytes(tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level tokenizer: its signs stand for bytes, printable ones for themselves."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -81,16 +54,6 @@ def _spelled_by_bytes(tokenizer) -> list[bytes]:
     return out
 
 
-def encoders(path_a: str, path_b: str) -> tuple[Encoder, list[bytes], PieceEncoder]:
-    """The worker's own encoders: A, what its ids spell, and B."""
-    if (path_a, path_b) not in _READY:
-        _READY.clear()
-        a = Encoder(path_a, True, cached=300_000, chars=8_000_000)
-        a.tokenizer.encode_special_tokens = True
-        _READY[path_a, path_b] = a, _spelled_by_bytes(a.tokenizer), PieceEncoder(path_b)
-    return _READY[path_a, path_b]
-
-
 def labels(sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
     """0, 1, 2, 3 for each byte: no token ends there, one of A, one of B, one of both."""
     out = np.zeros(int(sizes_a.sum()), np.uint8)
@@ -99,14 +62,12 @@ def labels(sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
     return out
 
 
-def groups(label_string: bytes, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The ids of A and of B in each span up to a both-label."""
-    out, i, j = [], 0, 0
-    for span in SPAN.findall(label_string):
-        m, n = span.count(b"a") + 1, span.count(b"b") + 1
-        out.append((a[i : i + m], b[j : j + n]))
-        i, j = i + m, j + n
-    return out
+def group_sizes(label_string: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of A and of B are in each span up to a both-label."""
+    ends = np.cumsum(np.fromiter(map(len, SPAN.findall(label_string)), np.int64))
+    data = np.frombuffer(label_string, np.uint8)
+    counted = lambda sign: np.diff(np.concatenate([[0], np.cumsum(data == ord(sign))[ends - 1]])) + 1
+    return counted("a"), counted("b")
 
 
 def links(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,38 +77,173 @@ def links(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return a[np.cumsum(ends_a) - ends_a], b[np.cumsum(ends_b) - ends_b]
 
 
-def _written(found: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{x[0]}|{y[0]}" if len(x) == 1 == len(y) else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found)
+class Writer:
+    """Groups as `a1,a2|b1;a3|b2,b3`. Every id is there twice as text: before a comma, and as its side's last."""
+
+    def __init__(self, n_a: int, n_b: int):
+        of = lambda n, end: np.array([f"{k}{sign}" for sign in (",", end) for k in range(n)], object)
+        self.a, self.b = of(n_a, "|"), of(n_b, ";")
 
+    def __call__(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> list[str]:
+        """The ids' texts in order. in_a, in_b: how many of the ids are in each group."""
+        out = np.empty(len(a) + len(b), object)
+        for ids, own, before, names in ((a, in_a, np.cumsum(in_b) - in_b, self.a), (b, in_b, np.cumsum(in_a), self.b)):
+            last = np.zeros(len(ids), np.int64)
+            last[np.cumsum(own) - 1] = len(names) // 2
+            out[np.arange(len(ids)) + np.repeat(before, own)] = names[ids + last]
+        return out.tolist()
 
-def _aligned(text: str, a: np.ndarray, spelled_a: list[bytes], encode_b: PieceEncoder) -> tuple:
-    """n_a, n_b, n_groups, n_links, groups, distinct pairs (A's id in the upper 32 bits), how often each is linked."""
-    own, ids_a = (" " + text).encode(), a.tolist()
-    ids_b = encode_b(text) if text else []
-    bytes_a, bytes_b = [spelled_a[k] for k in ids_a], [encode_b.spelled[k] for k in ids_b]
-    if not text or b"".join(bytes_a) != own or b"".join(bytes_b) != own:
-        return 0, 0, 0, 0, "", b"", b""
-    label = labels(np.fromiter(map(len, bytes_a), np.int64, len(ids_a)), np.fromiter(map(len, bytes_b), np.int64, len(ids_b)))
-    found = groups(label.tobytes().translate(LABELS), ids_a, ids_b)
-    link_a, link_b = links(label, a.astype(np.int64), np.array(ids_b, np.int64))
-    pairs, times = np.unique(link_a << 32 | link_b, return_counts=True)
-    return len(ids_a), len(ids_b), len(found), len(link_a), _written(found), pairs.astype("<i8").tobytes(), times.astype("<i4").tobytes()
+
+class Aligned:
+    """Texts and what they become: numbers of tokens, groups and links (rows of `n`), written groups, and the linked pairs
+    of all texts (A's id in the upper 32 bits). fits: whether both sides' tokens spell a text; all is 0 or empty if not."""
+
+    def __init__(self, n: np.ndarray, written: list[str], pairs: np.ndarray, fits: np.ndarray):
+        self.n, self.written, self.pairs, self.fits = n, written, pairs, fits
+        self.begin = np.cumsum(n[3]) - n[3]
+
+    def with_more(self, more: Aligned) -> Aligned:
+        return Aligned(np.concatenate([self.n, more.n], axis=1), self.written + more.written, np.concatenate([self.pairs, more.pairs]), np.concatenate([self.fits, more.fits]))
+
+
+NOTHING = Aligned(np.zeros((4, 0), np.int64), [], np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+class Aligner:
+    """Both tokenizers, and the segments that were met: at most `kept`, or of `chars` characters, before all are let go."""
+
+    def __init__(self, path_a: str, path_b: str, kept: int = 300_000, chars: int = 6_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from sentencepiece import SentencePieceProcessor
+
+        from tokenizers import Tokenizer
+
+        self.a, self.b, self.kept, self.most = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b), kept, chars
+        self.a.encode_special_tokens = True
+        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        # Segments are encoded apart if no piece of B reaches over the white space before a word.
+        self.apart = not any(re.search("[^▁]▁|[\t\n]", p) for p in pieces)
+        self.line = len(self.b.encode("\n"))  # the added space and the line break: what comes behind is as if in a text
+        spelled_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else b"" if self.b.is_control(k) or self.b.is_unknown(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.spelled = _spelled_by_bytes(self.a), spelled_b
+        self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in self.spelled]
+        self.write = Writer(*map(len, self.spelled))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at, self.chars, self.known = Numbers(), 0, NOTHING
+
+    def _ids(self, rows: list[str], whole: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of A and of B: all ids of the rows (texts with a space before them, or segments), and how many are each row's."""
+        if whole:
+            of_a, of_b = [x.ids for x in self.a.encode_batch(rows, add_special_tokens=False)], [self.b.encode(t[1:]) for t in rows]
+            flat_a, n_a = np.fromiter(chain.from_iterable(of_a), np.int64), np.fromiter(map(len, of_a), np.int64, len(rows))
+        else:
+            found = self.a.encode(rows, is_pretokenized=True, add_special_tokens=False)
+            flat_a, n_a = np.array(found.ids, np.int64), np.bincount(np.array(found.word_ids, np.int64), minlength=len(rows))
+            of_b = [x[self.line :] for x in self.b.encode(["\n" + t for t in rows], num_threads=1)]
+        return [(flat_a, n_a), (np.fromiter(chain.from_iterable(of_b), np.int64), np.fromiter(map(len, of_b), np.int64, len(rows)))]
+
+    def _fitting(self, texts: list[bytes], sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Whether both sides' tokens spell each text."""
+        wanted = np.fromiter(map(len, texts), np.int64, len(texts))
+        fits = np.ones(len(texts), bool)
+        for (ids, n), spelled, sizes in zip(sides, self.spelled, self.sizes, strict=True):
+            tokens = list(map(spelled.__getitem__, ids.tolist()))
+            if b"".join(tokens) == b"".join(texts) and (_sums(sizes[ids], n) == wanted).all():
+                continue
+            stops = np.cumsum(n).tolist()
+            fits &= np.array([b"".join(tokens[b:e]) == t for b, e, t in zip([0, *stops], stops, texts)])
+        return fits
+
+    def align(self, rows: list[str], whole: bool) -> Aligned:
+        """All rows are labelled together: each ends with a both-label."""
+        sides = self._ids(rows, whole)
+        fits = self._fitting([t.encode() for t in rows], sides)
+        a, b = (ids[np.repeat(fits, n)] for ids, n in sides)
+        counts = np.zeros((4, len(rows)), np.int64)
+        if not len(a):
+            return Aligned(counts, [""] * len(rows), np.zeros(0, np.int64), fits)
+        n_a, n_b = (n[fits] for _, n in sides)
+        sizes = [size[x] for size, x in zip(self.sizes, (a, b))]
+        label = labels(*sizes)
+        in_a, in_b = group_sizes(label.tobytes().translate(LABELS))
+        link_a, link_b = links(label, a, b)
+        chars = _sums(sizes[0], n_a)
+        counts[:, fits] = n_a, n_b, _sums(label == 3, chars), _sums(label > 0, chars)
+        tokens, stops = self.write(a, b, in_a, in_b), np.cumsum(counts[0] + counts[1]).tolist()
+        return Aligned(counts, ["".join(tokens[b:e]) for b, e in zip([0, *stops], stops)], link_a << 32 | link_b, fits)
+
+    def __call__(self, texts: list[str]) -> list[list]:
+        """n_a, n_b, n_groups, n_links, groups, distinct pairs, how often each is linked: each a list over texts."""
+        if len(self.at) > self.kept or self.chars > self.most:
+            self._forget()
+        cut = [SEGMENTS.findall(" " + t) if t and self.apart and PLAIN.fullmatch(t) else None for t in texts]
+        odd = [k for k, c in enumerate(cut) if c is None and texts[k]]
+        own = [c or () for c in cut]
+        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(own)), np.int64, sum(map(len, own)))
+        if len(self.at) > len(self.known.written):
+            new = list(islice(reversed(self.at), len(self.at) - len(self.known.written)))[::-1]
+            self.chars += sum(map(len, new))
+            self.known = self.known.with_more(self.align(new, False))
+        rows, n_rows = self.known, np.fromiter(map(len, own), np.int64, len(own))
+        if odd:
+            rows = rows.with_more(self.align([" " + texts[k] for k in odd], True))
+            parts = np.split(at, np.cumsum(n_rows)[:-1])
+            for j, k in enumerate(odd):
+                parts[k] = np.array([len(self.known.written) + j])
+            at, n_rows = np.concatenate(parts), np.where(np.isin(np.arange(len(own)), odd), 1, n_rows)
+        # A text that a segment doesn't fit has no tokens.
+        fits = _sums(rows.fits[at], n_rows) == n_rows
+        at, n_rows = at[np.repeat(fits, n_rows)], np.where(fits, n_rows, 0)
+        counts = [_sums(x[at], n_rows).tolist() for x in rows.n]
+        stops, places = np.cumsum(n_rows).tolist(), at.tolist()
+        written = ["".join(map(rows.written.__getitem__, places[b:e]))[:-1] for b, e in zip([0, *stops], stops)]
+        linked = rows.n[3][at]
+        pairs, times, n_pairs = _distinct(np.repeat(np.arange(len(texts)), _sums(linked, n_rows)), rows.pairs[_ranges(rows.begin[at], linked)], len(texts))
+        ends = np.cumsum(n_pairs).tolist()
+        spans = [slice(b, e) for b, e in zip([0, *ends], ends)]
+        return [*counts, written, [pairs[p].tobytes() for p in spans], [times[p].tobytes() for p in spans]]
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of so many values each."""
+    upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def _distinct(text: np.ndarray, pairs: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct pairs in order, how often each comes, and how many a text has."""
+    a, b = pairs >> 32, pairs & 0xFFFFFFFF
+    bits = int(b.max(initial=0)).bit_length()
+    pair = a << bits | b
+    wide = int(pair.max(initial=0)).bit_length()
+    key, times = np.unique(text << wide | pair, return_counts=True)  # a chunk has far fewer texts than 2^30
+    pair = key & ((1 << wide) - 1)
+    return ((pair >> bits) << 32 | pair & ((1 << bits) - 1)).astype("<i8"), times.astype("<i4"), np.bincount(key >> wide, minlength=n_texts)
+
+
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """The worker's own."""
+    if (path_a, path_b) not in _READY:
+        _READY.clear()
+        _READY[path_a, path_b] = Aligner(path_a, path_b)
+    return _READY[path_a, path_b]
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) -> DataFrame:
     """ROWS of docs (doc_id, text). groups: `a1,a2|b1;a3|b2,b3`, the ids of each group, or with digest its sha256."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_a, spelled_a, encode_b = encoders(path_a, path_b)
+        align_texts = aligner(path_a, path_b)
         for batch in batches:
             doc_ids = batch.column(0)
             for first, texts in in_turn(batch.column(1).to_pylist(), 500_000):
-                ids, sizes = encode_a([" " + t for t in texts])
-                rows = [_aligned(t, x, spelled_a, encode_b) for t, x in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True)]
+                found = align_texts(texts)
                 if digest:
-                    rows = [(*r[:4], sha256(r[4].encode()).hexdigest() if r[4] else "", *r[5:]) for r in rows]
+                    found[4] = [sha256(x.encode()).hexdigest() if x else "" for x in found[4]]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                columns = [pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(first, n), pa.array(np.zeros(n, np.int64)), *columns], [x.split()[0] for x in ROWS.split(", ")])
 

@@ -1,8 +1,10 @@
 """Tokenizers aligned by bytes, against a plain version that compares all token ranges."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -101,18 +103,23 @@ def test_defined_cases(spark):
 
 
 def test_groups_and_links_by_hand():
-    import numpy as np
-
     label = alignment.labels(np.array([2, 1, 3]), np.array([3, 1, 2]))
     text = label.tobytes().translate(alignment.LABELS)
     assert text == b".axb.x"
-    assert alignment.groups(text, [1, 2, 3], [7, 8, 9]) == [([1, 2], [7]), ([3], [8, 9])]
+    sizes = alignment.group_sizes(text)
+    assert [x.tolist() for x in sizes] == [[2, 1], [1, 2]]
+    assert alignment.Writer(10, 10)(np.array([1, 2, 3]), np.array([7, 8, 9]), *sizes) == ["1,", "2|", "7;", "3|", "8,", "9;"]
     assert [x.tolist() for x in alignment.links(label, np.array([1, 2, 3]), np.array([7, 8, 9]))] == [[1, 2, 3, 3], [7, 7, 8, 9]]
 
 
-def test_words_are_encoded_as_in_the_text():
-    encode = alignment.PieceEncoder(B, kept=3)
-    model = SentencePieceProcessor(model_file=B)
-    assert encode.apart
-    for t in [x for x in ODD if x]:
-        assert encode(t) == model.encode(t), repr(t)[:60]
+def test_segments_are_encoded_as_in_the_text():
+    """All texts at once, then one by one with segments let go in between, and each as a whole."""
+    tools = alignment.Aligner(A, B, kept=3)
+    assert tools.apart
+    rng = random.Random(1)
+    made = ["".join(rng.choice(["a", "Word", "don't", "12", "é", ".", "…", " ", " ", "  ", "\n", "\n\n", "\t", "<|endoftext|>"]) for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+    texts = [x for x in ODD if x] + made
+    at_once, whole = tools(texts), tools.align([" " + t for t in texts], True)
+    assert [at_once[k] for k in range(4)] == whole.n.tolist() and at_once[4] == [w[:-1] for w in whole.written]
+    for k, t in enumerate(texts[:60]):
+        assert [x[0] for x in tools([t])] == [x[k] for x in at_once]

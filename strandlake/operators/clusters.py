@@ -1,138 +1,150 @@
 """Clusters of signals, merged to events.
 
 Large signals: a greedy cluster starts at a position and takes all that are at most `window` after it. The starts are a
-fold over the distinct positions of an island (a stretch of bins without an empty bin between), and the signals join
-their starts back by position: the fold never sees reads, and its input is bounded by the contig's length.
+chain over the distinct positions (see `chains`), and the signals join their starts back by position.
 
-Small signals: clusters are the signals of depth regions. Either way the members of a cluster are merged by a function
-of its own group: order statistics of sizes, outliers trimmed, and two events where sizes are bimodal.
+Small signals: clusters are the signals of depth regions. Either way a cluster is merged by its sizes and their counts:
+order statistics, outliers trimmed, and two events where sizes are bimodal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import with_start, within
 from .intervals import depth_regions, depth_segments, overlaps, without_small_twin
 from .settle import settled
 
-EVENT = "contig string, pos long, size long, cnt long, quality double, reads array<string>, tag string"
 #: Sizes above are large; of large ones, how far a cluster reaches.
 LARGE, WINDOW = 3000, 1600
 #: Adaptive clusters: the first window; the window by mean size up to a limit; the window above all limits.
 FIRST, ADAPTED, WIDEST = 100, ((100, 200), (500, 400)), 800
 
 
-def _with_starts(signals: DataFrame, spots: DataFrame, keys: list[str], widest: int, reach: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """signals with cluster: the position at which the row's greedy cluster starts.
-
-    spots has a row for each keys and pos of signals. reach tells, for the sorted spots of an island, how far a cluster
-    that starts at each would go; never more than `widest`."""
-    bins = spots.select(*keys, F.expr(f"pos div {widest + 1}").alias("bin")).distinct()
-    order = Window.partitionBy(*keys).orderBy("bin")
-    # An empty bin is wider than any cluster: none spans it.
-    bins = bins.withColumn("island", F.sum(F.coalesce((F.col("bin") - F.lag("bin").over(order) > 1).cast("int"), F.lit(1))).over(order))
-    spots = spots.withColumn("bin", F.expr(f"pos div {widest + 1}")).join(bins, [*keys, "bin"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, far = pdf["pos"].to_numpy(np.int64), reach(pdf)
-        starts, k = np.empty_like(pos), 0
-        while k < len(pos):
-            end = int(np.searchsorted(pos, pos[k] + far[k], "right"))
-            starts[k:end] = pos[k]
-            k = end
-        return pd.DataFrame({c: pdf[c].iloc[0] for c in keys} | {"pos": pos, "cluster": starts})
-
-    schema = ", ".join([*(f"{c} {dict(spots.dtypes)[c]}" for c in keys), "pos long", "cluster long"])
-    starts = spots.groupBy(*keys, "island").applyInPandas(fold, schema)
-    return signals.join(starts, [*keys, "pos"])
-
-
 def with_cluster(signals: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
-    """signals (keys, pos, ...) with cluster, each reaching `window` after its start."""
-    return _with_starts(signals, signals.select(*keys, "pos").distinct(), keys, window, lambda spots: np.full(len(spots), window))
+    """signals (keys, pos, ...) with cluster: where it starts; each reaches `window` after its start."""
+    spots = signals.select(*keys, "pos").distinct().withColumn("reach", F.lit(window).cast("long"))
+    return with_start(signals, spots, keys, window)
 
 
 def with_adaptive_cluster(signals: DataFrame, keys: list[str], first: int = FIRST) -> DataFrame:
     """signals (keys, pos, size, ...) with cluster. How far a cluster reaches follows from the mean size of its rows at
     most `first` after its start: see ADAPTED."""
-
-    def reach(spots: pd.DataFrame) -> np.ndarray:
-        pos = spots["pos"].to_numpy(np.int64)
-        near = np.searchsorted(pos, pos + first, "right")
-        sizes, rows = (np.concatenate([[0], np.cumsum(spots[c].to_numpy(np.int64))]) for c in ("_sizes", "_rows"))
-        mean = (sizes[near] - sizes[:-1]) // (rows[near] - rows[:-1])
-        return np.select([mean <= most for most, _ in ADAPTED], [window for _, window in ADAPTED], WIDEST)
-
     spots = signals.groupBy(*keys, "pos").agg(F.sum("size").cast("long").alias("_sizes"), F.count("*").alias("_rows"))
-    return _with_starts(signals, spots, keys, WIDEST, reach)
-
-
-def trimmed(sizes: list[int], least: int) -> tuple[int, int]:
-    """The slice of sorted sizes that stays when far outliers at either end are dropped, one at a time."""
-    a, b = 0, len(sizes)
-    while b - a > max(least - 2, 2):
-        bottom, middle, top = sizes[a], sizes[a + (b - a) // 2], sizes[b - 1]
-        if top > 2 * middle and top - middle > 30:
-            b -= 1
-        elif middle > 2 * bottom and middle - bottom > 30:
-            a += 1
-        else:
-            break
-    return a, b
-
-
-def merge_one(members: list[tuple], support: int, tag: str = "Unique") -> tuple | None:
-    """members (size, pos, mapq, read), sorted by size, to (pos, size, cnt, quality, reads, tag)."""
-    least = max(2, support)
-    a, b = trimmed([m[0] for m in members], least)
-    n, own = b - a, members[a:b]
-    if n < least:
-        return None
-    return sum(m[1] for m in own) // n, sum(m[0] for m in own) // n, n, sum(m[2] for m in own) / n, [m[3] for m in own], tag
-
-
-def two_means(sizes: list[int], upper: int, lower: int) -> list[bool]:
-    """Whether each size is nearer to the upper mean, after three rounds from the given means (ties: upper)."""
-    near = [True] * len(sizes)
-    for _ in range(3):
-        near = [abs(s - upper) <= abs(s - lower) for s in sizes]
-        groups = [[s for s, x in zip(sizes, near, strict=True) if x is side] for side in (True, False)]
-        upper, lower = (sum(g) // len(g) if g else m for g, m in zip(groups, (upper, lower), strict=True))
-    return near
-
-
-def merge(members: list[tuple], support: int) -> list[tuple]:
-    members = sorted(members)
-    n = len(members)
-    if n and n >= 1.5 * support:
-        upper, lower = members[3 * n // 4][0], members[n // 4][0]
-        if upper > int(1.75 * lower) and upper - lower > 50:
-            near = two_means([m[0] for m in members], upper, lower)
-            found = [merge_one([m for m, x in zip(members, near, strict=True) if x is side], support) for side in (True, False)]
-            found = [x for x in found if x]
-            if found:
-                return [(*x[:5], "CompoundSV") for x in found] if len(found) == 2 else found
-    one = merge_one(members, support)
-    return [one] if one else []
+    spots = within(spots, keys, first, {"_sizes": F.sum("_sizes"), "_rows": F.sum("_rows")})
+    mean, reach = F.expr("_sizes div _rows"), F.lit(WIDEST)
+    for most, window in reversed(ADAPTED):
+        reach = F.when(mean <= most, window).otherwise(reach)
+    return with_start(signals, spots.select(*keys, "pos", reach.cast("long").alias("reach")), keys, WIDEST)
+
+
+class Sizes:
+    """Sizes in order, each with how many members have it."""
+
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray):
+        self.sizes, self.counts = sizes, counts
+        self.upto = np.cumsum(counts)
+        self.n = int(self.upto[-1]) if len(counts) else 0
+
+    def group(self, rank: int) -> int:
+        """Which size the member of a rank has."""
+        return int(np.searchsorted(self.upto, rank, "right"))
+
+    def at(self, rank: int) -> int:
+        return int(self.sizes[self.group(rank)])
+
+    def only(self, keep: np.ndarray) -> Sizes:
+        return Sizes(self.sizes[keep], self.counts[keep])
+
+    def mean(self, default: int) -> int:
+        return int((self.sizes * self.counts).sum()) // self.n if self.n else default
+
+    def trimmed(self, least: int) -> tuple[int, int]:
+        """The ranks that stay when far outliers at either end are dropped, one at a time: as the middle moves towards the
+        other end, all members of an outlier's size follow it, as far as the limit allows."""
+        a, b, limit = 0, self.n, max(least - 2, 2)
+        while b - a > limit:
+            bottom, middle, top = self.at(a), self.at(a + (b - a) // 2), self.at(b - 1)
+            if top > 2 * middle and top - middle > 30:
+                k = self.group(b - 1)
+                b -= min(b - max(a, int(self.upto[k] - self.counts[k])), b - a - limit)
+            elif middle > 2 * bottom and middle - bottom > 30:
+                a += min(int(self.upto[self.group(a)]) - a, b - a - limit)
+            else:
+                break
+        return a, b
+
+    def picked(self, support: int) -> tuple[int, int, int, int] | None:
+        """The members of one event: the least and the greatest size, how many of the least are dropped (the first ones),
+        and how many of the greatest (the last ones). None if there are too few."""
+        least = max(2, support)
+        a, b = self.trimmed(least)
+        if b - a < least:
+            return None
+        low, high = self.group(a), self.group(b - 1)
+        return int(self.sizes[low]), int(self.sizes[high]), a - int(self.upto[low] - self.counts[low]), int(self.upto[high]) - b
+
+    def nearer(self, upper: int, lower: int) -> np.ndarray:
+        """Whether each size is nearer to the upper mean, after three rounds from the given means (ties: upper)."""
+        near = np.ones(len(self.sizes), bool)
+        for _ in range(3):
+            near = np.abs(self.sizes - upper) <= np.abs(self.sizes - lower)
+            upper, lower = self.only(near).mean(upper), self.only(~near).mean(lower)
+        return near
+
+    def events(self, support: int) -> list[tuple[int, int, int, int, str]]:
+        """picked() and a tag: one event, two where sizes are bimodal, or none."""
+        n = self.n
+        if n and n >= 1.5 * support:
+            upper, lower = self.at(3 * n // 4), self.at(n // 4)
+            if upper > int(1.75 * lower) and upper - lower > 50:
+                near = self.nearer(upper, lower)
+                found = [x for x in (self.only(side).picked(support) for side in (near, ~near)) if x]
+                if found:
+                    return [(*x, "CompoundSV" if len(found) == 2 else "Unique") for x in found]
+        one = self.picked(support)
+        return [(*one, "Unique")] if one else []
 
 
 def merged(members: DataFrame, keys: list[str], support: int) -> DataFrame:
-    """Events of members (contig, pos, size, mapq, read, keys), one or two of each group of keys."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = merge(list(zip(pdf["size"].tolist(), pdf["pos"].tolist(), pdf["mapq"].tolist(), pdf["read"].tolist(), strict=True)), support)
-        return pd.DataFrame([(pdf["contig"].iloc[0], *x) for x in rows], columns=[x.split()[0] for x in EVENT.split(", ")])
-
-    # Groups below the support merge to nothing: they needn't reach Python.
-    own = Window.partitionBy(*keys)
-    rows = members.withColumn("_n", F.count("*").over(own)).where(F.col("_n") >= max(2, support))
-    return rows.select(*dict.fromkeys([*keys, "contig", "pos", "size", "mapq", "read"])).groupBy(*keys).applyInPandas(fold, EVENT)
+    """Events of members (contig, pos, size, mapq, read, keys), one or two of each group of keys.
+
+    What an event takes follows from its group's sizes and how many members have each: a row of numbers, however many
+    members there are. The members come back by a join on their sizes."""
+    rows = settled(members.select(*dict.fromkeys([*keys, "contig", "pos", "size", "mapq", "read"])))
+    counts = rows.groupBy(*keys, "size").agg(F.count("*").alias("n"))
+    groups = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.array_sort(F.collect_list(F.struct("size", "n"))).alias("_sizes")).where(F.col("_n") >= max(2, support))
+    names = ["low", "high", "skip", "drop", "tag"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, ends = batch.column(0).values, batch.column(0).offsets.to_numpy()
+            sizes, n = (own.field(k).to_numpy().astype(np.int64) for k in ("size", "n"))
+            found = [(k, *e) for k in range(batch.num_rows) for e in Sizes(sizes[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]]).events(support)]
+            at = pa.array([e[0] for e in found], pa.int64())
+            columns = [pa.array([e[1 + k] for e in found], pa.string() if c == "tag" else pa.int64()) for k, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), *columns], [*keys, *names])
+
+    kinds = dict(rows.dtypes)
+    picks = groups.select("_sizes", *keys).mapInArrow(pick, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "low long, high long, skip long, drop long, tag string"]))
+    taken = settled(rows.join(picks, keys).where(F.col("size").between(F.col("low"), F.col("high"))))
+    # Of a size at an edge, the first or the last members in their order may be dropped.
+    edge = ((F.col("size") == F.col("low")) & (F.col("skip") > 0)) | ((F.col("size") == F.col("high")) & (F.col("drop") > 0))
+    order = Window.partitionBy(*keys, "low", "size").orderBy("pos", "mapq", "read")
+    back = Window.partitionBy(*keys, "low", "size").orderBy(F.desc("pos"), F.desc("mapq"), F.desc("read"))
+    part = taken.where(edge).withColumns({"_first": F.row_number().over(order), "_last": F.row_number().over(back)})
+    part = part.where(((F.col("size") > F.col("low")) | (F.col("_first") > F.col("skip"))) & ((F.col("size") < F.col("high")) | (F.col("_last") > F.col("drop"))))
+    kept = taken.where(~edge).unionByName(part.drop("_first", "_last"))
+    out = kept.groupBy(*keys, "low", "tag").agg(
+        F.expr("CAST(sum(pos) div count(*) AS BIGINT)").alias("_pos"), F.expr("CAST(sum(size) div count(*) AS BIGINT)").alias("_size"), F.count("*").alias("cnt"), (F.sum("mapq") / F.count("*")).cast("double").alias("quality"),
+        F.array_sort(F.collect_list(F.struct("size", "pos", "mapq", "read"))).alias("_members"),
+    )
+    return out.select("contig", F.col("_pos").alias("pos"), F.col("_size").alias("size"), "cnt", "quality", F.col("_members.read").alias("reads"), "tag")
 
 
 def marks(signals: DataFrame, lengths: DataFrame, point: bool | Column, half: int = 101) -> DataFrame:

@@ -26,17 +26,40 @@ def overlaps(left: DataFrame, right: DataFrame, width: int = 4096) -> DataFrame:
     return both.where(f"greatest(l_from, r_from) div {width} = _bin").drop("_bin")
 
 
-def flank_depth(events: DataFrame, reads: DataFrame, flank: int = 100, width: int = 4096) -> DataFrame:
+def counts_up_to(points: DataFrame, spots: DataFrame, keys: list[str], width: int = 1 << 16) -> DataFrame:
+    """spots (keys, at, ...) with upto: the sum of n over points (keys, at, n) at or before `at`.
+
+    Points and spots are sorted together, in ranges of `width` positions; sums of ranges, of which there is a row each,
+    are added in a second step."""
+    asked = spots.select(*keys, "at", F.lit(None).cast("long").alias("n"), F.struct(*spots.columns).alias("_row"))
+    known = points.groupBy(*keys, "at").agg(F.sum("n").alias("n")).withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType))
+    both = asked.unionByName(known).withColumn("_range", F.expr(f"at div {width}"))
+    own = Window.partitionBy(*keys, "_range").orderBy("at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = both.groupBy(*keys, "_range").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_sum"))
+    ranges = ranges.select(*keys, "_range", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_sum")).alias("_before"))
+    inside = both.withColumn("_inside", F.coalesce(F.sum("n").over(own), F.lit(0))).where("_row IS NOT NULL")
+    return inside.join(ranges, [*keys, "_range"]).select("_row.*", (F.col("_before") + F.col("_inside")).cast("long").alias("upto"))
+
+
+def flank_depth(events: DataFrame, reads: DataFrame, flank: int = 100, width: int = 1 << 16) -> DataFrame:
     """events (contig, start, end, ...) with depth_left, depth_right and depth_min: countable reads (rname, pos, ref_len,
-    flag) that overlap the `flank` bases up to start, and those after end (1-based)."""
-    spots = events.select("contig", "start", "end").distinct()
-    left = spots.select("contig", "start", "end", F.lit(0).alias("side"), F.greatest(F.col("start") - flank + 1, F.lit(1)).alias("l_from"), (F.col("start") + 1).alias("l_to"))
-    right = spots.select("contig", "start", "end", F.lit(1).alias("side"), (F.col("end") + 1).alias("l_from"), (F.col("end") + flank + 1).alias("l_to"))
-    counted = reads.where(F.col("flag").bitwiseAND(3844) == 0)
-    # Reads with the same place count at once.
-    counted = counted.groupBy(F.col("rname").alias("contig"), F.col("pos").alias("r_from"), (F.col("pos") + F.col("ref_len")).alias("r_to")).agg(F.count("*").alias("n"))
-    met = overlaps(left.unionByName(right), counted, width)
-    depth = met.groupBy("contig", "start", "end").agg(*[F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).cast("long").alias(c) for k, c in enumerate(("depth_left", "depth_right"))])
+    flag) that overlap the `flank` bases up to start, and those after end (1-based).
+
+    Reads that overlap a window are those that begin up to its last base, less those that end before its first: two
+    counts by order, for which reads and windows are sorted once, however many reads lie on a window."""
+    counted = reads.where((F.col("flag").bitwiseAND(3844) == 0) & (F.col("ref_len") > 0)).select(F.col("rname").alias("contig"), F.col("pos").cast("long").alias("begin"), (F.col("pos") + F.col("ref_len")).cast("long").alias("stop"))
+    point = lambda name, n: F.struct(F.col(name).alias("at"), F.lit(n).cast("long").alias("n"))
+    points = counted.select("contig", F.explode(F.array(point("begin", 1), point("stop", -1))).alias("x")).select("contig", (F.col("x.n") < 0).alias("gone"), "x.at", "x.n")
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    ask = lambda gone, left, at: F.struct(F.lit(gone).alias("gone"), F.lit(left).alias("left"), at.alias("at"))
+    first = F.greatest(start - flank + 1, F.lit(1).cast("long"))
+    asked = F.array(ask(False, True, start), ask(True, True, first), ask(False, False, end + flank), ask(True, False, end + 1))
+    spots = events.select("contig", "start", "end").distinct().withColumn("x", F.explode(asked)).select("contig", "start", "end", "x.gone", "x.left", "x.at")
+    found = counts_up_to(points, spots, ["contig", "gone"], width)
+    side = lambda left, name: F.sum(F.when(F.col("left") == left, F.col("upto")).otherwise(0)).cast("long").alias(name)
+    depth = found.groupBy("contig", "start", "end").agg(side(True, "depth_left"), side(False, "depth_right"))
+    # A window without bases has no reads.
+    depth = depth.withColumn("depth_left", F.when(F.col("start") >= F.greatest(F.col("start") - flank + 1, F.lit(1)), F.col("depth_left")).otherwise(0))
     out = events.join(depth, ["contig", "start", "end"], "left").fillna(0, ["depth_left", "depth_right"])
     return out.withColumn("depth_min", F.least("depth_left", "depth_right"))
 

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .contig_stats import running_sum
 from .settle import settled
 
 WIDTH = 1 << 20
@@ -59,27 +58,37 @@ def gridded(fragments: DataFrame, width: int = WIDTH) -> DataFrame:
     return joined.select("name", "piece", (F.col("piece") * width).alias("offset"), F.array_join("p.text", "").alias("text"))
 
 
-def with_island(edits: DataFrame, width: int = WIDTH) -> DataFrame:
-    """edits (chrom, start, end, ...) with island: edits of different islands can't meet, whatever they take or make.
-
-    An edit takes end - start characters, and what earlier edits behind it took may make it reach further: so an island is
-    what a queue calls a busy period, in which an edit arrives at its start and takes that many characters and one more.
-    One begins where start less all that was taken before exceeds every such value before. Both sums are made in two
-    steps, over starts of a range and over ranges."""
-    takes = F.greatest(F.col("end") - F.col("start"), F.lit(0)) + 1
-    spots = edits.groupBy("chrom", "start").agg(F.sum(takes).cast("long").alias("_takes"))
-    spots = running_sum(spots, ["chrom"], "start", "_takes", "_upto", width)
-    spots = spots.withColumns({"_slack": F.col("start") - (F.col("_upto") - F.col("_takes")), "_range": F.expr(f"start div {width}")})
-    own = Window.partitionBy("chrom", "_range").orderBy("start")
-    ranges = spots.groupBy("chrom", "_range").agg(F.max("_slack").alias("_most"))
-    upto = Window.partitionBy("chrom").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("chrom", "_range", F.max("_most").over(upto).alias("_before"))
-    inside = F.max("_slack").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    spots = spots.withColumn("_inside", inside).join(ranges, ["chrom", "_range"])
-    most = F.greatest("_inside", "_before")  # nulls are passed over
-    spots = spots.withColumn("_new", F.when(most.isNull() | (F.col("_slack") >= most), 1).otherwise(0).cast("long"))
-    numbers = running_sum(spots.select("chrom", "start", "_new"), ["chrom"], "start", "_new", "island", width)
-    return edits.join(numbers.select("chrom", "start", "island"), ["chrom", "start"])
+def with_group(edits: DataFrame, width: int = WIDTH) -> DataFrame:
+    """edits (chrom, start, end, ...) with group: a stretch of ranges of `width` starts, over whose begin no island reaches.
+
+    Edits are an island where they may meet, whatever they take or make. An edit takes end - start characters, and what
+    others behind it took may make it reach further: so an island is what a queue calls a busy period, in which an edit arrives at
+    its start and takes that many characters and one more. When a range's edits are done depends on when those of the ranges before are:
+    later by all that they take, but not before what they take on their own. There is a row a range for that."""
+    rows = edits.withColumns({"_range": F.expr(f"start div {width}"), "_takes": F.greatest(F.col("end") - F.col("start"), F.lit(0)) + 1})
+    own = Window.partitionBy("chrom", "_range").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_slack", F.col("start") - F.sum("_takes").over(own) + F.col("_takes"))
+    ranges = rows.groupBy("chrom", "_range").agg(F.min("start").alias("first"), F.sum("_takes").alias("takes"), (F.max("_slack") + F.sum("_takes")).alias("alone"))
+    order = Window.partitionBy("chrom").orderBy("_range")
+    upto = F.sum("takes").over(order)
+    ranges = ranges.withColumn("_done", F.col("alone") - upto).withColumn("_upto", upto)
+    before = F.max("_done").over(order.rowsBetween(Window.unboundedPreceding, -1)) + F.col("_upto") - F.col("takes")
+    ranges = ranges.withColumn("_free", F.coalesce((before <= F.col("first")).cast("int"), F.lit(1)))
+    groups = ranges.select("chrom", "_range", F.sum("_free").over(order).alias("group"))
+    return rows.join(groups, ["chrom", "_range"]).drop("_range", "_takes", "_slack")
+
+
+def islands(edits: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Runs of edits (start, end, ...), sorted by start, that may meet: see with_group."""
+    own, done = [], 0
+    for e in edits:
+        if own and e[0] >= done:
+            yield own
+            own = []
+        done = max(done, e[0]) + max(e[1] - e[0], 0) + 1 if own else e[0] + max(e[1] - e[0], 0) + 1
+        own.append(e)
+    if own:
+        yield own
 
 
 def folded(edits: list[tuple[int, int, str, int]], length: int, structural: bool) -> tuple[int, int, list[tuple[int, int, int]]]:
@@ -138,29 +147,38 @@ def folded(edits: list[tuple[int, int, str, int]], length: int, structural: bool
 
 
 def spans_of(edits: DataFrame, sizes: DataFrame, structural: bool, width: int = WIDTH) -> DataFrame:
-    """edits (chrom, start, end, sv_type, size) of contigs (name, length) as spans: name, region_from, region_to, ord, kind,
-    a, b. A region without spans has one of no length."""
+    """edits (chrom, start, end, sv_type, size) of contigs (name, length) as regions that change: name, region_from, region_to,
+    change (of length), group, upto (the changes in the group up to and with this one), and the spans that stand there: kind, a, b, out (their
+    place from region_from on)."""
     rows = edits.select("chrom", *(F.col(c).cast("long").alias(c) for c in ("start", "end")), "sv_type", F.col("size").cast("long").alias("size"))
     rows = rows.where("chrom IS NOT NULL AND start >= 0 AND end IS NOT NULL AND sv_type IS NOT NULL AND size IS NOT NULL").join(sizes.withColumnRenamed("name", "chrom"), "chrom").where("start < length")
-    rows = with_island(rows, width).repartition("chrom", "island").sortWithinPartitions("chrom", "island")
-    names = ["name", "region_from", "region_to", "ord", "kind", "a", "b"]
+    rows = with_group(rows, width).repartition("chrom", "group").sortWithinPartitions("chrom", "group", "start")
+    fields = {"name": pa.string(), "group": pa.int64()} | dict.fromkeys(("region_from", "region_to", "change", "upto"), pa.int64()) | {"spans": pa.list_(pa.struct([(c, pa.int64()) for c in ("kind", "a", "b", "out")]))}
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_by_one = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True))
         out: list[tuple] = []
-        for (name, _, length), own in groupby(one_by_one, key=lambda r: (r[0], r[1], r[2])):
-            begin, end, spans = folded([r[3:] for r in own], length, structural)
-            out += [(name, begin, end, k, *x) for k, x in enumerate(spans or [(UNKNOWN, 0, 0)])]
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
+        for (name, group, length), own in groupby(one_by_one, key=lambda r: r[:3]):
+            upto = 0
+            for island in islands(r[3:] for r in own):
+                begin, end, spans = folded(island, length, structural)
+                if begin < end:
+                    places, n = [], 0
+                    for kind, a, b in spans:
+                        places.append({"kind": kind, "a": a, "b": b, "out": n})
+                        n += b - a
+                    upto += n - (end - begin)
+                    out.append((name, group, begin, end, n - (end - begin), upto, places))
+                if len(out) > 10_000:
+                    yield batch_of(out)
+                    out = []
         yield batch_of(out)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k == 0 else pa.int64()) for k in range(7)], names)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(fields.values())], list(fields))
 
-    ordered = rows.select("chrom", "island", "length", "start", "end", "sv_type", "size")
-    return ordered.mapInArrow(fold, "name string, region_from long, region_to long, ord long, kind long, a long, b long")
+    ordered = rows.select("chrom", "group", "length", "start", "end", "sv_type", "size")
+    return ordered.mapInArrow(fold, "name string, group long, region_from long, region_to long, change long, upto long, spans array<struct<kind: long, a: long, b: long, out: long>>")
 
 
 def _touched(rows: DataFrame, a: str, b: str, width: int) -> DataFrame:
@@ -191,15 +209,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def patched(pieces: DataFrame, edits: DataFrame, structural: bool, width: int = WIDTH) -> DataFrame:
     """pieces after edits (chrom, start, end, sv_type, size)."""
-    spans = settled(spans_of(edits, lengths(pieces), structural, width).where("region_to > region_from"))
+    found = settled(spans_of(edits, lengths(pieces), structural, width))
+    # How far a region's begin has moved: the changes before it, in its group and in those before. Regions are disjoint.
+    groups = found.groupBy("name", "group").agg(F.sum("change").alias("_sum"))
+    groups = groups.select("name", "group", (F.sum("_sum").over(Window.partitionBy("name").orderBy("group")) - F.col("_sum")).alias("_before"))
+    moved = F.col("_before") + F.col("upto") - F.col("change")
+    regions = settled(found.join(groups, ["name", "group"]).select("name", "region_from", "region_to", "change", moved.cast("long").alias("moved"), "spans"))
+    spans = regions.select("name", (F.col("region_from") + F.col("moved")).alias("_at"), F.explode("spans").alias("s"))
+    spans = spans.select("name", "s.kind", "s.a", "s.b", (F.col("_at") + F.col("s.out")).alias("out")).where("b > a")
     size = F.col("b") - F.col("a")
-    regions = spans.groupBy("name", "region_from", "region_to").agg((F.sum(size) - (F.col("region_to") - F.col("region_from"))).cast("long").alias("change"))
-    # How far a region's begin has moved: the changes before it. Regions of a contig are disjoint.
-    at = running_sum(regions.groupBy("name", "region_from").agg(F.sum("change").alias("change")), ["name"], "region_from", "change", "upto", width)
-    regions = settled(regions.join(at.select("name", "region_from", (F.col("upto") - F.col("change")).alias("moved")), ["name", "region_from"]))
-    own = Window.partitionBy("name", "region_from", "region_to").orderBy("ord")
-    spans = spans.join(regions.drop("change"), ["name", "region_from", "region_to"])
-    spans = spans.withColumn("out", F.col("region_from") + F.col("moved") + F.sum(size).over(own) - size).where("b > a")
+    regions = regions.drop("spans")
     # What stays of a piece is what no region covers; it moves by all changes before it, those of earlier pieces first.
     cut = _touched(regions, "region_from", "region_to", width).groupBy("name", "piece").agg(F.array_sort(F.collect_list(F.struct("region_from", "region_to", "moved", "change"))).alias("regions"))
     sums = regions.groupBy("name", F.expr(f"region_from div {width}").alias("piece")).agg(F.sum("change").alias("change"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,12 +22,33 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, if it is there."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended
+        pass
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder; it is deleted when the program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, checkpointed: later steps read files, and a lost executor doesn't bring the steps before back."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, written as Parquet and read again: later steps read files, and a lost executor doesn't bring the steps before back."""
+    path = fresh_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forgotten(*frames: DataFrame) -> None:
+    """Delete what settled() wrote for frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_settled_at", None):
+            remove(df.sparkSession, path)

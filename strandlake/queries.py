@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import text
-from .operators import base_errors, clusters, contig_stats, corrections, intervals, reconcile, segments
+from .operators import base_errors, clusters, contig_stats, corrections, intervals, reconcile, sampling, segments
 from .operators.cigar import operations, with_cigar
 from .operators.settle import fresh_folder, settled
 from .plans import evaluate, testdata
-from .sources import sinks, text_formats
+from .sources import sinks, store, text_formats
 
 FLAGSHIP = "sv_events"
 MIN_LENGTH, LARGE_LENGTH = 1000, 5000
@@ -64,6 +64,31 @@ CAND = f"""SELECT contig, p - 1 AS s, CASE kind WHEN 'deletion' THEN p ELSE p EN
 TAIL = """(SELECT sum(exp(lgamma(depth+1)-lgamma(i+1)-lgamma(depth-i+1)+i*ln({p})+(depth-i)*ln(1-{p}))) FROM generate_series(greatest(support,1), depth) g(i))"""
 
 
+#: Clusters of large deletions, and what is made of each: all members (side 0), or where sizes are bimodal those nearer to the
+#: upper (1) and the lower mean (2); outliers are dropped one at a time.
+MERGED = f"""WITH RECURSIVE sg AS (SELECT * FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%' AND size > 3000),
+ nx AS (SELECT a.contig, a.pos, min(b.pos) AS nxt FROM (SELECT DISTINCT contig, pos FROM sg) a LEFT JOIN (SELECT DISTINCT contig, pos FROM sg) b ON a.contig = b.contig AND b.pos > a.pos+1600 GROUP BY ALL),
+ st AS (SELECT contig, min(pos) AS cluster FROM sg GROUP BY contig UNION ALL SELECT nx.contig, nx.nxt FROM st JOIN nx ON st.contig = nx.contig AND st.cluster = nx.pos WHERE nx.nxt IS NOT NULL),
+ g0 AS (SELECT st.contig, cluster, count(*) AS n, list({{'size': size, 'pos': pos, 'mapq': mapq, 'read': read}} ORDER BY size, pos, mapq, read) AS m
+  FROM st JOIN sg ON st.contig = sg.contig AND pos BETWEEN cluster AND cluster+1600 GROUP BY ALL HAVING count(*) >= 3),
+ g1 AS (SELECT *, m[3*n//4+1].size AS u, m[n//4+1].size AS l FROM g0),
+ b0 AS (SELECT * FROM g1 WHERE n >= 4.5 AND u > floor(1.75*l) AND u-l > 50),
+ b1 AS (SELECT contig, cluster, m, CAST(coalesce(list_sum(list_transform(list_filter(m, lambda x: abs(x.size-u) <= abs(x.size-l)), lambda x: x.size))//len(list_filter(m, lambda x: abs(x.size-u) <= abs(x.size-l))), u) AS BIGINT) AS u,
+  CAST(coalesce(list_sum(list_transform(list_filter(m, lambda x: abs(x.size-u) > abs(x.size-l)), lambda x: x.size))//nullif(len(list_filter(m, lambda x: abs(x.size-u) > abs(x.size-l))), 0), l) AS BIGINT) AS l FROM b0),
+ b2 AS (SELECT contig, cluster, m, CAST(coalesce(list_sum(list_transform(list_filter(m, lambda x: abs(x.size-u) <= abs(x.size-l)), lambda x: x.size))//len(list_filter(m, lambda x: abs(x.size-u) <= abs(x.size-l))), u) AS BIGINT) AS u,
+  CAST(coalesce(list_sum(list_transform(list_filter(m, lambda x: abs(x.size-u) > abs(x.size-l)), lambda x: x.size))//nullif(len(list_filter(m, lambda x: abs(x.size-u) > abs(x.size-l))), 0), l) AS BIGINT) AS l FROM b1),
+ c AS (SELECT contig, cluster, 0 AS side, m FROM g1 UNION ALL SELECT contig, cluster, 1, list_filter(m, lambda x: abs(x.size-u) <= abs(x.size-l)) FROM b2
+  UNION ALL SELECT contig, cluster, 2, list_filter(m, lambda x: abs(x.size-u) > abs(x.size-l)) FROM b2),
+ t AS (SELECT contig, cluster, side, m, CAST(0 AS BIGINT) AS a, CAST(len(m) AS BIGINT) AS b FROM c
+  UNION ALL SELECT contig, cluster, side, m, CASE WHEN far THEN a ELSE a+1 END, CASE WHEN far THEN b-1 ELSE b END FROM (SELECT *, hi > 2*mid AND hi-mid > 30 AS far
+   FROM (SELECT *, m[a+1].size AS lo, m[a+(b-a)//2+1].size AS mid, m[b].size AS hi FROM t WHERE b-a > 2)) WHERE far OR (mid > 2*lo AND mid-lo > 30)),
+ k AS (SELECT contig, cluster, side, m[a+1:b] AS m FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY contig, cluster, side ORDER BY b-a) = 1) WHERE b-a >= 3),
+ o AS (SELECT *, count(*) FILTER (side > 0) OVER (PARTITION BY contig, cluster) AS sides FROM k)
+SELECT contig, CAST(list_sum(list_transform(m, lambda x: x.pos))//len(m) AS BIGINT) AS pos, CAST(list_sum(list_transform(m, lambda x: x.size))//len(m) AS BIGINT) AS size, CAST(len(m) AS BIGINT) AS cnt,
+ list_sum(list_transform(m, lambda x: x.mapq))/CAST(len(m) AS DOUBLE) AS quality, array_to_string(list_transform(m, lambda x: x.read), ';') AS reads, CASE WHEN sides = 2 THEN 'CompoundSV' ELSE 'Unique' END AS tag
+FROM o WHERE (side > 0) = (sides > 0)"""
+
+
 def with_limits(pileup: DataFrame) -> DataFrame:
     return pileup.withColumns({"mincount": F.lit(12).cast("long"), "maxcov": F.lit(60).cast("long")})
 
@@ -169,6 +194,27 @@ def fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_formats.read_reads(spark, path)
 
 
+def split_fastq_files(spark: SparkSession, sf_dir: str, parts: int = 4, fraction: float = 0.3) -> DataFrame:
+    """Reads within a budget of three tenths of the bases, in four files, as they are read back."""
+    path = fresh_folder(spark, "reads")
+    rows = testdata.reads_with_bases(spark, sf_dir)
+    rows.select(F.concat(F.lit("@"), "qname", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq"))).alias("value")).write.text(f"{path}/all")
+    reads = settled(text_formats.read_numbered_fastq(spark, f"{path}/all").withColumn("bases", F.length("sequence").cast("long")))
+    sinks.write_split_fastq(sampling.within_budget(reads, fraction), f"{path}/split", parts)
+    out = None
+    for k in range(parts):
+        part = text_formats.read_fastq(spark, f"{path}/split/part={k}").withColumn("part", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("part").agg(F.count("*").alias("n_reads"), F.sum(F.length("sequence")).cast("long").alias("bases"), F.countDistinct("name").alias("n_names"))
+
+
+def budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as reads, in order of their ids, within a budget of three tenths of the characters."""
+    docs = testdata._table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("bases"))
+    rows = settled(sampling.with_number(docs, ["doc_id", "bases"], F.col("doc_id")))
+    return sampling.within_budget(rows, 0.3, 500).select("doc_id", "number", "bases", "turn")
+
+
 def sam_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "sam")
     rows = testdata.reads_with_bases(spark, sf_dir).withColumns({"star": F.lit("*"), "zero": F.lit(0), "nm": F.lit("NM:i:3")})
@@ -198,6 +244,26 @@ def structural_error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_formats.read_structural_edits(spark, path)
 
 
+def stored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each nation, on three of the contigs."""
+    return testdata._table(spark, sf_dir, "nation").selectExpr("concat('ctg', n_nationkey % 3) AS contig", "CAST(n_nationkey AS BIGINT) * 2500 + 1 AS r_from", "CAST(n_nationkey AS BIGINT) * 2500 + 1 + 300 * (1 + n_regionkey) AS r_to")
+
+
+def region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countable reads on each region, from a store of all reads in bins of 20,000 positions."""
+    path = fresh_folder(spark, "store")
+    store.write_alignments(testdata.signal_reads(spark, sf_dir), path, 20_000)
+    met = store.scan_regions(spark, path, stored_regions(spark, sf_dir), 20_000).where(F.col("flag").bitwiseAND(3844) == 0)
+    return met.groupBy("contig", "r_from", "r_to").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+def small_contig_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads and bases of the contigs that aren't among the large ones."""
+    large = testdata.alignment_contigs(spark, sf_dir).where("name < 'ctg4'").select(F.col("name").alias("rname"))
+    rows = testdata.with_seq_len(testdata.alignments(spark, sf_dir))
+    return contig_stats.contig_depth(rows.join(large, "rname", "left_anti"))
+
+
 def merged_signal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits from the merged signals of all contigs, as there is no table of structural errors."""
     path = fresh_folder(spark, "merged")
@@ -325,11 +391,25 @@ QUERIES = {
         "SELECT reads, bases, round(CASE WHEN bases/10000.0 > 30 THEN 30/(bases/10000.0) ELSE 1.0 END, 8) AS fraction FROM (SELECT count(*) AS reads, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS bases FROM documents)",
     ),
     "hash_sample": (lambda s, d: contig_stats.hash_sample(testdata._table(s, d, "orders"), "o_orderkey", 10, 3).select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE CAST('0x'||substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 3"),
+    "budget_sample": (
+        budget_sample,
+        """WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id)-1 AS number, CAST(coalesce(n_chars, 0) AS BIGINT) AS bases FROM documents),
+ t AS (SELECT *, CAST(floor(CAST(sum(bases) OVER (ORDER BY number) AS DOUBLE)*CAST(0.3 AS DOUBLE)) AS BIGINT) AS budget FROM d),
+ r AS (SELECT CAST(-1 AS BIGINT) AS number, CAST(0 AS BIGINT) AS written, CAST(0 AS BIGINT) AS bases, false AS keep
+  UNION ALL SELECT t.number, r.written+CASE WHEN r.written < budget THEN t.bases ELSE 0 END, t.bases, r.written < budget FROM r JOIN t ON t.number = r.number+1)
+SELECT doc_id, r.number AS number, r.bases AS bases, row_number() OVER (ORDER BY r.number)-1 AS turn FROM r JOIN d ON d.number = r.number WHERE keep""",
+    ),
     "mapped_flag_stats": (
         lambda s, d: contig_stats.mapped_stats(testdata.alignments(s, d)),
         f"SELECT count(*) AS n_total, count(*) FILTER (flag & 4 = 0) AS n_mapped, count(*) FILTER (flag & 256 <> 0) AS n_secondary, count(*) FILTER (flag & 2048 <> 0) AS n_supplementary, count(*) FILTER (flag & 3844 = 0) AS n_countable FROM ({ALN})",
     ),
     "contig_depth": (lambda s, d: _coverage(s, d)[1], DEPTH),
+    "small_contig_depth": (small_contig_depth, f"SELECT * FROM ({DEPTH}) WHERE contig >= 'ctg4'"),
+    "region_counts": (
+        region_counts,
+        f"""SELECT g.contig AS contig, r_from, r_to, count(*) AS n, min(pos) AS first, max(pos) AS last FROM (SELECT 'ctg'||CAST(n_nationkey%3 AS VARCHAR) AS contig, CAST(n_nationkey AS BIGINT)*2500+1 AS r_from,
+ CAST(n_nationkey AS BIGINT)*2500+1+300*(1+n_regionkey) AS r_to FROM nation) g JOIN ({READS}) r ON g.contig = r.rname AND pos < r_to AND pos+2000 > r_from WHERE flag & 3844 = 0 GROUP BY ALL""",
+    ),
     "global_coverage": (lambda s, d: _coverage(s, d)[2], COVER),
     "contig_coverage": (
         lambda s, d: contig_stats.contig_coverage(*_coverage(s, d)),
@@ -377,7 +457,7 @@ QUERIES = {
  st AS (SELECT contig, min(pos) AS cluster FROM sg GROUP BY contig UNION ALL SELECT nx.contig, nx.nxt FROM st JOIN nx ON st.contig = nx.contig AND st.cluster = nx.pos WHERE nx.nxt IS NOT NULL)
  SELECT st.contig, cluster, count(*) AS n, max(sg.pos) AS last, CAST(sum(size) AS BIGINT) AS bases FROM st JOIN nx ON st.contig = nx.contig AND cluster = nx.pos JOIN sg ON st.contig = sg.contig AND sg.pos BETWEEN cluster AND cluster+w GROUP BY ALL""",
     ),
-    "merged_events": (lambda s, d: flat(clusters.large_events(clusters.signals_of(testdata.signals(s, d), "D"), SUPPORT)), None),
+    "merged_events": (lambda s, d: flat(clusters.large_events(clusters.signals_of(testdata.signals(s, d), "D"), SUPPORT)), MERGED),
     "large_small_antijoin": (
         lambda s, d: intervals.without_small_twin(clusters.signals_of(testdata.signals(s, d), "D").where("size > 3000").select("contig", "pos", "size", "read"), small(testdata.signals(s, d), "D"), False),
         f"""WITH s AS (SELECT * FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%') SELECT contig, pos, size, read FROM s l WHERE size > 3000 AND NOT EXISTS (SELECT 1 FROM s t WHERE t.size <= 3000 AND t.contig = l.contig
@@ -455,6 +535,11 @@ SELECT e.a AS n_base, e.n - e.a AS n_structural, e.n AS n_edits, CAST((SELECT su
     "fasta_files": (fasta_files, f"SELECT name, sequence, length(sequence) AS length FROM ({SEQUENCES})"),
     "valid_contig_files": (valid_contig_files, f"SELECT name, length(sequence) AS length, CASE WHEN length(sequence) >= 100 THEN length(sequence) ELSE 0 END AS valid_length FROM ({SEQUENCES})"),
     "fastq_files": (fastq_files, f"SELECT qname AS name, seq AS sequence, repeat('@', length(seq)) AS qual FROM ({BASED})"),
+    "split_fastq_files": (
+        split_fastq_files,
+        """SELECT CAST(part AS INT) AS part, (kept+3-part)//4 AS n_reads, 12*((kept+3-part)//4) AS bases, (kept+3-part)//4 AS n_names
+ FROM (SELECT CAST(ceil(floor(12*count(*)*CAST(0.3 AS DOUBLE))/12) AS BIGINT) AS kept FROM orders), range(4) p(part)""",
+    ),
     "sam_files": (sam_files, f"SELECT qname, flag, rname, pos, mapq, cigar, seq, length(seq) AS seq_len, CAST(3 AS INT) AS nm FROM ({BASED})"),
     "pileup_files": (pileup_files, f"SELECT contig, pos, depth, n_star AS deleted, depth-n_star AS eff, n_a, n_t FROM ({PILE})"),
     "base_error_files": (base_error_files, f'SELECT chrom, s AS "start", e AS "end", sv_type, size, support FROM ({EDITS})'),

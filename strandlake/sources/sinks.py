@@ -24,6 +24,13 @@ def write_fasta_pieces(pieces: DataFrame, path: str, width: int = 80, mode: str
     ordered.select(line.alias("value")).write.mode(mode).text(path)
 
 
+def write_split_fastq(reads: DataFrame, path: str, parts: int, mode: str = "errorifexists") -> None:
+    """reads (turn, name, sequence, qual) dealt to `parts` gzip files in turn, each in a folder part=k, in order."""
+    record = F.concat(F.lit("@"), "name", F.lit("\n"), "sequence", F.lit("\n+\n"), "qual").alias("value")
+    dealt = reads.withColumn("part", (F.col("turn") % parts).cast("int")).repartitionById(parts, "part").sortWithinPartitions("part", "turn")
+    dealt.select("part", record).write.mode(mode).option("compression", "gzip").partitionBy("part").text(path)
+
+
 def write_table(rows: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
     """Tab-separated values; elements of an array are joined by semicolons."""
     flat = [F.concat_ws(";", F.col(c).cast("array<string>")).alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes]

@@ -95,11 +95,24 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence, qual of records of four lines; a quality line may begin with any sign."""
+def read_fastq_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record (from 0 in its file), name, sequence, qual of records of four lines; a quality line may begin with any sign."""
     of = lambda k, name: F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(name)
     rows = numbered_lines(spark, path).groupBy("file", F.expr("line div 4").alias("record")).agg(of(0, "head"), of(1, "sequence"), of(3, "qual"))
-    return rows.where(F.col("head").startswith("@") & F.col("qual").isNotNull()).select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), "sequence", "qual")
+    return rows.where(F.col("head").startswith("@") & F.col("qual").isNotNull()).select("file", "record", F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), "sequence", "qual")
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """name, sequence, qual of all records."""
+    return read_fastq_records(spark, path).select("name", "sequence", "qual")
+
+
+def read_numbered_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """number (from 0, over files in the order of their names), name, sequence, qual. There is a row for each file."""
+    rows = settled(read_fastq_records(spark, path))
+    files = rows.groupBy("file").agg(F.max("record").alias("last"))
+    files = files.select("file", (F.sum(F.col("last") + 1).over(Window.orderBy("file")) - F.col("last") - 1).alias("before"))
+    return rows.join(files, "file").select((F.col("before") + F.col("record")).alias("number"), "name", "sequence", "qual")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

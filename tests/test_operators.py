@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.config import Config
 from strandlake.functions import text
-from strandlake.operators import base_errors, clusters, contig_stats, corrections, intervals, pieces, reconcile, segments
+from strandlake.operators import base_errors, chains, clusters, contig_stats, corrections, intervals, pieces, reconcile, sampling, segments
 from strandlake.operators.cigar import merged_insertions, with_cigar
 
 
@@ -68,17 +68,76 @@ def test_segments(spark, rows, expected):
     assert [(x.sig_type, x.pos, x.size, x.flag, x.mapq) for x in segments.segment_signals(aligned).collect()] == expected
 
 
-def test_merge():
+def plain_trimmed(sizes, least):
+    """The slice of sorted sizes that stays when far outliers at either end are dropped, one at a time."""
+    a, b = 0, len(sizes)
+    while b - a > max(least - 2, 2):
+        bottom, middle, top = sizes[a], sizes[a + (b - a) // 2], sizes[b - 1]
+        if top > 2 * middle and top - middle > 30:
+            b -= 1
+        elif middle > 2 * bottom and middle - bottom > 30:
+            a += 1
+        else:
+            break
+    return a, b
+
+
+def plain_one(members, support, tag="Unique"):
+    """members (size, pos, mapq, read), sorted, to (pos, size, cnt, quality, reads, tag)."""
+    least = max(2, support)
+    a, b = plain_trimmed([m[0] for m in members], least)
+    n, own = b - a, members[a:b]
+    if n < least:
+        return None
+    return sum(m[1] for m in own) // n, sum(m[0] for m in own) // n, n, sum(m[2] for m in own) / n, [m[3] for m in own], tag
+
+
+def plain_merge(members, support):
+    members = sorted(members)
+    n = len(members)
+    if n and n >= 1.5 * support:
+        upper, lower = members[3 * n // 4][0], members[n // 4][0]
+        if upper > int(1.75 * lower) and upper - lower > 50:
+            near = [True] * n
+            for _ in range(3):
+                near = [abs(m[0] - upper) <= abs(m[0] - lower) for m in members]
+                sides = [[m[0] for m, x in zip(members, near) if x is side] for side in (True, False)]
+                upper, lower = (sum(g) // len(g) if g else m for g, m in zip(sides, (upper, lower)))
+            found = [plain_one([m for m, x in zip(members, near) if x is side], support) for side in (True, False)]
+            found = [x for x in found if x]
+            if found:
+                return [(*x[:5], "CompoundSV") for x in found] if len(found) == 2 else found
+    one = plain_one(members, support)
+    return [one] if one else []
+
+
+def test_plain_merge():
     member = lambda size, pos=1000: (size, pos, 30, "r")
-    one = clusters.merge([(200 + i, 1000 + 2 * i, 30, f"r{i}") for i in range(5)], 3)
+    one = plain_merge([(200 + i, 1000 + 2 * i, 30, f"r{i}") for i in range(5)], 3)
     assert [x[:4] for x in one] == [(1004, 202, 5, 30.0)] and one[0][5] == "Unique"
-    assert clusters.merge_one(sorted([member(100 + 5 * i) for i in range(5)] + [member(9999)]), 3)[1:3] == (110, 5)
-    assert clusters.merge([member(100)], 5) == []
-    assert [x[5] for x in clusters.merge([member(200)] * 6, 3)] == ["Unique"]
-    two = clusters.merge([member(100 + 2 * i) for i in range(5)] + [member(500 + 2 * i) for i in range(5)], 3)
+    assert plain_one(sorted([member(100 + 5 * i) for i in range(5)] + [member(9999)]), 3)[1:3] == (110, 5)
+    assert plain_merge([member(100)], 5) == []
+    assert [x[5] for x in plain_merge([member(200)] * 6, 3)] == ["Unique"]
+    two = plain_merge([member(100 + 2 * i) for i in range(5)] + [member(500 + 2 * i) for i in range(5)], 3)
     assert [(x[1], x[5]) for x in two] == [(504, "CompoundSV"), (104, "CompoundSV")]
 
 
+@pytest.mark.parametrize("support", [1, 3, 7])
+def test_merge(spark, support):
+    """Clusters of all kinds: bimodal, with outliers, with many members of one size, tied, too small."""
+    rng = random.Random(support)
+    rows = []
+    for k in range(300):
+        kinds = rng.choice(([100], [100, 400], [60, 61, 900], [50, 5000], [200, 200, 200, 9000], [70, 150, 330]))
+        for _ in range(rng.choice((1, 2, 3, 5, 12, 40))):
+            size = rng.choice(kinds) + rng.choice((0, 0, 0, rng.randrange(20)))
+            rows.append(("c", k, 1000 + rng.randrange(4), size, 20 + rng.randrange(3), f"r{rng.randrange(5)}"))
+    frame = spark.createDataFrame(rows, "contig string, cluster long, pos long, size long, mapq int, read string")
+    found = sorted((r.contig, r.pos, r.size, r.cnt, r.quality, tuple(r.reads), r.tag) for r in clusters.merged(frame, ["contig", "cluster"], support).collect())
+    expected = sorted(("c", *x[:4], tuple(x[4]), x[5]) for k in range(300) for x in plain_merge([(r[3], r[2], r[4], r[5]) for r in rows if r[1] == k], support))
+    assert found == expected and {x[6] for x in found} == {"Unique", "CompoundSV"}
+
+
 def test_greedy_clusters(spark):
     rng = random.Random(2)
     rows = [(f"c{rng.randrange(3)}", rng.randrange(60_000)) for _ in range(400)] + [("c0", 5)] * 50
@@ -92,6 +151,31 @@ def test_greedy_clusters(spark):
     assert {tuple(r) for r in found.select("contig", "pos", "cluster").collect()} == plain
 
 
+@pytest.mark.parametrize("width", [11, 64, 1 << 16])
+def test_chains_and_nearest(spark, width):
+    """Chains of many steps without a gap, over ranges with and without positions."""
+    rng = random.Random(width)
+    points = {k: sorted({rng.randrange(3000) for _ in range(n)}) for k, n in (("a", 900), ("b", 40), ("c", 1))}
+    frame = spark.createDataFrame([(k, p, rng.choice((0, 3, 9))) for k, own in points.items() for p in own], "contig string, pos long, reach long")
+    reach = {(r.contig, r.pos): r.reach for r in frame.collect()}
+    expected = set()
+    points["d"] = [7, 8, 9, 10, 70, 71, 2000]
+    frame = frame.union(spark.createDataFrame([("d", p, 9) for p in points["d"]], frame.schema))
+    reach = {(r.contig, r.pos): r.reach for r in frame.collect()}
+    for k, own in points.items():
+        end = None
+        for p in own:
+            if end is None or p > end:
+                start, end = p, p + reach[k, p]
+            expected.add((k, p, start))
+    assert {(r.contig, r.pos, r.cluster) for r in chains.with_start(frame.select("contig", "pos"), frame, ["contig"], 9, width).collect()} == expected
+    asked = spark.createDataFrame([(k, q) for k in ("a", "b", "z") for q in range(0, 3100, 7)], "contig string, q long")
+    for beyond in (True, False):
+        for r in chains.nearest(asked, frame, ["contig"], F.col("q"), beyond, width).collect():
+            own = [p for p in points.get(r.contig, []) if (p > r.q if beyond else p <= r.q)]
+            assert r.near == ((min if beyond else max)(own) if own else None)
+
+
 def test_greedy_members(spark):
     rows = [("c", p, 3000, 30, f"r{k}") for k, p in enumerate([1000, 1500, 2800, 1200, 6000])]
     members = clusters.with_cluster(spark.createDataFrame(rows, "contig string, pos long, size long, mapq int, read string"), ["contig"])
@@ -204,12 +288,16 @@ def test_reconcile(spark, expansion, collapse, expected):
         assert (out[0].depth_left, out[0].depth_right, out[0].depth_min) == (25, 30, 25)
 
 
-def test_greedy_match(spark):
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_greedy_match(spark, most):
+    """By one fold of each part, and with rounds for all parts of more than two pairs."""
     rng = random.Random(4)
     rows = [event("Expansion", rng.randrange(30_000), rng.randrange(50, 600), 3, ["a"]) for _ in range(60)]
     rows += [event("Collapse", rng.randrange(30_000), rng.randrange(20, 600), 3, ["b"]) for _ in range(60)]
     numbered = reconcile.numbered(spark.createDataFrame(rows, EVENT))
-    found = {(r.e_ord, r.c_ord) for r in reconcile.matched(reconcile.candidates(numbered)).collect()}
+    found = {(r.e_ord, r.c_ord) for r in reconcile.matched(reconcile.candidates(numbered), most).collect()}
+    narrow = {(r.etype, r.start, r.size): r.ord for r in reconcile.numbered(spark.createDataFrame(rows, EVENT), 100).collect()}
+    assert narrow == {(r.etype, r.start, r.size): r.ord for r in numbered.collect()}
     kinds = {k: sorted(r.asDict()["ord"] for r in numbered.where(F.col("etype") == k).collect()) for k in ("Expansion", "Collapse")}
     row = {(r.etype, r.ord): r for r in numbered.collect()}
     free, plain = list(kinds["Collapse"]), set()
@@ -224,6 +312,23 @@ def test_greedy_match(spark):
     assert found == plain and len(plain) > 10
 
 
+@pytest.mark.parametrize("fraction,block", [(0.3, 50), (0.9, 7), (0.05, 1000), (0.0, 9), (1.0, 9)])
+def test_within_budget(spark, fraction, block):
+    """Against the rule read by read: blocks that meet their guess, and blocks too short for that."""
+    rng = random.Random(block)
+    bases = [rng.choice((0, 1, 50, rng.randrange(1, 9000))) for _ in range(700)]
+    frame = spark.createDataFrame([(f"r{k}", n) for k, n in enumerate(bases)], "name string, bases long").withColumn("at", F.substring("name", 2, 9).cast("long"))
+    reads = sampling.with_number(frame, ["at"], F.col("at"), 64)
+    written, total, kept = 0, 0, []
+    for k, n in enumerate(bases):
+        total += n
+        if written < math.floor(total * fraction) or fraction == 1:
+            written += n
+            kept.append(k)
+    found = sampling.within_budget(reads, fraction, block).collect()
+    assert sorted((r.turn, r.number, r["name"], r.bases) for r in found) == [(j, k, f"r{k}", bases[k]) for j, k in enumerate(kept)]
+
+
 def test_final_filter(spark):
     rows = [("c", [1], [2], s, "Inversion", [z], "1/1", 20, 20, d, "r", None) for s, z, d in ((10, 60, 12), (9, 60, 12), (10, 40, 12), (10, 60, 15), (30, 60, 9), (40, 60, 40))]
     schema = "contig string, starts array<long>, ends array<long>, support long, etype string, sizes array<long>, gt string, depth_left long, depth_right long, depth_min long, reads string, switch string"
@@ -414,6 +519,22 @@ def test_corrections(spark, sequence, kind, edits, expected):
     assert {r.name: r.sequence for r in out.collect()} == {"c": expected, "other": "AC"}
 
 
+def test_groups_of_edits(spark):
+    """No island of a group reaches into the next group; groups are of single ranges where nothing reaches over."""
+    rng = random.Random(12)
+    rows = [("c", at, at + rng.choice((0, 1, 3, 12))) for at in rng.sample(range(1500), 160)] + [("d", 5, 400), ("d", 399, 399), ("d", 500, 501)]
+    found = pieces.with_group(spark.createDataFrame(rows, "chrom string, start long, end long"), 20).collect()
+    for c in ("c", "d"):
+        own = sorted((r.start, r.end, r["group"]) for r in found if r.chrom == c)
+        cut = list(pieces.islands(iter(own)))
+        assert all(len({e[2] for e in island}) == 1 for island in cut)
+        ranges = {}
+        for island in cut:
+            ranges.setdefault(island[0][2], []).extend(e[0] // 20 for e in island)
+        assert len(ranges) > (15 if c == "c" else 1)
+    assert len(found) == len(rows)
+
+
 def test_few_edits_of_many_pieces(spark):
     """Single edits far apart, also over borders of pieces, in contigs of small and capital letters; N runs longer than a piece."""
     rng = random.Random(4)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from strandlake.sources import sinks, text_formats
+from strandlake.sources import sinks, store, text_formats
 
 
 def test_fasta(spark, tmp_path):
@@ -102,3 +102,31 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.n for r in spark.table("counted").collect()) == [1, 1, 2]
+
+
+def test_store_by_region(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(f"c{k % 4}", rng.randrange(1, 50_000), rng.choice((0, 40, 900)), k) for k in range(600)] + [(None, 5, 5, -1), ("c0", None, 5, -2)]
+    store.write_alignments(spark.createDataFrame(rows, "rname string, pos long, ref_len long, k long"), str(tmp_path / "s"), 5000)
+    regions = [("c1", 4990, 5010), ("c1", 20_000, 26_000), ("c3", 1, 2), ("c9", 1, 9000), ("c3", 49_000, 60_000)]
+    found = store.scan_regions(spark, str(tmp_path / "s"), spark.createDataFrame(regions, "contig string, r_from long, r_to long"), 5000)
+    assert sorted((r.k, r.r_from) for r in found.collect()) == sorted((k, a) for c, p, n, k in rows[:-2] for d, a, b in regions if c == d and n and p < b and p + n > a)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower() and "PushedFilters: [IsNotNull(pos)" in plan
+    assert store.scan_regions(spark, str(tmp_path / "s"), spark.createDataFrame([], "contig string, r_from long, r_to long"), 5000).count() == 0
+
+
+def test_split_fastq(spark, tmp_path):
+    """Three gzip files of some reads, dealt in turn and in order, over several input files."""
+    (tmp_path / "in").mkdir()
+    names = [f"r{k:03d}" for k in range(50)]
+    for j in range(3):
+        (tmp_path / "in" / f"{j}.fastq").write_text("".join(f"@{n} x\n{'ACGT' * (k % 5)}\n+\n{'I' * 4 * (k % 5)}\n" for k, n in list(enumerate(names))[20 * j : 20 * j + 20]))
+    reads = text_formats.read_numbered_fastq(spark, str(tmp_path / "in"))
+    assert [r["name"] for r in reads.orderBy("number").collect()] == names and {r.number for r in reads.collect()} == set(range(50))
+    sinks.write_split_fastq(reads.withColumnRenamed("number", "turn"), str(tmp_path / "out"), 3)
+    for k in range(3):
+        files = list((tmp_path / "out" / f"part={k}").glob("*.gz"))
+        assert len(files) == 1
+        lines = gzip.open(files[0], "rt").read().splitlines()
+        assert [x[1:] for x in lines[::4]] == names[k::3]

@@ -35,7 +35,7 @@ def words(text):
 
 
 def test_all_registered():
-    assert [int(k[2:].split("_")[0]) for k in sorted(queries.queries(), key=lambda k: int(k[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in sorted(queries.queries(), key=lambda k: int(k[2:].split("_")[0]))] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
@@ -43,7 +43,7 @@ def test_all_registered():
 def test_same_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found, expected = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     rows = lambda df: Counter(map(str, df[sorted(expected.columns)].astype(object).itertuples(index=False, name=None)))

@@ -101,11 +101,14 @@ def _evidence(kept: dict[str, int]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, steps: int = 400) -> Model:
-    """The model of docs (doc_id, text) and labels (doc_id, toxic); held-out documents are left out."""
+    """The model of docs (doc_id, text) and labels (doc_id, toxic); held-out documents are left out. About `sample` labelled
+    ids, and at most twice as many rows of them."""
     known = labels_of(labels, "toxic")
     share = min(1.0, sample / max(1, known.count()))
     some = known.where(~held_out()).where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < round(share * 1_000_000))
     rows = stored(docs.select("doc_id", text_of().alias("text")).join(some, "doc_id").select("text", F.col("label").cast("int").alias("label")), "toxicity-sample")
+    if rows.count() > 2 * sample:  # repeated ids: the bound is on rows, whatever the ids
+        rows = stored(rows.orderBy(F.xxhash64("text", "label"), "text", "label").limit(2 * sample), "toxicity-bounded")
     totals = dict(rows.groupBy("label").count().collect())
     n_toxic, n_other = totals.get(1, 0), sum(n for k, n in totals.items() if k != 1)
     if not n_toxic or not n_other:

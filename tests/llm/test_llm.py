@@ -72,6 +72,16 @@ def test_toxicity(spark):
     assert toxicity.located(odd_docs(spark).limit(0), model).count() == 0
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """One id on many rows, equal and different ones: the fit gets no more rows than the bound says."""
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(ids[0], f"you scum {k % 90}", "en", "s", 0) for k in range(900)] + [(k, "calm words", "en", "s", 0) for k in ids[1:60]], DOCS)
+    seen = []
+    monkeypatch.setattr(toxicity, "_fitted", lambda rows, *rest: seen.append(len(rows)))
+    toxicity.fit(docs, labels(spark, [(k, 1, int(k == ids[0])) for k in ids[:60]]), sample=100)
+    assert seen and max(seen) <= 200
+
+
 def test_toxicity_scores_are_the_noisy_or(spark):
     """Scores of the query's own model against a plain noisy-or over sentences, labels held out by the crc32 of the id."""
     docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))

@@ -6,11 +6,14 @@ and structural ones count in what those have made.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .contig_stats import n50
-from .pieces import WIDTH, patched, pieces_of, whole
+from .pieces import WIDTH, mended, patched, pieces_of, whole
 from .settle import settled
 
 #: Types of evaluated events by the edit that mends them.
@@ -27,11 +30,36 @@ def corrected_pieces(pieces: DataFrame, base: DataFrame, structural: DataFrame,
 
 
 def corrected(contigs: DataFrame, base: DataFrame, structural: DataFrame, width: int = WIDTH) -> DataFrame:
-    """contigs (name, sequence, ...: each name once) after base edits, then structural ones, for contigs that fit into a row."""
-    named = base.select("chrom").union(structural.select("chrom")).distinct()
-    edited = contigs.join(named, F.col("name") == F.col("chrom"), "left_semi").select("name", "sequence")
-    new = whole(corrected_pieces(settled(pieces_of(edited, width)), base, structural, width)).withColumnRenamed("sequence", "_new")
-    return contigs.join(new, "name", "left").withColumn("sequence", F.coalesce("_new", "sequence")).select(*contigs.columns)
+    """contigs (name, sequence, ...: each name once) after base edits, then structural ones, for contigs that fit into a row.
+
+    Those of one piece are mended whole, with their edits beside them; longer ones piece by piece."""
+    long = F.coalesce(F.length("sequence") > width, F.lit(False))
+    at, n = contigs.columns.index("sequence"), len(contigs.columns)
+
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, *sides in zip(*(batch.column(k).to_pylist() for k in (at, n, n + 1)), strict=True):
+                for edits, of_events in zip(sides, (False, True), strict=True):
+                    text = mended(text, [tuple(e.values()) for e in edits], of_events) if text and edits else text
+                out.append(text)
+            columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(n)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:n])
+
+    large = contigs.where(long)
+    none = large.isEmpty()
+    of_small = lambda df: df if none else df.join(large.select(F.col("name").alias("chrom")), "chrom", "left_anti")
+    # Edits are gathered for contigs of one piece only.
+    edit = F.struct(*[(F.col(c) if c == "sv_type" else F.col(c).cast("long")).alias(c) for c in ("start", "end", "sv_type", "size")])
+    listed = lambda df, name: of_small(df).groupBy(F.col("chrom").alias("name")).agg(F.collect_list(edit).alias(name))
+    rows = contigs.where(~long).join(listed(base, "_b"), "name", "left").join(listed(structural, "_s"), "name", "left")
+    out = rows.select(*contigs.columns, "_b", "_s").mapInArrow(mend, contigs.schema)
+    if none:
+        return out
+    of_large = lambda df: df.join(large.select(F.col("name").alias("chrom")), "chrom", "left_semi")
+    new = whole(corrected_pieces(settled(pieces_of(large.select("name", "sequence"), width)), of_large(base), of_large(structural), width))
+    new = large.join(new.withColumnRenamed("sequence", "_new"), "name", "left").withColumn("sequence", F.coalesce("_new", F.lit(""))).select(*contigs.columns)
+    return out.unionByName(new)
 
 
 def edits_of_events(final: DataFrame) -> DataFrame:

@@ -146,6 +146,25 @@ def folded(edits: list[tuple[int, int, str, int]], length: int, structural: bool
     return at, last, behind[::-1]
 
 
+def shown(text: str, offset: int, kind: int, a: int, b: int) -> str:
+    """A span of the source, of which `text` is what begins at offset."""
+    if kind == UNKNOWN:
+        return "N" * (b - a)
+    part = text[a - offset : b - offset]
+    return part[::-1].translate(COMPLEMENT) if kind == TURNED else part.translate(CAPITAL) if kind == TWICE else part
+
+
+def mended(text: str, edits: list[tuple], structural: bool) -> str:
+    """A text that is held whole, after its edits (start, end, type, size)."""
+    out, at = [], 0
+    for island in islands(iter(sorted(e for e in edits if None not in e and 0 <= e[0] < len(text)))):
+        begin, end, spans = folded(island, len(text), structural)
+        if begin < end:
+            out += [text[at:begin], *(shown(text, 0, *s) for s in spans)]
+            at = end
+    return "".join([*out, text[at:]])
+
+
 def spans_of(edits: DataFrame, sizes: DataFrame, structural: bool, width: int = WIDTH) -> DataFrame:
     """edits (chrom, start, end, sv_type, size) of contigs (name, length) as regions that change: name, region_from, region_to,
     change (of length), group, upto (the changes in the group up to and with this one), and the spans that stand there: kind, a, b, out (their
@@ -194,11 +213,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, offset, text, cuts in zip(*(batch.column(k) for k in range(4)), strict=True):
             name, offset, text = name.as_py(), offset.as_py(), text.as_py()
             for c in cuts.as_py():
-                part = text[c["from"] - offset : c["to"] - offset]
-                if c["kind"] == TURNED:
-                    part = part[::-1].translate(COMPLEMENT)
-                elif c["kind"] == TWICE:
-                    part = part.translate(CAPITAL)
+                part = shown(text, offset, c["kind"], c["from"], c["to"])
                 out.append((name, c["out"], part))
                 held += len(part) + 64
             if held > 1 << 20:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, labels_of, stored, table, text_of
@@ -108,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, steps: int = 4
     some = known.where(~held_out()).where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < round(share * 1_000_000))
     rows = stored(docs.select("doc_id", text_of().alias("text")).join(some, "doc_id").select("text", F.col("label").cast("int").alias("label")), "toxicity-sample")
     if rows.count() > 2 * sample:  # repeated ids: the bound is on rows, whatever the ids
-        rows = stored(rows.orderBy(F.xxhash64("text", "label"), "text", "label").limit(2 * sample), "toxicity-bounded")
+        copy = F.row_number().over(Window.partitionBy(F.xxhash64("text"), "label").orderBy("text"))  # equal rows are told apart
+        rows = stored(rows.withColumn("_copy", copy).orderBy(F.xxhash64("text", "label", "_copy"), "text").limit(2 * sample).drop("_copy"), "toxicity-bounded")
     totals = dict(rows.groupBy("label").count().collect())
     n_toxic, n_other = totals.get(1, 0), sum(n for k, n in totals.items() if k != 1)
     if not n_toxic or not n_other:

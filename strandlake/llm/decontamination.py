@@ -2,8 +2,8 @@
 
 A task's documents are its shards: about `shard` words at a time are numbered and their suffixes sorted, as far as the
 longest benchmark text reaches. Every suffix of the benchmark is then looked up in the shard by binary search: all places
-at which its first `window` words stand are hits, and from each hit place the longest verbatim match with any benchmark
-text follows by a second binary search, in the sorted suffixes of the benchmark. Documents don't leave their task, so
+at which its first `window` words stand are hits, and from each hit place the longest verbatim match with an item that hits
+there follows by a second binary search, in the sorted suffixes of the benchmark. Documents don't leave their task, so
 nothing is shuffled. The benchmark is cut into blocks of a bounded size, stored in the shared folder; a shard meets them one after
 another, so a large benchmark costs time but no memory.
 
@@ -164,7 +164,7 @@ def block_of(names: list[str], texts: list[bytes], window: int) -> bytes:
     items = np.concatenate([item[starts], np.array([k for x in short.values() for k in x], np.int64)]).astype(np.int64)
     pairs = np.unique(np.stack([of, items]), axis=1)
     data = {"names": names, "vocabulary": b" ".join(list(numbers)[1:]), "ids": ids, "item": item, "begin": begin, "first": first, "length": length,
-            "upto": np.searchsorted(pairs[0], np.arange(len(first) + 1)), "items": pairs[1], "longest": int(sizes.max(initial=0))}
+            "upto": np.searchsorted(pairs[0], np.arange(len(first) + 1)), "items": pairs[1], "longest": int(sizes.max(initial=0)), "window": window}
     return pickle.dumps(data)
 
 
@@ -249,8 +249,13 @@ class Shard:
             own = found[doc].setdefault("items", set())
             for kind in found[doc].pop("kinds", ()):
                 own.update(names[k] for k in items[upto[kind] : upto[kind + 1]].tolist())
-        places = np.unique(places)
+        # The longest match of an item is at least a window of it: where it isn't, the longest hit of a short item.
+        last = np.lexsort((kinds, lengths, places))
+        last = last[np.append(places[last][1:] != places[last][:-1], True)]
+        places, lengths, kinds = places[last], lengths[last], kinds[last]
         n, at = tests.longest(self.suffixes, places)
+        whole = n < block["window"]
+        n, at = np.where(whole, lengths, n), np.where(whole, block["first"][kinds], at)
         in_row = row(places)
         best = np.lexsort((places, -n, in_row))
         best = best[np.concatenate([[True], in_row[best][1:] != in_row[best][:-1]])]

@@ -16,8 +16,8 @@ def words(text):
 
 
 def plain(text, items, window):
-    """n_words, n_hit, items, spans, the length of the longest match from a hit."""
-    own, hit, names, starts = words(text), set(), set(), set()
+    """n_words, n_hit, items, spans, the length of the longest match of a window or more."""
+    own, hit, names = words(text), set(), set()
     for name, item in items:
         w = words(item)
         k = min(window, len(w))
@@ -26,7 +26,6 @@ def plain(text, items, window):
                 if own[j : j + k] == w[i : i + k]:
                     hit.update(range(j, j + k))
                     names.add("" if name is None else str(name))
-                    starts.add(j)
     spans, at = [], None
     for p in sorted(hit):
         if at is None or p > spans[-1][1]:
@@ -34,14 +33,14 @@ def plain(text, items, window):
             at = p
         spans[-1][1] = p + 1
     longest = 0
-    for j in starts:
+    for j in range(len(own)):
         for _, item in items:
             w = words(item)
             for i in range(len(w)):
                 n = 0
                 while i + n < len(w) and j + n < len(own) and w[i + n] == own[j + n]:
                     n += 1
-                longest = max(longest, n)
+                longest = max(longest, n if n >= min(window, len(w)) else 0)
     return len(own), len(hit), sorted(names, key=str.encode), [tuple(s) for s in spans], longest
 
 

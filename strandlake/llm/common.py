@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +53,30 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Have Spark send at most so many rows to a Python worker at a time, in this session (a lesser setting stays).
+#: What a Python worker keeps between tasks of one kind, by name: models and tokenizers that cost time to load.
+KEPT: dict[str, object] = {}
 
-    A batch of texts is in memory several times, in the executor and in its workers; Spark's own 10,000 rows are 20 MB of
-    usual documents."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, in a worker that lets go of what tasks of another kind kept (KEPT), and that gives its free memory back when the
+    task ends. Workers live on between stages, beside an executor that then needs the memory."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        KEPT.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

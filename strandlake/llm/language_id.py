@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table, text_of
+from .common import held_out, lean, table, text_of
 
 UND = "und"
 #: Words from which a text's evidence is judged by the plain limit.
@@ -174,7 +174,7 @@ def identified(docs: DataFrame, model: Model, proved: bool = False, keep: list[s
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *more], [*rest, *[name for name, _ in columns]])
 
     schema = docs.select(*rest).limit(0).select("*", *[F.lit(None).cast(t).alias(name) for name, t in columns]).schema
-    return docs.select(*rest, text_of().alias(names[-1])).mapInArrow(run, schema)
+    return docs.select(*rest, text_of().alias(names[-1])).mapInArrow(lean(run), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
     """docs of a known language that has at least `least` of the score and `main` of the text, and whose evidence is no less
     than that of learned texts; shorter texts than FULL words vary more and have a wider limit. The models are fitted on
     the whole table. A text that is null, empty or without a letter goes; else odd rows as the module defines."""
-    small_batches(spark)
     whole = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(whole)
     median, low = evidence_limits(whole, model)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, small_batches, stored, table, text_of
+from .common import lean, row_key, stored, table, text_of
 from .components import components
 
 #: Members of a key's group up to which all of them are compared at once, and up to which they are in a task together.
@@ -210,6 +210,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
 DEVIATIONS = 3.5
 #: Rows of a key's group that are compared with the group at a time, and rows of a group in a task.
 BLOCK, TILE = 1024, 1 << 16
+#: Edges of a task that are joined to a forest at a time.
+FOREST = 1 << 18
 #: Sets of a large cluster that all others are compared with first.
 PIVOTS = 16
 
@@ -263,7 +265,7 @@ def with_sets(docs: DataFrame, words: int, n_fps: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids), *rest], names)
 
     schema = ", ".join(f"{c} {'binary' if c == 'shingles' else 'long'}" for c in names)
-    return docs.select(*row_key(), text_of().cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(*row_key(), text_of().cast("binary").alias("text")).mapInArrow(lean(run), schema)
 
 
 def _again(x: np.ndarray) -> np.ndarray:
@@ -325,6 +327,15 @@ def _near_links(ids: np.ndarray, fps: np.ndarray, most: int, side: np.ndarray |
     return ids[moved], ids[label[moved]]
 
 
+def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes as all of found: one from each node to the least that it is joined to."""
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = _joined(len(nodes), at[: len(a)], at[len(a) :])
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
 def _groups(keys: np.ndarray) -> Iterator[slice]:
     """The places of each key that has several rows."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -345,17 +356,27 @@ def keyed(nodes: DataFrame, form: Layout) -> DataFrame:
 
 def near_links(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
     """Edges (a, b) that join all nodes (id, fp0, ...) that are near and share a key. The rows of a key of over `most` leave
-    its task and are dealt to sides, of which any two meet in a task of their own."""
+    its task and are dealt to sides, of which any two meet in a task of their own. A node is linked by most of its keys: a
+    task gives, of some hundred thousand edges at a time, those from each node to the least that they join it to."""
     names = [f"fp{k}" for k in range(form.words)]
 
+    def joined(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = _forest(found)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for rows, large in by_key(batches, most):
             if large:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0])], ["a", "b", "key"])
                 continue
-            found = [_near_links(rows[1, s], rows[2:, s].view(np.uint64), form.bits) for s in _groups(rows[0])]
-            a, b = (np.concatenate([rows[1, :0], *(x[i] for x in found)]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+            found += [_near_links(rows[1, s], rows[2:, s].view(np.uint64), form.bits) for s in _groups(rows[0])]
+            if sum(len(a) for a, _ in found) > FOREST:
+                found = [_forest(found)]
+                if len(found[0][0]) > FOREST // 2:
+                    yield joined(found)
+                    found = []
+        yield joined(found)
 
     def tile(key: tuple, found: pa.Table) -> pa.Table:
         low, high = (x.as_py() for x in key[1:])
@@ -364,7 +385,7 @@ def near_links(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
         return pa.table({"a": a, "b": b})
 
     rows = keyed(nodes.select("id", *names), form).repartition("key").sortWithinPartitions("key", "id")
-    found = stored(rows.mapInArrow(run, f"{_PAIR}, key long"), "near-links")
+    found = stored(rows.mapInArrow(lean(run), f"{_PAIR}, key long"), "near-links")
     hot = found.where("b IS NULL").select("key", F.col("a").alias("id"))
     dealt = _dealt(hot.withColumn("one", F.lit(False)), "key", F.count("*") / most).join(nodes.select("id", *names), "id")
     return found.where("b IS NOT NULL").select("a", "b").unionByName(dealt.groupBy("key", "low", "high").applyInArrow(tile, _PAIR)).distinct()
@@ -496,7 +517,6 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component of near copies. Null texts and ids, ties, repeated rows and further columns are
     handled as the module defines; an empty table stays empty."""
-    small_batches(spark)
     return one_of_each(docs, similar_groups(docs, words, least))
 
 

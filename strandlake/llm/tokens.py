@@ -17,6 +17,8 @@ from itertools import chain, islice
 
 import numpy as np
 
+from .common import KEPT
+
 #: Letters beyond ASCII that are one code point in every normal form and have a lower case of one code point.
 LETTERS = "À-ÖØ-öø-įı-ňŊ-ž"
 SIGNS = "¡«»¿–—‘-”…€"
@@ -27,7 +29,6 @@ SHORT = "'(?:[stmd]|re|ve|ll)"
 #: The pieces of word_bpe_49k, after lower-casing, and of byte_bpe_50k. White space that isn't in SPACES is a sign here, and so odd.
 WORDS = re.compile(rf"[a-z{LETTERS}]++|{SHORT}|[0-9]|[^{SPACES}a-z{LETTERS}0-9]++")
 BYTES = re.compile(rf" ?[A-Za-z{LETTERS}]++|{SHORT}| ?[0-9]++| ?[^{SPACES}A-Za-z{LETTERS}0-9]++|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-_READY: dict = {}
 
 
 class Numbers(dict):
@@ -110,10 +111,11 @@ def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """The worker's own encoder for a tokenizer file."""
-    if (path, keeps_space) not in _READY:
-        _READY.clear()
-        _READY[path, keeps_space] = Encoder(path, keeps_space)
-    return _READY[path, keeps_space]
+    name = f"encoder {path} {keeps_space}"
+    if name not in KEPT:
+        KEPT.clear()
+        KEPT[name] = Encoder(path, keeps_space)
+    return KEPT[name]
 
 
 def in_turn(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:

@@ -15,7 +15,8 @@ from .operators import base_errors, clusters, contig_stats, corrections, interva
 from .operators.cigar import operations, with_cigar
 from .operators.settle import fresh_folder, settled
 from .plans import evaluate, testdata
-from .sources import sinks, store, text_formats
+from .sources import block_gzip, sinks, store, text_formats
+from .streaming.clusters import OUT, cluster_stream
 
 FLAGSHIP = "sv_events"
 MIN_LENGTH, LARGE_LENGTH = 1000, 5000
@@ -194,6 +195,29 @@ def fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_formats.read_reads(spark, path)
 
 
+def block_fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads in files of block gzip, as splits of 256 kB give them back. There is one name for each task."""
+    path = fresh_folder(spark, "blocks")
+    reads = testdata.reads_with_bases(spark, sf_dir).select(F.col("qname").alias("name"), F.col("seq").alias("sequence"), F.repeat(F.lit("@"), F.length("seq")).alias("qual"))
+    files = [r["file"] for r in block_gzip.write_block_fastq(reads, path).select("file").collect()]
+    return block_gzip.read_block_fastq(spark, *[f"{path}/{file}" for file in files], split=1 << 18)
+
+
+def streamed_clusters(spark: SparkSession, sf_dir: str, slices: int = 5) -> DataFrame:
+    """Clusters of large deletions that come as a stream of files, slice by slice of their positions; a last file with one far
+    signal of no contig moves the watermark past all."""
+    path = fresh_folder(spark, "stream")
+    rows = settled(clusters.signals_of(testdata.signals(spark, sf_dir), "D").where("size > 3000").select("contig", "pos", "size"))
+    width = testdata.SIGNAL_CONTIG_LENGTH // slices
+    for k in range(slices):
+        rows.where(F.least(F.expr(f"pos div {width}"), F.lit(slices - 1)) == k).write.mode("append").parquet(f"{path}/in")
+    rows.agg(F.lit("").alias("contig"), (F.coalesce(F.max("pos"), F.lit(0)) * 2 + 10 * width).alias("pos"), F.lit(0).cast("long").alias("size")).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    out = cluster_stream(stream, late=2 * width).writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{path}/out")
+
+
 def split_fastq_files(spark: SparkSession, sf_dir: str, parts: int = 4, fraction: float = 0.3) -> DataFrame:
     """Reads within a budget of three tenths of the bases, in four files, as they are read back."""
     path = fresh_folder(spark, "reads")
@@ -377,6 +401,12 @@ NATIVE = """WITH r AS (SELECT o_custkey%5 AS t, 1+(o_custkey%30)*20 AS s, count(
 SELECT 't'||t AS contig, pos, substr('ACGT', CAST(1+j%4 AS INT), 1) AS ref, depth, CASE j WHEN 3 THEN repeat('G', n1)||repeat('.', depth-n1) WHEN 6 THEN repeat('*', n3)||repeat('.', depth-n3)
   WHEN 5 THEN repeat('.', depth)||repeat('-1N', n3)||repeat('+2TT', n2) ELSE repeat('.', depth) END AS bases FROM c WHERE depth > 0"""
 
+#: Greedy clusters of large deletions.
+GREEDY = f"""WITH RECURSIVE sg AS (SELECT contig, pos, size FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%' AND size > 3000),
+ nx AS (SELECT a.contig, a.pos, min(b.pos) AS nxt FROM (SELECT DISTINCT contig, pos FROM sg) a LEFT JOIN (SELECT DISTINCT contig, pos FROM sg) b ON a.contig = b.contig AND b.pos > a.pos+1600 GROUP BY ALL),
+ st AS (SELECT contig, min(pos) AS cluster FROM sg GROUP BY contig UNION ALL SELECT nx.contig, nx.nxt FROM st JOIN nx ON st.contig = nx.contig AND st.cluster = nx.pos WHERE nx.nxt IS NOT NULL)
+ SELECT st.contig, cluster, count(*) AS n, max(pos) AS last, CAST(sum(size) AS BIGINT) AS bases FROM st JOIN sg ON st.contig = sg.contig AND pos BETWEEN cluster AND cluster+1600 GROUP BY ALL"""
+
 
 QUERIES = {
     "contig_stats": (lambda s, d: contig_stats.contig_stats(testdata.contigs(s, d), MIN_LENGTH, LARGE_LENGTH), STATS),
@@ -444,11 +474,9 @@ SELECT doc_id, r.number AS number, r.bases AS bases, row_number() OVER (ORDER BY
     ),
     "greedy_clusters": (
         lambda s, d: clusters.with_cluster(clusters.signals_of(testdata.signals(s, d), "D").where("size > 3000"), ["contig"]).groupBy("contig", "cluster").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum("size").cast("long").alias("bases")),
-        f"""WITH RECURSIVE sg AS (SELECT contig, pos, size FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%' AND size > 3000),
- nx AS (SELECT a.contig, a.pos, min(b.pos) AS nxt FROM (SELECT DISTINCT contig, pos FROM sg) a LEFT JOIN (SELECT DISTINCT contig, pos FROM sg) b ON a.contig = b.contig AND b.pos > a.pos+1600 GROUP BY ALL),
- st AS (SELECT contig, min(pos) AS cluster FROM sg GROUP BY contig UNION ALL SELECT nx.contig, nx.nxt FROM st JOIN nx ON st.contig = nx.contig AND st.cluster = nx.pos WHERE nx.nxt IS NOT NULL)
- SELECT st.contig, cluster, count(*) AS n, max(pos) AS last, CAST(sum(size) AS BIGINT) AS bases FROM st JOIN sg ON st.contig = sg.contig AND pos BETWEEN cluster AND cluster+1600 GROUP BY ALL""",
+        GREEDY,
     ),
+    "streamed_clusters": (streamed_clusters, GREEDY),
     "adaptive_clusters": (
         lambda s, d: clusters.with_adaptive_cluster(small(testdata.signals(s, d), "D"), ["contig"]).groupBy("contig", "cluster").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum("size").cast("long").alias("bases")),
         f"""WITH RECURSIVE sg AS (SELECT contig, pos, size FROM ({SIGNALS}) WHERE sig_type LIKE 'D-%' AND size <= 3000), sp AS (SELECT DISTINCT contig, pos FROM sg),
@@ -535,6 +563,7 @@ SELECT e.a AS n_base, e.n - e.a AS n_structural, e.n AS n_edits, CAST((SELECT su
     "fasta_files": (fasta_files, f"SELECT name, sequence, length(sequence) AS length FROM ({SEQUENCES})"),
     "valid_contig_files": (valid_contig_files, f"SELECT name, length(sequence) AS length, CASE WHEN length(sequence) >= 100 THEN length(sequence) ELSE 0 END AS valid_length FROM ({SEQUENCES})"),
     "fastq_files": (fastq_files, f"SELECT qname AS name, seq AS sequence, repeat('@', length(seq)) AS qual FROM ({BASED})"),
+    "block_fastq_files": (block_fastq_files, f"SELECT qname AS name, seq AS sequence, repeat('@', length(seq)) AS qual FROM ({BASED})"),
     "split_fastq_files": (
         split_fastq_files,
         """SELECT CAST(part AS INT) AS part, (kept+3-part)//4 AS n_reads, 12*((kept+3-part)//4) AS bases, (kept+3-part)//4 AS n_names

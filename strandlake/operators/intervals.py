@@ -118,17 +118,20 @@ def with_island(segments: DataFrame, width: int = 1 << 20) -> DataFrame:
     return inside.join(ranges, ["contig", "_range"]).withColumn("island", F.col("_before") + F.col("_inside")).drop("_range", "_new", "_before", "_inside")
 
 
-def depth_regions(segments: DataFrame, threshold: int = 3, width: int = 1 << 20) -> DataFrame:
-    """contig, r_from, r_to, most: regions where depth rises above threshold and stays near what it reached.
+def depth_regions(segments: DataFrame, threshold: int = 3, width: int = 1 << 20, falls: bool = True) -> DataFrame:
+    """contig, r_from, r_to, most: regions where depth rises above threshold and, with falls, stays near what it reached;
+    without, stays at threshold or above.
 
     Segments of depth threshold and above that touch are an island; no region leaves its island. Where an island's depth
-    stays below ten times threshold plus ten, its region is closed-form: from its first segment above threshold to its end. Only
-    deeper islands are folded, each on its own.
+    stays below ten times threshold plus ten, or regions end below threshold only, its region is closed-form: from its
+    first segment above threshold to its end. Only deeper islands are folded, each on its own.
     """
     rows = with_island(segments.where(F.col("depth") >= threshold), width)
     islands = rows.groupBy("contig", "island").agg(
         F.max("depth").alias("most"), F.min(F.when(F.col("depth") > threshold, F.col("seg_from"))).alias("r_from"), F.max("seg_to").alias("r_to"),
     ).where(F.col("most") > threshold)
+    if not falls:
+        return islands.select("contig", "r_from", "r_to", "most")
     plain = islands.where(F.col("most") < 10 * (threshold + 1)).select("contig", "r_from", "r_to", "most")
     deep = rows.join(islands.where(F.col("most") >= 10 * (threshold + 1)).select("contig", "island"), ["contig", "island"])
 

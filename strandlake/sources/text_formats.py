@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,20 +86,40 @@ def read_fasta_pieces(spark: SparkSession, path: str, width: int = WIDTH) -> Dat
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 0 in its file), value. Lines are numbered within the blocks that Spark reads a file in, and each
-    block begins after all lines of the ones before it: one row a block is shuffled for that, no text."""
+    """file, line (from 0 in its file), value, and begin and end: the lines that the block of this one has. Lines are numbered
+    within the blocks that Spark reads a file in, and each block begins after all lines of the ones before it: one row a
+    block is shuffled and broadcast for that, no text, and lines stay in order."""
     at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     lines = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("id"))
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
-    blocks = blocks.select("file", "block", "first", before.alias("before"))
-    return lines.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    end = F.sum("n").over(Window.partitionBy("file").orderBy("block"))
+    blocks = settled(blocks.select("file", "block", "first", (end - F.col("n")).alias("begin"), end.alias("end")))
+    line = (F.col("begin") + F.col("id") - F.col("first")).alias("line")
+    return lines.join(F.broadcast(blocks), ["file", "block"]).select("file", line, F.regexp_replace("value", r"\r$", "").alias("value"), "begin", "end")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, line, value) in order, four a record, to records; a batch is held at a time."""
+    rest = None
+    for batch in batches:
+        columns = batch.columns if rest is None else [pa.concat_arrays(x) for x in zip(rest, batch.columns, strict=True)]
+        n = len(columns[0]) // 4
+        of = lambda c, k: c.take(pa.array(np.arange(k, 4 * n, 4)))  # noqa: B023, E731
+        file, line, value = columns
+        yield pa.RecordBatch.from_arrays([of(file, 0), of(line, 0), *(of(value, k) for k in (0, 1, 3))], ["file", "line", "head", "sequence", "qual"])
+        rest = [pa.concat_arrays([c.slice(4 * n)]) for c in columns]
 
 
 def read_fastq_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, record (from 0 in its file), name, sequence, qual of records of four lines; a quality line may begin with any sign."""
+    """file, record (from 0 in its file), name, sequence, qual of records of four lines; a quality line may begin with any sign.
+    The task that reads a record's lines puts it together; lines are shuffled only of records that the borders of blocks cut."""
+    lines = numbered_lines(spark, path)
+    record = F.expr("line div 4")
+    inside = (record * 4 >= F.col("begin")) & (record * 4 + 4 <= F.col("end"))
+    whole = lines.where(inside).select("file", "line", "value").mapInArrow(_records, "file string, line long, head string, sequence string, qual string")
     of = lambda k, name: F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(name)
-    rows = numbered_lines(spark, path).groupBy("file", F.expr("line div 4").alias("record")).agg(of(0, "head"), of(1, "sequence"), of(3, "qual"))
+    cut = lines.where(~inside).groupBy("file", record.alias("record")).agg(of(0, "head"), of(1, "sequence"), of(3, "qual"))
+    rows = whole.select("file", record.alias("record"), "head", "sequence", "qual").unionByName(cut)
     return rows.where(F.col("head").startswith("@") & F.col("qual").isNotNull()).select("file", "record", F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), "sequence", "qual")
 
 
@@ -112,7 +133,7 @@ def read_numbered_fastq(spark: SparkSession, path: str) -> DataFrame:
     rows = settled(read_fastq_records(spark, path))
     files = rows.groupBy("file").agg(F.max("record").alias("last"))
     files = files.select("file", (F.sum(F.col("last") + 1).over(Window.orderBy("file")) - F.col("last") - 1).alias("before"))
-    return rows.join(files, "file").select((F.col("before") + F.col("record")).alias("number"), "name", "sequence", "qual")
+    return rows.join(F.broadcast(files), "file").select((F.col("before") + F.col("record")).alias("number"), "name", "sequence", "qual")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

@@ -130,3 +130,22 @@ def test_split_fastq(spark, tmp_path):
         assert len(files) == 1
         lines = gzip.open(files[0], "rt").read().splitlines()
         assert [x[1:] for x in lines[::4]] == names[k::3]
+
+
+def test_fastq_records_stay_in_their_task(spark, tmp_path):
+    """Records are the same however their lines are batched and split, and only those that a border cuts are shuffled."""
+    (tmp_path / "a.fastq").write_text("".join(f"@r{k} x\n{'ACGT' * (k % 7)}\n+\n{'@' * 4 * (k % 7)}\n" for k in range(300)) + "@last\nAC\n+\n")
+    expected = [(k, f"r{k}", "ACGT" * (k % 7), "@" * 4 * (k % 7)) for k in range(300)]
+    keys = {"spark.sql.files.maxPartitionBytes": ("333", "1000000"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("7", "10")}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in range(2):
+            for key, values in keys.items():
+                spark.conf.set(key, values[k])
+            found = text_formats.read_fastq_records(spark, str(tmp_path / "a.fastq"))
+            assert sorted((r.record, r.name, r.sequence, r.qual) for r in found.collect()) == expected
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.index("Union") < plan.index("MapInArrow") < plan.index("Aggregate")

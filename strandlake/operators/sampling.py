@@ -3,7 +3,8 @@
 A read is kept while fewer bases are kept than the budget allows: a share of all bases up to and with this read. That is a
 rule from read to read, but two runs of it from different states meet before long, and from then on are the same. So blocks
 of reads are folded at once, each from a guessed state; then every block takes the state in which the block before ended,
-and is folded again until it meets its own run. Blocks whose end changes pass it on in another round.
+and is folded again until it meets its own run. Blocks whose end changes pass it on: to the next ones of a group at once,
+and in another round, with groups twice as large, to those behind it.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def _ends(lengths: list[int], total: int, old: int, new: int, end: int, fraction
     return new if old != new else end
 
 
-def within_budget(reads: DataFrame, fraction: float, block: int = 100_000) -> DataFrame:
+def within_budget(reads: DataFrame, fraction: float, block: int = 100_000, most: int = 200_000) -> DataFrame:
     """The reads (number: dense from 0; bases: their length) that are kept, with turn: their place among those kept, from 0."""
     fraction = min(max(fraction, 0.0), 1.0)
     if fraction in (0.0, 1.0):
@@ -59,26 +60,44 @@ def within_budget(reads: DataFrame, fraction: float, block: int = 100_000) -> Da
     order = Window.orderBy("block")  # a row a block
     sums = lengths.groupBy("block").agg(F.sum("bases").alias("_sum"))
     sums = settled(sums.select("block", (F.sum("_sum").over(order) - F.col("_sum")).alias("total")))
-    state = sums.withColumns({"start": F.floor(F.col("total") * F.lit(fraction)).cast("long"), "was": F.lit(-1).cast("long"), "end": F.lit(-1).cast("long")})
+    state = sums.withColumns({"start": F.lit(-1).cast("long"), "told": F.floor(F.col("total") * F.lit(fraction)).cast("long"), "end": F.lit(-1).cast("long")})
     schema = "block long, total long, start long, end long"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, own = pdf.iloc[0], pdf.sort_values("number")["bases"].tolist()
-        if first["was"] < 0:
-            end = kept_run(own, int(first["total"]), int(first["start"]), fraction)[0]
-        else:
-            end = _ends(own, int(first["total"]), int(first["was"]), int(first["start"]), int(first["end"]), fraction)
-        return pd.DataFrame({"block": [first["block"]], "total": [first["total"]], "start": [first["start"]], "end": [end]})
-
-    done = settled(lengths.join(state, "block").groupBy("block").applyInPandas(fold, schema))
+        """Neighbouring blocks, one after the other. One with a new start is folded until it meets its own run; where its end
+        is another one, the next block starts there. Only blocks that change are given."""
+        out, moved, ends = [], None, None
+        for block, own in pdf.sort_values("number").groupby("block"):
+            first, lengths = own.iloc[0], own["bases"].tolist()
+            total, old, end = int(first["total"]), int(first["start"]), int(first["end"])
+            new = moved if moved is not None and ends == block else int(first["told"])
+            moved = ends = None
+            if end < 0:
+                moved, ends = kept_run(lengths, total, new, fraction)[0], block + 1
+            elif new != old:
+                now = _ends(lengths, total, old, new, end, fraction)
+                moved, ends = (now, block + 1) if now != end else (None, None)
+            else:
+                continue
+            out.append((block, total, new, end if moved is None else moved))
+        return pd.DataFrame(out, columns=["block", "total", "start", "end"])
+
+    # Runs from two states may not meet within a block: so each round folds twice as many neighbours in a task, up to `most`
+    # reads, and the number of rounds grows with the logarithm of how many blocks a run takes to meet another.
+    together = 1
+    run = lambda told: lengths.join(told, "block").groupBy(F.expr(f"block div {together}")).applyInPandas(fold, schema)
+    done = settled(run(state))
     while True:
-        told = done.withColumn("_start", F.coalesce(F.lag("end").over(order), F.lit(0)))
-        wrong = settled(told.where("_start <> start").select("block", "total", F.col("_start").alias("start"), F.col("start").alias("was"), "end"))
+        told = done.withColumn("told", F.coalesce(F.lag("end").over(order), F.lit(0)))
+        together *= 2 if 2 * together * block <= most else 1
+        told = settled(told.withColumn("_group", F.expr(f"block div {together}")))
+        wrong = told.where("told <> start").select("_group").distinct()
         if wrong.isEmpty():
             break
-        again = lengths.join(wrong, "block").groupBy("block").applyInPandas(fold, schema)
-        before, done = done, settled(done.join(wrong, "block", "left_anti").unionByName(again))
-        forgotten(before, wrong)
+        told = told.join(wrong, "_group", "left_semi").drop("_group")
+        again = settled(run(told))
+        before, done = done, settled(done.join(again.select("block"), "block", "left_anti").unionByName(again))
+        forgotten(before, again)
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         first, pdf = pdf.iloc[0], pdf.sort_values("number")

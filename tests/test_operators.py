@@ -329,6 +329,20 @@ def test_within_budget(spark, fraction, block):
     assert sorted((r.turn, r.number, r["name"], r.bases) for r in found) == [(j, k, f"r{k}", bases[k]) for j, k in enumerate(kept)]
 
 
+def test_budget_rounds(spark, monkeypatch):
+    """Runs that meet late take few rounds: neighbouring blocks are folded together, in ever larger groups."""
+    rng = random.Random(8)
+    lengths = [rng.randrange(1, 1_000_000) for _ in range(3000)]
+    reads = spark.createDataFrame(list(enumerate(lengths)), "number long, bases long").repartition(3)
+    rounds, forgotten = [], sampling.forgotten
+    monkeypatch.setattr(sampling, "forgotten", lambda *x: rounds.append(1) or forgotten(*x))
+    found = sampling.within_budget(reads, 0.3, 20).orderBy("number").collect()
+    keep = sampling.kept_run(lengths, 0, 0, 0.3)[1]
+    assert [r.number for r in found] == [k for k in range(3000) if keep[k]] and [r.turn for r in found] == list(range(len(found)))
+    assert len(rounds) <= 9  # of 150 blocks
+
+
+
 def test_final_filter(spark):
     rows = [("c", [1], [2], s, "Inversion", [z], "1/1", 20, 20, d, "r", None) for s, z, d in ((10, 60, 12), (9, 60, 12), (10, 40, 12), (10, 60, 15), (30, 60, 9), (40, 60, 40))]
     schema = "contig string, starts array<long>, ends array<long>, support long, etype string, sizes array<long>, gt string, depth_left long, depth_right long, depth_min long, reads string, switch string"

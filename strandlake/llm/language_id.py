@@ -1,12 +1,12 @@
 """Language identification by multilingual mixture inference.
 
-Each language has a model of letter trigrams, counted over a sample of labelled texts. A document is a mixture of
+Each language has a model of letter trigrams, counted over labelled texts. A document is a mixture of
 languages: each word comes from one of them, by its trigrams' likelihood. Expectation-maximisation over a text's words
 estimates the proportions; the set of languages is selected by likelihood less a penalty for each further language (half
 the logarithm of the number of words, as in the Bayesian information criterion). The prediction is the language with the
 largest proportion of the selected set.
 
-The sample is of about `sample` labelled rows, by hash; counts are summed by Spark, and `buckets` of them for each
+The sample is of about `sample` labelled rows, by hash; the pipeline's stage counts all of them. Counts are summed by Spark, and `buckets` of them for each
 language reach the driver and every task: the languages are a closed set (a hundred take 26 MB). Prediction reads every
 whole text, a piece of some 1,000,000 characters at a time, of which one number a word and language is kept.
 
@@ -17,15 +17,16 @@ table gives an empty result; without labelled texts everything is `und`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, table, text_of
+from .common import held_out, lean, stored, table, text_of
 
 UND = "und"
 #: Words from which a text's evidence is judged by the plain limit.
@@ -58,11 +59,13 @@ class Model:
     log_p: np.ndarray  # bucket by language
 
 
-def fit(docs: DataFrame, sample: int = 20_000, buckets: int = 1 << 16, smooth: float = 0.2) -> Model:
-    """The trigram models of docs (doc_id, text, lang); held-out documents and null languages are left out."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull())
-    share = min(1.0, sample / max(1, docs.where("lang IS NOT NULL").count()))
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < round(share * 1_000_000))
+def fit(docs: DataFrame, sample: int | None = 20_000, buckets: int = 1 << 16, smooth: float = 0.2) -> Model:
+    """The trigram models of docs (doc_id, text, lang); held-out documents and null languages are left out. sample: of about
+    how many labelled rows (None: all)."""
+    some = docs.where(~held_out() & F.col("lang").isNotNull())
+    if sample is not None:
+        share = min(1.0, sample / max(1, docs.where("lang IS NOT NULL").count()))
+        some = some.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < round(share * 1_000_000))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -185,22 +188,36 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.array_join(own, " ").alias("mixture"))
 
 
-def evidence_limits(docs: DataFrame, model: Model, sample: int = 10_000, quantile: float = 0.001) -> tuple[float, float]:
-    """Of the evidence of learned texts of FULL words or more: the median, and twice as far below it as the quantile is."""
+def order_statistics(rows: DataFrame, column: str, shares: list[float], fine: float = 1e5) -> list[float]:
+    """For each share, the least value of column with that share of all rows at or below it, exactly; none without rows. Two
+    steps: counts of ranges of values, of which there is a row each, then the rows of the range that holds the place."""
+    cut = rows.select(F.col(column).alias("x"), F.floor(F.col(column) * fine).alias("range"))
+    upto = F.sum("n").over(Window.orderBy("range"))  # a row a range
+    counts = stored(cut.groupBy("range").agg(F.count("*").alias("n")).select("range", "n", upto.alias("upto")), "order-statistics")
+    total, out = counts.agg(F.max("upto")).first()[0] or 0, []
+    for share in shares if total else ():
+        place = max(1, math.ceil(share * total))
+        at = counts.where(F.col("upto") >= place).orderBy("range").first()
+        own = cut.where(F.col("range") == at["range"]).groupBy("x").agg(F.count("*").alias("n"))
+        own = own.select("x", (F.sum("n").over(Window.orderBy("x")) + F.lit(at["upto"] - at["n"])).alias("upto"))
+        out.append(own.where(F.col("upto") >= place).agg(F.min("x")).first()[0])
+    return out
+
+
+def evidence_limits(docs: DataFrame, model: Model, quantile: float = 0.001) -> tuple[float, float]:
+    """Of the evidence of all learned texts of FULL words or more: the median, and twice as far below it as the quantile is."""
     known = docs.where(~held_out() & F.col("lang").isNotNull())
-    share = min(1.0, sample / max(1, docs.where("lang IS NOT NULL").count()))
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < round(share * 1_000_000))
-    rows = identified(some.select("doc_id", "text"), model, proved=True).where(F.col("n_found") >= FULL)
-    median, low = rows.agg(F.percentile_approx("evidence", F.array(F.lit(0.5), F.lit(quantile)))).first()[0] or (0.0, -np.inf)
+    rows = stored(identified(known.select("text"), model, proved=True, keep=[]).where(F.col("n_found") >= FULL).select("evidence"), "evidence")
+    median, low = order_statistics(rows, "evidence", [0.5, quantile]) or (0.0, -np.inf)
     return median, 2 * low - median
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3, main: float = 0.5) -> DataFrame:
     """docs of a known language that has at least `least` of the score and `main` of the text, and whose evidence is no less
-    than that of learned texts; shorter texts than FULL words vary more and have a wider limit. The models are fitted on
-    the whole table. A text that is null, empty or without a letter goes; else odd rows as the module defines."""
+    than that of learned texts; shorter texts than FULL words vary more and have a wider limit. The models and the limits are of
+    all learned texts of the whole table. A text that is null, empty or without a letter goes; else odd rows as the module defines."""
     whole = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(whole)
+    model = fit(whole, None)
     median, low = evidence_limits(whole, model)
     out = identified(docs.select(F.struct("*").alias("row"), "text"), model, proved=True, keep=["row"])
     limit = F.lit(median) - F.lit(median - low) * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL) / F.col("n_found")))

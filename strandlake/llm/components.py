@@ -10,6 +10,10 @@ empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +49,38 @@ def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     return rows.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(rows.select("u", "m"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places, the least one that it is linked to by any path of links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def forest(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes as all of found: one from each node to the least that it is joined to."""
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = joined(len(nodes), at[: len(a)], at[len(a) :])
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [tuple(np.asarray(c) for c in batch.columns) for batch in batches]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(found)], ["node", "root"])
+
+
+def components(edges: DataFrame, few: int = 0) -> DataFrame:
     """edges (a, b: long, any order, repeats and loops allowed) to (node, root): root is the least node that is linked to
-    a node by any path. A node without edges to others, or that is its own root, isn't listed."""
+    a node by any path. A node without edges to others, or that is its own root, isn't listed. As soon as no more than `few`
+    edges are left, one task joins them."""
     spark, paths = edges.sparkSession, []
 
     def kept(df: DataFrame) -> DataFrame:
@@ -63,5 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = down.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return down.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if now[0] <= few:
+            return down.coalesce(1).mapInArrow(_one_forest, "node long, root long")
         before = now
         down = kept(_small_star(_large_star(down, now[0]).distinct(), now[0]).distinct())

@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import lean, row_key, stored, table, text_of
 from .components import components
+from .components import forest as _forest
+from .components import joined as _joined
 
 #: Members of a key's group up to which all of them are compared at once, and up to which they are in a task together.
 SMALL, MOST = 512, 1 << 16
@@ -293,20 +295,6 @@ def _near(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     return x[good], y[good]
 
 
-def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n places, the least one that it is linked to by any path of links (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def _near_links(ids: np.ndarray, fps: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (a, b) that join the rows of a group that near fingerprints join, one a member at most; with side, by pairs of
     unequal sides only."""
@@ -327,15 +315,6 @@ def _near_links(ids: np.ndarray, fps: np.ndarray, most: int, side: np.ndarray |
     return ids[moved], ids[label[moved]]
 
 
-def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join the same nodes as all of found: one from each node to the least that it is joined to."""
-    a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label = _joined(len(nodes), at[: len(a)], at[len(a) :])
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _groups(keys: np.ndarray) -> Iterator[slice]:
     """The places of each key that has several rows."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -378,6 +357,18 @@ def near_links(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
                     found = []
         yield joined(found)
 
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The edges of several tasks, joined as those of one are: the files of a stage's tasks are read by fewer tasks."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            found.append(tuple(np.asarray(c) for c in batch.columns))
+            if sum(len(a) for a, _ in found) > FOREST:
+                found = [_forest(found)]
+                if len(found[0][0]) > FOREST // 2:
+                    yield joined(found).select(["a", "b"])
+                    found = []
+        yield joined(found).select(["a", "b"])
+
     def tile(key: tuple, found: pa.Table) -> pa.Table:
         low, high = (x.as_py() for x in key[1:])
         ids, side, *fps = (np.asarray(found.column(c)) for c in ("id", "side", *names))
@@ -386,9 +377,10 @@ def near_links(nodes: DataFrame, form: Layout, most: int = TILE) -> DataFrame:
 
     rows = keyed(nodes.select("id", *names), form).repartition("key").sortWithinPartitions("key", "id")
     found = stored(rows.mapInArrow(lean(run), f"{_PAIR}, key long"), "near-links")
+    edges = found.where("b IS NOT NULL").select("a", "b").mapInArrow(lean(merged), _PAIR)
     hot = found.where("b IS NULL").select("key", F.col("a").alias("id"))
     dealt = _dealt(hot.withColumn("one", F.lit(False)), "key", F.count("*") / most).join(nodes.select("id", *names), "id")
-    return found.where("b IS NOT NULL").select("a", "b").unionByName(dealt.groupBy("key", "low", "high").applyInArrow(tile, _PAIR)).distinct()
+    return edges.unionByName(dealt.groupBy("key", "low", "high").applyInArrow(tile, _PAIR)).distinct()
 
 
 def _dealt(rows: DataFrame, key: str, parts: Column) -> DataFrame:
@@ -465,7 +457,7 @@ def similar(clusters: DataFrame, least: float, rows: int = 500, size: int = 4_00
     many = clusters.groupBy("cluster").agg(F.ceil(parts).cast("int").alias("parts"), F.count("*").alias("n")).where(f"n > {rows}").drop("n")
     large = clusters.join(many, "cluster")
     stars = stored(_to_pivots(large, least), "near-stars")
-    roots = stored(large.select("cluster", "id").join(components(stars).withColumnRenamed("node", "id"), "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("root")), "near-roots")
+    roots = stored(large.select("cluster", "id").join(components(stars, FOREST).withColumnRenamed("node", "id"), "id", "left").select("cluster", "id", F.coalesce("root", "id").alias("root")), "near-roots")
     top = roots.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("root"))
     one = roots.join(top, ["cluster", "root"]).select("id", F.lit(True).alias("one"))
     marked = clusters.join(one, "id", "left").withColumn("one", F.coalesce("one", F.lit(False)))
@@ -485,13 +477,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARIT
     row = F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")).alias("row")
     nodes = stored(rows.groupBy("id").agg(row, *[F.first(c).alias(c) for c in names]), "near-nodes")
     edges = stored(near_links(nodes.select("id", *names), form), "near-edges")
-    met = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().join(components(edges).withColumnRenamed("node", "id"), "id", "left")
+    met = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().join(components(edges, FOREST).withColumnRenamed("node", "id"), "id", "left")
     met = stored(met.select("id", F.coalesce("root", "id").alias("cluster")).join(nodes.select("id", "row"), "id"), "near-met")
     # The sets are made again from the one row of each node that is in a cluster.
-    of = docs.select("doc_id", "text", *row_key()).alias("l").join(met.select("row.*").alias("r"), _same_row(), "left_semi")
+    of = docs.select("doc_id", "text", *row_key()).alias("l").join(met.select("row.*").hint("merge").alias("r"), _same_row(), "left_semi")
     sets = with_sets(of, words, 0).dropDuplicates(["id"]).select("id", "shingles").join(met.select("id", "cluster"), "id")
     good = stored(similar(stored(sets, "near-sets"), least), "near-good")
-    roots = components(good).withColumnRenamed("node", "id")
+    roots = components(good, FOREST).withColumnRenamed("node", "id")
     return rows.select("k_id", "k_text", "id").join(roots, "id", "left").select("k_id", "k_text", F.coalesce("root", "id").alias("root"))
 
 
@@ -504,7 +496,7 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = keys.groupBy("root").agg(row).select("row.k_id", "row.k_text", F.lit(True).alias("stays"))
     marked = keys.alias("l").join(kept.alias("r"), _same_row(), "left").select("l.k_id", "l.k_text", "n", F.coalesce("r.stays", F.lit(False)).alias("stays"))
     marked = stored(marked.where("n > 1 OR NOT stays").select("k_id", "k_text", "stays"), "near-marked")
-    rows = docs.select(F.struct("*").alias("row"), *row_key()).alias("l").join(marked.alias("r"), _same_row(), "left").select("row", "l.k_id", "l.k_text", "r.stays")
+    rows = docs.select(F.struct("*").alias("row"), *row_key()).alias("l").join(marked.hint("merge").alias("r"), _same_row(), "left").select("row", "l.k_id", "l.k_text", "r.stays")
     several = rows.where("stays").dropDuplicates(["k_id", "k_text"])
     return rows.where("stays IS NULL").select("row.*").unionByName(several.select("row.*"))
 

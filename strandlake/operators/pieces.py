@@ -10,7 +10,7 @@ runs of N (see `folded`). Only then text is cut, a piece at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -45,16 +45,24 @@ def lengths(pieces: DataFrame) -> DataFrame:
 
 
 def gridded(fragments: DataFrame, width: int = WIDTH) -> DataFrame:
-    """fragments (name, offset, text: disjoint, of any lengths) as pieces. A piece's fragments meet in one row of `width`
-    characters at most."""
+    """fragments (name, offset, text: disjoint, of any lengths) as pieces."""
+    return assembled(at_borders(fragments, width), width)
+
+
+def at_borders(fragments: DataFrame, width: int) -> DataFrame:
+    """name, piece, offset, text: fragments cut at the borders of pieces."""
     first = F.lit(width) - F.col("offset") % width
     # A fragment's parts: up to the first border, then a border's width each.
     head, tail = F.expr("substring(text, 1, CAST(_first AS INT))"), F.expr("substring(text, CAST(_first + 1 AS INT))")
     parts = F.concat(F.array(F.struct(F.col("offset").alias("offset"), head.alias("text"))), F.transform(
         F.regexp_extract_all(tail, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), lambda t, k: F.struct((F.col("offset") + F.col("_first") + k * width).alias("offset"), t.alias("text"))
     ))
-    cut = fragments.where("text <> ''").withColumn("_first", first).select("name", F.explode(parts).alias("x")).select("name", F.expr(f"x.offset div {width}").alias("piece"), "x.offset", "x.text")
-    joined = cut.groupBy("name", "piece").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("p"))
+    return fragments.where("text <> ''").withColumn("_first", first).select("name", F.explode(parts).alias("x")).select("name", F.expr(f"x.offset div {width}").alias("piece"), "x.offset", "x.text")
+
+
+def assembled(parts: DataFrame, width: int) -> DataFrame:
+    """parts (name, piece, offset, text) as pieces. A piece's parts meet in one row of `width` characters at most."""
+    joined = parts.groupBy("name", "piece").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("p"))
     return joined.select("name", "piece", (F.col("piece") * width).alias("offset"), F.array_join("p.text", "").alias("text"))
 
 
@@ -205,21 +213,41 @@ def _touched(rows: DataFrame, a: str, b: str, width: int) -> DataFrame:
     return rows.withColumn("piece", F.explode(F.expr(f"sequence({a} div {width}, greatest({b} - 1, {a}) div {width})")))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each piece (name, offset, text, cuts: from, to, kind, out): the fragments that its cuts make."""
-    as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["name", "offset", "text"])
-    out, held = [], 0
-    for batch in batches:
-        for name, offset, text, cuts in zip(*(batch.column(k) for k in range(4)), strict=True):
-            name, offset, text = name.as_py(), offset.as_py(), text.as_py()
-            for c in cuts.as_py():
-                part = shown(text, offset, c["kind"], c["from"], c["to"])
-                out.append((name, c["out"], part))
-                held += len(part) + 64
-            if held > 1 << 20:
-                yield as_batch(out)
-                out, held = [], 0
-    yield as_batch(out)
+def _cutter(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each piece (name, offset, text, moved, regions, cuts): what no region covers, moved by the changes before it, and what
+    its cuts (from, to, kind, out) show, as parts (name, piece, offset, text) of new pieces."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["name", "piece", "offset", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for batch in batches:
+            small = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            for text, name, offset, moved, regions, cuts in zip(batch.column(2), *small, strict=True):
+                text = text.as_py()
+                stop, at, shift, shows = offset + len(text), offset, moved, []
+                for k, r in enumerate(regions or ()):
+                    shift = r["moved"] if k == 0 else shift
+                    if (to := min(stop, r["region_from"])) > at:
+                        shows.append((at + shift, text[at - offset : to - offset]))
+                    at, shift = max(offset, r["region_to"]), r["moved"] + r["change"]
+                if stop > at:
+                    shows.append((at + shift, text[at - offset :]))
+                shows += [(c["out"], shown(text, offset, c["kind"], c["from"], c["to"])) for c in cuts or ()]
+                for place, part in shows:
+                    first = width - place % width
+                    for a in range(first - width, len(part), width):
+                        own = part[max(a, 0) : a + width]
+                        if own:
+                            begin = place + max(a, 0)
+                            out.append((name, begin // width, begin, own))
+                    held += len(part) + 64
+                if held > 1 << 20:
+                    yield as_batch(out)
+                    out, held = [], 0
+        yield as_batch(out)
+
+    return run
 
 
 def patched(pieces: DataFrame, edits: DataFrame, structural: bool, width: int = WIDTH) -> DataFrame:
@@ -237,23 +265,17 @@ def patched(pieces: DataFrame, edits: DataFrame, structural: bool, width: int =
     # What stays of a piece is what no region covers; it moves by all changes before it, those of earlier pieces first.
     cut = _touched(regions, "region_from", "region_to", width).groupBy("name", "piece").agg(F.array_sort(F.collect_list(F.struct("region_from", "region_to", "moved", "change"))).alias("regions"))
     sums = regions.groupBy("name", F.expr(f"region_from div {width}").alias("piece")).agg(F.sum("change").alias("change"))
-    where = pieces.select("name", "piece", "offset", (F.col("offset") + F.length("text")).alias("stop")).join(sums, ["name", "piece"], "left").join(cut, ["name", "piece"], "left")
+    where = pieces.select("name", "piece").join(sums, ["name", "piece"], "left").join(cut, ["name", "piece"], "left")
     before = F.sum(F.coalesce("change", F.lit(0))).over(Window.partitionBy("name").orderBy("piece")) - F.coalesce("change", F.lit(0))
-    where = where.withColumns({"moved": before, "regions": F.coalesce("regions", F.array().cast("array<struct<region_from: long, region_to: long, moved: long, change: long>>"))})
-    gap = lambda a, b, moved: F.struct(a.alias("from"), b.alias("to"), F.lit(SAME).cast("long").alias("kind"), (a + moved).alias("out"))
-    n = F.size("regions")
-    begin = lambda k: F.when(k == 0, F.col("offset")).otherwise(F.greatest(F.col("offset"), F.get("regions", k - 1)["region_to"]))
-    end = lambda k: F.when(k == n, F.col("stop")).otherwise(F.least(F.col("stop"), F.get("regions", k)["region_from"]))
-    shift = lambda k: F.when(k == 0, F.coalesce(F.get("regions", k)["moved"], F.col("moved"))).otherwise(F.get("regions", k - 1)["moved"] + F.get("regions", k - 1)["change"])
-    gaps = F.filter(F.transform(F.sequence(F.lit(0), n), lambda k: gap(begin(k), end(k), shift(k))), lambda x: x["to"] > x["from"])
-    kept = where.select("name", "piece", F.explode(gaps).alias("cut"))
+    where = where.select("name", "piece", before.alias("moved"), "regions")
     # Spans of the source, cut at the borders of pieces; a turned one goes on from its end.
     used = _touched(spans.where(F.col("kind") != UNKNOWN), "a", "b", width)
     a, b = F.greatest(F.col("a"), F.col("piece") * width), F.least(F.col("b"), (F.col("piece") + 1) * width)
     out = F.col("out") + F.when(F.col("kind") == TURNED, F.col("b") - b).otherwise(a - F.col("a"))
     used = used.select("name", "piece", F.struct(a.alias("from"), b.alias("to"), F.col("kind"), out.alias("out")).alias("cut"))
-    cuts = kept.unionByName(used).groupBy("name", "piece").agg(F.collect_list("cut").alias("cuts"))
-    fragments = pieces.join(cuts, ["name", "piece"]).select("name", "offset", "text", "cuts").mapInArrow(_cut, "name string, offset long, text string")
+    cuts = used.groupBy("name", "piece").agg(F.collect_list("cut").alias("cuts"))
+    every = pieces.join(where, ["name", "piece"]).join(cuts, ["name", "piece"], "left").select("name", "offset", "text", "moved", "regions", "cuts")
+    parts = every.mapInArrow(_cutter(width), "name string, piece long, offset long, text string")
     runs = spans.where(F.col("kind") == UNKNOWN).select("name", "out", F.explode(F.expr(f"sequence(0L, (b - a - 1) div {width})")).alias("k"), size.alias("n"))
     runs = runs.select("name", (F.col("out") + F.col("k") * width).alias("offset"), F.repeat(F.lit("N"), F.least(F.col("n") - F.col("k") * width, F.lit(width)).cast("int")).alias("text"))
-    return gridded(fragments.unionByName(runs), width)
+    return assembled(parts.unionByName(at_borders(runs, width)), width)

@@ -600,3 +600,13 @@ def test_config():
     assert Config("hifi").preset == "map-hifi" and Config().preset == "lr:hq"
     with pytest.raises(ValueError):
         Config("nanopore")
+
+
+def test_pieces_are_cut_in_one_step(spark):
+    """What stays of a piece and what its cuts show are made where the piece is: no row a gap is shuffled."""
+    cut = pieces.pieces_of(spark.createDataFrame([("c", "ACGTTGCA" * 9)], "name string, sequence string"), 16)
+    edits = spark.createDataFrame([("c", 3, 9, "INV", 6), ("c", 20, 23, "INS", 3), ("c", 47, 50, "DEL", 2)], "chrom string, start long, end long, sv_type string, size long")
+    out = pieces.patched(cut, edits, True, 16)
+    assert pieces.whole(out).first().sequence == pieces.mended("ACGTTGCA" * 9, [(3, 9, "INV", 6), (20, 23, "INS", 3), (47, 50, "DEL", 2)], True)
+    assert all(len(r.text) == 16 and r.offset == 16 * r.piece for r in out.collect() if r.piece < 4)
+    assert "filter(transform(sequence(" not in out._jdf.queryExecution().analyzed().toString()

@@ -23,11 +23,13 @@ def segments(aligned: DataFrame, least_aligned: int = 300, most: int = 20) -> Da
 
 
 def pairs(segs: DataFrame) -> DataFrame:
-    """Each pair of segments of a read and contig, l before r. At most 190 of a read."""
+    """Each pair of segments of a read and contig, l before r. At most 190 of a read. A segment takes those behind it from its
+    read's rows, which are sorted once: no join."""
     rest = [c for c in segs.columns if c not in ("qname", "rname")]
-    left = segs.select("qname", "rname", *[F.col(c).alias(f"l_{c}") for c in rest])
-    right = segs.select("qname", "rname", *[F.col(c).alias(f"r_{c}") for c in rest])
-    return left.join(right, ["qname", "rname"]).where("l_ord < r_ord")
+    behind = Window.partitionBy("qname", "rname").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    rows = segs.where("qname IS NOT NULL AND rname IS NOT NULL").withColumn("_behind", F.collect_list(F.struct(*rest)).over(behind))
+    rows = rows.select("qname", "rname", *[F.col(c).alias(f"l_{c}") for c in rest], F.explode("_behind").alias("_r"))
+    return rows.select("qname", "rname", *[f"l_{c}" for c in rest], *[F.col(f"_r.{c}").alias(f"r_{c}") for c in rest])
 
 
 def pair_signal(min_size: int = 50, max_size: int = 4_000_000) -> Column:

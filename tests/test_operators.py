@@ -610,3 +610,11 @@ def test_pieces_are_cut_in_one_step(spark):
     assert pieces.whole(out).first().sequence == pieces.mended("ACGTTGCA" * 9, [(3, 9, "INV", 6), (20, 23, "INS", 3), (47, 50, "DEL", 2)], True)
     assert all(len(r.text) == 16 and r.offset == 16 * r.piece for r in out.collect() if r.piece < 4)
     assert "filter(transform(sequence(" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_segments_pair_without_a_join(spark):
+    schema = "qname string, rname string, ord int, pos long"
+    rows = [(q, r, k, 10 * k) for q, r, n in (("a", "c", 4), ("a", "d", 1), ("b", "c", 3), (None, "c", 2)) for k in range(n)]
+    found = segments.pairs(spark.createDataFrame(rows, schema))
+    assert sorted((x.qname, x.rname, x.l_pos, x.r_pos) for x in found.collect()) == sorted((q, r, 10 * k, 10 * j) for q, r, n in (("a", "c", 4), ("b", "c", 3)) for j in range(n) for k in range(j))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()

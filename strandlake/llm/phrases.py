@@ -6,7 +6,7 @@ word is dealt to as many tasks as its suffixes fill. Where the ranges are cut fo
 nothing but the sizes of tasks. What a chunk sends to a range is one row: a sorted run of suffixes. A task sorts its suffixes in
 reverse, so that all that share a prefix stand together, and counts every prefix with one stack: a prefix leaves it when a
 suffix without it comes. A prefix at an edge of a range may go on in the next one: such parts are summed afterwards, all
-others are whole.
+others are whole. A task has one Python worker at a time, which holds a batch as it came and what one chunk needs.
 
 Defined results: a null text has no words, a null language is `und`; an empty table gives no rows; repeated rows and ids
 count each time (ids aren't read); further columns, of any name, aren't read; a text of any length is counted whole, one piece of a
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import lean, stored, table, text_of
 from .tokens import Numbers
 
 #: Lower-cases A-Z; every separator of pieces becomes a full stop, a tab a space.
@@ -36,7 +36,7 @@ END = " "
 ESCAPES = (("%", "%25"), (END, "%20"), ("\n", "%0A"))
 
 
-def _chunks(texts: list[bytes], size: int) -> Iterator[bytes]:
+def _chunks(texts: Iterable[bytes], size: int) -> Iterator[bytes]:
     """The texts, with CUT applied, joined to chunks of about `size` bytes; longer ones are cut between pieces."""
     held, n = [], 0
     for text in texts:
@@ -60,6 +60,7 @@ def _suffix_counts(lang: bytes, chunk: bytes, most: int) -> tuple[pa.Array, np.n
     numbers = Numbers({b".": 0})
     n = len(words)
     met = np.fromiter(map(numbers.__getitem__, words), np.int64, n)
+    del words
     terms = sorted(w + b" " for w in list(numbers)[1:])
     for k, w in enumerate(terms, 1):
         numbers[w[:-1]] = k
@@ -83,13 +84,14 @@ def _suffix_counts(lang: bytes, chunk: bytes, most: int) -> tuple[pa.Array, np.n
 
 
 def _of_chunks(batches: Iterator[pa.RecordBatch], most: int, size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """The suffixes of batches of (lang, text), a chunk of one language at a time."""
+    """The suffixes of batches of (lang, text), a chunk of one language at a time; a text is taken from its batch when its
+    chunk is made."""
     for batch in batches:
-        texts = defaultdict(list)
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            texts[lang].append(text)
-        for lang, own in texts.items():
-            for chunk in _chunks(own, size):
+        rows, texts = defaultdict(list), batch.column(1)
+        for k, lang in enumerate(batch.column(0)):
+            rows[lang.as_py()].append(k)
+        for lang, own in rows.items():
+            for chunk in _chunks((texts[k].as_py() for k in own), size):
                 yield _suffix_counts(lang, chunk, most)
 
 
@@ -111,7 +113,7 @@ def range_ends(docs: DataFrame, most: int, size: int, rows: int, sample: int = 2
             yield pa.RecordBatch.from_arrays([key.take(pa.array(at)), pa.array(np.full(len(at), len(key) / max(len(at), 1)))], ["key", "weight"])
 
     every = max(docs.count() / sample, 1.0)
-    found = _texts(docs).where(F.rand(1) < 1 / every).mapInArrow(some, "key binary, weight double").collect()
+    found = _texts(docs).where(F.rand(1) < 1 / every).mapInArrow(lean(some), "key binary, weight double").collect()
     found = sorted((bytes(r.key[:-1]), r.weight) for r in found)
     upto = np.cumsum([w for _, w in found])
     n = int(upto[-1] * every / rows) + 1 if found else 1
@@ -126,28 +128,24 @@ def suffix_runs(docs: DataFrame, ends: list[bytes], most: int = 4, size: int = 1
         for key, counts in _of_chunks(batches, most, size):
             at = [bisect_left(range(len(key)), e, key=lambda k, key=key: key[k].as_py()[:-1]) for e in ends]
             runs = [(p, b, e) for p, (b, e) in enumerate(zip([0, *at], [*at, len(key)], strict=True)) if b < e]
-            offsets = np.frombuffer(key.buffers()[1], np.int32)[key.offset :]
-            data, counts = memoryview(key.buffers()[2] or b""), counts.astype("<i4")
-            keys = [bytes(data[offsets[b] : offsets[e]]) for _, b, e in runs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(keys, pa.binary()), pa.array([counts[b:e].tobytes() for _, b, e in runs], pa.binary())], ["part", "keys", "n"])
+            if runs:
+                edges = np.array([runs[0][1], *(r[2] for r in runs)], np.int32)
+                offsets = np.frombuffer(key.buffers()[1], np.int32)[key.offset :][edges]
+                keys = pa.Array.from_buffers(pa.string(), len(runs), [None, pa.py_buffer(offsets), key.buffers()[2]])
+                n = pa.ListArray.from_arrays(pa.array(edges), pa.array(counts.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), keys, n], ["part", "keys", "n"])
 
-    return _texts(docs).mapInArrow(cut, "part int, keys binary, n binary")
+    return _texts(docs).mapInArrow(lean(cut), "part int, keys string, n array<int>")
 
 
 def suffixes(docs: DataFrame, most: int = 4, size: int = 1_000_000, rows: int = 1_000_000) -> DataFrame:
     """key, n: the suffixes of all texts of docs (text, lang), equal ones of a chunk summed; a range of them a partition, sorted
     in reverse."""
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, n in zip(batch.column(1), batch.column(2), strict=True):
-                n = np.frombuffer(n.as_py(), "<i4")
-                lines = pc.split_pattern(pa.array([keys.as_py()], pa.binary()).cast(pa.string()), "\n").values[: len(n)]
-                yield pa.RecordBatch.from_arrays([lines.take(pa.array(np.arange(len(n))[::-1])), pa.array(n[::-1].astype(np.int64))], ["key", "n"])
-
     ends = range_ends(docs, most, size, rows)
     runs = suffix_runs(docs, ends, most, size).repartitionById(len(ends) + 1, "part")
-    return runs.mapInArrow(opened, "key string, n long").sortWithinPartitions(F.desc("key"))
+    # behind the last line's break there is nothing, which has no number
+    lines = runs.select(F.inline(F.arrays_zip(F.split("keys", "\n").alias("key"), F.col("n")))).where("n IS NOT NULL")
+    return lines.select("key", F.col("n").cast("long").alias("n")).sortWithinPartitions(F.desc("key"))
 
 
 class Stack:
@@ -216,7 +214,7 @@ def prefix_counts(suffix_rows: DataFrame, least: int) -> DataFrame:
                 yield as_batch(stack.read(batch.column(0), batch.column(1).to_numpy()))
         yield as_batch(stack.end())
 
-    return suffix_rows.mapInArrow(count, "key string, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return suffix_rows.mapInArrow(lean(count), "key string, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def phrase_counts(docs: DataFrame, most: int = 4, least: int = 30) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -112,3 +113,30 @@ def test_stack_over_any_batches():
                     out.update(dict(stack.read(pa.array([rows[i] for i in own]), np.array([n[i] for i in own]))))
                 out.update(dict(stack.end()))
             assert {k: v for k, v in out.items() if v >= 12} == {k: v for k, v in whole.items() if v >= 12}
+
+
+def test_batch_is_not_copied():
+    """Besides a batch, no more is held than a chunk needs."""
+    batch = pa.RecordBatch.from_arrays([pa.array([b"en", b"de"] * 1000), pa.array([b"%d " % k * 2000 for k in range(2000)])], ["lang", "text"])
+    tracemalloc.start()
+    n = sum(int(counts.sum()) for _, counts in phrases._of_chunks(iter([batch]), 4, 50_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 * 2000 and batch.nbytes > 17_000_000 and peak < 9_000_000
+
+
+def test_one_worker_a_task(spark):
+    """No stage has two steps in Python: each would have a worker of its own."""
+    docs = spark.createDataFrame([("a b c", "en")], "text string, lang string")
+    plan = phrases.prefix_counts(phrases.suffixes(docs), 1)._jdf.queryExecution().executedPlan().toString()
+    steps = [part.count("MapInArrow") for part in plan.split("Exchange")]
+    assert sum(steps) == 2 and max(steps) == 1
+
+
+def test_run_of_odd_words(spark):
+    """Words with all signs but separators keep their lines and numbers when a run is opened."""
+    signs = [chr(c) for c in [*range(1, 0x30), 0x7F, 0x85, 0xA0, 0x2028, 0x2029, 0xFEFF, 0x1F600] if chr(c) not in "\t\n\x0b\x0c\r .,!"]
+    text = " ".join(f"{s} a{s} {s}{s}" for s in signs)
+    rows = [("e\tn", text), ("", text), ("e\x85n", text), ("e\x85n", "")]
+    docs = spark.createDataFrame([(t, g) for g, t in rows], "text string, lang string").repartition(2)
+    assert found(phrases.collocations(docs, least=1)) == plain(rows, 1, 2000)

@@ -258,12 +258,22 @@ def without_parts(candidates: DataFrame, share: int = 80) -> DataFrame:
     return kept.where(F.col("longer").isNull() | (100 * exact("longer") < share * exact("a"))).drop("longer")
 
 
+def ranked(kept: DataFrame, best: int) -> DataFrame:
+    """The `best` rows of each language with their rank: the place in a range of the order, and what the ranges before have of
+    the language. No task gets all rows of a language; ranges behind the last one needed are left out before they are sorted."""
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    rows = stored(kept.repartitionByRange("lang", *order).withColumn("part", F.spark_partition_id()), "phrase-ranges")
+    before = F.sum("own").over(Window.partitionBy("lang").orderBy("part")) - F.col("own")
+    ranges = rows.groupBy("lang", "part").agg(F.count("*").alias("own")).select("lang", "part", before.alias("before")).where(F.col("before") < best)
+    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    return rows.join(ranges, ["lang", "part"]).withColumn("rank", F.col("before") + place).where(F.col("rank") <= best).drop("part", "before")
+
+
 def collocations(docs: DataFrame, most: int = 4, least: int = 30, best: int = 2000) -> DataFrame:
     """The `best` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     counts = stored(phrase_counts(docs, most, least), "phrase-counts")
     kept = without_parts(scored(counts))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    top = ranked(kept, best)
     words = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     return top.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

@@ -140,3 +140,20 @@ def test_run_of_odd_words(spark):
     rows = [("e\tn", text), ("", text), ("e\x85n", text), ("e\x85n", "")]
     docs = spark.createDataFrame([(t, g) for g, t in rows], "text string, lang string").repartition(2)
     assert found(phrases.collocations(docs, least=1)) == plain(rows, 1, 2000)
+
+
+def test_ranks_by_ranges(spark):
+    """Ranks over ranges of the order are those of a plain sort, ties included, and no window has a whole language's rows."""
+    rng = random.Random(4)
+    rows = [(lang, f"{c} {k}", rng.randrange(9), rng.choice([5, 5, 5, rng.randrange(400)])) for lang, n in (("en", 3000), ("e\tn", 1), ("", 40)) for k in range(n) for c in "aé"]
+    kept = spark.createDataFrame(rows, "lang string, phrase string, a long, score long").repartition(3)
+    for best in (1, 39, 2000, 9000):
+        expected = []
+        for lang in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[3], -r[2], r[1].encode()))
+            expected += [(*r, k) for k, r in enumerate(own[:best], 1)]
+        assert sorted(map(tuple, phrases.ranked(kept, best).collect())) == sorted(expected)
+    docs = spark.createDataFrame([("a b c", "en")] * 30, "text string, lang string")
+    plan = phrases.collocations(docs)._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"row_number\(\) windowspecdefinition\((.*?) (?:DESC|ASC)", plan)
+    assert windows and all(re.match(r"lang#\d+, part#\d+, ", w) for w in windows)

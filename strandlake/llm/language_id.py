@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +54,46 @@ def trigrams(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h[at] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % buckets, starts
 
 
+#: Characters of a text whose trigrams are looked up at a time.
+PIECE = 1_000_000
+
+
+def pieces_of(text: str, size: int = PIECE) -> Iterator[str]:
+    """A text in pieces of about size characters, cut before white space where there is any."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and not text[end].isspace() and end < at + 2 * size:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """A batch's texts, null as empty: one at a time, as all of them are several times the batch."""
+    return (x.as_py() or "" for x in column)
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
     log_p: np.ndarray  # bucket by language
 
 
+def counted_trigrams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (text, lang) to how often each bucket is found in a language. A piece of a text is in memory at a time."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for text, lang in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            if lang not in counts:
+                counts[lang] = np.zeros(buckets, np.int64)
+            for piece in pieces_of(text):
+                counts[lang] += np.bincount(trigrams(piece, buckets)[0], minlength=buckets)
+    for lang, c in counts.items():
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
+
+
 def fit(docs: DataFrame, sample: int | None = 20_000, buckets: int = 1 << 16, smooth: float = 0.2) -> Model:
     """The trigram models of docs (doc_id, text, lang); held-out documents and null languages are left out. sample: of about
     how many labelled rows (None: all)."""
@@ -67,18 +102,7 @@ def fit(docs: DataFrame, sample: int | None = 20_000, buckets: int = 1 << 16, sm
         share = min(1.0, sample / max(1, docs.where("lang IS NOT NULL").count()))
         some = some.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < round(share * 1_000_000))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in counts:
-                    counts[lang] = np.zeros(buckets, np.int64)
-                counts[lang] += np.bincount(trigrams(text, buckets)[0], minlength=buckets)
-        for lang, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
-
-    counted = some.select(text_of().alias("text"), "lang").mapInArrow(count, "lang string, bucket long, n long")
+    counted = some.select(text_of().alias("text"), "lang").mapInArrow(lean(lambda batches: counted_trigrams(batches, buckets)), "lang string, bucket long, n long")
     counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     counts = np.full((buckets, len(languages)), smooth)
@@ -86,21 +110,6 @@ def fit(docs: DataFrame, sample: int | None = 20_000, buckets: int = 1 << 16, sm
     return Model(languages, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32))
 
 
-#: Characters of a text whose trigrams are looked up at a time.
-PIECE = 1_000_000
-
-
-def pieces_of(text: str, size: int = PIECE) -> Iterator[str]:
-    """A text in pieces of about size characters, cut before white space where there is any."""
-    at = 0
-    while at < len(text):
-        end = at + size
-        while end < len(text) and not text[end].isspace() and end < at + 2 * size:
-            end += 1
-        yield text[at:end]
-        at = end
-
-
 def proportions(log_lik: list[np.ndarray], rounds: int = 30) -> tuple[np.ndarray, float]:
     """Mixture proportions of words by expectation-maximisation, and the log-likelihood. log_lik: pieces, word by language."""
     tops = [x.max(axis=1, keepdims=True) for x in log_lik]
@@ -159,25 +168,25 @@ PROVED = f"{INFERRED}, evidence double, n_found int"
 _KIND = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
 
-def identified(docs: DataFrame, model: Model, proved: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred, score and languages, with proved also evidence and n_found, the number of words (of these names, only the new columns). keep: columns of docs to pass through (None: all)."""
+def identified(docs: DataFrame, model: Model, proved: bool = False, keep: list[str] | None = None, place: int | None = None) -> DataFrame:
+    """docs with lang_pred, score and languages, with proved also evidence and n_found, the number of words (of these names, only the new columns). keep: columns of docs to pass through (None: all).
+    place: where the text is in the first of these, a struct; without it, it is the column text, and goes to the workers beside them."""
     columns = [t.split(" ", 1) for t in (PROVED if proved else INFERRED).split(", ")]
     rest = [c for c in (docs.columns if keep is None else keep) if c not in [name for name, _ in columns]]
     text = "_text"
     while text.lower() in {c.lower() for c in docs.columns}:
         text += "_"
-    names = [*rest, text]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_inferred(model, t) for t in batch.column(len(rest)).to_pylist()]
+            own = batch.column(len(rest)) if place is None else pc.struct_field(batch.column(0), [place])
+            found = [_inferred(model, t) for t in texts_of(own)]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([[{"lang": a, "share": p} for a, p in x[2]] for x in found], _KIND)]
             if proved:
                 more += [pa.array([x[3] for x in found], pa.float64()), pa.array([x[4] for x in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *more], [*rest, *[name for name, _ in columns]])
 
     schema = docs.select(*rest).limit(0).select("*", *[F.lit(None).cast(t).alias(name) for name, t in columns]).schema
-    return docs.select(*rest, text_of().alias(names[-1])).mapInArrow(lean(run), schema)
+    return docs.select(*rest, *([text_of().alias(text)] if place is None else [])).mapInArrow(lean(run), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +228,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
     whole = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(whole, None)
     median, low = evidence_limits(whole, model)
-    out = identified(docs.select(F.struct("*").alias("row"), "text"), model, proved=True, keep=["row"])
+    place = [c.lower() for c in docs.columns].index("text")
+    out = identified(docs.select(F.struct("*").alias("row")), model, proved=True, keep=["row"], place=place)
     limit = F.lit(median) - F.lit(median - low) * F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL) / F.col("n_found")))
     share = F.array_max(F.transform("languages", lambda x: x["share"]))
     out = out.where((F.col("lang_pred") != UND) & (F.col("score") >= least) & (share >= main) & (F.col("evidence") >= limit))
